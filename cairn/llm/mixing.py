@@ -74,8 +74,8 @@ def mix(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFram
     a shard is sorted.  Its words add up to at most three times the document's.
     """
     spark = docs.sparkSession
-    digits = 0
-    while docs.count() >> 4 * digits > RANGE_ROWS and digits < 7:
+    n_rows, digits = docs.count(), 0
+    while n_rows >> 4 * digits > RANGE_ROWS and digits < 7:
         digits += 1
     drawn_by = F.md5(F.concat_ws(" ", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select(

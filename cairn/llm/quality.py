@@ -95,8 +95,8 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.when((total(counts) > 0) & (total(reference) > 0), apart(shares(counts), shares(reference)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The base counts of ``docs`` (doc_id, text, lang), and the histograms."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The base counts of ``docs`` (doc_id, text, lang), the histograms, and ``carry`` columns as carried_0 and so on."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = let(
         words_of(text),
@@ -105,8 +105,9 @@ def features(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id"), F.col("lang").cast("string").alias("lang"), words.alias("w"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"),
         class_counts(text).alias("classes"), common_counts(words_of(F.lower(text)), F.col("lang").cast("string")).alias("common"),
+        *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
     )
-    counts = rows.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "classes", "common")
+    counts = rows.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "classes", "common", *[f"carried_{i}" for i in range(len(carry))])
     return counts.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -117,19 +118,24 @@ def references(rows: DataFrame) -> DataFrame:
     return rows.where("NOT base_failed").groupBy("key").agg(sums("classes", n_classes).alias("all_classes"), sums("common", n_words).alias("all_common"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_apart and words_apart.
+def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_apart, words_apart, ``carry``.
 
     Counts are written first, as references need all of them; texts are read once.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
-    rows = written(features(docs).withColumn("key", key))
+    rows = written(features(docs, carry).withColumn("key", key))
     total = lambda h: F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + x)
-    joined = rows.join(references(rows), "key", "left")
+    joined = rows.join(written(references(rows)), "key", "left")  # as a table of known size: broadcast only if small
     enough = lambda c, r, least: (total(F.col(c)) >= least) & (total(F.col(r)) >= LEAST_SHARE * total(F.col(c)))
     known = F.size("common") > 1
     chars = F.when(enough("classes", "all_classes", LEAST_CHARS), distance(F.col("classes"), F.col("all_classes")))
     words = F.when(known & enough("common", "all_common", LEAST_WORDS), distance(F.col("common"), F.slice("all_common", F.lit(1), F.size("common"))))
     judged = joined.withColumn("chars_apart", chars).withColumn("words_apart", words)
     good = (F.coalesce("chars_apart", F.lit(0.0)) <= MOST_CHARS_APART) & (F.coalesce("words_apart", F.lit(0.0)) <= MOST_WORDS_APART)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"), "chars_apart", "words_apart")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"), "chars_apart", "words_apart", *[f"carried_{i}" for i in range(len(carry))])
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, whole: rows travel with their counts, so nothing is matched by id or shuffled."""
+    return judge(docs, tuple(docs.columns)).where("kept").select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -71,3 +71,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_source_mixing, op4_simhash, op5_secret_scan, op6_nearest_vectors, op7_quality_rules, op8_token_records, op9_packing, op10_token_counts)}
+SQL: dict[str, str] = {}
