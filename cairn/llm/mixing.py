@@ -32,7 +32,7 @@ WEIGHTS = (1, 2, 3)
 BLOCK_WORDS, SHARD_WORDS = 4096, 1 << 22
 MOST_BLOCKS, MOST_SHARDS = 1 << 28, 1024
 #: Documents of a range of hashes, about, over all sources.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 
 def source_key(source: Column) -> Column:
