@@ -1,10 +1,391 @@
-"""Queries of the retrieval operators and their SQL."""
+"""Queries of the retrieval operators over the driver's tables, and the same in SQL for DuckDB.
+
+Documents stand for chunks (source: library, lang: category), pages for crawled pages, embeddings for chunk vectors, events
+for audit and metric rows, and orders, parts and suppliers for jobs, packages and libraries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.functions import text as T
+from cairn.functions import web as W
+from cairn.operators import bm25, catalog, chunking, health, symbols, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("library_id"), F.col("lang").alias("category"), F.col("text").alias("content"))
+
+
+def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("library_id"), "embedding")
+
+
+def first_vector(spark: SparkSession, d: str) -> list[float]:
+    row = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
+    return list(row[0]) if row else [0.0]
+
+
+TEXT_QUERY = "the tion and thereon"
+PROSE_SQL = "list_transform(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9]+)', 1), lambda x: lower(x))"
+IDENT_SQL = r"list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*)', 1), lambda x: length(x) >= 2)"
+POSTINGS_SQL = f"""
+tokens AS (
+  SELECT doc_id AS chunk_id, unnest({PROSE_SQL}) AS term FROM documents
+  UNION ALL SELECT doc_id, unnest({IDENT_SQL}) FROM documents
+  UNION ALL SELECT doc_id, lower(i) FROM (SELECT doc_id, unnest({IDENT_SQL}) AS i FROM documents) WHERE lower(i) <> i),
+postings AS (SELECT chunk_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+lengths AS (SELECT chunk_id, count(*) AS doc_length FROM tokens GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(doc_length) AS avg_length FROM lengths),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY ALL),
+scores AS (
+  SELECT p.chunk_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_length / avg_length))) AS bm25
+  FROM postings p JOIN dfs USING (term) JOIN lengths l ON l.chunk_id = p.chunk_id, stats
+  WHERE term IN ('the', 'tion', 'and', 'thereon') GROUP BY ALL)"""
+COSINE_SQL = """
+q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
+cosines AS (
+  SELECT vec_id AS chunk_id, CAST(label AS VARCHAR) AS library_id,
+    list_sum(list_transform(list_zip(embedding, qv), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
+    / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) * list_sum(list_transform(qv, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS cosine
+  FROM embeddings, q WHERE embedding IS NOT NULL)"""
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT chunk_id, term, tf FROM postings")
+def bm25_postings(spark, d):
+    return bm25.postings(chunks(spark, d))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT n AS n_docs, round(avg_length, 6) AS avg_length FROM stats")
+def bm25_stats(spark, d):
+    return bm25.statistics(bm25.lengths(chunks(spark, d))).withColumn("avg_length", F.round("avg_length", 6))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT chunk_id, round(bm25, 6) AS bm25 FROM scores ORDER BY round(bm25, 6) DESC, chunk_id LIMIT 10")
+def bm25_topn(spark, d):
+    return bm25.top_n(bm25.scores(chunks(spark, d), TEXT_QUERY), 10).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("SELECT 0::BIGINT AS chunk_id, 0::BIGINT AS total, 0::BIGINT AS doc_length WHERE false")
+def bm25_integrity(spark, d):
+    return bm25.integrity(chunks(spark, d))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({PROSE_SQL}) AS term FROM documents) GROUP BY ALL")
+def prose_tokens_df(spark, d):
+    rows = chunks(spark, d).select("chunk_id", F.explode(T.prose_tokens(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("c"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("n"))
+
+
+@query(f"SELECT doc_id, len({IDENT_SQL}) AS n, list_count(list_distinct({IDENT_SQL})) AS kinds FROM documents")
+def identifier_tokens_count(spark, d):
+    names = T.identifiers(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(names).cast("long").alias("n"), F.size(F.array_distinct(names)).cast("long").alias("kinds"))
+
+
+@query(f"WITH {COSINE_SQL} SELECT chunk_id, round(cosine, 6) AS cosine FROM cosines ORDER BY round(cosine, 6) DESC, chunk_id LIMIT 10")
+def cosine_topk(spark, d):
+    return vectors.top_k(chunk_vectors(spark, d), first_vector(spark, d), 10).select("chunk_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {COSINE_SQL} SELECT chunk_id, round(cosine, 6) AS cosine FROM cosines WHERE library_id = '3' ORDER BY round(cosine, 6) DESC, chunk_id LIMIT 10")
+def cosine_topk_category_filter(spark, d):
+    return vectors.top_k(chunk_vectors(spark, d), first_vector(spark, d), 10, F.col("library_id") == "3").select("chunk_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"WITH {COSINE_SQL} SELECT library_id, chunk_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY round(cosine, 6) DESC, chunk_id) AS rank FROM cosines) WHERE rank <= 5")
+def cross_library_topk(spark, d):
+    return vectors.top_k_by_library(chunk_vectors(spark, d), first_vector(spark, d), 5).select("library_id", "chunk_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+HYBRID_SQL = f"""{POSTINGS_SQL}, {COSINE_SQL},
+candidates AS (SELECT * FROM cosines ORDER BY round(cosine, 6) DESC, chunk_id LIMIT 50),
+hybrid AS (SELECT c.chunk_id, 0.6 * cosine + 0.4 * coalesce(bm25, 0) / (SELECT max(bm25) FROM scores) AS score FROM candidates c LEFT JOIN scores s ON s.chunk_id = c.chunk_id)"""
+
+
+def hybrid(spark, d) -> DataFrame:
+    found = vectors.top_k(chunk_vectors(spark, d), first_vector(spark, d), vectors.candidate_count(10))
+    return vectors.blended(found, bm25.scores(chunks(spark, d), TEXT_QUERY))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT chunk_id, round(score, 6) AS score FROM hybrid ORDER BY round(score, 6) DESC, chunk_id LIMIT 10")
+def hybrid_topk(spark, d):
+    return hybrid(spark, d).orderBy(F.round("score", 6).desc(), "chunk_id").limit(10).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {HYBRID_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY round(score, 6) DESC, chunk_id) AS ord FROM hybrid) SELECT chunk_id, ord FROM o ORDER BY ord LIMIT 30")
+def hybrid_rerank_passthrough(spark, d):
+    return vectors.reranked(hybrid(spark, d), 30).select("chunk_id", F.col("ord").cast("long").alias("ord"))
+
+
+@query(f"""WITH {HYBRID_SQL}, top AS (SELECT chunk_id, score FROM hybrid ORDER BY round(score, 6) DESC, chunk_id LIMIT 10),
+new AS (SELECT doc_id FROM documents WHERE regexp_matches(text, '\\bthe\\b') AND doc_id NOT IN (SELECT chunk_id FROM top) ORDER BY doc_id LIMIT 5)
+SELECT doc_id AS chunk_id, 0.0 AS score, 0 AS ord FROM new UNION ALL SELECT chunk_id, round(score, 6), 1 FROM top""")
+def identifier_injection(spark, d):
+    top = hybrid(spark, d).orderBy(F.round("score", 6).desc(), "chunk_id").limit(10)
+    named = chunks(spark, d).where(F.col("content").rlike(r"\bthe\b")).select("chunk_id")
+    return vectors.injected(named, top).withColumn("score", F.round("score", 6))
+
+
+@query(r"""SELECT page_id, coalesce(regexp_matches(url, '[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_]') OR contains(url, '::') OR regexp_matches(url, '[A-Za-z_][A-Za-z0-9_]*\(') OR regexp_matches(url, '[a-z][A-Z]') OR regexp_matches(url, '[A-Za-z0-9]_[A-Za-z0-9]'), false) AS identifier_shaped FROM pages""")
+def query_shape(spark, d):
+    return table(spark, d, "pages").select("page_id", T.is_identifier_shaped(F.col("url")).alias("identifier_shaped"))
+
+
+@query("SELECT coalesce(lang, 'unfenced') AS value, count(*) AS n, count(*) / sum(count(*)) OVER () AS ratio FROM documents GROUP BY 1")
+def language_mix(spark, d):
+    return health.mix(table(spark, d, "documents"), "lang")
+
+
+HOST_SQL = "lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)', 2), ''))"
+SCHEME_SQL = "lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), ''))"
+PATH_SQL = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://[^/?#]*([^?#]*)', 2)"
+NORMAL_SQL = rf"""CASE WHEN {HOST_SQL} IS NOT NULL THEN {SCHEME_SQL} || '://' || {HOST_SQL} || regexp_replace(regexp_replace({PATH_SQL}, '(?i)\.(html|htm|aspx)$', ''), '/+$', '') || regexp_extract(url, '(\?[^#]*)', 1) END"""
+
+
+@query(f"SELECT coalesce({HOST_SQL}, '(unknown)') AS host, count(*) AS n FROM pages GROUP BY 1")
+def host_distribution(spark, d):
+    return health.hosts(table(spark, d, "pages"))
+
+
+@query(f"SELECT page_id, {NORMAL_SQL} AS url, sha256({NORMAL_SQL}) AS hash, {SCHEME_SQL} || '://' || {HOST_SQL} AS host_key, regexp_extract({PATH_SQL}, '^(/[^/]*/?)', 1) AS segment FROM pages")
+def url_normalize(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", W.normalized(u).alias("url"), W.canonical_hash(u).alias("hash"), W.host_key(u).alias("host_key"), W.first_segment(u).alias("segment"))
+
+
+ALLOW, DENY = [r"example\.(com|org)"], ["/de/", "#"]
+REFUSAL_SQL = rf"""CASE WHEN lower(regexp_extract({PATH_SQL}, '\.([A-Za-z0-9]+)$', 1)) IN {W.BINARY} THEN 'BinaryExtension' WHEN NOT regexp_matches(url, 'example\.(com|org)') THEN 'PatternMissAllowed' WHEN regexp_matches(url, '/de/|#') THEN 'PatternExclude' END"""
+
+
+@query(f"SELECT page_id, {REFUSAL_SQL} AS reason FROM pages")
+def url_allow_deny(spark, d):
+    return table(spark, d, "pages").select("page_id", W.refusal(F.col("url"), ALLOW, DENY).alias("reason"))
+
+
+ROOT = "https://www.ththing.example.com/en/1"
+
+
+@query(f"SELECT page_id, coalesce({SCHEME_SQL} = 'https' AND {HOST_SQL} = 'www.ththing.example.com' AND starts_with({PATH_SQL}, '/en/'), false) AS in_scope FROM pages")
+def root_scope(spark, d):
+    return table(spark, d, "pages").select("page_id", W.in_root_scope(F.col("url"), ROOT).alias("in_scope"))
+
+
+@query(f"""WITH r AS (SELECT page_id, page_id % 4 AS depth, page_id % 7 = 0 AS seen, {REFUSAL_SQL} AS no,
+  coalesce({SCHEME_SQL} = 'https' AND {HOST_SQL} = 'www.ththing.example.com' AND starts_with({PATH_SQL}, '/en/'), false) AS scoped, coalesce({HOST_SQL} = 'www.ththing.example.com', false) AS same FROM pages),
+s AS (SELECT page_id, CASE WHEN seen THEN 'AlreadyVisited' WHEN no IS NOT NULL THEN no WHEN scoped THEN NULL WHEN same AND depth > 2 THEN 'SameHostDepth' WHEN NOT same AND depth > 1 THEN 'OffSiteDepth' END AS reason FROM r)
+SELECT page_id, CASE WHEN reason IS NULL THEN 'Fetched' ELSE 'Skipped' END AS decision, coalesce(reason, '') AS reason FROM s""")
+def crawl_decision(spark, d):
+    made = W.crawl_decision(F.col("url"), F.col("page_id") % 4, F.col("page_id") % 7 == 0, ROOT, ALLOW, DENY)
+    return table(spark, d, "pages").select("page_id", made.alias("d")).select("page_id", "d.decision", "d.reason")
+
+
+@query("SELECT kind, value, count(*) AS n FROM (SELECT 'event_type' AS kind, event_type AS value FROM events UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM events) GROUP BY ALL")
+def audit_summary(spark, d):
+    return health.group_counts(table(spark, d, "events"), ["event_type", "user_id"])
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id < 50 AND contains(props, '1') AND event_type = 'click'")
+def audit_filter(spark, d):
+    rows = catalog.conditional(table(spark, d, "events"), {"user": F.col("user_id") < 50, "text": F.col("props").contains("1"), "kind": F.col("event_type") == "click", "host": None})
+    return rows.select("event_id", "event_type")
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value < 0) AS failures, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS top FROM events GROUP BY 1")
+def query_latency_stats(spark, d):
+    rows = health.latency(table(spark, d, "events"), "event_type", "value", F.col("value") < 0)
+    return rows.select("event_type", "n", "failures", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "top")])
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND ts < (SELECT max(ts) FROM events) - INTERVAL 4 HOUR")
+def stale_jobs(spark, d):
+    rows = table(spark, d, "events").withColumn("state", F.when(F.col("event_type") == "click", "Running").otherwise("Done"))
+    now = F.lit(rows.agg(F.max("ts")).first()[0])
+    return rows.where(health.stale(F.col("state"), F.lit(None).cast("timestamp"), F.col("ts"), now)).select("event_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O' UNION SELECT * FROM (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50)")
+def recent_union_running(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    recent = rows.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
+    return rows.where("o_orderstatus = 'O'").unionByName(recent).select("o_orderkey", "o_orderstatus").distinct()
+
+
+@query("""WITH r AS (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS dt, event_id - lag(event_id) OVER w AS dc FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, round(CASE WHEN dt > 0 THEN dc / (dt / 1e6) ELSE 0 END, 6) AS rate FROM r""")
+def rates_lag(spark, d):
+    return catalog.rates(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@query(r"""WITH c AS (SELECT source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT source AS library_id, count(*) AS n, round(100.0 * (count(*) - count(DISTINCT t)) / count(*), 6) AS duplicate_pct, count(*) >= 5 AND 100.0 * (count(*) - count(DISTINCT t)) / count(*) >= 60 AS suspect FROM c GROUP BY 1""")
+def duplicate_content_pct(spark, d):
+    return health.duplicate_share(chunks(spark, d), "library_id").withColumn("duplicate_pct", F.round("duplicate_pct", 6))
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id AS page_id, trim(line) AS heading, count(*) AS n FROM p WHERE trim(line) <> '' GROUP BY ALL""")
+def heading_chunks(spark, d):
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    marked = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("# "), x, F.lit("\nbody"))), "\n")
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), marked.alias("text"))
+    return chunking.by_headings(pages).where("heading <> ''").groupBy("page_id", "heading").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, source || '/' || lang || '/' || substr(sha256(source || lang), 1, 12) || '/' || doc_id AS chunk_id FROM documents")
+def chunk_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", chunking.chunk_id(F.col("source"), F.col("lang"), F.concat("source", "lang"), F.col("doc_id")).alias("chunk_id"))
+
+
+@query("SELECT doc_id, sha256(substr('[' || lang || '] [' || source || '] [' || doc_id || ']' || chr(10) || text, 1, 6000)) AS input_sha256, length(text) // 4 AS tokens FROM documents")
+def embedding_input_text(spark, d):
+    made = T.embedding_input(F.col("lang"), F.col("source"), F.col("doc_id").cast("string"), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(made, 256).alias("input_sha256"), T.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+@query(r"""WITH l AS (SELECT doc_id AS page, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal, unnest(string_split(text, chr(10))) AS content FROM documents),
+n AS (SELECT page, ordinal, content, lead(content) OVER (PARTITION BY page ORDER BY ordinal) AS next FROM l),
+j AS (SELECT page, ordinal, regexp_extract(content, '([A-Za-z_][A-Za-z0-9_]*)\.$', 1) || '.' || regexp_extract(next, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM n WHERE next IS NOT NULL AND content LIKE '%.')
+SELECT page, CAST(ordinal - 1 AS INTEGER) AS ordinal, name FROM j WHERE name IN (SELECT 'the.' || w FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS w FROM documents))""")
+def boundary_issues(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("ordinal", "content"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("w")).distinct()
+    return chunking.boundary_issues(lines, words.select(F.concat(F.lit("the."), "w").alias("name"))).select("page", "ordinal", "name")
+
+
+@query("SELECT DISTINCT source AS library_id, lang AS category FROM documents")
+def distinct_pairs(spark, d):
+    return chunks(spark, d).select("library_id", "category").distinct()
+
+
+@query("""WITH t AS (SELECT c_nationkey AS k, 1 AS c, 0 AS s FROM customer UNION ALL SELECT s_nationkey, 0, 1 FROM supplier)
+SELECT k AS nation, sum(c) AS in_customer, sum(s) AS in_supplier FROM t WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1) GROUP BY 1""")
+def orphan_pairs(spark, d):
+    tables = {"customer": table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), "supplier": table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))}
+    return catalog.orphans(tables, table(spark, d, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("nation")), ["nation"])
+
+
+OLD, NEW = "doc_id % 5 <> 0", "doc_id % 7 <> 0"
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE NOT (doc_id % 5 = 0 AND doc_id % 7 = 0) AND (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 3 = 0)""")
+def version_diff(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"))
+    new = docs.where(NEW).withColumn("h", F.when(F.col("doc_id") % 3 == 0, F.bitwise_not("h")).otherwise(F.col("h")))
+    return catalog.difference(docs.where(OLD), new, "doc_id", "h")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE o_orderstatus END AS state FROM orders")
+def upsert_replace(spark, d):
+    old = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state"))
+    return catalog.upsert(old, old.where("o_orderkey % 10 = 0").withColumn("state", F.lit("new")), ["o_orderkey"])
+
+
+@query("SELECT source AS library_id, arg_max(lang, {'a': doc_id, 'b': lang}) AS current FROM documents WHERE lang <> 'en' GROUP BY 1")
+def delete_repoint(spark, d):
+    rows = table(spark, d, "documents").select(F.col("source").alias("library_id"), F.col("lang").alias("version"), F.col("doc_id").alias("scraped_at"))
+    return catalog.repointed(rows, "en")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+def latest_per_group(spark, d):
+    return catalog.latest(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], [F.desc("ts"), F.col("event_id")]).drop("ts")
+
+
+@query("""WITH p AS (SELECT p_partkey, 'src' || (p_partkey % 40) AS package_id, CASE p_partkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' ELSE 'xx' END AS version FROM part),
+k AS (SELECT DISTINCT source, lang FROM documents)
+SELECT package_id, version, CASE WHEN package_id LIKE 'src3%' THEN 'filtered' WHEN EXISTS (SELECT 1 FROM k WHERE source = package_id AND lang = version) THEN 'cached' WHEN EXISTS (SELECT 1 FROM k WHERE source = package_id) THEN 'cached-different-version' ELSE 'queued' END AS status FROM p""")
+def dependency_status(spark, d):
+    version = F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es", "xx"])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    packages = table(spark, d, "part").select(F.concat(F.lit("src"), (F.col("p_partkey") % 40).cast("string")).alias("package_id"), version.alias("version"))
+    libraries = table(spark, d, "documents").select(F.col("source").alias("library_id"), F.col("lang").alias("version")).distinct()
+    return catalog.dependency_status(packages, libraries, ["src3"])
+
+
+@query("""WITH s AS (SELECT source, count(*) AS pages, sum(n_chars) // 1000 AS links, count(DISTINCT lang) AS languages, avg(CASE WHEN lang = 'de' THEN 1.0 ELSE 0.0 END) AS declared FROM documents GROUP BY 1)
+SELECT source AS library_id, array_to_string(list_filter([CASE WHEN pages <= 3 THEN 'FewPages' END, CASE WHEN links < 10 THEN 'SparseLinks' END, CASE WHEN languages > 1 THEN 'SingleHostManyLanguages' END, CASE WHEN declared < 0.30 THEN 'LanguageMismatch' END], lambda x: x IS NOT NULL), ',') AS reasons FROM s""")
+def suspect_reasons(spark, d):
+    s = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.floor(F.sum("n_chars") / 1000).alias("links"), F.count_distinct("lang").alias("languages"), F.avg((F.col("lang") == "de").cast("double")).alias("declared"))
+    reasons = health.suspect_reasons(F.col("pages"), F.col("links"), F.lit(1), F.col("languages"), F.col("declared"), F.lit(False))
+    return s.select(F.col("source").alias("library_id"), F.array_join(reasons, ",").alias("reasons"))
+
+
+SUBJECTS = [("s1", "the"), ("s2", "la de"), ("s3", "und"), ("s4", "that"), ("s5", "de la")]
+
+
+@query(r"""WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '([\p{L}\p{Nd}]+)', 1), ' ') || ' ' AS t FROM documents),
+s AS (SELECT * FROM (VALUES ('s1', 'the'), ('s2', 'la de'), ('s3', 'und'), ('s4', 'that'), ('s5', 'de la')) v(subject_id, term))
+SELECT doc_id, subject_id FROM w, s WHERE contains(t, ' ' || term || ' ') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, subject_id) = 1""")
+def subject_infer(spark, d):
+    return symbols.inferred_subject(table(spark, d, "documents"), spark.createDataFrame(SUBJECTS, "subject_id string, term string"), "doc_id", "text")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS entry FROM events)
+SELECT user_id, entry, min(event_id) AS first_line, count(*) AS lines FROM e GROUP BY ALL""")
+def log_entry_islands(spark, d):
+    rows = catalog.islands(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "click")
+    return rows.groupBy("user_id", "entry").agg(F.min("event_id").alias("first_line"), F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT doc_id, total FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS total FROM documents) WHERE total <= (SELECT sum(n_chars) // 2 FROM documents)")
+def running_budget_cut(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "n_chars")
+    budget = rows.agg(F.floor(F.sum("n_chars") / 2)).first()[0]
+    return catalog.running_total(rows, ["doc_id"], "n_chars").where(F.col("total") <= budget).select("doc_id", "total")
+
+
+@query("SELECT l_returnflag AS name, count(DISTINCT l_orderkey) AS chunks, min(CAST(least(l_orderkey // greatest((SELECT max(l_orderkey) FROM lineitem) // 3, 1), 2) AS INTEGER)) AS first_third FROM lineitem GROUP BY 1")
+def rejection_thirds(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_returnflag").alias("name"), F.lit("Unit").alias("reason"))
+    n = rows.agg(F.max("i")).first()[0]
+    return symbols.rejections(rows, "i", n).select("name", "chunks", F.get("thirds", F.lit(0)).alias("first_third"))
+
+
+@query("SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark, d):
+    return table(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query()
+def symbol_candidates(spark, d):
+    rows = symbols.judged(chunks(spark, d), stoplist=["the", "and", "of"], library_stoplist=["is"], units=["mm", "kg"])
+    return rows.groupBy(F.coalesce("reason", F.lit("Kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def html_extraction(spark, d):
+    from cairn.functions.html import visible
+
+    page = table(spark, d, "pages").withColumn("page", visible("html"))
+    return page.select("page_id", "page.title", F.length("page.text").alias("chars"), "page.text_chars", "page.link_chars")
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMPTZ AT TIME ZONE 'UTC' AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark, d):
+    from cairn.streaming.pages import windowed_counts
+
+    return windowed_counts(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query()
+def capped_chunks(spark, d):
+    return chunking.capped(chunks(spark, d)).groupBy("library_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("content")).alias("longest"))
