@@ -118,11 +118,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     The document at the end of a source's target keeps its first words, a space apart; n_chars, if there, follows the text.
     """
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    drawn = mix(docs, seed, others).withColumn("draw", F.explode("draws"))
-    cut = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("draw.words").cast("int")), " ")
-    laid = drawn.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.place")
-    laid = laid.withColumn("text", F.when(F.col("draw.words") < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        laid = laid.withColumn("n_chars", F.when(F.col("draw.words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return laid.select(*docs.columns)
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    drawn = mix(rows, seed, tuple(own.values())).withColumn("draw", F.explode("draws"))
+    text, part = F.col(own["text"]), F.col("draw.words") < F.col("size")
+    cut = F.array_join(F.slice(words_of(text), F.lit(1), F.col("draw.words").cast("int")), " ")
+    laid = drawn.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.place").withColumn(own["text"], F.when(part, cut).otherwise(text))
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        laid = laid.withColumn(own["n_chars"], F.when(part, F.length(text).cast(kind)).otherwise(F.col(own["n_chars"])))
+    return laid.select(*[F.col(n).alias(c) for c, n in own.items()])

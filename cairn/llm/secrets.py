@@ -33,7 +33,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: Ordinary identifiers: letters only.
 WORDS = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])"
 #: Generated random strings in the training sample, and nats a character above which a token is random.
-RANDOM_SAMPLE, LEAST_RATIO = 2000, 0.5
+RANDOM_SAMPLE, LEAST_RATIO = 2000, 1.0
 #: Lower-case letters, one code for capitals, one for digits, one for + and /, one for _ and -; the rest shares another.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzA0+_"
 
@@ -120,18 +120,19 @@ def spelled(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a text replaced by ``mark``; spans that overlap go together. n_chars, if there, follows."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    rows = scan(docs, others)
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    rows = scan(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()]), tuple(own.values()))
+    text, hit = F.col(own["text"]), F.size("spans") > 0
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        between = F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"])
-        out = F.when(x["start"] >= s["at"], F.concat(s["out"], between, F.lit(mark))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when((s["at"] == 0) | (x["start"] >= s["at"]), out).otherwise(s["out"]).alias("out"))
-
-    text = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    hit = F.size("spans") > 0
-    rows = rows.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new = (s["at"] == 0) | (x["start"] >= s["at"])
+        out = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(new, out).otherwise(s["out"]).alias("out"))
+
+    clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    rows = rows.withColumn(own["text"], F.when(hit, clean).otherwise(text))
+    if "n_chars" in own:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn(own["n_chars"], F.when(hit, F.length(text).cast(kind)).otherwise(F.col(own["n_chars"])))
+    return rows.select(*[F.col(n).alias(c) for c, n in own.items()])
