@@ -29,7 +29,7 @@ from cairn.llm.words import count_words, words_of
 MOST_TIMES = 3
 WEIGHTS = (1, 2, 3)
 #: Words of a block, and of a shard, at least; blocks and shards grow with the input beyond the numbers below.
-BLOCK_WORDS, SHARD_WORDS = 4096, 1 << 22
+BLOCK_WORDS, SHARD_WORDS = 4096, 1 << 20
 MOST_BLOCKS, MOST_SHARDS = 1 << 28, 1024
 #: Documents of a range of hashes, about, over all sources.
 RANGE_ROWS = 1024
@@ -70,8 +70,8 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
 def mix(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each of ``docs`` (doc_id, source, text): doc_id, size, source_size, target and draws, and ``carry`` columns.
 
-    ``draws`` is an array of what the mix takes of the document: copy, words (from the start), shard, and place, by which
-    a shard is sorted.  Its words add up to at most three times the document's.
+    ``draws`` is an array of what the mix takes of the document: copy, words (from the start), shard, the part of a large
+    shard, and place, by which a part is sorted.  Its words add up to at most three times the document's.
     """
     spark = docs.sparkSession
     n_rows, digits = docs.count(), 0
@@ -89,6 +89,7 @@ def mix(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFram
     total = sum(r["source_size"] for r in rows)
     block = max(BLOCK_WORDS, total // MOST_BLOCKS)
     shards = int(min(MOST_SHARDS, max(1, -(-total // SHARD_WORDS))))
+    parts = max(1, total // shards // SHARD_WORDS)  # of a shard that is too large for a task
     rng = np.random.default_rng(seed)
     plans = []
     for r in rows:
@@ -109,6 +110,7 @@ def mix(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFram
             'copy', c,
             'words', greatest(0L, least(size, take - c * source_size - start)),
             'shard', cast(size(filter(bounds, b -> b <= pmod((c * a_pass + start div {block}) * step, greatest(n_blocks, 1L)))) as int),
+            'part', cast(pmod(xxhash64(c, drawn_by), {parts}) as int),
             'place', xxhash64(drawn_by, c))), d -> d.words > 0)""")
     return placed.join(plan, "key").select("doc_id", "size", "source_size", "target", piece.alias("draws"), *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
@@ -123,7 +125,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     drawn = mix(rows, seed, tuple(own.values())).withColumn("draw", F.explode("draws"))
     text, part = F.col(own["text"]), F.col("draw.words") < F.col("size")
     cut = F.array_join(F.slice(words_of(text), F.lit(1), F.col("draw.words").cast("int")), " ")
-    laid = drawn.repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.place").withColumn(own["text"], F.when(part, cut).otherwise(text))
+    laid = drawn.repartition("draw.shard", "draw.part").sortWithinPartitions("draw.shard", "draw.part", "draw.place").withColumn(own["text"], F.when(part, cut).otherwise(text))
     if "n_chars" in own:
         kind = docs.schema["n_chars"].dataType
         laid = laid.withColumn(own["n_chars"], F.when(part, F.length(text).cast(kind)).otherwise(F.col(own["n_chars"])))
