@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Elements that never hold content, ones whose text is kept, ones without an end. Fixed values.
 DROPPED = {"script", "style", "noscript", "nav", "footer", "aside", "template"}
@@ -60,6 +61,9 @@ def read(page: str | None) -> tuple[str, str, int, int]:
     return r.title, "\n".join(lines), r.all, r.links
 
 
-@F.pandas_udf("title string, text string, text_chars int, link_chars int")
+READ = StructType([StructField("title", StringType()), StructField("text", StringType()), StructField("text_chars", IntegerType()), StructField("link_chars", IntegerType())])
+
+
+@F.pandas_udf(READ)
 def visible(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read(p) for p in pages], columns=["title", "text", "text_chars", "link_chars"])
