@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.text import identifier_terms, prose_tokens, query_terms
+from cairn.functions.text import identifier_terms, let, prose_tokens, query_terms
+from cairn.sources.scratch import written
 
 #: Saturation and length weight. Fixed values.
 K1, B = 1.5, 0.75
@@ -41,15 +42,21 @@ def contribution(weight: Column, tf: Column, length: Column, avg: Column) -> Col
 
 
 def scores(chunks: DataFrame, query: str) -> DataFrame:
-    """chunk_id, bm25 of every chunk that has a term of ``query``. The statistics are one row."""
+    """chunk_id, bm25 of every chunk that has a term of ``query``.
+
+    Texts are read once: lengths and the query's terms are written, and frequencies, statistics and scores come from those.
+    """
     spark = chunks.sparkSession
-    terms = spark.range(1).select(F.explode(query_terms(F.lit(query))).alias("t")).select(F.collect_set("t").alias("t")).first()["t"]
-    hits = postings(chunks).where(F.col("term").isin(terms)) if terms else postings(chunks).where("false")
-    lens = lengths(chunks)
+    terms = spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
+    every = F.concat(prose_tokens(F.col("content")), identifier_terms(F.col("content")))
+    wanted = lambda ts: F.filter(ts, lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
+    seen = chunks.select("chunk_id", let(every, lambda ts: F.struct(F.size(ts).cast("long").alias("doc_length"), wanted(ts).alias("hits"))).alias("s"))
+    rows = written(seen.select("chunk_id", "s.doc_length", "s.hits")).where("doc_length > 0")  # a filter before would read texts twice
+    stats = statistics(rows).first()
+    hits = rows.select("chunk_id", "doc_length", F.explode("hits").alias("term")).groupBy("chunk_id", "doc_length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = statistics(lens).first()
-    n, avg = F.lit(stats["n_docs"]), F.lit(float(stats["avg_length"]))
-    each = hits.join(df, "term").join(lens, "chunk_id", "left").select("chunk_id", contribution(idf(n, F.col("df")), F.col("tf"), F.col("doc_length"), avg).alias("s"))
+    weight = idf(F.lit(stats["n_docs"]), F.col("df"))
+    each = hits.join(df, "term").select("chunk_id", contribution(weight, F.col("tf"), F.col("doc_length"), F.lit(float(stats["avg_length"]))).alias("s"))
     return each.groupBy("chunk_id").agg(F.sum("s").alias("bm25"))
 
 
