@@ -72,7 +72,7 @@ def test_op1_whole_table(spark):
 
 
 def test_urls(spark):
-    cases = {"http://A.Net/x": ("a.net", "/x", "net/", "block"), "http://example.NET/en/1?q": ("example.net", "/en/1", "example.net/en/", "allow"), "http://b.example.com/de/": ("b.example.com", "/de/", "example.com/de/", "block"), "http://org/fr/": ("org", "/fr/", "org/fr/", "allow"), "http://net": ("net", "", None, None), "nothing": ("", "", None, "allow" if False else None), None: ("", "", None, None), "": ("", "", None, None), "http://x.com?a=/b://c": ("x.com", "", None, None)}
+    cases = {"http://A.Net/x": ("a.net", "/x", "net/", "block"), "http://example.NET/en/1?q": ("example.net", "/en/1", "example.net/en/", "allow"), "http://b.example.com/de/": ("b.example.com", "/de/", "example.com/de/", "block"), "http://org/fr/": ("org", "/fr/", "org/fr/", "allow"), "http://net": ("net", "", None, None), "nothing": ("", "", None, None), None: ("", "", None, None), "": ("", "", None, None), "http://x.com?a=/b://c": ("x.com", "", None, None)}
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id long, url string, host string")
     got = {r["page_id"]: r for r in urls.judge(df, RULES).collect()}
     for i, (host, path, rule, verdict) in enumerate(cases.values()):
@@ -242,7 +242,7 @@ def test_secret_cases(spark):
         assert got[i][0] == plain_spans(t), t
     assert got[99] == ("", "")
     clean = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
-    assert clean[3] == "[SECRET] AKIAAKIA" + "B" * 13 if len("AKIAAKIA" + "B" * 13) < 20 else clean[3] == "[SECRET] [SECRET]"
+    assert clean[3] == "[SECRET] [SECRET]"
     assert clean[5] == "[SECRET]" and clean[99] is None and clean[1].startswith("é😀 [SECRET]")
     assert secrets.scan(df.limit(0)).count() == 0
 
