@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.functions import web as W
 from cairn.operators import bm25, catalog, chunking, health, symbols, vectors
+from cairn.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -386,6 +387,34 @@ def windowed_event_counts(spark, d):
     return windowed_counts(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("SELECT event_id, event_type, round(value, 6) AS value FROM events ORDER BY ts DESC, event_id DESC LIMIT 5000")
+def recent_samples(spark, d):
+    rows = state.recent_samples(table(spark, d, "events").select("event_id", "event_type", "value", "ts"), "ts", "event_id")
+    return rows.select("event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT user_id, is_error, event_id, nth FROM (SELECT user_id, event_type = 'click' AS is_error, event_id, row_number() OVER (PARTITION BY user_id, event_type = 'click' ORDER BY ts DESC, event_id DESC) AS nth FROM events)
+WHERE nth <= CASE WHEN is_error THEN 20 ELSE 50 END""")
+def recent_feeds(spark, d):
+    rows = state.recent_feeds(table(spark, d, "events"), "user_id", F.col("event_type") == "click", "ts", "event_id")
+    return rows.select("user_id", "is_error", "event_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type AS host, epoch_us(ts) AS at, event_id, CASE WHEN event_id % 97 = 0 THEN 'limited' WHEN event_id % 89 = 0 THEN 'error' ELSE 'success' END AS outcome,
+  row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id) AS i FROM events),
+r AS (SELECT host, 0::BIGINT AS i, 0::BIGINT AS at, 0::BIGINT AS event_id, 4::BIGINT AS c, 0::BIGINT AS streak, 0::BIGINT AS pause_until FROM (SELECT DISTINCT host FROM e)
+  UNION ALL SELECT e.host, e.i, e.at, e.event_id,
+    CASE WHEN outcome = 'limited' THEN greatest(1, c // 2) WHEN outcome = 'success' AND streak >= 24 AND c < 16 THEN c + 1 ELSE c END,
+    CASE WHEN outcome <> 'success' OR (streak >= 24 AND c < 16) THEN 0 ELSE streak + 1 END,
+    CASE WHEN outcome = 'limited' THEN greatest(pause_until, e.at + 30000000) ELSE pause_until END
+  FROM r JOIN e ON e.host = r.host AND e.i = r.i + 1)
+SELECT host, "at", event_id, c AS "limit", streak, pause_until FROM r WHERE i > 0""")
+def request_limits(spark, d):
+    outcome = F.when(F.col("event_id") % 97 == 0, "limited").when(F.col("event_id") % 89 == 0, "error").otherwise("success")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    return state.replay_limits(table(spark, d, "events").select(F.col("event_type").alias("host"), at, "event_id", outcome.alias("outcome")))
+
+
 @query()
 def capped_chunks(spark, d):
     return chunking.capped(chunks(spark, d)).groupBy("library_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("content")).alias("longest"))
