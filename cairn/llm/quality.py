@@ -25,8 +25,9 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "pour"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "por"],
 }
+LOWER, WHITE = "[a-z]", r"[\x20\x09-\x0D]"
 #: Characters by class, the rest (letters with accents and other scripts) in a last bin. Fixed values.
-CLASSES = ["[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[.,;:!?'\"()-]", r"[\x21-\x7E&&[^a-zA-Z0-9.,;:!?'\"()-]]"]
+CLASSES = [LOWER, "[A-Z]", "[0-9]", WHITE, "[.,;:!?'\"()-]", r"[\x21-\x7E&&[^a-zA-Z0-9.,;:!?'\"()-]]"]
 #: Fewest characters and words of a document, and of a reference as a multiple of the document's, that are judged.
 LEAST_CHARS, LEAST_WORDS, LEAST_SHARE = 200, 100, 10
 #: Greatest distances that are kept.
@@ -53,7 +54,8 @@ def repeated_words(words: Column) -> Column:
         step = lambda s, i: F.struct((s["n"] + F.lit(WINDOW) - F.greatest(s["end"] - i, F.lit(0))).alias("n"), (i + WINDOW).alias("end"))
         return F.aggregate(let(pairs, places), zero, step, lambda s: s["n"])
 
-    hashes = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
+    windows = lambda each: F.transform(F.slice(each, F.lit(1), F.size(each) - (WINDOW - 1)), lambda h, i: F.xxhash64(h, *[F.get(each, i + k) for k in range(1, WINDOW)]))
+    hashes = lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), windows)
     count = let(words, lambda ws: let(hashes(ws), lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(F.lit(0))))
     return F.when(F.size(words) > WINDOW, count).otherwise(F.lit(0)).cast("long")
 
@@ -63,21 +65,37 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long")
 
 
-def class_counts(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    each = [(F.length(text) - F.length(F.regexp_replace(text, c, ""))).cast("long") for c in CLASSES]
-    return F.array(*each, F.length(text).cast("long") - sum(each[1:], each[0]))
+def character_counts(text: Column, word_chars: Column) -> Column:
+    """classes (how many characters each class has, then the rest) and n_symbols, of which ``word_chars`` are in words.
 
+    Small letters and white space, most of a text, go in one pass; the other classes are counted in what it leaves.
+    """
+
+    def counts(left: Column) -> Column:
+        white = F.length(text) - word_chars
+        each = [(F.length(left) - F.length(F.regexp_replace(left, f"{c}+", ""))).cast("long") for c in CLASSES]
+        each[CLASSES.index(WHITE)] = white
+        each[CLASSES.index(LOWER)] = F.length(text) - F.length(left) - white
+        symbols = F.length(left) - F.length(F.translate(left, SYMBOLS, ""))
+        return F.struct(F.array(*each, F.length(text) - sum(each[1:], each[0])).alias("classes"), symbols.cast("long").alias("n_symbols"))
+
+    return let(F.regexp_replace(text, f"[{LOWER[1:-1]}{WHITE[1:-1]}]+", ""), counts)
 
-def common_counts(lowered: Column, lang: Column) -> Column:
-    """How often ``lowered`` (an array of words) has each common word of the language, and then any other."""
+
+def common_counts(words: Column, lang: Column) -> Column:
+    """How often ``words``, in small letters, has each common word of the language, and then any other."""
     lists = F.coalesce(*[F.when(lang == k, F.array(*map(F.lit, v))) for k, v in COMMON.items()], F.array().cast("array<string>"))
-    zero = F.struct(lowered.alias("rest"), F.array().cast("array<long>").alias("counts"))
+    any_language = sorted({w for v in COMMON.values() for w in v})
+
+    def counts(candidates: Column) -> Column:
+        zero = F.struct(candidates.alias("rest"), F.array().cast("array<long>").alias("counts"))
+        others = lambda s: (F.size(words) - F.size(candidates) + F.size(s["rest"])).cast("long")
+        return F.aggregate(lists, zero, step, lambda s: F.array_append(s["counts"], others(s)))
 
     def step(s: Column, word: Column) -> Column:
         return let(F.array_remove(s["rest"], word), lambda rest: F.struct(rest.alias("rest"), F.array_append(s["counts"], (F.size(s["rest"]) - F.size(rest)).cast("long")).alias("counts")))
 
-    return F.aggregate(lists, zero, step, lambda s: F.array_append(s["counts"], F.size(s["rest"]).cast("long")))
+    return let(F.filter(F.transform(words, F.lower), lambda w: w.isin(any_language)), counts)
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -98,16 +116,15 @@ def distance(counts: Column, reference: Column) -> Column:
 def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """The base counts of ``docs`` (doc_id, text, lang), the histograms, and ``carry`` columns as carried_0 and so on."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = let(
-        words_of(text),
-        lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words"), F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("word_chars")),
-    )
+    lang = F.col("lang").cast("string")
+    word_chars = lambda ws: F.aggregate(ws, F.lit(0).cast("long"), lambda s, w: s + F.length(w))
+    counted = lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), word_chars(ws).alias("word_chars"), repeated_words(ws).alias("n_repeat_words"), common_counts(ws, lang).alias("common"))
+    with_characters = lambda w: F.struct(w.alias("w"), character_counts(text, w["word_chars"]).alias("c"))
     rows = docs.select(
-        F.col("doc_id"), F.col("lang").cast("string").alias("lang"), words.alias("w"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines"),
-        class_counts(text).alias("classes"), common_counts(words_of(F.lower(text)), F.col("lang").cast("string")).alias("common"),
+        F.col("doc_id"), lang.alias("lang"), let(let(words_of(text), counted), with_characters).alias("f"), duplicate_lines(text).alias("n_dup_lines"),
         *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
     )
-    counts = rows.select("doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "classes", "common", *[f"carried_{i}" for i in range(len(carry))])
+    counts = rows.select("doc_id", "lang", "f.w.n_words", "f.w.word_chars", "f.c.n_symbols", "n_dup_lines", "f.w.n_repeat_words", "f.c.classes", "f.w.common", *[f"carried_{i}" for i in range(len(carry))])
     return counts.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
