@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions import web as W
-from cairn.operators import bm25, catalog, chunking, health, symbols, vectors
+from cairn.operators import bm25, candidates, catalog, chunking, health, symbols, taxonomy, vectors
 from cairn.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -372,6 +372,28 @@ def symbol_candidates(spark, d):
     return rows.groupBy(F.coalesce("reason", F.lit("Kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{candidates.TOKEN}') AS names, regexp_split_to_array(text, '{candidates.TOKEN}') AS gaps FROM documents),
+e AS (SELECT doc_id, unnest(names) AS name, unnest(gaps[2:]) AS after, unnest(gaps[:len(names)]) AS gap, unnest(list_prepend('', names[:len(names) - 1])) AS prev, unnest(list_prepend('', gaps[:len(names) - 1])) AS prev_gap, unnest(range(0, len(names))) AS nth FROM t WHERE len(names) > 0),
+w AS (SELECT *, CASE WHEN nth > 0 AND regexp_full_match(gap, '\s*') THEN lower(regexp_extract(prev_gap || prev, '([\pL_]+)$', 1)) END AS word FROM e)
+SELECT CAST(doc_id AS VARCHAR) AS chunk_id, name, after[1] = '(' AS callable, after[1] = '<' AS generic, coalesce(word IN ({", ".join(f"'{k}'" for k in candidates.KEYWORDS)}), false) AS declared, CAST(min(nth) AS INTEGER) AS nth FROM w GROUP BY ALL""")
+def candidate_names(spark, d):
+    rows = candidates.candidates(chunks(spark, d))
+    return rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), "name", "callable", "generic", "declared", "nth")
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS library_id, CASE WHEN max(max(s_suppkey)) OVER (PARTITION BY n_regionkey) IS NULL THEN 1 ELSE 2 END AS revision, CAST(n_nationkey AS VARCHAR) AS id,
+  CASE WHEN max(s_suppkey) IS NULL THEN n_name ELSE lower(n_name) END AS label, coalesce(max_by(s_name, s_suppkey), n_name) AS description
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey, n_name""")
+def catalog_reconciled(spark, d):
+    nation = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("library_id"), "n_nationkey", "n_name")
+    none = F.array().cast("array<string>")
+    old = nation.select("library_id", F.lit(1).alias("revision"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"), none.alias("aliases"), F.col("n_name").alias("description"))
+    met = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    document = F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("document_id")
+    new = met.select("library_id", document, F.lit(0).alias("nth"), F.lit(None).cast("string").alias("subject_id"), F.lower("n_name").alias("label"), F.array("s_name").alias("aliases"), F.col("s_name").alias("description"))
+    return taxonomy.reconciled(old, new).select("library_id", "revision", F.explode("concepts").alias("c")).select("library_id", "revision", "c.id", "c.label", "c.description")
+
+
 @query()
 def html_extraction(spark, d):
     from cairn.functions.html import visible
