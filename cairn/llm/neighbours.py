@@ -2,7 +2,8 @@
 
 A table's hash is a pseudo-rotation of the unit vector (three rounds of random signs and a fast Hadamard transform) and the
 nearest signed axis, in one or more places; every vector is in one bucket of each table.  A query looks into its own bucket
-and those of its next nearest axes.  Vectors are ranked by inner product in the given values, in double precision; for the
+and those of its next nearest axes: into as many as find ``FOUND`` of the true neighbours of a few sampled queries, which are
+compared with every vector first.  So more places mean more probes, not fewer neighbours.  Vectors are ranked by inner product in the given values, in double precision; for the
 unit vectors that this is made for, near by angle is near by product.
 
 Equal vectors are one entry with the smallest ids that any answer could need, so a vector that a third of the rows share is
@@ -31,6 +32,10 @@ TABLES, PROBES, SEED = 4, 36, 11
 BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 65536, 2048, 4096
 #: Rows of a bucket, on average, above which a hash takes one more axis.
 USUAL = 16384
+#: Queries of each length that are compared with every vector, and the share of their neighbours that the probes must find.
+SAMPLED, FOUND = 64, 0.97
+#: Numbers of a step of hashing, about.
+STEP = 1 << 21
 
 
 @lru_cache(maxsize=8)
@@ -38,10 +43,22 @@ def _signs(table: int, place: int, width: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, table, place, width]).choice([-1.0, 1.0], size=(3, width))
 
 
+def width_of(dim: int) -> int:
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+def places_of(n: int, dim: int) -> int:
+    """Axes of a hash for ``n`` vectors of a length."""
+    places = 1
+    while n // (2 * width_of(dim)) ** places > USUAL:
+        places += 1
+    return places
+
+
 def rotated(unit: np.ndarray, table: int, place: int, seed: int = SEED) -> np.ndarray:
     """Pseudo-rotation of rows, padded to a power of two."""
     n, dim = unit.shape
-    width = 1 << max(1, (dim - 1).bit_length())
+    width = width_of(dim)
     x = np.zeros((n, width))
     x[:, :dim] = unit
     for signs in _signs(table, place, width, seed):
@@ -85,25 +102,104 @@ def _valid(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long"), v).where(ok)
 
 
-def hashed(entries: DataFrame, places: int, tables: int, probes: int) -> DataFrame:
-    """dim, tab, bucket, id, embedding of ``entries`` (id, embedding), a row for each table and probe."""
+def hashed(entries: DataFrame, tables: int, plan: dict[int, tuple[int, int]]) -> DataFrame:
+    """dim, tab, bucket, id, embedding of ``entries`` (id, embedding), a row for each table and probe; ``plan``: places and probes by length."""
 
     def run(batches):
         for b in batches:
             sizes = np.diff(b.column(1).offsets.to_numpy())
             for dim in np.unique(sizes).tolist():
-                at = pa.array(np.flatnonzero(sizes == dim))
-                ids, vectors = b.column(0).take(at), b.column(1).take(at)
-                matrix = _matrix(vectors)
-                for t in range(tables):
-                    found = buckets(matrix, t, places, probes)
-                    again = pa.array(np.repeat(np.arange(len(at)), found.shape[1]))
-                    n = len(again)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(found.ravel()), ids.take(again), vectors.take(again)], names=["dim", "tab", "bucket", "id", "embedding"])
+                if dim not in plan:
+                    continue
+                places, probes = plan[dim]
+                few = min(probes, 2 * width_of(dim))
+                every = np.flatnonzero(sizes == dim)
+                step = max(1, STEP // (few if places == 1 else max(few * few, probes)))
+                for i in range(0, len(every), step):
+                    at = pa.array(every[i : i + step])
+                    ids, vectors = b.column(0).take(at), b.column(1).take(at)
+                    matrix = _matrix(vectors)
+                    for t in range(tables):
+                        found = buckets(matrix, t, places, probes)
+                        again = pa.array(np.repeat(np.arange(len(at)), found.shape[1]))
+                        n = len(again)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(found.ravel()), ids.take(again), vectors.take(again)], names=["dim", "tab", "bucket", "id", "embedding"])
 
     return entries.select("id", "embedding").mapInArrow(run, f"dim int, tab int, bucket long, id long, embedding {entries.schema['embedding'].dataType.simpleString()}")
 
 
+def exact(entries: DataFrame, sample: dict[int, np.ndarray], k: int) -> list:
+    """dim, at, embedding: the ``k`` best of all ``entries`` for each vector of ``sample`` (rows by length), without itself."""
+
+    def run(batches):
+        best = {}
+        for b in batches:
+            sizes = np.diff(b.column(0).offsets.to_numpy())
+            for dim in np.unique(sizes).tolist():
+                if dim not in sample:
+                    continue
+                matrix, q = _matrix(b.column(0).take(pa.array(np.flatnonzero(sizes == dim)))), sample[dim]
+                for i in range(0, len(matrix), AT_ONCE):
+                    rows = matrix[i : i + AT_ONCE]
+                    score = q @ rows.T
+                    for x in range(len(q)):
+                        score[x, (rows == q[x]).all(axis=1)] = -np.inf
+                    top = min(k, len(rows))
+                    near = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                    now = np.take_along_axis(score, near, axis=1), rows[near]
+                    if dim in best:
+                        now = np.concatenate([best[dim][0], now[0]], axis=1), np.concatenate([best[dim][1], now[1]], axis=1)
+                    order = np.argsort(-now[0], axis=1, kind="stable")[:, :k]
+                    best[dim] = np.take_along_axis(now[0], order, axis=1), np.take_along_axis(now[1], order[:, :, None], axis=1)
+        for dim, (score, rows) in best.items():
+            at, nth = np.nonzero(score > -np.inf)
+            vectors = pa.array(list(rows[at, nth]), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dim, np.int32)), pa.array(at.astype(np.int32)), pa.array(score[at, nth]), vectors], names=["dim", "at", "score", "embedding"])
+
+    found = entries.select("embedding").mapInArrow(run, "dim int, at int, score double, embedding array<double>")
+    nth = F.row_number().over(Window.partitionBy("dim", "at").orderBy(F.desc("score"), "embedding"))
+    return found.withColumn("nth", nth).where(f"nth <= {k}").select("dim", "at", "embedding").collect()
+
+
+def needed(q: np.ndarray, rows: np.ndarray, places: int, tables: int) -> np.ndarray:
+    """For each of ``rows`` the probes of the vector ``q`` that reach its bucket in the best of the tables."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    for t in range(tables):
+        sums, own = np.zeros(1), np.zeros(len(rows))
+        for place in range(places):
+            x, r = rotated(unit(q[None]), t, place)[0], rotated(unit(rows), t, place)
+            signed, at = np.concatenate([x, -x]), np.argmax(np.concatenate([r, -r], axis=1), axis=1)
+            sums, own = (sums[:, None] + signed).ravel(), own + signed[at]
+        # as many as have a greater sum, and one; rounding may order equal sums in any way
+        least = np.minimum(least, len(sums) - np.searchsorted(np.sort(sums), own - 1e-9))
+    return least
+
+
+def planned(entries: DataFrame, kinds: DataFrame, k: int, tables: int, probes: int) -> dict[int, tuple[int, int]]:
+    """Places and probes for each length of the queries: at least ``probes``, and as many as sampled queries need.
+
+    The driver holds one row a length, and ``SAMPLED`` queries of it with their neighbours.
+    """
+    size = F.size("embedding")
+    picked = kinds.select(size.alias("dim"), "embedding", F.row_number().over(Window.partitionBy(size).orderBy(F.xxhash64("embedding"), "id")).alias("nth")).where(f"nth <= {SAMPLED}")
+    sample: dict = {}
+    for r in picked.select("dim", "embedding").collect():
+        sample.setdefault(r["dim"], []).append(r["embedding"])
+    sample = {dim: np.array(v, dtype=np.float64) for dim, v in sample.items()}
+    counts = {r["dim"]: r["n"] for r in entries.groupBy(size.alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()} if sample else {}
+    pairs: dict = {}
+    for r in exact(entries, sample, k) if sample else []:
+        pairs.setdefault((r["dim"], r["at"]), []).append(r["embedding"])
+    plan = {}
+    for dim, q in sample.items():
+        places = places_of(counts.get(dim, 0), dim)
+        need = [needed(q[at], np.array(rows), places, tables) for (d, at), rows in pairs.items() if d == dim]
+        most = int(np.quantile(np.concatenate(need), FOUND, method="higher")) if need else 0
+        plan[dim] = places, min(max(probes, most), (2 * width_of(dim)) ** places)
+    return plan
+
+
 def best_pairs(groups: DataFrame, k: int) -> DataFrame:
     """query, id, score: the ``k`` best rows of each query of a group; ``groups``: dim, tab, bucket, part, q_part, is_row, id, embedding."""
 
@@ -165,11 +261,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     entries = written(ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("id"), "ids", "embedding"))
     asked = _valid(queries).distinct()
     kinds = written(asked.groupBy("embedding").agg(F.min("vec_id").alias("id")))
-    n, places = entries.count(), 1
-    dim = 64
-    while n // (2 * dim) ** places > USUAL:
-        places += 1
-    index, probing = hashed(entries, places, tables, 1), hashed(kinds, places, tables, probes)
+    plan = planned(entries, kinds, k, tables, probes)
+    index, probing = hashed(entries, tables, {dim: (places, 1) for dim, (places, _) in plan.items()}), hashed(kinds, tables, plan)
     index, probing = written(index), written(probing)
     counts = index.groupBy("dim", "tab", "bucket").agg(F.count(F.lit(1)).alias("n"))
     asked_counts = probing.groupBy("dim", "tab", "bucket").agg(F.count(F.lit(1)).alias("n_q"))
