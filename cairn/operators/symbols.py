@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.text import MENTION, fenced_code, has_internal_structure, identifiers, is_abbreviation, let, without_fences
+from cairn.operators.candidates import candidates
 from cairn.operators.catalog import third
 
 
@@ -26,17 +27,24 @@ def mentions(chunks: DataFrame) -> DataFrame:
 def judged(chunks: DataFrame, stoplist: list[str], library_stoplist: list[str] = (), units: list[str] = (), likely: list[str] = (), frequent: int = 3) -> DataFrame:
     """chunk_id, name, reason of each chunk's distinct candidates; a null reason keeps one.
 
-    In order: stop lists, units, too short, reasons to keep (likely, in code, inner structure, frequent), else rejected.
+    In order: stop lists, units, too short, reasons to keep (declared, likely, in code, with a container, inner structure, called,
+    generic, frequent), else rejected.  Lists, code and prose are asked for the name and for its leaf.  A name that is used in
+    more than one way in a chunk is kept if one of them keeps it; its other reasons do not depend on the use.
     """
-    names = chunks.select("chunk_id", F.explode(F.array_distinct(identifiers(F.col("content"), 1))).alias("name"))
-    code = code_identifiers(chunks).withColumn("in_code", F.lit(True))
-    rows = names.join(code, "name", "left").join(mentions(chunks), "name", "left")
-    low = F.lower("name")
-    keep = F.col("name").isin(*likely) if likely else F.lit(False)
-    keep = keep | F.col("in_code").isNotNull() | has_internal_structure(F.col("name")) | F.col("name").rlike(r"\.|::|->") | ((F.coalesce("n", F.lit(0)) >= frequent) & ~is_abbreviation(F.col("name")))
+    uses = candidates(chunks).groupBy("chunk_id", "name", "leaf", "container")
+    names = uses.agg(F.bool_or("callable").alias("callable"), F.bool_or("generic").alias("generic"), F.bool_or("declared").alias("declared"))
+    code, prose = code_identifiers(chunks), mentions(chunks)
+    rows = names.join(code.withColumn("in_code", F.lit(True)), "name", "left").join(code.select(F.col("name").alias("leaf"), F.lit(True).alias("leaf_in_code")), "leaf", "left")
+    rows = rows.join(prose, "name", "left").join(prose.select(F.col("name").alias("leaf"), F.col("n").alias("leaf_n")), "leaf", "left")
+    either = lambda test: test(F.col("name")) | test(F.col("leaf"))
+    listed = lambda words: either(lambda c: F.lower(c).isin(*[s.lower() for s in words]))
+    often = lambda n: F.coalesce(n, F.lit(0)) >= frequent
+    use = lambda test: (often(F.col("n")) & test(F.col("name"))) | (often(F.col("leaf_n")) & test(F.col("leaf")))
+    keep = F.col("declared") | F.col("callable") | F.col("generic") | F.col("container").isNotNull() | F.col("in_code").isNotNull() | F.col("leaf_in_code").isNotNull()
+    keep = keep | either(lambda c: c.isin(*likely)) | has_internal_structure(F.col("name")) | F.col("name").rlike(r"_|\.|::|->") | use(lambda c: ~is_abbreviation(c))
     reason = (
-        F.when(low.isin(*[s.lower() for s in stoplist]), "GlobalStoplist").when(low.isin(*[s.lower() for s in library_stoplist]), "LibraryStoplist").when(F.col("name").isin(*units), "Unit")
-        .when(F.length("name") < 2, "TooShort").when(keep, F.lit(None)).when(is_abbreviation(F.col("name")), "LikelyAbbreviation").otherwise("NoStructureSignal")
+        F.when(listed(stoplist), "GlobalStoplist").when(listed(library_stoplist), "LibraryStoplist").when(either(lambda c: c.isin(*units)), "Unit")
+        .when(F.length("name") < 2, "TooShort").when(keep, F.lit(None)).when(either(is_abbreviation), "LikelyAbbreviation").otherwise("NoStructureSignal")
     )
     return rows.select("chunk_id", "name", reason.alias("reason"))
 

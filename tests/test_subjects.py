@@ -1,6 +1,7 @@
 """Symbol candidates and subject catalogs on small fixtures."""
 
 from cairn.operators.candidates import candidates
+from cairn.operators.symbols import judged
 from cairn.operators.taxonomy import reconciled
 
 OLD = "library_id string, revision int, id string, label string, aliases array<string>, description string"
@@ -25,6 +26,17 @@ def test_same_use_is_one_candidate(spark):
     assert sorted((r["nth"], r["name"], r["callable"], r["keyword"]) for r in rows if r["name"] == "A") == [(1, "A", False, "class"), (4, "A", False, None), (5, "A", True, None)]
 
 
+def test_uses_and_leaves_keep_and_reject(spark):
+    texts = ["plain class bar then foo( and list< or x.the; y.Is z.kg ABC NASA(", "```\nrun_all(widget)\n```", "a.leafy _p k", "foo plain"]
+    rows = judged(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, content string"), ["the"], ["is"], ["kg"], ["leafy"]).collect()
+    got = {(r["chunk_id"], r["name"]): r["reason"] for r in rows}
+    assert len(got) == len(rows)
+    assert {n: got["0", n] for n in ("bar", "foo", "list", "NASA")} == dict.fromkeys(("bar", "foo", "list", "NASA"))
+    assert (got["0", "x.the"], got["0", "y.Is"], got["0", "z.kg"], got["0", "ABC"], got["0", "plain"]) == ("GlobalStoplist", "LibraryStoplist", "Unit", "LikelyAbbreviation", "NoStructureSignal")
+    assert got["1", "widget"] is None and got["2", "a.leafy"] is None and got["2", "_p"] is None and got["2", "k"] == "TooShort"
+    assert got["3", "foo"] == "NoStructureSignal"
+
+
 def test_catalogs(spark):
     old = [("kept", 3, "s1", "Search", ["query"], "Finding."), ("changed", 1, "s1", "Search", ["query"], "Finding."), ("twice", 1, "a", "A", [], "x"), ("twice", 1, "b", "B", [], "x"), ("alone", 2, "a", "A", [], "x")]
     new = [
