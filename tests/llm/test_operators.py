@@ -342,6 +342,21 @@ def test_quality_agrees_with_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.4 * len(bad)
 
 
+def test_quality_leaves_little_junk(spark):
+    d = "/root/testdata/sf0.01"
+    rows = QUERIES["op7_quality_rules"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    good, bad = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_quality_judges_long_junk_of_a_rare_language(spark):
+    r = np.random.default_rng(2)
+    plain = [" ".join("".join(r.choice(list("aeioubdlmnrst"), r.integers(2, 9))) for _ in range(150)) for _ in range(6)]
+    rows = [(i, t, "xx") for i, t in enumerate(plain)] + [(9, " | ".join(f"{w} #{i}" for i, w in enumerate(" ".join(plain).split() * 40)), "xx")]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()
+    assert {r["doc_id"] for r in got} == set(range(6))
+
+
 @pytest.fixture(scope="module")
 def encoded():
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
