@@ -44,14 +44,26 @@ def grams(coded: Column, size: int) -> Column:
 
 
 def train(samples: DataFrame, size: int) -> DataFrame:
-    """One row, ``model``, from ``samples``: grams array<int>, label boolean.
+    """One row, ``model``, from ``samples``: grams array<int>, label boolean, and given boolean if it is there.
+
+    With ``given``, the other samples of a class are scaled down to as many characters as its given ones have, if they have
+    more: so verdicts do not move with the input's size.
 
     Counts are summed where the samples lie and then by place, so their number is bounded by the alphabet.  A model
     without samples of either class holds zeros or that class's uniform start.
     """
     spark = samples.sparkSession
-    each = samples.select(F.explode("grams").alias("g"), F.col("label"))
-    seen = written(each.groupBy("g").agg(F.count_if("label").alias("yes"), F.count_if(~F.col("label")).alias("no")))
+    given = F.col("given") if "given" in samples.columns else F.lit(True)
+    each = samples.select(F.explode("grams").alias("g"), F.col("label"), given.alias("given"))
+    kinds = {f"{n}_{k}": (F.col("label") == y) & (F.col("given") == w) for y, n in ((True, "yes"), (False, "no")) for w, k in ((True, "given"), (False, "found"))}
+    seen = written(each.groupBy("g").agg(*[F.count_if(c).alias(n) for n, c in kinds.items()]))
+    if "given" in samples.columns:
+        # whole numbers, so that sums stay exact; double times double would not
+        full = {n: x or 0 for n, x in seen.agg(*[F.sum(n).alias(n) for n in kinds]).first().asDict().items()}
+        part = lambda n: F.expr(f"CAST(floor(CAST({n}_found AS DECIMAL(19, 0)) * {min(full[f'{n}_given'], full[f'{n}_found'])} / {max(1, full[f'{n}_found'])}) AS BIGINT)")
+    else:
+        part = lambda n: F.col(f"{n}_found")
+    seen = seen.select("g", (F.col("yes_given") + part("yes")).alias("yes"), (F.col("no_given") + part("no")).alias("no"))
     sums = lambda *by: seen.groupBy(*[e.alias(n) for n, e in by]).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     b, c = F.expr(f"CAST(g DIV {size} % {size} AS INT)"), F.expr(f"CAST(g % {size} AS INT)")
 

@@ -3,8 +3,11 @@
 Patterns give spans of kinds assign, access and hex.  The models judge long tokens that no pattern has taken: one model is
 trained on random strings, one on ordinary identifiers, and a token is a span of kind random if its log-likelihood ratio a
 character is above a threshold.  Random strings are the secrets that patterns found in all documents and ``RANDOM_SAMPLE``
-generated ones; ordinary identifiers are the long tokens of letters in all documents.  So counts grow with the input, and are
-summed where they lie; the models' size is that of their alphabet.
+generated ones; ordinary identifiers are the long tokens of letters in all documents, and ``ORDINARY_SAMPLE`` ones joined
+from ``PLAIN`` words in the usual spellings of paths, names and versions, with digits and separators.  Counts grow with the
+input and are summed where they lie; what documents hold weighs as much as the generated strings of its class at most, so
+verdicts do not move with the input's size.  The models' size is that of their alphabet.  The threshold is calibrated on
+identifiers joined from words that the models have not seen.
 
 Spans are in code points, end exclusive.  Spark has no function for the places of a pattern, so a text is split at the
 matches, and lengths of parts and matches are added up; only texts that a quick test finds to have a match are split.
@@ -15,6 +18,8 @@ not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +37,25 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: Ordinary identifiers: letters only.
 WORDS = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])"
-#: Generated random strings in the training sample, and nats a character above which a token is random.
-RANDOM_SAMPLE, LEAST_RATIO = 2000, 1.0
+#: Generated random strings and identifiers in the training sample, and nats a character above which a token may be random.
+RANDOM_SAMPLE, ORDINARY_SAMPLE, LEAST_RATIO = 2000, 8000, 1.0
+#: Share of held-out identifiers that the threshold gives up.
+GIVEN_UP = 0.005
+#: Words of generated identifiers; every fifth is only in held-out ones. Fixed values.
+PLAIN = (
+    "get set element class name license github action setup python config value index request response server client http handler factory "
+    "manager service test build version release src main java org com apache spark common util node module package install script docs "
+    "image file path read write open close stream buffer thread lock event listener callback async await promise string number array list "
+    "map hash key token user account session login auth admin default public private static final abstract interface extends import export "
+    "return function method object type error exception message log debug info warn trace level format parse encode decode query select "
+    "insert update delete table column row database connection pool cache memory disk network socket port host address domain url web page "
+    "html css style layout view model controller component render template widget button input form label text font color size width "
+    "height left right top bottom center align margin border background image icon animation transition transform rotate scale translate "
+    "app store assets static media upload download archive linux windows android x86 arm64 utf8 base64 sha256 md5 v1 v2 api rest json xml "
+    "yaml csv apple banana machine learning training dataset batch token layer kernel vector matrix tensor gradient weight bias loss "
+    "internationalization localization license copyright readme changelog contributing document number date time year month day hour "
+    "minute second start end begin stop first last next previous current total count max min average sum range limit offset order group"
+).split()
 #: Lower-case letters, one code for capitals, one for digits, one for + and /, one for _ and -; the rest shares another.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzA0+_"
 
@@ -81,14 +103,42 @@ def generated(spark, n: int = RANDOM_SAMPLE) -> DataFrame:
     return spark.range(n).select(F.explode(spelled).alias("token"))
 
 
+def identifiers(spark, n: int = ORDINARY_SAMPLE) -> DataFrame:
+    """token, held_out: ``n`` identifiers joined from ``PLAIN`` words, a fifth of them from words that the others lack."""
+    some = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(m)).cast("int")
+    held_out = F.pmod("id", F.lit(5)) == 0
+    table = lambda words: F.array(*map(F.lit, words))
+    known, other = [w for i, w in enumerate(PLAIN) if i % 5], [w for i, w in enumerate(PLAIN) if not i % 5]
+    word = lambda k: F.when(held_out, F.get(table(other), some(k, len(other)))).otherwise(F.get(table(known), some(k, len(known))))
+    signs = F.get(F.array(*map(F.lit, ["/", "/", "_", "-", "", "", "/", "-_"])), some("sign", 8))
+    words = F.array(*[word(f"word {k}") for k in range(5)])
+    version = F.get(F.array(*[F.concat(F.lit(a), b) for a in ("", "-", "_", "v") for b in (some("one", 10).cast("string"), (some("year", 60) + 1980).cast("string"), F.concat_ws("-", (some("year", 60) + 1980).cast("string"), F.lpad(some("month", 12).cast("string"), 2, "0")))]), some("version", 12))
+    cased = F.transform(words, lambda w, i: F.when(some("case", 4) == 0, F.initcap(w)).when((some("case", 4) == 1) & (i > 0), F.initcap(w)).when((some("case", 4) == 2) & (i == some("upper", 5)), F.upper(w)).otherwise(w))
+    whole = F.when(some("all", 12) == 0, F.transform(words, F.upper)).otherwise(F.when(signs == "", F.transform(words, lambda w, i: F.when((i > 0) | (some("case", 2) == 0), F.initcap(w)).otherwise(w))).otherwise(cased))
+    at = some("place", 6)
+    # a version after the last word mostly, or after an inner one
+    numbered = F.transform(whole, lambda w, i: F.when(i == F.when(at < 3, F.lit(4)).otherwise(at), F.concat(w, version)).otherwise(w))
+    inner = F.when(signs == "-_", F.lit("-")).otherwise(signs)
+    joined = F.aggregate(F.slice(numbered, 2, 4), F.get(numbered, 0), lambda s, w: F.concat(s, F.when((signs == "-_") & (F.length(s) % 2 == 0), F.lit("_")).otherwise(inner), w))
+    return spark.range(n).select(joined.alias("token"), held_out.alias("held_out"))
+
+
+def limit_of(spark, model: Column) -> int:
+    """The threshold, in whole millionths of a nat: ``LEAST_RATIO``, or what held-out identifiers need."""
+    scores = identifiers(spark).where("held_out").select(markov.ratio(token_grams(F.col("token")), model).alias("score"))
+    return max(round(LEAST_RATIO * markov.UNIT), math.ceil(scores.agg(F.percentile("score", F.lit(1 - GIVEN_UP))).first()[0] or 0))
+
+
 def model_of(docs: DataFrame) -> Column:
-    """The model from all of ``docs`` (text) and the generated sample."""
+    """The model from all of ``docs`` (text) and the generated samples."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     secrets = F.transform(base_spans(text), lambda s: F.struct(s["value"].alias("token"), F.lit(True).alias("label")))
     words = F.transform(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), lambda w: F.struct(w.alias("token"), F.lit(False).alias("label")))
     tokens = docs.select(F.explode(F.concat(secrets, words)).alias("s")).select("s.*")
-    samples = tokens.unionByName(generated(docs.sparkSession).withColumn("label", F.lit(True)))
-    return markov.as_value(markov.train(samples.select(token_grams(F.col("token")).alias("grams"), "label"), markov.size_of(ALPHABET)))
+    names = identifiers(docs.sparkSession).where("NOT held_out").select("token", F.lit(False).alias("label"))
+    made = generated(docs.sparkSession).withColumn("label", F.lit(True)).unionByName(names)
+    samples = tokens.withColumn("given", F.lit(False)).unionByName(made.withColumn("given", F.lit(True)))
+    return markov.as_value(markov.train(samples.select(token_grams(F.col("token")).alias("grams"), "label", "given"), markov.size_of(ALPHABET)))
 
 
 def scan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -100,7 +150,7 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("scanned"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     found = rows.withColumn("base", base_spans(F.col("scanned"))).withColumn("tokens", located(F.col("scanned"), TOKEN, len(PATTERNS), 1, 0))
-    limit = round(LEAST_RATIO * markov.UNIT)
+    limit = limit_of(docs.sparkSession, model)
 
     def is_random(t: Column, base: Column) -> Column:
         mixed = t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")

@@ -280,6 +280,19 @@ def test_neighbours(spark):
     assert found / (20 * (ids % 20 == 0).sum()) >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_secret_models_leave_clean_names(spark, size):
+    """Names with digits and separators are left at both sizes of the corpus, and random strings are found."""
+    clean = ["org/licenses/LICENSE-2", "getElementsByClassName2", "github/actions/setup-python3", "user_profile_image_url_2", "docs/getting-started/chapter-12", "AbstractSingletonProxyFactoryBean3", "MAX_BUFFER_SIZE_IN_BYTES_64", "release-notes-2024-05-overview"]
+    r = np.random.default_rng(8)
+    rand = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 32)) + "7k" for _ in range(100)]
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1 - i, f"see {t} here") for i, t in enumerate(clean + rand)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(docs.unionByName(extra)).where("doc_id < 0").select("doc_id", secrets.spelled(F.col("spans")).alias("s")).collect()}
+    assert [t for i, t in enumerate(clean) if got[-1 - i]] == []
+    assert sum(bool(got[-1 - len(clean) - i]) for i in range(len(rand))) >= 95
+
+
 def recall(spark, vectors, k=20):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
     got = defaultdict(set)
