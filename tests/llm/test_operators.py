@@ -307,15 +307,75 @@ def recall(spark, vectors, k=20):
     return found / n
 
 
-@pytest.mark.parametrize("dim", [64, 24])
-def test_neighbours_in_two_places(spark, monkeypatch, dim):
-    """A key of two axes, which large tables take, finds as much as one axis does."""
-    v = np.random.default_rng(5).normal(size=(1500, dim))
+@pytest.mark.parametrize("axes", [(64, 64), (64, 16), (32, 32, 8)])
+def test_neighbours_in_more_rotations(spark, monkeypatch, axes):
+    """Hashes that larger tables take, over many small regions, find as much as one rotation does."""
+    v = np.random.default_rng(5).normal(size=(1500, axes[0]))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    monkeypatch.setattr(neighbours, "USUAL", 4)
+    monkeypatch.setattr(neighbours, "shapes", lambda n, dim: [axes])
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
     assert recall(spark, v) >= 0.9
 
 
+def test_neighbours_of_clusters_cost_few_comparisons(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    v = np.repeat(r.normal(size=(200, 32)), 30, axis=0) + 0.3 * r.normal(size=(6000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    seen = []
+    plan = neighbours.planned
+    monkeypatch.setattr(neighbours, "planned", lambda *a: seen.append(plan(*a)) or seen[-1])
+    assert recall(spark, v) >= 0.9
+    p = seen[0][32]
+    pairs = sum((total_of(neighbours.products(neighbours.unit(v[::20]), t, p.axes), neighbours.products(neighbours.unit(v), t, p.axes)) >= p.least).mean() for t in range(p.tables))
+    assert pairs < 0.3
+
+
+def total_of(asked, rows):
+    return sum(a[:, np.argmax(r, axis=1)] for a, r in zip(asked, rows))
+
+
+def test_probed_buckets_are_all_that_reach_the_limit():
+    v = neighbours.unit(np.random.default_rng(2).normal(size=(5, 8)))
+    signed = neighbours.products(v, 0, (8, 8, 2))
+    row, code = neighbours.probed(signed, 0.9)
+    want = {(i, (a * 16 + b) * 4 + c) for i in range(5) for a in range(16) for b in range(16) for c in range(4) if signed[0][i, a] + signed[1][i, b] + signed[2][i, c] >= 0.9}
+    own = {(i, int(c)) for i, c in enumerate(neighbours.bucket_of(signed))}
+    assert set(zip(row.tolist(), code.tolist())) == want | own
+
+
+def test_neighbours_with_every_bucket_are_exact(spark, monkeypatch):
+    """Scores, ties by id, lengths and cut regions against brute force: whole numbers tie often."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 7)
+    r = np.random.default_rng(9)
+    v = r.integers(-2, 3, size=(700, 6)).astype(float)
+    rows = [(i, x.tolist(), "c") for i, x in enumerate(v)] + [(3, v[3].tolist(), "c")] + [(1000 + i, [1.0, 2.0]) + ("c",) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query string")
+    every = {d: neighbours.Plan((neighbours.width_of(d),) * 2, 2, -9.0) for d in (6, 2)}
+    got = defaultdict(list)
+    for x in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 20, every).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    for q in range(0, 700, 20):
+        if not v[q].any():
+            assert q not in got
+            continue
+        s = v @ v[q]
+        order = [i for i in np.lexsort((np.arange(700), -s)) if i != q and v[i].any()][:20]
+        assert got[q] == [(i, s[i]) for i in order]
+    assert got[1000] == [(1001, 5.0), (1002, 5.0)]
+
+
+def test_neighbours_tie_by_id(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1000)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in rows] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_neighbours_of_ids_with_several_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [1.0, 5.0]), (1, [2.0, 0.0]), (2, [1.5, 0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in neighbours.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 2, 1.5), (0, 2, 1, 1.0)]
+
+
 def test_neighbours_awkward(spark):
     same = [1.0, 0.0, 0.0]
     rows = [(i, same) for i in range(60)] + [(100, None), (101, []), (102, [0.0, 0.0, 0.0]), (103, [float("nan"), 1.0, 0.0]), (104, [None, 1.0, 0.0]), (105, [float("inf"), 0.0, 0.0]), (106, [1.0, 0.0]), (None, same), (0, same)]
