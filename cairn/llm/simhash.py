@@ -10,8 +10,9 @@ hash, and its tile pairs go to tasks of their own.
 
 Exact copies are one fingerprint, grouped before anything else.  Only links of a spanning forest leave a task.
 
-Null and empty texts have fingerprint zero, linked like any other.  Null ids belong to a component but never name it
-(unless it has no other).  Repeated rows stay rows; an empty table gives an empty one; other columns are not read.
+Null and empty texts have fingerprint zero, linked like any other; very long ones are hashed a part at a time.  Null ids
+belong to a component but never name it (unless it has no other).  Repeated rows stay rows; an empty table gives an empty
+one; other columns, whatever their names, are not read, and ``first_of_each`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cairn.llm.components import components
+from cairn.llm.components import components, spread_join
 from cairn.llm.storage import written
 
 RADIUS = 4
@@ -156,29 +156,41 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
 
 
 def grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints, and fingerprint, root and best (its first row: smallest doc_id, then text_hash)."""
+    """The rows' fingerprints, and fingerprint, n, root and best (its first row: smallest doc_id, then text_hash)."""
     prints = written(fingerprints(docs, shingle))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min(row).alias("best")))
+    distinct = written(prints.groupBy("fingerprint").agg(F.min(row).alias("best"), F.count(F.lit(1)).alias("n")))
     joined = components(written(links(distinct.select("fingerprint"), distinct.count(), radius)))
-    rooted = distinct.join(joined, distinct["fingerprint"] == joined["node"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "best")
+    rooted = distinct.join(joined, distinct["fingerprint"] == joined["node"], "left").select("fingerprint", "n", F.coalesce("root", "fingerprint").alias("root"), "best")
     return prints, rooted
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id of every row of ``docs`` (doc_id, text)."""
     prints, rooted = grouped(docs, shingle, radius)
-    firsts = rooted.groupBy("root").agg(F.min("best")["doc_id"].alias("component_id"))
-    named = rooted.join(firsts, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    sizes = rooted.groupBy("root").agg(F.min("best")["doc_id"].alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(rooted.withColumnRenamed("n", "n_rows"), sizes, "root", prints.count())
+    named = written(named.select("fingerprint", F.col("n_rows").alias("n"), "component_id"))
+    return spread_join(prints, named, "fingerprint", prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (then hash of the text); of whole repeats, one."""
-    _, rooted = grouped(docs, shingle, radius)
-    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.coalesce("best.doc_id", F.lit(0)).alias("stay_id"), "best.no_id", F.col("best.text_hash").alias("stay_hash"))
-    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("stay_id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(F.col("text").cast("string")).alias("stay_hash"))
-    own = docs.select(*keys, *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    nth = F.row_number().over(Window.partitionBy("stay_id", "stay_hash", "no_id").orderBy(F.lit(0)))
-    met = own.join(stay, ["stay_id", "stay_hash", "no_id"]).withColumn("nth", nth).where("nth = 1")
-    return met.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """``docs`` with one row of each component: that of the smallest doc_id (then hash of the text); of whole repeats, one.
+
+    Rows are told by id and hash of the text.  Those that go are dropped where they lie while their table is small enough to
+    be sent to every task, so texts are shuffled only beyond that, and once.
+    """
+    prints, rooted = grouped(docs, shingle, radius)
+    no_id, own_id = F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("own_id")
+    row = ["no_id", "own_id", "own_hash"]
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.no_id", F.coalesce("best.doc_id", F.lit(0)).alias("own_id"), F.col("best.text_hash").alias("own_hash"))
+    every = prints.select(no_id, own_id, F.col("text_hash").alias("own_hash")).groupBy(*row).agg(F.count(F.lit(1)).alias("n"))
+    told = written(every.join(stay.withColumn("stays", F.lit(True)), row, "left").where("stays IS NULL OR n > 1"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(no_id, own_id, F.xxhash64(F.col("text").cast("string")).alias("own_hash"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    left = own.join(told.select(*row), row, "left_anti")
+    again = told.where("stays").select(*row)
+    if not again.isEmpty():  # repeats of a row that stays: one of each, reduced before they are shuffled
+        whole = F.struct(*names.values())
+        left = left.unionByName(own.join(again, row, "left_semi").groupBy(*row).agg(F.first(whole).alias("whole")).select(*row, "whole.*"))
+    return left.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -1,4 +1,8 @@
-"""Tables and folders that cut lineage, in the storage that the driver and all executors share."""
+"""Tables and folders that cut lineage, in the storage that the driver and all executors share.
+
+Folders are new for every table and are not deleted here: a result may still be read from them after the call that wrote
+them.  Whoever owns ``spark.checkpoint.dir`` clears its ``cairn-`` folders when the application has ended.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; only where that is unset (tests) under a local one."""
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, under a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
