@@ -32,7 +32,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    shards = F.transform("draws", lambda d: d["shard"])
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
