@@ -5,11 +5,18 @@ finds the lowest-ranked pair of every pre-token by a sorted lookup and merges al
 to right, in all pre-tokens at once.  The symbols that survive are the tokens.  Counts of pre-tokens that recur are
 remembered in a bounded table.
 
-Null texts count as empty (0 tokens).  A special string inside a text is one token, as the library has it by default.
+Long pre-tokens, of which each round would merge a small part, keep their pairs by rank instead: the ranks are taken from
+the lowest, all pairs of a rank in all of them are merged at once, and only the pairs beside a merge are looked up again.
+That is the same order of merges, and the work grows with the bytes, not with bytes times rounds.
+
+Null texts count as empty (0 tokens), very long ones are counted whole.  A special string inside a text is one token, as
+the library has it by default.  Repeated rows are counted alike, null ids too; an empty table gives an empty one; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -20,6 +27,8 @@ from pyspark.sql import functions as F
 
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
+#: Bytes from which a pre-token's pairs are kept by rank; bytes of such pre-tokens that are merged together, about.
+LONG, TOGETHER = 512, 1 << 20
 #: The pattern of byte-level BPE vocabularies of this kind. A fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -53,6 +62,71 @@ class RankMerger:
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))).split if self.special else None
         self.known: dict[str, int] = {}
 
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; the number of ranks for pairs that never merge."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.made))
+
+    def swept(self, words: list[str]) -> list[int]:
+        """As ``survivors``, by rank."""
+        data = [w.encode() for w in words]
+        length = [len(b) for b in data]
+        n, none = sum(length), len(self.made)
+        owner = np.repeat(np.arange(len(words)), length)
+        sym = np.append(self.byte_ids[np.frombuffer(b"".join(data), np.uint8)], -1)
+        ends = np.cumsum(length)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = n  # a place behind the last, which pairs with none
+        before[ends - length] = n
+        after, before = np.append(after, n), np.append(before, n)
+        rank = np.full(n + 1, none)
+        rank[:-1] = self.ranks_of(sym[:-1], sym[after[:-1]])
+        rank[:-1][after[:-1] == n] = none
+        alive = np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] < none]
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            own = rank[places]
+            cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+            for r, some in zip(own[np.concatenate([[0], cuts])].tolist() if len(own) else [], np.split(places, cuts)):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(some)
+
+        wait(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            some = waiting.pop(r)
+            at = some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+            at = at[rank[at] == r]
+            if len(at) > 1:  # of overlapping pairs every other one merges, from the left
+                new_run = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                first = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - first) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            beyond = after[gone]
+            sym[at] = self.made[r]
+            alive[gone] = False
+            rank[gone] = none
+            after[at] = beyond
+            before[beyond] = at
+            before[n] = n
+            changed = np.concatenate([before[at], at])
+            changed = changed[changed < n]
+            changed = np.unique(changed) if len(at) > 1 else changed
+            rank[changed] = np.where(after[changed] == n, none, self.ranks_of(sym[changed], sym[after[changed]]))
+            wait(changed)
+        return np.bincount(owner[alive], minlength=len(words)).tolist()
+
     def survivors(self, words: list[str]) -> list[int]:
         """The number of symbols left of each word."""
         data = [w.encode() for w in words]
@@ -106,9 +180,20 @@ class RankMerger:
         new = list(set(words).difference(known))
         learned: dict[str, int] = {}
         if new:
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
+            long = [w for w in new if len(w) >= LONG]
+            short = [w for w in new if len(w) < LONG] if long else new
+            for i in range(0, len(short), 4096):
+                some = short[i : i + 4096]
                 learned.update(zip(some, self.survivors(some)))
+            some, size = [], 0
+            for w in long:
+                some.append(w)
+                size += len(w)
+                if size >= TOGETHER:
+                    learned.update(zip(some, self.swept(some)))
+                    some, size = [], 0
+            if some:
+                learned.update(zip(some, self.swept(some)))
             if len(known) + len(new) > REMEMBERED:
                 learned.update((w, known[w]) for w in set(words) if w in known)
                 known.clear()
