@@ -12,8 +12,9 @@ little-endian.  Documents are range-partitioned by doc_id, so shard numbers and
 Every attempt of a task writes a file of its own; the index, which Spark commits, names only the files of the attempts
 that counted, so lost executors and speculative copies do no harm.
 
-Null texts are the end id alone; null doc_ids come first; rows of equal doc_id are ordered by text; an empty table gives
-an empty index.
+Null texts are the end id alone; null doc_ids come first; rows of equal doc_id, null too, are ordered by their texts' hash
+and text, and may lie in several shards; repeated rows are records of their own; very long texts are one record.  An empty
+table gives an empty index; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -105,8 +106,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1)
         if out is not None:
             out.close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")  # equal ids may take many ranges
     rows.mapInArrow(run, INDEX_SCHEMA).write.parquet(f"{folder}/index")
     return read_index(docs.sparkSession, folder)
 
