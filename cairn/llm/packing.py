@@ -4,10 +4,12 @@ Each task packs the documents of its own scan partition as they stream by, so no
 is just more partitions.  A document longer than a window first fills whole windows; its rest goes to the fill level
 that leaves the smallest sum of squared counts of partly filled windows.  The counts live in one array with a slot for
 each fill level.  Pieces may be cut: when a task ends, or holds ``MOST_OPEN`` open windows, the emptiest windows are
-cut up to fill the fullest, so at most one window of a task stays partly filled.
+cut up to fill the fullest, so at most one window of a task stays partly filled.  The rule leaves a number of open windows
+that depends on the lengths, not on the rows, so the fewer rows a task has, the more of its windows are filled by cutting.
 
-Null texts pack as the end id alone; null ids, repeated rows and empty tables are packed like any other.  Window ids
-follow from the partition and the order in it, so a task that runs again gives the same rows.
+Null texts pack as the end id alone; null ids, repeated rows and empty tables are packed like any other; very long texts
+fill whole windows as they come.  Other columns, whatever their names, are not read.  Window ids follow from the partition
+and the order in it, so a task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -152,5 +154,5 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
         if rows:
             yield batch()
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return narrow.mapInArrow(run, SCHEMA)

@@ -8,7 +8,8 @@ language's median distance in the first, so junk does not stay in what it is com
 neither is one of a language with fewer than ``LEAST_OTHERS`` other documents, which leaves nothing to compare with.
 
 Null texts have no words.  Null and unknown languages each have a reference of characters, but no list of common words.
-Repeated rows are judged alike; an empty table gives an empty one; other columns are not read.
+Very long texts are judged whole, repeated rows alike; an empty table gives an empty one; other columns, whatever their
+names, are not read, and ``kept`` returns them as they are.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ identifiers joined from words that the models have not seen.
 Spans are in code points, end exclusive.  Spark has no function for the places of a pattern, so a text is split at the
 matches, and lengths of parts and matches are added up; only texts that a quick test finds to have a match are split.
 
-Null texts are empty and have no spans; repeated rows give the same; an empty table gives an empty one; other columns are
-not read.
+Null texts are empty and have no spans; very long ones are scanned whole; repeated rows give the same; an empty table gives
+an empty one; other columns, whatever their names, are not read, and ``redacted`` returns them as they are.
 """
 
 from __future__ import annotations

@@ -1,0 +1,204 @@
+"""The URL and secret models against a plain Python model, over whole tables, and their errors on what they have not seen."""
+
+import math
+import re
+import string
+from collections import Counter
+
+import pyarrow.parquet as pq
+import xxhash
+from pyspark.sql import functions as F
+
+from cairn.llm import markov, secrets, urls
+from cairn.llm.queries import QUERIES, RULES
+
+D = "/root/testdata/sf0.001"
+
+
+def signed64(text, seed=42):
+    h = xxhash.xxh64_intdigest(text.encode(), seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class PlainModel:
+    """Log-likelihood ratios from counts of (two before, before, code)."""
+
+    def __init__(self, size, samples):
+        """``samples``: (codes, label, given)."""
+        counts = {(y, g): Counter() for y in (True, False) for g in (True, False)}
+        for codes, label, given in samples:
+            counts[label, given].update(self.grams(codes))
+        self.size, self.n = size, {}
+        for y in (True, False):
+            given, found = counts[y, True], counts[y, False]
+            limit, full = min(sum(given.values()), sum(found.values())), max(1, sum(found.values()))
+            self.n[y] = given + Counter({g: n * limit // full for g, n in found.items()})
+        self.by1, self.by2, self.ctx1, self.ctx2 = ({y: Counter() for y in (True, False)} for _ in range(4))
+        for y in (True, False):
+            for (a, b, c), n in self.n[y].items():
+                self.by1[y][c] += n
+                self.by2[y][b, c] += n
+                self.ctx1[y][b] += n
+                self.ctx2[y][a, b] += n
+
+    @staticmethod
+    def grams(codes):
+        padded = [0, 0, *codes]
+        return [tuple(padded[i : i + 3]) for i in range(len(codes))]
+
+    def p(self, y, a, b, c):
+        p = (self.by1[y][c] + 1) / (sum(self.by1[y].values()) + self.size)
+        if self.ctx1[y][b] >= markov.LEAST_SEEN:
+            p = (self.by2[y][b, c] + markov.PRIOR * p) / (self.ctx1[y][b] + markov.PRIOR)
+        if self.ctx2[y][a, b] >= markov.LEAST_SEEN:
+            p = (self.n[y][a, b, c] + markov.PRIOR * p) / (self.ctx2[y][a, b] + markov.PRIOR)
+        return p
+
+    def ratio(self, codes):
+        if not codes:
+            return 0
+        return math.floor(sum(round(1e6 * (math.log(self.p(True, *g)) - math.log(self.p(False, *g)))) for g in self.grams(codes)) / len(codes))
+
+
+def coded(text, alphabet):
+    return [alphabet.index(c) + 1 if c in alphabet else len(alphabet) + 1 for c in text]
+
+
+def url_codes(url):
+    plain = re.sub(r"(?<![a-z0-9_-])(?:com|de|en|example|fr|net|org)(?![a-z0-9_-])", "~", (url or "").lower())
+    return coded(re.sub("[0-9]", "0", plain), urls.ALPHABET)
+
+
+def plain_rule(host, path):
+    best = None
+    for verdict, rule in RULES:
+        own, slash, rest = rule.partition("/")
+        if (host == own or host.endswith("." + own)) and path.startswith(slash + rest) and (best is None or len(rule) > len(best[1])):
+            best = verdict, rule
+    return best or (None, None)
+
+
+def test_op2_whole_table(spark):
+    pages = pq.read_table(f"{D}/pages.parquet").to_pylist()
+    parts, samples, held = {}, [], []
+    for r in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r["url"] or "")
+        host, path = (m[1].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)), m[2]) if m else ("", "")
+        verdict, rule = plain_rule(host, path)
+        parts[r["page_id"]] = host, path, rule, verdict
+        if rule:
+            sample = url_codes(r["url"]), verdict == "allow", False
+            (held if signed64(host) % urls.FOLDS == 0 else samples).append(sample)
+    model = PlainModel(markov.size_of(urls.ALPHABET), [(c, y, True) for c, y, _ in samples])
+    scores = [(model.ratio(c) // urls.BIN, y) for c, y, _ in held]
+    n = Counter(y for _, y in scores)
+    best = None
+    for t in sorted({0} | {s + 1 for s, _ in scores if s < 0}):
+        lost, caught = (sum(s < t for s, y in scores if y == k) / max(1, n[k]) for k in (True, False))
+        if lost <= urls.GIVEN_UP and lost < caught:
+            best = caught, t * urls.BIN
+    limit = best[1] if best else urls.NEVER
+    got = QUERIES["op2_url_filter"](spark, D).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        host, path, rule, verdict = parts[r["page_id"]]
+        url = next(p["url"] for p in pages if p["page_id"] == r["page_id"])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        score = model.ratio(url_codes(url))
+        assert abs(r["score"] - score) <= 1 and r["threshold"] == limit
+        if verdict or abs(score - limit) > 1:
+            assert r["verdict"] == (verdict or ("block" if score < limit else "allow"))
+
+
+def test_thresholds(spark):
+    """Of both classes; none if the classes are alike, or one of them has no sample."""
+    rows = lambda *pairs: spark.createDataFrame([(s * 1000, y) for s, y in pairs], "score long, label boolean")
+    apart = [(-900 - i, False) for i in range(100)] + [(i - 200, True) for i in range(200)]
+    limit, lost, caught = urls.threshold(rows(*apart))
+    assert limit == -198_000 and lost <= urls.GIVEN_UP and caught == 1.0
+    alike = [(i - 100, y) for i in range(100) for y in (True, False)]
+    assert urls.threshold(rows(*alike))[0] == urls.NEVER
+    for one in (True, False):
+        limit, lost, caught = urls.threshold(rows(*[(-i, one) for i in range(50)]))
+        assert limit == urls.NEVER if one else lost == 0.0
+    assert urls.threshold(rows().limit(0))[0] == urls.NEVER
+
+
+def test_url_awkward(spark):
+    long = "http://a.example.com/" + "path/" * 20_000
+    rows = [(1, long, "x", 1), (1, long, "x", 1), (None, "http://b.net/", None, 2), (2, None, None, 3), (3, "", "", 4)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, rule string, score int"), RULES).collect()
+    assert len(got) == 5 and [r["verdict"] for r in got if r["page_id"] is None] == ["block"] and len({(r["verdict"], r["score"]) for r in got if r["page_id"] == 1}) == 1
+
+
+SIGNS = str.maketrans({**{c: "A" for c in string.ascii_uppercase}, **{c: "0" for c in string.digits}, "/": "+", "-": "_"})
+BASE = (r"""(?:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+")
+
+
+def base_spans(text):
+    out = []
+    for kind, (pattern, least, group) in enumerate(zip(BASE, (6, 20, 24), (2, 0, 0))):
+        out += [(m.start(), kind, m.end(), m[group]) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    return sorted(out)
+
+
+def token_codes(token):
+    return coded(token.translate(SIGNS), secrets.ALPHABET)
+
+
+def test_op5_spans_whole_table(spark):
+    """Every span that the models add, and none else, by a model that is counted in Python."""
+    docs = pq.read_table(f"{D}/documents.parquet").to_pylist()
+    names = secrets.identifiers(spark).collect()
+    samples = [(token_codes(r["token"]), True, True) for r in secrets.generated(spark).collect()]
+    samples += [(token_codes(r["token"]), False, True) for r in names if not r["held_out"]]
+    for r in docs:
+        samples += [(token_codes(s[3]), True, False) for s in base_spans(r["text"] or "")]
+        samples += [(token_codes(w), False, False) for w in re.findall(secrets.WORDS, r["text"] or "")]
+    model = PlainModel(markov.size_of(secrets.ALPHABET), samples)
+    scores = sorted(model.ratio(token_codes(r["token"])) for r in names if r["held_out"])
+    at = (1 - secrets.GIVEN_UP) * (len(scores) - 1)
+    limit = max(round(secrets.LEAST_RATIO * 1e6), math.ceil(scores[int(at)] + (at % 1) * (scores[min(int(at) + 1, len(scores) - 1)] - scores[int(at)])))
+    got = {r["doc_id"]: r["spans"] for r in QUERIES["op5_secret_scan"](spark, D).collect()}
+    kinds, near = ("assign", "access", "hex", "random"), 0
+    for r in docs:
+        base = base_spans(r["text"] or "")
+        want = [(s[0], s[1], s[2]) for s in base]
+        for m in re.finditer(secrets.TOKEN, r["text"] or ""):
+            free = not any(s[0] < m.end() and m.start() < s[2] for s in base)
+            if free and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                score = model.ratio(token_codes(m[0]))
+                near += abs(score - limit) <= 2
+                if score > limit:
+                    want.append((m.start(), 3, m.end()))
+        assert got[r["doc_id"]] == ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(want)) or near
+    assert not near
+
+
+def test_ordinary_names_are_left(spark):
+    names = ["migration_20240115_add_index", "docs/2023/release-notes-v12", "en/articles/2021/how-to-bake-bread", "https-proxy-config-port-8080", "Windows10EnterpriseEdition2019LTSC"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1 - i, f"see {t} here") for i, t in enumerate(names)], "doc_id long, text string")
+    got = secrets.scan(docs.unionByName(extra)).where("doc_id < 0 AND size(spans) > 0").collect()
+    assert [names[-1 - r["doc_id"]] for r in got] == []
+
+
+def test_held_out_errors_of_the_secret_models(spark):
+    """Strings of both classes that no model has seen, at the threshold that is used."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.model_of(docs)
+    limit = secrets.limit_of(spark, model)
+    unseen = secrets.generated(spark.range(1).sparkSession, 4000).withColumn("y", F.lit(True)).unionByName(secrets.identifiers(spark, 20_000).where("held_out").select("token", F.lit(False).alias("y")))
+    hit = (markov.ratio(secrets.token_grams(F.col("token")), model) > limit).cast("int")
+    share = {r["y"]: r["p"] for r in unseen.groupBy("y").agg(F.avg(hit).alias("p")).collect()}
+    assert share[True] >= 0.8 and share[False] <= 0.01
+
+
+def test_secrets_awkward(spark):
+    long = "lorem ipsum " * 50_000 + "password=hunter2222"
+    rows = [(1, long, "x"), (1, long, "x"), (None, None, None), (2, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, base string")
+    got = secrets.scan(df).collect()
+    assert len(got) == 4 and all((len(r["spans"]) == 1) == (r["doc_id"] == 1) for r in got)
+    clean = secrets.redacted(df)
+    assert clean.columns == df.columns and sorted((r["base"] or "") for r in clean.collect()) == ["", "x", "x", "y"]

@@ -124,14 +124,85 @@ def test_mixing(spark):
 
 
 def test_splitting_tree_is_exact():
-    quotas = np.array([5, 0, 17, 100])
-    shares = mixing.split(quotas, 7, np.random.default_rng(0))
-    assert shares.shape == (7, 4) and (shares.sum(axis=0) == quotas).all() and shares.sum(axis=1).max() - shares.sum(axis=1).min() <= 3
+    quotas, sizes = np.array([5, 0, 17, 100]), np.array([18, 17, 18, 17, 17, 18, 17])
+    shares = mixing.split(quotas, sizes, np.random.default_rng(0))
+    assert shares.shape == (7, 4) and (shares.sum(axis=0) == quotas).all() and (shares.sum(axis=1) == sizes).all()
+
+
+def deal(spark, monkeypatch, counts, shards):
+    """Shards of every permuted block of sources with ``counts`` blocks."""
+    monkeypatch.setattr(mixing, "FAN", 4)
+    monkeypatch.setattr(mixing, "BUCKET_SOURCES", 3)
+    rows = mixing.dealt(spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(counts)], "key string, n_blocks long"), shards, 1).collect()
+    held = defaultdict(list)
+    for r in rows:
+        held[r["key"]] += [(b, r["shard"]) for b in range(r["first"], r["first"] + r["n"])]
+    return held
+
+
+def test_shards_draw_disjoint_blocks_of_exact_quotas(spark, monkeypatch):
+    counts = [*range(23), 400, 0, 3]
+    held = deal(spark, monkeypatch, counts, 37)
+    for i, n in enumerate(counts):
+        assert sorted(b for b, _ in held[f"s{i}"]) == list(range(n))
+    size = Counter(s for blocks in held.values() for _, s in blocks)
+    total = sum(counts)
+    assert [size[i] for i in range(37)] == [total * (i + 1) // 37 - total * i // 37 for i in range(37)]
+    hot = Counter(s for _, s in held["s23"])
+    assert all(0.2 < hot[i] / size[i] < 0.95 for i in range(37))
+    assert deal(spark, monkeypatch, [7], 1)["s0"] == [(b, 0) for b in range(7)] and not deal(spark, monkeypatch, [], 5)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
+def test_blocks_are_permuted(spark, n):
+    rows = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k"), 3).alias("to"), mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("j"), 3).alias("other")).collect()
+    to = [r["to"] for r in sorted(rows)]
+    assert sorted(to) == list(range(n))
+    if n == 1000:
+        assert sum(a == b for a, b in zip(to, sorted(to))) < 10 and sum(abs(a - b) == 1 for a, b in zip(to, to[1:])) < 20
+        assert sum(r["to"] == r["other"] for r in rows) < 10
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:06d}": (i * 7919) % 1000 for i in range(100_000)}
+    want = level_fast(sizes)
+    rows = mixing.targets(spark.createDataFrame([("0" + k, v) for k, v in sizes.items()], "key string, source_size long")).collect()
+    assert len(rows) == len(sizes) and all(math.isclose(r["target"], want[r["key"][1:]], rel_tol=1e-9, abs_tol=1e-9) for r in rows)
+
+
+def level_fast(sizes):
+    """As ``level``, in one sweep over sources by the level that fills them."""
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))}
+    words, weights, used, target = sum(sizes.values()), sum(weight.values()), 0, {}
+    for s in sorted(sizes, key=lambda s: 3 * sizes[s] / weight[s]):
+        share = (words - used) * weight[s] / weights
+        if share <= 3 * sizes[s]:
+            break
+        target[s] = 3.0 * sizes[s]
+        used += target[s]
+        weights -= weight[s]
+    return {s: target.get(s, (words - used) * w / weights) for s, w in weight.items()}
+
+
+def test_shards_of_the_mix(spark, monkeypatch):
+    """Documents of a block lie in one shard, and the mixed rows are what the draws say."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5000)
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    draws = [(r["doc_id"], d) for r in rows for d in r["draws"]]
+    shards = Counter()
+    for _, d in draws:
+        shards[d["shard"]] += d["words"]
+    total = sum(r["size"] for r in rows)
+    assert set(shards) == set(range(-(-total // 5000))) and max(shards.values()) < 60_000
+    mixed = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).select("doc_id").collect())
+    assert mixed == Counter(i for i, _ in draws)
 
 
 def test_mixing_awkward(spark):
     rows = mixing.mix(awkward(spark)).collect()
-    assert len(rows) == 10 and all(sum(d["words"] for d in r["draws"]) <= 3 * r["size"] for r in rows)
+    assert len(rows) == 10 and Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in awkward(spark).collect()) and all(sum(d["words"] for d in r["draws"]) <= 3 * r["size"] for r in rows)
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
     mixed = mixing.mixed_documents(awkward(spark))
     assert mixed.columns == awkward(spark).columns and mixed.where("n_chars <> length(text)").count() == 0
@@ -210,6 +281,33 @@ def test_masks_cover_every_choice(n):
         assert any(m & flips == 0 for m in masks)
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr("cairn.llm.components.MOST_ROWS", 3)
+    r = np.random.default_rng(4)
+    edges = [(0, i) for i in range(1, 200)] + [(i, 1000 + i) for i in range(0, 300, 3)] + [(int(a), int(b)) for a, b in r.integers(2000, 2100, (60, 2))]
+    root = {}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for e in edges for x in e}
+    assert got == {x: find(x) for x in nodes if find(x) != x}
+
+
+def test_star_is_spread_over_tasks(spark):
+    """No task of the rounds over a star of a million links reads much more than its share."""
+    n = 1_000_000
+    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert components(star).agg(F.count("*"), F.max("root"), F.count_distinct("node")).first() == (n, 0, n)
+    from cairn.llm.components import spread_join
+
+    edges = star.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    joined = spread_join(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "u", n)
+    sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= 2 * n / 8
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
