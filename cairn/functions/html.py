@@ -1,69 +1,175 @@
-"""Visible text of HTML pages: an Arrow UDF over the standard parser, a page at a time."""
+"""Text of HTML pages: the standard parser tokenises a page, column expressions choose what is its content."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Elements that never hold content, ones whose text is kept, ones without an end. Fixed values.
-DROPPED = {"script", "style", "noscript", "nav", "footer", "aside", "template"}
-KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "code", "td", "th"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-CHROME = {"sidebar", "navbar", "breadcrumb", "breadcrumbs", "toc", "menu", "cookie", "banner", "advertisement"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"}
+#: Elements and roles that never hold content, elements whose text is kept, candidates for the content, elements without an
+#: end tag. Fixed values.
+DROPPED = ("script", "style", "noscript", "nav", "footer", "aside")
+ROLES = ("navigation", "contentinfo", "dialog")
+KEPT = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "pre", "code", "table")
+CONTAINERS = ("main", "article", "section", "div")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+#: Words of ids and classes that mark navigation and widgets. Fixed values.
+CHROME = "sidebar toc navbar menu breadcrumb breadcrumbs".split()
+WIDGETS = "rating feedback helpful survey poll share social newsletter subscribe cookie consent comments disqus related promo banner cta gdpr".split()
+#: Characters that a container has at least, and the share of them in links that is too much. Fixed values.
+LEAST_CHARS, LINK_SHARE = 200, 0.7
+#: Elements that end an open paragraph; items and cells that end the one before.
+_ENDS_PARAGRAPH = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "pre", "table", "div", "article", "section", "main", "nav", "footer", "aside", "li"}
+_ENDS_ITSELF = {"li", "td", "th", "tr"}
+_BOUNDS = {"td", "th", "caption", "table", "button", "html"}
+
+_BLOCK = StructType([StructField("tag", StringType()), StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+_CONTAINER = StructType([StructField("tag", StringType()), StructField("chars", IntegerType()), StructField("links", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())])
+PAGE = StructType([StructField("title", StringType()), StructField("blocks", ArrayType(_BLOCK)), StructField("containers", ArrayType(_CONTAINER))])
+
+
+def _collapsed(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
 
 
 class _Reader(HTMLParser):
+    """Visible text in pieces, and where elements begin and end among them."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []  # tag, whether it hides what it holds
-        self.lines: list[list] = []  # level, text
-        self.title, self.links, self.all = "", 0, 0
+        self.open: list[list] = []  # tag, first piece, is hidden, is in pre
+        self.pieces: list[str] = []
+        self.links: list[tuple[int, int]] = []
+        self.found: list[tuple] = []  # tag, first piece, end, order of the start tag
+        self.title: list[str] = []
+        self.hidden = self.n = 0
 
     def handle_starttag(self, tag, attrs):
+        if tag in _ENDS_PARAGRAPH:
+            for name in (o[0] for o in reversed(self.open)):
+                if name == "p":
+                    self._end("p")
+                if name == "p" or name in _BOUNDS:
+                    break
+        if tag in _ENDS_ITSELF and self.open and self.open[-1][0] == tag:
+            self._end(tag)
         if tag in VOID:
             return
         a = {k: v or "" for k, v in attrs}
-        tokens = set((a.get("id", "") + " " + a.get("class", "")).lower().split())
-        hidden = tag in DROPPED or a.get("role", "").lower() in ROLES or bool(tokens & CHROME)
-        self.stack.append((tag, hidden))
-        if tag in KEPT and not any(h for _, h in self.stack):
-            self.lines.append([int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0, ""])
+        words = f"{a.get('id', '')} {a.get('class', '')}".lower().replace("-", " ").replace("_", " ").split()
+        hides = tag in DROPPED or a.get("role", "") in ROLES or (tag not in ("html", "body", "head") and any(w in CHROME or w in WIDGETS for w in words))
+        self.hidden += hides
+        nested = tag == "code" and bool(self.open) and self.open[-1][0] == "pre"
+        self.open.append([tag, len(self.pieces), hides, nested or (tag == "a" and "href" not in a), self.n])
+        self.n += 1
 
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
+    def _end(self, tag):
+        if not any(o[0] == tag for o in self.open):
+            return
+        while True:
+            name, first, hides, skipped, order = self.open.pop()
+            if not self.hidden and not skipped:
+                if name == "a":
+                    self.links.append((first, len(self.pieces)))
+                elif name in KEPT or name in CONTAINERS or name == "body":
+                    self.found.append((name, first, len(self.pieces), order))
+            self.hidden -= hides
+            if name == tag:
                 return
 
+    def handle_endtag(self, tag):
+        self._end(tag)
+
     def handle_data(self, data):
-        tags = [t for t, _ in self.stack]
-        if "title" in tags and not self.title:
-            self.title = data.strip()
-        if any(h for _, h in self.stack):
-            return
-        n = len(data.strip())
-        self.all += n
-        self.links += n if "a" in tags else 0
-        if any(t in KEPT for t in tags) and self.lines:
-            self.lines[-1][1] += data
+        if any(o[0] == "title" for o in self.open):
+            self.title.append(data)
+        elif not self.hidden and not any(o[0] == "head" for o in self.open):
+            self.pieces.append(data)
 
+    def finish(self):
+        while self.open:
+            self._end(self.open[-1][0])
+        if not any(f[0] == "body" for f in self.found):
+            self.found.append(("body", 0, len(self.pieces), -1))
 
-def read(page: str | None) -> tuple[str, str, int, int]:
-    """Title, text with ``#`` before headings, and characters in all and in links."""
+
+def read(page: str | None) -> dict:
+    """The page's title, its blocks of visible text in order, and its containers, the body last."""
     r = _Reader()
     r.feed(page or "")
     r.close()
-    lines = [("#" * level + " " if level else "") + " ".join(text.split()) for level, text in r.lines if text.strip()]
-    return r.title, "\n".join(lines), r.all, r.links
+    r.finish()
+    found = sorted(r.found, key=lambda f: f[3])
+    text = lambda f: _collapsed(r.pieces[f[1] : f[2]])
+    blocks = [{"tag": f[0], "text": text(f), "start": f[1], "end": f[2]} for f in found if f[0] in KEPT]
+    ordered = [f for f in found if f[0] in CONTAINERS] + [f for f in found if f[0] == "body"][-1:]
+    links = lambda f: sum(len(_collapsed(r.pieces[a:b])) for a, b in r.links if f[1] <= a and b <= f[2])
+    blocks = [b for b in blocks if b["text"]]
+    bare = lambda f: not any(f[1] <= b["start"] and b["end"] <= f[2] for b in blocks)  # noqa: E731  # all of its text is needed then
+    containers = [{"tag": f[0], "chars": len(text(f)), "links": links(f), "start": f[1], "end": f[2], "text": text(f) if bare(f) else None} for f in ordered]
+    return {"title": _collapsed(r.title), "blocks": blocks, "containers": containers}
+
+
+@F.pandas_udf(PAGE)
+def parsed(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([read(p) for p in pages], columns=["title", "blocks", "containers"])
+
+
+def container(page: Column) -> Column:
+    """The longest candidate with enough text that is not mostly links, the first of equals; else the body."""
+    fits = F.filter(page["containers"], lambda c: (c["tag"] != "body") & (c["chars"] >= LEAST_CHARS) & (c["links"] / c["chars"] < LINK_SHARE))
+    longest = F.array_max(F.transform(fits, lambda c: c["chars"]))
+    return F.coalesce(F.get(F.filter(fits, lambda c: c["chars"] == longest), F.lit(0)), F.element_at(page["containers"], -1))
+
+
+def markdown(page: Column) -> Column:
+    """Visible text of the container: blocks a blank line apart, ``#`` before headings; all of its text if it has no block."""
+    chosen = container(page)
+    inside = F.filter(page["blocks"], lambda b: (b["start"] >= chosen["start"]) & (b["end"] <= chosen["end"]))
+    level = lambda tag: F.substring(tag, 2, 1).cast("int")
+    lines = F.transform(inside, lambda b: F.when(b["tag"].rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), level(b["tag"])), F.lit(" "), b["text"])).otherwise(b["text"]))
+    whole = F.coalesce(chosen["text"], F.lit(""))
+    return F.when(F.size(inside) > 0, F.array_join(lines, "\n\n")).otherwise(whole)
+
+
+def bounded(text: Column, most: int = 200_000) -> Column:
+    """Array of sections of at most ``most`` characters, cut behind the last white space of their second half, trimmed.
+
+    Section by section: what is left is cut until nothing is; blank sections go.
+    """
+    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        head = F.substring(text, s["at"], F.lit(most))
+        last = s["at"] + F.lit(most) > F.length(text)
+        half = most - most // 2
+        tail = F.regexp_extract(F.substring(head, F.lit(most // 2 + 1), F.lit(half)), r"(?s)^(.*\s)", 1)
+        size = F.when(last | (F.length(tail) == 0), F.length(head)).otherwise(F.lit(most // 2) + F.length(tail))
+        piece = F.regexp_replace(F.substring(head, F.lit(1), size), r"^\s+|\s+$", "")
+        return F.struct((s["at"] + size).cast("int").alias("at"), F.when(F.length(piece) > 0, F.array_append(s["out"], piece)).otherwise(s["out"]).alias("out"))
+
+    # every section but the last has at least half of the limit
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) / (most - most // 2)).cast("int")))
+    return F.aggregate(steps, state, lambda s, i: F.when(s["at"] <= F.length(text), step(s, i)).otherwise(s), lambda s: s["out"])
+
+
+def frame_score(chars: Column, links: Column, named: Column) -> Column:
+    """How likely a frame holds the content: its length, its share outside of links, and a telling name."""
+    score = F.least(chars / 1000, F.lit(5.0)) + (chars - links) / chars * 5 + F.when(named, 3.0).otherwise(0.0)
+    return F.when(chars > 0, score).otherwise(F.lit(0.0))
 
 
-READ = StructType([StructField("title", StringType()), StructField("text", StringType()), StructField("text_chars", IntegerType()), StructField("link_chars", IntegerType())])
+#: Framework by what a page of it holds, the first that does. Fixed values.
+FRAMEWORKS = (
+    ("BlazorWasm", "blazor.webassembly.js"), ("BlazorWasm", "_framework/blazor"), ("BlazorWasm", "<blazor-boot"), ("NextJsCsr", "__NEXT_DATA__"), ("NuxtCsr", "__NUXT__"),
+    ("SvelteCsr", "data-sveltekit-"), ("ReactCsr", "data-reactroot"), ("VueCsr", "data-v-app"), ("AngularCsr", "ng-version="),
+)
 
 
-@F.pandas_udf(READ)
-def visible(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read(p) for p in pages], columns=["title", "text", "text_chars", "link_chars"])
+def framework(page: Column) -> Column:
+    """The framework whose marker stands outside of code in a page; null if none does."""
+    rest = F.regexp_replace(page, r"(?is)<(pre|code|noscript)\b[^>]*>.*?</\1\s*>", "")
+    return F.coalesce(*[F.when(rest.contains(marker), F.lit(name)) for name, marker in FRAMEWORKS])

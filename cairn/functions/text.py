@@ -41,13 +41,19 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+#: Shapes of identifiers in queries: dotted, joined by double colons, called, camel case, snake case. Fixed values.
+SHAPES = (
+    r"\b[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]+\b",
+    r"\b[A-Za-z_][A-Za-z0-9_]*::[A-Za-z_][A-Za-z0-9_]+\b",
+    r"\b[A-Za-z_][A-Za-z0-9_]*\(",
+    r"\b[A-Za-z]+[a-z]+[A-Z][A-Za-z0-9]*\b",
+    r"\b[A-Za-z][A-Za-z0-9]*_[A-Za-z0-9_]+\b",
+)
+
+
 def is_identifier_shaped(query: Column) -> Column:
-    """Dotted, ``::``, a call, camel case or snake case."""
-    shapes = (r"[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_]", "::", r"[A-Za-z_][A-Za-z0-9_]*\(", "[a-z][A-Z]", "[A-Za-z0-9]_[A-Za-z0-9]")
-    test = query.rlike(shapes[0])
-    for s in shapes[1:]:
-        test = test | query.rlike(s)
-    return F.coalesce(test, F.lit(False))
+    """A query that holds any of ``SHAPES``; false for null."""
+    return F.coalesce(query.rlike("|".join(f"(?:{s})" for s in SHAPES)), F.lit(False))
 
 
 def embedding_input(category: Column, library: Column, title: Column, content: Column, limit: int = 6000) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File endings that are never fetched. Fixed values.
-BINARY = ("png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "css", "js", "woff", "woff2", "ttf", "eot", "zip", "gz", "tar", "exe", "msi", "dmg", "mp4", "mp3", "webm", "avi", "iso", "dll", "bin")
-DEFAULT_DENY = (r"/blog/", r"/login/", r"/signin/", r"/account/", r"#")
+#: File endings that are never fetched, and those of documents. Fixed values.
+BINARY = ("zip", "tar", "gz", "7z", "exe", "dmg", "msi", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "bmp", "mp3", "mp4", "webm", "mov", "woff", "woff2", "ttf", "eot", "css", "js", "map")
+DOCUMENT = ("pdf", "docx")
+#: Endings of pages.
+PAGE = (".html", ".htm", ".aspx")
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 
 
@@ -60,11 +62,29 @@ def in_root_scope(url: Column, root: str) -> Column:
     return F.coalesce((scheme(url) == scheme(r)) & (host(url) == host(r)) & F.startswith(path(url), base), F.lit(False))
 
 
-def refusal(url: Column, allow: list[str], deny: list[str]) -> Column:
-    """Why a URL is not fetched: a binary ending, then no allowed pattern, then a denied one; null if it is."""
-    ending = F.lower(F.regexp_extract(path(url), r"\.([A-Za-z0-9]+)$", 1))
-    any_of = lambda patterns: F.lit(False) if not patterns else url.rlike("|".join(f"(?:{p})" for p in patterns))
-    return F.when(ending.isin(*BINARY), "BinaryExtension").when(~any_of(allow) if allow else F.lit(False), "PatternMissAllowed").when(any_of(deny), "PatternExclude")
+def refusal(url: Column, allow: list[str], deny: list[str], documents: bool = False) -> Column:
+    """Why a URL is not fetched: a binary ending before the query or the end (a document's too, unless ``documents`` are read),
+    then no allowed pattern, then a denied one; null if it is. Patterns match in any case; an empty list matches nothing."""
+    binary = url.rlike(r"(?i)\.(?:" + "|".join(BINARY) + r")(?:\?|$)")
+    document = F.lit(False) if documents else path(url).rlike(r"\.(?:" + "|".join(DOCUMENT) + ")$")
+    any_of = lambda patterns: F.lit(False) if not patterns else url.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return F.when(binary | document, "BinaryExtension").when(~any_of(allow), "PatternMissAllowed").when(any_of(deny), "PatternExclude")
+
+
+def with_extension(url: Column, extension: str | None) -> Column:
+    """``url`` with a page's ending, if its path has none and names a page; the fragment goes. Bad URLs stay as they are."""
+    if not extension:
+        return url
+    p = path(url)
+    fits = host(url).isNotNull() & (p != "") & ~F.endswith(p, F.lit("/")) & ~F.lower(p).rlike("(?:" + "|".join(e.replace(".", r"\.") for e in PAGE) + ")$")
+    plain = F.when((scheme(url) == "http") & (port(url) == ":80"), "").when((scheme(url) == "https") & (port(url) == ":443"), "").otherwise(port(url))
+    return F.when(fits, F.concat(scheme(url), F.lit("://"), host(url), plain, p, F.lit(extension), query(url))).otherwise(url)
+
+
+def default_job(root: str) -> dict:
+    """What a crawl of ``root`` takes unless told otherwise: patterns and depths."""
+    site = root.split("://", 1)[-1].split("/", 1)[0].split("?")[0].split("#")[0].lower()
+    return {"root": root, "allow": [site.replace(".", r"\.")], "deny": [r"/blog/", r"/login/", r"/signin/", r"/account/", r"#"], "scope_depth": 10, "host_depth": 2, "off_depth": 1}
 
 
 def crawl_decision(url: Column, depth: Column, seen: Column, root: str, allow: list[str], deny: list[str], host_depth: int = 2, off_depth: int = 1, scope_depth: int = 0) -> Column:
@@ -91,6 +111,13 @@ def is_rate_limited(status: Column, extra: tuple[int, ...] = ()) -> Column:
     return status.isin(429, 503, *extra)
 
 
+def retry_after(header: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number of seconds, or an HTTP date less ``now``; null for neither, 0 at least."""
+    at = F.try_to_timestamp(F.regexp_extract(header, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.when(F.trim(header).rlike("^[0-9]{1,9}$"), F.trim(header).cast("long")).otherwise(F.unix_seconds(at) - F.unix_seconds(now))
+    return F.when(seconds > 0, seconds).when(seconds.isNotNull(), F.lit(0).cast("long"))
+
+
 def backoff_seconds(attempt: Column, cap: int = 5) -> Column:
     return F.least(F.lit(cap), F.pow(F.lit(2), attempt).cast("int"))
 

@@ -39,16 +39,17 @@ def break_at(text: str, limit: int) -> int:
 
 
 def pieces(text: str, limit: int = MOST_CHARS) -> list[str]:
+    """``text`` cut to at most ``limit`` characters each, trimmed; blank pieces keep their place."""
     out = []
     while len(text) > limit:
         at = break_at(text, limit)
         out.append(text[:at].strip())
         text = text[at:]
-    return [p for p in [*out, text.strip()] if p]
+    return [*out, text.strip()] if text else out
 
 
 def capped(chunks: DataFrame, limit: int = MOST_CHARS) -> DataFrame:
-    """``chunks`` (chunk_id, content, ...) with long ones cut; a cut chunk's pieces have ``-sub`` ids."""
+    """``chunks`` (chunk_id, content, ...) with long ones cut; a cut chunk's pieces have its id and their number."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -56,10 +57,20 @@ def capped(chunks: DataFrame, limit: int = MOST_CHARS) -> DataFrame:
 
     short = chunks.where(F.length("content") <= limit)
     long = chunks.where(F.length("content") > limit).select("*", F.posexplode(cut("content")).alias("nth", "piece"))
-    long = long.withColumn("chunk_id", F.concat(F.col("chunk_id").cast("string"), F.lit("-sub"), F.col("nth").cast("string"))).withColumn("content", F.col("piece"))
+    long = long.withColumn("chunk_id", F.concat(F.col("chunk_id").cast("string"), F.lit("-"), F.col("nth").cast("string"))).withColumn("content", F.col("piece"))
     return short.withColumn("chunk_id", F.col("chunk_id").cast("string")).unionByName(long.select(*chunks.columns))
 
 
+def by_category(pages: DataFrame) -> DataFrame:
+    """page_id, category, part, heading, path, content of ``pages`` (page_id, title, category, text): samples and code are
+    packed by paragraphs, change logs cut at versions, all others at headings."""
+    kind = F.coalesce(F.col("category"), F.lit(""))
+    packed = packed_paragraphs(pages.where(kind.isin("Sample", "Code"))).withColumn("heading", F.lit(""))
+    packed = packed.join(pages.select("page_id", F.col("title").alias("path")), "page_id").select("page_id", "part", "heading", "path", "content")
+    cut = packed.unionByName(by_versions(pages.where(kind == "ChangeLog"))).unionByName(by_headings(pages.where(~kind.isin("Sample", "Code", "ChangeLog"))))
+    return cut.join(pages.select("page_id", "category"), "page_id").select("page_id", "category", "part", "heading", "path", "content")
+
+
 def packed_paragraphs(pages: DataFrame, limit: int = SAMPLE_CHARS) -> DataFrame:
     """page_id, part, content: paragraphs packed in order while they fit."""
     step = lambda done, p: F.when(

@@ -1,4 +1,7 @@
-"""Pages as a stream: cleaned, cut into chunks and appended once, with rows that fail set apart."""
+"""Pages as a stream: cleaned, cut into chunks, counted into postings, and appended once, with rows that fail set apart.
+
+A batch that runs again replaces its own folders, so a failure between two writes does no harm.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cairn.functions.html import visible
+from cairn.functions.html import markdown, parsed
 from cairn.functions.web import normalized
+from cairn.operators.bm25 import postings
 from cairn.operators.chunking import by_headings
 
 PAGES = "page_id long, url string, html string"
@@ -19,18 +23,32 @@ def read_pages(spark: SparkSession, folder: str, files_a_batch: int = 50) -> Dat
 
 
 def ingest(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Appends chunks to ``target``/chunks and bad rows to ``target``/rejected, until the source has no more."""
+    """Appends urls, chunks and postings of pages that ``target`` does not have yet, and bad rows to ``target``/rejected, until
+    the source has no more."""
+    spark = pages.sparkSession
+    spark.createDataFrame([], "url string").write.mode("overwrite").parquet(f"{target}/urls/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("url", normalized(F.col("url"))).withColumn("page", visible("html"))
-        bad = F.col("url").isNull() | (F.length("page.text") == 0)
-        good = rows.where(~bad).dropDuplicates(["url"]).select("page_id", F.col("page.title").alias("title"), F.col("page.text").alias("text"))
-        by_headings(good).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")  # a batch that runs again replaces itself
-        rows.where(bad).select("page_id", "url").write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        rows = batch.withColumn("url", normalized(F.col("url"))).withColumn("page", parsed("html")).withColumn("page_text", markdown(F.col("page")))
+        bad = F.col("url").isNull() | (F.length("page_text") == 0)
+        put(rows.where(bad).select("page_id", "url"), "rejected")
+        stored = batch.sparkSession.read.schema("url string, batch int").parquet(f"{target}/urls").where(F.col("batch") != number)
+        good = rows.where(~bad).dropDuplicates(["url"]).join(stored.select("url"), "url", "left_anti")
+        put(by_headings(good.select("page_id", F.col("page.title").alias("title"), F.col("page_text").alias("text"))), "chunks")
+        made = batch.sparkSession.read.parquet(f"{target}/chunks/batch={number}")
+        put(postings(made.select(F.concat_ws("/", F.col("page_id").cast("string"), F.col("part").cast("string")).alias("chunk_id"), "content")), "postings")
+        put(good.select("url"), "urls")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def audit_log(rows: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Appends audit rows to a folder for each profile: every ``every`` (1 second, say), or all that is there."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return rows.writeStream.format("parquet").partitionBy("profile").option("path", target).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts by window and kind for a stream or a table of events (ts, event_type)."""
     at = events.withColumn("ts", F.col("ts").cast("timestamp"))
