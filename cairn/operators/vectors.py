@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.sources.scratch import written
+
 BM25_WEIGHT, SUBJECT_BOOST = 0.4, 0.05
 RERANK_MOST, RERANK_LEAST, INJECT_MOST = 25, 6, 5
 
@@ -39,11 +41,27 @@ def candidate_count(k: int) -> int:
 
 
 def blended(candidates: DataFrame, bm25: DataFrame, boost: Column | None = None) -> DataFrame:
-    """chunk_id, score: vector candidates only; BM25 is divided by the maximum over all scored chunks."""
-    most = bm25.agg(F.max("bm25").alias("m")).first()["m"] or 0.0
+    """chunk_id, score: vector candidates only; BM25 is divided by the maximum over all scored chunks.
+
+    ``boost`` is an expression over the candidates' columns.
+    """
+    scored = written(bm25)  # for the maximum and the join
+    most = scored.agg(F.max("bm25").alias("m")).first()["m"] or 0.0
     part = F.coalesce("bm25", F.lit(0.0)) / F.lit(most) if most > 0 else F.lit(0.0)
     score = (1 - BM25_WEIGHT) * F.col("cosine") + BM25_WEIGHT * part + (F.lit(0.0) if boost is None else boost)
-    return candidates.join(bm25, "chunk_id", "left").select("chunk_id", score.alias("score"))
+    return candidates.join(scored, "chunk_id", "left").select("chunk_id", score.alias("score"))
+
+
+def should_rerank(strategy: str, candidates: int) -> bool:
+    """Only with a model, and only if there are enough candidates for an order to matter."""
+    return strategy == "Onnx" and candidates >= RERANK_LEAST
+
+
+def over_published(vectors: DataFrame, published: DataFrame, query: list[float], k: int = 5) -> DataFrame:
+    """The nearest ``k`` chunks over the published version of each library: ``vectors`` (library_id, version, chunk_id, embedding),
+    ``published`` (library_id, version)."""
+    rows = vectors.join(published.select("library_id", "version").distinct(), ["library_id", "version"], "left_semi").where(F.col("embedding").isNotNull())
+    return rows.select("library_id", "chunk_id", cosine(F.col("embedding"), query).alias("cosine")).orderBy(F.round("cosine", 6).desc(), "chunk_id").limit(k)
 
 
 def reranked(ranked: DataFrame, k: int, relevance: Column | None = None) -> DataFrame:

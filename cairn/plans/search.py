@@ -1,45 +1,79 @@
-"""Searches end to end, over chunks (chunk_id, library_id, category, content) and their vectors (chunk_id, embedding)."""
+"""Searches end to end, over chunks, their vectors, and a stored index.
+
+Chunks: chunk_id, library_id, version, category, content; vectors: chunk_id, library_id, version, embedding; published:
+library_id, version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cairn.functions.text import is_identifier_shaped
 from cairn.operators import bm25, vectors
+from cairn.operators.subjects import boost
 
 
-def search_docs(chunks: DataFrame, embedded: DataFrame, text: str, query_vector: list[float], k: int = 5, library: str | None = None, category: str | None = None, rerank: bool = True) -> DataFrame:
-    """chunk_id, library_id, category, content, place: hybrid search; BM25 takes part only inside one library."""
-    rows = chunks if library is None else chunks.where(F.col("library_id") == library)
-    rows = rows if category is None else rows.where(F.col("category") == category)
-    near = vectors.top_k(embedded.join(rows.select("chunk_id"), "chunk_id", "left_semi"), query_vector, vectors.candidate_count(k))
-    hybrid = vectors.blended(near, bm25.scores(rows, text)) if library is not None else near.withColumnRenamed("cosine", "score")
-    top = hybrid.orderBy(F.round("score", 6).desc(), "chunk_id").limit(max(k, vectors.RERANK_MOST))
-    ranked = vectors.reranked(top, k) if rerank else top.withColumn("ord", F.row_number().over(_order())).limit(k)
-    return ranked.join(chunks, "chunk_id").select("chunk_id", "library_id", "category", "content", F.col("ord").alias("place"))
+def in_scope(chunks: DataFrame, published: DataFrame, library: str | None, category: str | None, subject: str | None) -> DataFrame:
+    """Chunks of published versions that a search may return."""
+    rows = chunks.join(published.select("library_id", "version").distinct(), ["library_id", "version"], "left_semi")
+    for column, value in (("library_id", library), ("category", category)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows if subject is None else rows.where(F.array_contains("subject_ids", subject))
 
 
-def _order():
-    from pyspark.sql.window import Window
+def search_docs(
+    chunks: DataFrame, embedded: DataFrame, published: DataFrame, index: bm25.Index | None, text: str, query_vector: list[float], k: int = 5, library: str | None = None, category: str | None = None,
+    subject: str | None = None, inferred: str | None = None, strategy: str = "Onnx",
+) -> DataFrame:
+    """chunk_id, library_id, category, content, score, place: hybrid search over published versions.
 
-    return Window.orderBy(F.round("score", 6).desc(), "chunk_id")
+    BM25 takes part only inside one library, from its stored index.  An inferred subject lifts its chunks, an explicit one
+    filters.  The first ``RERANK_MOST`` are reranked if there is a model and enough of them.
+    """
+    rows = in_scope(chunks, published, library, category, subject)
+    keep = ["chunk_id", "subject_ids"] if inferred is not None else ["chunk_id"]
+    found = vectors.top_k(embedded.join(rows.select("chunk_id"), "chunk_id", "left_semi"), query_vector, vectors.candidate_count(k))
+    found = found.join(rows.select(*keep), "chunk_id") if inferred is not None else found
+    lift = boost(F.col("subject_ids"), inferred) if inferred is not None else None
+    if library is not None and index is not None:
+        hybrid = vectors.blended(found, bm25.search(index, text, library), lift)
+    else:
+        hybrid = found.select("chunk_id", (F.col("cosine") + (F.lit(0.0) if lift is None else lift)).alias("score"))
+    best = Window.orderBy(F.round("score", 6).desc(), "chunk_id")  # of ``candidate_count`` rows at most
+    ranked = hybrid.withColumn("ord", F.row_number().over(best))
+    if vectors.should_rerank(strategy, vectors.candidate_count(k)):
+        ranked = vectors.reranked(ranked.drop("ord"), k)
+    top = ranked.orderBy("ord").limit(k).select("chunk_id", "score", F.col("ord").cast("long").alias("place"))
+    return top.join(rows, "chunk_id").select("chunk_id", "library_id", "category", "content", "score", "place")
 
 
-def class_reference(chunks: DataFrame, name: str, literal: bool = False) -> DataFrame:
+def class_reference(chunks: DataFrame, name: str, published: DataFrame | None = None, literal: bool = False) -> DataFrame:
     """Chunks of a qualified name: exact ones, else those that match it as a pattern in any case."""
-    exact = chunks.where(F.col("qualified_name") == name)
+    rows = chunks if published is None else chunks.join(published.select("library_id", "version").distinct(), ["library_id", "version"], "left_semi")
+    exact = rows.where(F.col("qualified_name") == name)
     pattern = F.lower("qualified_name").contains(name.lower()) if literal else F.col("qualified_name").rlike(f"(?i){name}")
-    return chunks.where(pattern) if exact.isEmpty() else exact
+    return exact.unionByName(unless_any(rows.where(pattern), exact))
 
 
-def is_identifier_query(chunks: DataFrame, column: str) -> DataFrame:
-    return chunks.withColumn("identifier_shaped", is_identifier_shaped(F.col(column)))
+def unless_any(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``rows`` if there are no ``others``, else none."""
+    there = others.select(F.lit(1).alias("there")).limit(1)
+    return rows.withColumn("there", F.lit(1)).join(there, "there", "left_anti").drop("there")
 
 
 def library_overview(chunks: DataFrame, embedded: DataFrame, query_vector: list[float], library: str, k: int = 5) -> DataFrame:
-    """The nearest Overview chunks of a library, or of any category if it has none."""
+    """chunk_id, cosine: the nearest Overview chunks of a library, or of any category if it has none."""
     rows = chunks.where(F.col("library_id") == library)
     some = rows.where("category = 'Overview'")
-    rows = rows if some.isEmpty() else some
-    return vectors.top_k(embedded.join(rows.select("chunk_id"), "chunk_id", "left_semi"), query_vector, k)
+    either = some.unionByName(unless_any(rows, some))
+    return vectors.top_k(embedded.join(either.select("chunk_id"), "chunk_id", "left_semi"), query_vector, k)
+
+
+def known_names(text_terms: DataFrame, chunks: DataFrame, most: int = 4) -> DataFrame:
+    """chunk_id of chunks whose qualified name is one of the first ``most`` identifiers of a query, in any case.
+
+    ``text_terms``: nth, term.
+    """
+    names = text_terms.where(F.col("nth") < most).select(F.lower("term").alias("name")).distinct()
+    return chunks.select("chunk_id", F.lower("qualified_name").alias("name")).join(names, "name", "left_semi").select("chunk_id").distinct()

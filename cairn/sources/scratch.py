@@ -1,19 +1,28 @@
-"""Tables that cut lineage, in the storage that the driver and all executors share."""
+"""Tables that cut lineage, in the storage that the driver and all executors share.
+
+Folders are new for every table and stay until whoever owns ``spark.checkpoint.dir`` clears it: a result may still be read.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset and Spark runs in one process, under a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    folder = f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return f"{root.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
