@@ -106,3 +106,147 @@ def dependency_status(packages: DataFrame, libraries: DataFrame, skipped: list[s
     drop = F.lower("package_id").rlike("^(?:" + "|".join(p.lower().replace(".", r"\.") for p in skipped) + ")") if skipped else F.lit(False)
     status = F.when(drop, "filtered").when(F.array_contains("versions", F.col("version")), "cached").when(F.col("versions").isNotNull(), "cached-different-version").otherwise("queued")
     return joined.select("package_id", "version", status.alias("status"))
+
+
+def scoped(rows: DataFrame, library: str | None = None, version: str | None = None) -> DataFrame:
+    """Rows of a library, of one version of it, or all; over a table with those folders, only theirs are read."""
+    rows = rows if library is None else rows.where(F.col("library_id") == library)
+    return rows if version is None else rows.where(F.col("version") == version)
+
+
+def lookup(rows: DataFrame, **keys) -> DataFrame:
+    """The row of a key, or none."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows.limit(1)
+
+
+def updated(rows: DataFrame, where: Column, column: str, value: Column) -> DataFrame:
+    return rows.withColumn(column, F.when(F.coalesce(where, F.lit(False)), value).otherwise(F.col(column)))
+
+
+def deleted(rows: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:
+    """What stays, and one row with the number of rows that go."""
+    hit = F.coalesce(where, F.lit(False))
+    return rows.where(~hit), rows.agg(F.count_if(hit).alias("deleted"))
+
+
+def has_stale(rows: DataFrame, column: str, current: int) -> DataFrame:
+    """One row: whether any of ``rows`` is older than ``current``."""
+    return rows.agg(F.coalesce(F.bool_or(F.col(column) < current), F.lit(False)).alias("stale"))
+
+
+def resolved_versions(asked: DataFrame, libraries: DataFrame, versions: DataFrame) -> DataFrame:
+    """library_id, asked, version: the version asked for, else the library's current one, if it is published; else null.
+
+    ``asked``: library_id, asked; ``libraries``: library_id, current; ``versions``: library_id, version, state.
+    """
+    wanted = asked.join(libraries, "library_id", "left").withColumn("version", F.coalesce(F.nullif("asked", F.lit("")), "current"))
+    published = versions.where("state = 'Published'").select("library_id", "version", F.lit(True).alias("ok")).distinct()
+    return wanted.join(published, ["library_id", "version"], "left").select("library_id", "asked", F.when(F.col("ok"), F.col("version")).alias("version"))
+
+
+def selected_versions(versions: DataFrame, selector: str | list[str] | None) -> DataFrame:
+    """``versions`` (library_id, version, is_current) by "current" (also for none), "all" or a list; ValueError for another
+    word, an empty list, or versions that no row has."""
+    if isinstance(selector, list):
+        if not selector:
+            raise ValueError("the list of versions is empty; say current or all")
+        found = {r["version"] for r in versions.where(F.col("version").isin(selector)).select("version").distinct().collect()}
+        if missing := [v for v in selector if v not in found]:
+            raise ValueError(f"versions that are not there: {', '.join(missing)}")
+        return versions.where(F.col("version").isin(selector))
+    word = (selector or "current").strip().lower()
+    if word not in ("", "current", "all"):
+        raise ValueError(f"unknown selector {selector!r}; say current, all, or a list")
+    return versions if word == "all" else versions.where("is_current")
+
+
+def renamed_parameter(new, old, name: str):
+    """The value of a parameter that has two names; ValueError if both are given and differ."""
+    if new is not None and old is not None and new != old:
+        raise ValueError(f"{name} is given twice, with different values")
+    return new if new is not None else old
+
+
+def previous_versions(versions: DataFrame) -> DataFrame:
+    """library_id, version, previous of ``versions`` (library_id, versions array, in order): null for the first."""
+    each = versions.select("library_id", "versions", F.posexplode("versions").alias("nth", "version"))
+    return each.select("library_id", "version", F.when(F.col("nth") > 0, F.get("versions", F.col("nth") - 1)).alias("previous"))
+
+
+def endpoints(diffs: DataFrame) -> DataFrame:
+    """library_id, version: both ends of ``diffs`` (library_id, from_version, to_version), each once."""
+    return diffs.select("library_id", F.explode(F.array("from_version", "to_version")).alias("version")).distinct()
+
+
+def cascaded(tables: dict[str, DataFrame], library: str, version: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table without a version, and place, deleted: how many rows of each went."""
+    gone = (F.col("library_id") == library) & (F.col("version") == version)
+    counts = [df.agg(F.count_if(gone).alias("deleted")).select(F.lit(name).alias("place"), "deleted") for name, df in tables.items()]
+    report = counts[0]
+    for c in counts[1:]:
+        report = report.unionByName(c)
+    return {name: df.where(~F.coalesce(gone, F.lit(False))) for name, df in tables.items()}, report
+
+
+def unreferenced(revisions: DataFrame, deleting: DataFrame) -> DataFrame:
+    """hash: artifacts of the revisions that go (``deleting``: id) which no other of ``revisions`` (id, original, extraction) names."""
+    hashes = lambda rows: rows.select(F.explode(F.array_compact(F.array("original", "extraction"))).alias("hash"))
+    going = deleting.select("id").distinct()
+    return hashes(revisions.join(going, "id", "left_semi")).distinct().join(hashes(revisions.join(going, "id", "left_anti")), "hash", "left_anti")
+
+
+def reuse(documents: DataFrame, prior: DataFrame) -> DataFrame:
+    """path, extraction, vectors: what of a document can be taken from the run before.
+
+    ``documents`` and ``prior``: path, source_hash, media_type, fingerprint, inputs (texts to embed, in order).  An extraction is
+    reused if source, media type (in any case) and fingerprint are the same, vectors if the texts to embed are.
+    """
+    old = prior.select("path", *[F.col(c).alias(f"old_{c}") for c in ("source_hash", "media_type", "fingerprint", "inputs")])
+    met = documents.join(old, "path", "left")
+    same = (F.col("source_hash") == F.col("old_source_hash")) & (F.lower("media_type") == F.lower("old_media_type")) & (F.col("fingerprint") == F.col("old_fingerprint"))
+    return met.select("path", F.coalesce(same, F.lit(False)).alias("extraction"), F.coalesce(F.col("inputs") == F.col("old_inputs"), F.lit(False)).alias("vectors"))
+
+
+def collisions(files: DataFrame, identity: Column, shown: str) -> DataFrame:
+    """``files`` with reason: of files whose paths are the same by ``identity``, all but the first by ``shown`` collide."""
+    nth = F.row_number().over(Window.partitionBy("same").orderBy(shown))
+    return files.withColumn("same", identity).withColumn("nth", nth).withColumn("reason", F.when(F.col("nth") > 1, "PathIdentityCollision")).drop("same", "nth")
+
+
+def outside_namespace(rows: DataFrame, key: str) -> DataFrame:
+    """key, problem of ids that are repeated, or don't begin with their library and version."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.startswith(F.col(key), F.concat_ws("/", "library_id", "version", F.lit("")))).alias("inside"))
+    return counts.select(key, F.when(F.col("n") > 1, "Repeated").when(~F.coalesce("inside", F.lit(False)), "OutsideNamespace").alias("problem")).where("problem IS NOT NULL")
+
+
+def wrong_vectors(rows: DataFrame, dims: int) -> DataFrame:
+    """One row: vectors, those of another length than ``dims``, and bytes that all should have."""
+    return rows.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(~F.coalesce(F.size("embedding") == dims, F.lit(False))).alias("wrong"), (F.count(F.lit(1)) * dims * 4).alias("bytes"))
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with at, their place in ``order``, from 0: for zips by place, which physical order must not decide."""
+    return running_total(rows.withColumn("one", F.lit(1).cast("long")), order, "one").withColumn("at", F.col("total") - 1).drop("one", "total")
+
+
+def zipped(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of equal place (``numbered``); ValueError if one has more than the other."""
+    if a.count() != b.count():
+        raise ValueError("tables to be zipped differ in length")
+    return a.join(b, "at")
+
+
+def documentation_url(package: Column, homepage: Column, repository: Column, reachable: Column) -> Column:
+    """Struct (url, source, confidence): the homepage unless it is a repository, the repository, else the first guess of which
+    ``reachable`` (an array of URLs) holds one."""
+    name = F.lower(package)
+    guesses = [F.concat(F.lit(a), name, F.lit(b)) for a, b in (("https://", ".readthedocs.io"), ("https://docs.", ".io"), ("https://", ".github.io"), ("https://", ".dev"))]
+    guess = F.coalesce(*[F.when(F.array_contains(reachable, g), g) for g in guesses])
+    is_repo = homepage.rlike(r"(?i)^https?://(www\.)?github\.com/")
+    is_home = F.coalesce((homepage != "") & ~is_repo, F.lit(False))
+    made = lambda url, source, confidence: F.struct(url.alias("url"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+    return F.when(is_home, made(homepage, "registry", "High")).when(F.coalesce(repository != "", F.lit(False)), made(repository, "github-repo", "Medium")).when(guess.isNotNull(), made(guess, "pattern", "Low")).otherwise(
+        made(F.lit(None).cast("string"), "none", "Low")
+    )

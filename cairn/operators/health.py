@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairn.functions.text import collapse
 from cairn.functions.web import host
+from cairn.operators.catalog import running_total
 
 
 def mix(rows: DataFrame, column: str, empty: str = "unfenced") -> DataFrame:
-    """value, n, ratio of ``column``'s values."""
+    """value, n, ratio of ``column``'s values; the total comes from the counts, a row for each value."""
     counts = rows.groupBy(F.coalesce(F.col(column), F.lit(empty)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.lit(rows.count())
-    return counts.withColumn("ratio", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
+    return counts.withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def hosts(pages: DataFrame) -> DataFrame:
@@ -34,11 +35,27 @@ def group_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(each).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key and a column for each of ``shares``: exact quantiles, interpolated, of each key's non-null values.
+
+    Equal values are counted first, counts are summed over ranges of (key, value), and a quantile is read off where the sums pass
+    it: no task holds the values of a key.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("count"))
+    summed = running_total(counts, [key, value], "count")
+    sizes = summed.groupBy(key).agg(F.sum("count").alias("n"), F.min(F.col("total") - F.col("count")).alias("base"))
+    met = summed.join(sizes, key).withColumn("up_to", F.col("total") - F.col("base"))
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    at = lambda x: F.min(F.when(F.col("up_to") > x, F.col(value)))
+    ends = met.groupBy(key, "n").agg(*[at(f(place(p))).alias(f"{name}_{side}") for name, p in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+    part = lambda p: place(p) - F.floor(place(p))
+    return ends.select(key, *[(F.col(f"{name}_low") * (1 - part(p)) + F.col(f"{name}_high") * part(p)).alias(name) for name, p in shares.items()])
+
+
 def latency(rows: DataFrame, operation: str, duration: str, failed: Column) -> DataFrame:
     """Count, failures, mean, median, 95th percentile and maximum by operation."""
-    return rows.groupBy(operation).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures"), F.avg(duration).alias("mean"), F.percentile(duration, F.lit(0.5)).alias("p50"), F.percentile(duration, F.lit(0.95)).alias("p95"), F.max(duration).alias("top")
-    )
+    facts = rows.groupBy(operation).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("failures"), F.avg(duration).alias("mean"), F.max(duration).alias("top"))
+    return facts.join(quantiles(rows, operation, duration, {"p50": 0.5, "p95": 0.95}), operation, "left").select(operation, "n", "failures", "mean", "p50", "p95", "top")
 
 
 def suspect_reasons(pages: Column, links: Column, hosts_n: Column, languages: Column, declared_share: Column, readme_only: Column) -> Column:

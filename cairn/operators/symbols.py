@@ -10,6 +10,9 @@ from cairn.functions.text import MENTION, fenced_code, has_internal_structure, i
 from cairn.operators.candidates import candidates
 from cairn.operators.catalog import third
 
+#: First words of subject terms that texts are searched for directly; with more, runs begin at every word.
+MOST_FIRST = 10_000
+
 
 def code_identifiers(chunks: DataFrame) -> DataFrame:
     """Distinct identifiers of fenced code, and their parts of two characters or more."""
@@ -61,14 +64,108 @@ def inferred_subject(texts: DataFrame, terms: DataFrame, key: str, text: str) ->
     Words and runs of words of the text meet the terms in an equi-join, so no pair of text and term is tried.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
-    longest = terms.agg(F.max(F.size(F.split("term", " "))).alias("m")).first()["m"] or 0
+    facts = terms.agg(F.max(F.size(F.split("term", " "))).alias("m"), F.slice(F.collect_set(F.substring_index(F.lower("term"), " ", 1)), F.lit(1), F.lit(MOST_FIRST + 1)).alias("first")).first()
+    longest, first = facts["m"] or 0, facts["first"]
+    begins = (lambda w: w.isin(first)) if len(first) <= MOST_FIRST else (lambda w: F.lit(True))
 
-    def runs(ws: Column, k: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, k), " "))
-        return F.when(F.size(ws) >= k, each).otherwise(F.array().cast("array<string>"))
+    def runs(ws: Column) -> Column:
+        """Runs of up to ``longest`` words that begin as some term does."""
+        starts = F.filter(F.transform(ws, lambda w, i: F.when(begins(w), i)), lambda i: i.isNotNull())
+        each = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i)), lambda k: F.array_join(F.slice(ws, i + 1, k), " ")))
+        return F.array_distinct(F.flatten(each))
 
-    every = let(words, lambda ws: F.array_distinct(F.flatten(F.array(*[runs(ws, k) for k in range(1, longest + 1)])))) if longest else F.array().cast("array<string>")
+    every = let(words, runs) if longest else F.array().cast("array<string>")
     grams = texts.select(key, F.explode(every).alias("gram"))
     hits = grams.join(terms.select("subject_id", F.lower("term").alias("gram")), "gram")
     order = Window.partitionBy(key).orderBy(F.length("gram").desc(), "subject_id")
     return hits.withColumn("nth", F.row_number().over(order)).where("nth = 1").select(key, "subject_id")
+
+
+#: Kinds by declaring keyword; rank of kinds as a chunk's primary name. Fixed values.
+DECLARES = {"class": "Type", "interface": "Type", "struct": "Type", "record": "Type", "type": "Type", "enum": "Enum", "def": "Function", "function": "Function"}
+KIND_RANK = ("Type", "Enum", "Function", "Property", "Parameter", "Namespace")
+
+
+def kind(name: Column, leaf: Column, keyword: Column, callable_: Column, generic: Column, container: Column, likely: list[str], types_pascal: bool = True, methods_snake: bool = False) -> Column:
+    """A symbol's kind: by its keyword, then by how it is used, then by how it is written."""
+    declared = F.coalesce(*[F.when(keyword == k, v) for k, v in DECLARES.items()])
+    pascal = leaf.rlike(r"^\p{Lu}") & (leaf.rlike(r"\p{Ll}\p{Lu}") | leaf.rlike(r"\p{Lu}{2}\p{Ll}{2}")) & ~leaf.contains("_")
+    snake = leaf.contains("_") & leaf.rlike(r"^[\p{Ll}\p{Nd}_]+$")
+    shape = F.when(callable_, "Function").when(generic, "Type").when(container.isNotNull(), "Property").when(name.isin(*likely) | leaf.isin(*likely), "Type")
+    written_as = F.when(pascal & F.lit(types_pascal), "Type").when(snake & F.lit(methods_snake), "Function").otherwise("Unknown")
+    return F.coalesce(declared, shape, written_as)
+
+
+def symbols(chunks: DataFrame, likely: list[str] = (), types_pascal: bool = True, methods_snake: bool = False, **lists) -> DataFrame:
+    """chunk_id, name, kind, nth of the symbols that ``judged`` keeps: each name once a chunk, as it is first used."""
+    kept = judged(chunks, likely=likely, **lists).where("reason IS NULL").select("chunk_id", "name")
+    uses = candidates(chunks)
+    kinds = uses.withColumn("kind", kind(F.col("name"), F.col("leaf"), F.col("keyword"), F.col("callable"), F.col("generic"), F.col("container"), list(likely), types_pascal, methods_snake))
+    first = kinds.groupBy("chunk_id", "name").agg(F.min_by("kind", "nth").alias("kind"), F.min("nth").alias("nth"))
+    return first.join(kept, ["chunk_id", "name"], "left_semi").select("chunk_id", "name", "kind", "nth")
+
+
+def rank(kind_: Column) -> Column:
+    return F.coalesce(*[F.when(kind_ == k, F.lit(i)) for i, k in enumerate(KIND_RANK)], F.lit(len(KIND_RANK)))
+
+
+def primary_names(found: DataFrame) -> DataFrame:
+    """chunk_id, primary: the symbol of the first kind, then the first in the text; ``found`` (chunk_id, name, kind, nth)."""
+    return found.groupBy("chunk_id").agg(F.min_by("name", F.struct(rank(F.col("kind")), "nth")).alias("primary"))
+
+
+def named(names: DataFrame, column: str, part: str | None) -> DataFrame:
+    """Rows whose ``column`` holds ``part`` in any case, taken literally; all for a blank one."""
+    return names if part is None or not part.strip() else names.where(F.lower(column).contains(part.lower()))
+
+
+def of_kind(found: DataFrame, kind_: str, part: str | None = None) -> DataFrame:
+    """name: distinct names of a kind, in order."""
+    return named(found.where(F.col("kind") == kind_).select("name").distinct(), "name", part).orderBy("name")
+
+
+def distinct_symbols(found: DataFrame) -> DataFrame:
+    """name, kind, chunk_id: each pair once, from the first chunk that has it."""
+    return found.groupBy("name", "kind").agg(F.min("chunk_id").alias("chunk_id"))
+
+
+def type_names(found: DataFrame, legacy: DataFrame, part: str | None = None) -> DataFrame:
+    """name: types among ``found``, and the qualified names of ``legacy`` chunks (qualified_name), which have no symbols."""
+    old = legacy.where("qualified_name IS NOT NULL AND trim(qualified_name) <> ''").select(F.col("qualified_name").alias("name"))
+    return named(found.where("kind = 'Type'").select("name").unionByName(old).distinct(), "name", part)
+
+
+def changed_symbols(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = ("symbols", "name", "parser_version", "category")) -> DataFrame:
+    """chunk_id of rows whose ``columns`` differ between two extractions."""
+    old = before.select("chunk_id", *[F.col(c).alias(f"old_{c}") for c in columns])
+    same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in columns]
+    apart = ~same[0]
+    for x in same[1:]:
+        apart = apart | ~x
+    return after.join(old, "chunk_id").where(apart).select("chunk_id")
+
+
+def hint(excluded: Column, kept: Column) -> Column:
+    """Whether so many names were excluded that the lists should be looked at."""
+    return (excluded >= 20) & (excluded / F.greatest(excluded + kept, F.lit(1)) >= 0.05)
+
+
+def profile_hash(columns: dict[str, Column]) -> Column:
+    """Upper-case SHA-256 of a profile's values by name; arrays are sorted first, so their order does not matter."""
+    return F.upper(F.sha2(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])), 256))
+
+
+def moved(profiles: DataFrame, names: list[str], to: str) -> DataFrame:
+    """``profiles`` (likely, stoplist) with ``names`` put on the list ``to`` and taken off the other."""
+    given, other = F.array(*map(F.lit, names)), {"likely": "stoplist", "stoplist": "likely"}[to]
+    return profiles.withColumn(to, F.array_union(to, given)).withColumn(other, F.array_except(other, given))
+
+
+def carried_forward(profiles: DataFrame, column: str) -> DataFrame:
+    """``profiles`` (library_id, version, created, ...) with an empty ``column`` taken from the latest other version that has one."""
+    filled = profiles.where(F.size(column) > 0)
+    two = filled.withColumn("place", F.row_number().over(Window.partitionBy("library_id").orderBy(F.desc("created"), F.desc("version")))).where("place <= 2")
+    listed = two.groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct("place", "version", F.col(column).alias("value")))).alias("others"))
+    other = F.get(F.filter("others", lambda o: o["version"] != F.col("version")), F.lit(0))["value"]
+    met = profiles.join(listed, "library_id", "left")
+    return met.withColumn(column, F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.col(column)).otherwise(F.coalesce(other, F.col(column)))).drop("others")

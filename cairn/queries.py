@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.functions import web as W
 from cairn.operators import bm25, candidates, catalog, chunking, health, symbols, taxonomy, vectors
+from cairn.sources.scratch import folder
 from cairn.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,17 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("library_id"), "embedding")
 
 
+_STORED: dict[tuple[str, str], bm25.Index] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> bm25.Index:
+    """The index of the documents, built once an application and read by every search of them."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORED:
+        _STORED[key] = bm25.build(chunks(spark, d), folder(spark))
+    return _STORED[key]
+
+
 def first_vector(spark: SparkSession, d: str) -> list[float]:
     row = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row[0]) if row else [0.0]
@@ -84,12 +96,7 @@ def bm25_stats(spark, d):
 
 @query(f"WITH {POSTINGS_SQL} SELECT chunk_id, round(bm25, 6) AS bm25 FROM scores ORDER BY round(bm25, 6) DESC, chunk_id LIMIT 10")
 def bm25_topn(spark, d):
-    return bm25.top_n(bm25.scores(chunks(spark, d), TEXT_QUERY), 10).select("chunk_id", F.round("bm25", 6).alias("bm25"))
-
-
-@query("SELECT 0::BIGINT AS chunk_id, 0::BIGINT AS total, 0::BIGINT AS doc_length WHERE false")
-def bm25_integrity(spark, d):
-    return bm25.integrity(chunks(spark, d))
+    return bm25.top_n(bm25.search(stored_index(spark, d), TEXT_QUERY), 10).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({PROSE_SQL}) AS term FROM documents) GROUP BY ALL")
@@ -126,7 +133,7 @@ hybrid AS (SELECT c.chunk_id, 0.6 * cosine + 0.4 * coalesce(bm25, 0) / (SELECT m
 
 def hybrid(spark, d) -> DataFrame:
     found = vectors.top_k(chunk_vectors(spark, d), first_vector(spark, d), vectors.candidate_count(10))
-    return vectors.blended(found, bm25.scores(chunks(spark, d), TEXT_QUERY))
+    return vectors.blended(found, bm25.search(stored_index(spark, d), TEXT_QUERY))
 
 
 @query(f"WITH {HYBRID_SQL} SELECT chunk_id, round(score, 6) AS score FROM hybrid ORDER BY round(score, 6) DESC, chunk_id LIMIT 10")
@@ -148,9 +155,14 @@ def identifier_injection(spark, d):
     return vectors.injected(named, top).withColumn("score", F.round("score", 6))
 
 
-@query(r"""SELECT page_id, coalesce(regexp_matches(url, '[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_]') OR contains(url, '::') OR regexp_matches(url, '[A-Za-z_][A-Za-z0-9_]*\(') OR regexp_matches(url, '[a-z][A-Z]') OR regexp_matches(url, '[A-Za-z0-9]_[A-Za-z0-9]'), false) AS identifier_shaped FROM pages""")
+@query(r"""WITH q AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN w || 'Linear' WHEN 1 THEN w || '.Connect' WHEN 2 THEN w || '()' WHEN 3 THEN 'std::' || w WHEN 4 THEN 'move_' || w WHEN 5 THEN 'how do I ' || w WHEN 6 THEN 'i.e ' || w WHEN 7 THEN ':: ' || w WHEN 8 THEN 'aB' ELSE w || ' ' || w END AS q FROM (SELECT doc_id, lower(regexp_extract(text, '([A-Za-z]{2,})', 1)) AS w FROM documents) WHERE w <> '')
+SELECT doc_id, doc_id % 10 < 5 AS identifier_shaped FROM q""")
 def query_shape(spark, d):
-    return table(spark, d, "pages").select("page_id", T.is_identifier_shaped(F.col("url")).alias("identifier_shaped"))
+    w = F.lower(F.regexp_extract("text", "([A-Za-z]{2,})", 1))
+    k = F.col("doc_id") % 10
+    shapes = (F.concat("w", F.lit("Linear")), F.concat("w", F.lit(".Connect")), F.concat("w", F.lit("()")), F.concat(F.lit("std::"), "w"), F.concat(F.lit("move_"), "w"), F.concat(F.lit("how do I "), "w"), F.concat(F.lit("i.e "), "w"), F.concat(F.lit(":: "), "w"), F.lit("aB"))
+    q = F.coalesce(*[F.when(k == i, s) for i, s in enumerate(shapes)], F.concat_ws(" ", "w", "w"))
+    return table(spark, d, "documents").select("doc_id", w.alias("w")).where("w <> ''").select("doc_id", T.is_identifier_shaped(q).alias("identifier_shaped"))
 
 
 @query("SELECT coalesce(lang, 'unfenced') AS value, count(*) AS n, count(*) / sum(count(*)) OVER () AS ratio FROM documents GROUP BY 1")
@@ -176,7 +188,7 @@ def url_normalize(spark, d):
 
 
 ALLOW, DENY = [r"example\.(com|org)"], ["/de/", "#"]
-REFUSAL_SQL = rf"""CASE WHEN lower(regexp_extract({PATH_SQL}, '\.([A-Za-z0-9]+)$', 1)) IN {W.BINARY} THEN 'BinaryExtension' WHEN NOT regexp_matches(url, 'example\.(com|org)') THEN 'PatternMissAllowed' WHEN regexp_matches(url, '/de/|#') THEN 'PatternExclude' END"""
+REFUSAL_SQL = r"""CASE WHEN regexp_matches(url, '(?i)\.(png|jpe?g|gif|svg|webp|ico|bmp|css|js|map|zip|tar|gz|7z|exe|dmg|msi|mp3|mp4|webm|mov|woff2?|ttf|eot)(\?|$)') OR regexp_matches(url, '\.(pdf|docx)$') THEN 'BinaryExtension' WHEN NOT regexp_matches(url, 'example\.(com|org)') THEN 'PatternMissAllowed' WHEN regexp_matches(url, '/de/|#') THEN 'PatternExclude' END"""
 
 
 @query(f"SELECT page_id, {REFUSAL_SQL} AS reason FROM pages")
@@ -366,12 +378,6 @@ def duplicate_names(spark, d):
     return table(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query()
-def symbol_candidates(spark, d):
-    rows = symbols.judged(chunks(spark, d), stoplist=["the", "and", "of"], library_stoplist=["is"], units=["mm", "kg"])
-    return rows.groupBy(F.coalesce("reason", F.lit("Kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{candidates.TOKEN}') AS names, regexp_split_to_array(text, '{candidates.TOKEN}') AS gaps FROM documents),
 e AS (SELECT doc_id, unnest(names) AS name, unnest(gaps[2:]) AS after, unnest(gaps[:len(names)]) AS gap, unnest(list_prepend('', names[:len(names) - 1])) AS prev, unnest(list_prepend('', gaps[:len(names) - 1])) AS prev_gap, unnest(range(0, len(names))) AS nth FROM t WHERE len(names) > 0),
 w AS (SELECT *, CASE WHEN nth > 0 AND regexp_full_match(gap, '\s*') THEN lower(regexp_extract(prev_gap || prev, '([\pL_]+)$', 1)) END AS word FROM e)
@@ -394,14 +400,6 @@ def catalog_reconciled(spark, d):
     return taxonomy.reconciled(old, new).select("library_id", "revision", F.explode("concepts").alias("c")).select("library_id", "revision", "c.id", "c.label", "c.description")
 
 
-@query()
-def html_extraction(spark, d):
-    from cairn.functions.html import visible
-
-    page = table(spark, d, "pages").withColumn("page", visible("html"))
-    return page.select("page_id", "page.title", F.length("page.text").alias("chars"), "page.text_chars", "page.link_chars")
-
-
 @query("SELECT date_trunc('hour', ts)::TIMESTAMPTZ AT TIME ZONE 'UTC' AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_event_counts(spark, d):
     from cairn.streaming.pages import windowed_counts
@@ -435,8 +433,3 @@ def request_limits(spark, d):
     outcome = F.when(F.col("event_id") % 97 == 0, "limited").when(F.col("event_id") % 89 == 0, "error").otherwise("success")
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
     return state.replay_limits(table(spark, d, "events").select(F.col("event_type").alias("host"), at, "event_id", outcome.alias("outcome")))
-
-
-@query()
-def capped_chunks(spark, d):
-    return chunking.capped(chunks(spark, d)).groupBy("library_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("content")).alias("longest"))

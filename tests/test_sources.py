@@ -1,14 +1,17 @@
 """Readers, HTML, chunking and the page stream on small files."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import html
 from cairn.functions import text as T
 from cairn.functions import web as W
-from cairn.operators import chunking
+from cairn.operators import bm25, catalog, chunking, vectors
 from cairn.plans.search import search_docs
 from cairn.sources import files
+from cairn.sources.scratch import folder
 from cairn.streaming import pages
 
 
@@ -55,9 +58,31 @@ def test_bundle(spark, tmp_path):
         files.export_bundle(rows.withColumn("encoder", F.col("chunk_id")), str(tmp_path / "c"))
 
 
-def test_html():
-    title, text, chars, links = html.read('<title>T</title><nav><p>no</p></nav><div class="sidebar"><p>no</p></div><h2>H</h2><p>a <a href="#">link</a></p><script>x</script>')
-    assert (title, text, links) == ("T", "## H\na link", 4)
+def pages_of(spark, *pages):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id long, html string").withColumn("page", html.parsed("html"))
+    return df.select("id", "page", html.markdown(F.col("page")).alias("text"), html.container(F.col("page"))["tag"].alias("tag")).orderBy("id").collect()
+
+
+def test_html(spark):
+    long = "word " * 60
+    rows = pages_of(
+        spark,
+        '<title>T</title><nav><p>no</p></nav><div class="site-sidebar"><p>no</p></div><h2>H</h2><p>a <a href="#">link</a></p><script>x</script>',
+        f"<body><div><p>{long}</p></div><article><h1>A</h1><p>{long}{long}</p><pre><code>x = 1</code></pre></article><div role='dialog'><p>{long * 9}</p></div></body>",
+        f"<div><a href='x'>{long * 5}</a></div><section><p>{long}</p></section>",
+        "<div>no block here</div>", "", None, "<p>one<p>two<li>a<li>b",
+        f"<div id='Promo_box'>{long * 3}</div><main>{long}</main>",
+    )
+    assert (rows[0]["page"]["title"], rows[0]["text"], rows[0]["tag"]) == ("T", "## H\n\na link", "body")
+    assert rows[1]["tag"] == "article" and rows[1]["text"] == f"# A\n\n{(long * 2).strip()}\n\nx = 1"
+    assert (rows[2]["tag"], rows[2]["text"]) == ("section", long.strip())
+    assert [r["text"] for r in rows[3:7]] == ["no block here", "", "", "one\n\ntwo\n\na\n\nb"] and rows[7]["text"] == long.strip()
+
+
+def test_bounded_sections(spark):
+    texts = ["", "a" * 25, "aaaa bbbb cccc dddd", " \n ", "x" * 6 + " " + "y" * 9, None]
+    got = [r["s"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", html.bounded(F.col("t"), 10).alias("s")).orderBy("i").collect()]
+    assert got[:5] == [[], ["a" * 10, "a" * 10, "a" * 5], ["aaaa bbbb", "cccc dddd"], [], ["x" * 6, "y" * 9]]
 
 
 def test_chunking(spark):
@@ -65,6 +90,11 @@ def test_chunking(spark):
     got = {(r["page_id"], r["heading"], r["path"]) for r in chunking.by_headings(df).collect()}
     assert {(1, "", "T"), (1, "A", "T > A"), (1, "B", "T > B"), (3, "", "T")} <= got
     assert {(r["page_id"], r["heading"]) for r in chunking.by_versions(df.where("page_id > 1")).collect()} == {(2, "v1.0"), (2, "Version 2"), (3, "")}
+    assert chunking.pieces("") == [] and chunking.pieces("x" * 2400 + " ") == ["x" * 2400, ""]
+    capped = chunking.capped(spark.createDataFrame([("l/1/0", "b" * 1300 + "End of first sentence. Beginning of second sentence." + "b" * 1300), ("l/1/1", "short")], "chunk_id string, content string")).collect()
+    assert sorted(r["chunk_id"] for r in capped) == ["l/1/0-0", "l/1/0-1", "l/1/1"] and next(r["content"] for r in capped if r["chunk_id"] == "l/1/0-0").endswith(".")
+    dotted = "a" * 1300 + " Set AxisFault.Disabled to acknowledge the latch and continue. " + "a" * 1300
+    assert not any(p.endswith("AxisFault.") or p.startswith("Disabled") for p in chunking.pieces(dotted)) and len(chunking.pieces(dotted)) >= 2
     parts = chunking.pieces("A sentence here. " * 400)
     assert all(len(p) <= 2400 for p in parts) and all(p.endswith(".") for p in parts)
     assert [r["content"] for r in chunking.packed_paragraphs(df.select("page_id", F.lit("a\n\nb\n\nc").alias("text")).limit(1), 5).orderBy("part").collect()] == ["a\n\nb", "c"]
@@ -79,11 +109,65 @@ def test_text_and_urls(spark):
     assert tuple(row["e"]) == ("o", "r") and row["f"] == "a b" and row["g"]
 
 
+def test_query_shapes(spark):
+    named = ["MoveLinear", "AxisStatus", "Controller.Connect", "AxisFault.Disabled", "MoveLinear()", "std::vector", "move_linear", "HomeType.ToLimit"]
+    prose = ["how do I configure homing", "explain coordinated motion", "set up encoder feedback", "what is the best way to handle errors", "introduction to the library", "a.b", "i.e.", "::", "aB", None]
+    rows = spark.createDataFrame([(q,) for q in named + prose], "q string").select("q", T.is_identifier_shaped(F.col("q")).alias("s")).collect()
+    assert [r["q"] for r in rows if r["s"]] == named
+
+
+def test_url_refusals(spark):
+    urls = {"http://a.com/x.PNG?y": "BinaryExtension", "http://a.com/x.png#y": None, "http://a.com/x.bmp": "BinaryExtension", "http://a.com/x.pdf": "BinaryExtension", "http://b.com/": "PatternMissAllowed", "http://A.COM/blog/x": "PatternExclude", "http://a.com/dll.iso": None}
+    job = W.default_job("https://A.com/docs/")
+    assert job["allow"] == [r"a\.com"] and job["scope_depth"] == 10
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", W.refusal(F.col("u"), job["allow"], ["/blog/"]).alias("r"), W.refusal(F.col("u"), [], []).alias("none"), W.refusal(F.col("u"), ["."], [], documents=True).alias("d")).collect()
+    assert {r["u"]: r["r"] for r in rows} == urls
+    assert all(r["none"] in ("BinaryExtension", "PatternMissAllowed") for r in rows) and next(r["d"] for r in rows if r["u"].endswith("pdf")) is None
+
+
 def test_search(spark):
-    chunks = spark.createDataFrame([(i, "l", "Overview", f"word{i} common") for i in range(8)], "chunk_id long, library_id string, category string, content string")
+    chunks = spark.createDataFrame([(i, "l", "1" if i < 7 else "2", "Overview", f"word{i} common", ["s"] if i == 6 else []) for i in range(8)], "chunk_id long, library_id string, version string, category string, content string, subject_ids array<string>")
     embedded = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(8)], "chunk_id long, embedding array<double>")
-    got = [r["chunk_id"] for r in search_docs(chunks, embedded, "word3", [1.0, 3.0], 3, "l").orderBy("place").collect()]
-    assert got[0] == 3 and len(got) == 3
+    published = spark.createDataFrame([("l", "1")], "library_id string, version string")
+    index = bm25.build(chunks, folder(spark))
+    find = lambda **k: [r["chunk_id"] for r in search_docs(chunks, embedded, published, index, "word3", [1.0, 3.0], 3, **k).orderBy("place").collect()]
+    assert find(library="l")[0] == 3 and len(find(library="l")) == 3 and find(library="l", subject="s") == [6] and find(library="other") == [] and find(category="None") == []
+    assert 7 not in find() and search_docs(chunks, embedded, published, index, "", [1.0, 7.0], 8, library="l").count() == 7
+    assert vectors.should_rerank("Onnx", 6) and not vectors.should_rerank("Onnx", 5) and not vectors.should_rerank("Off", 9)
+    assert vectors.candidate_count(5) == 50 and vectors.candidate_count(20) == 100
+
+
+def test_bm25_cases(spark):
+    rows = spark.createDataFrame([(1, "l", "Use MoveLinear to start the move."), (2, "l", "Coordinate motion is described elsewhere."), (3, "l", "MoveLinear parameters control velocity."), (4, "m", "Configure homing on each axis."), (5, "m", "Configure encoder feedback."), (6, "m", None), (7, "n", " ")], "chunk_id long, library_id string, content string")
+    index = bm25.build(rows, folder(spark))
+    assert {r["chunk_id"] for r in bm25.search(index, "MoveLinear", "l").collect()} == {1, 3}
+    got = {r["chunk_id"]: r["bm25"] for r in bm25.search(index, "homing configure", "m").collect()}
+    assert got[4] > got[5] and bm25.search(index, "homing", "l").count() == 0 and bm25.search(index, "", "m").count() == 0
+    whole = {r["chunk_id"]: r["bm25"] for r in bm25.scores(rows, "configure move").collect()}
+    assert whole == {r["chunk_id"]: pytest.approx(r["bm25"]) for r in bm25.search(index, "configure move").collect()}
+    plan = bm25.search(index, "homing", "m")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*term", plan)
+    assert bm25.damaged(index.postings, index.lengths).count() == bm25.malformed(index.postings, index.lengths).count() == bm25.miscounted(index.stats, index.lengths).count() == 0
+    none = bm25.build(rows.limit(0), folder(spark))
+    assert bm25.search(none, "homing").count() == 0
+
+
+def test_parameters_and_selectors(spark):
+    assert catalog.renamed_parameter(1, None, "x") == catalog.renamed_parameter(None, 1, "x") == catalog.renamed_parameter(1, 1, "x") == 1
+    rows = spark.createDataFrame([("l", "1", False), ("l", "2", True)], "library_id string, version string, is_current boolean")
+    assert [catalog.selected_versions(rows, s).count() for s in (None, "", " All ", ["1"])] == [1, 1, 2, 1]
+    for bad in ("newest", [], ["3"]):
+        with pytest.raises(ValueError):
+            catalog.selected_versions(rows, bad)
+    with pytest.raises(ValueError):
+        catalog.renamed_parameter(1, 2, "x")
+    assert catalog.conditional(rows, {"a": None}).count() == 0 and catalog.conditional(rows, {"a": F.lit(True)}, 0).count() == 2
+
+
+def test_sample_windows_and_safe_ids(spark):
+    text = "lead " * 60 + "Token" + " tail" * 60
+    row = spark.range(1).select(T.sample_window(F.lit(text), F.lit("Token")).alias("w"), T.sample_window(F.lit("none"), F.lit("Token")).alias("n"), *[T.is_safe_id(F.lit(x)).alias(f"s{i}") for i, x in enumerate(["a", "a..b", "-a", "a/b", "a" * 129])]).first()
+    assert "Token" in row["w"] and len(row["w"]) <= 205 and row["n"] is None and [row[f"s{i}"] for i in range(5)] == [True, False, False, False, False]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -92,3 +176,16 @@ def test_stream_equals_batch(spark, tmp_path):
     pages.ingest(pages.read_pages(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert {(r["page_id"], r["heading"]) for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()} == {(1, "A"), (3, "C")}
     assert {r["page_id"] for r in spark.read.parquet(str(tmp_path / "out/rejected")).collect()} == {2}
+    assert spark.read.parquet(str(tmp_path / "out/postings")).where("tf < 1").count() == 0
+    # a second run over more files takes what is new only
+    again = spark.createDataFrame([(4, "http://a.com/1/", "<p>again</p>"), (5, "http://a.com/5", "<h1>E</h1><p>new</p>")], pages.PAGES)
+    again.write.mode("append").parquet(str(tmp_path / "in"))
+    pages.ingest(pages.read_pages(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert {r["page_id"] for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()} == {1, 3, 5}
+
+
+def test_audit_log(spark, tmp_path):
+    schema = "profile string, url string"
+    spark.createDataFrame([("a", "u1"), ("b", "u2"), ("a", "u3")], schema).write.parquet(str(tmp_path / "in"))
+    pages.audit_log(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "log")).select("profile", "url").collect())) == [("a", "u1"), ("a", "u3"), ("b", "u2")]
