@@ -47,16 +47,23 @@ def conditional(df: DataFrame, clauses: dict[str, Column | None], limit: int | N
     return df if limit is None else df.limit(limit if limit > 0 else 50)
 
 
-def running_total(rows: DataFrame, order: list[str], value: str) -> DataFrame:
-    """Adds ``total``, the sum of ``value`` up to each row in ``order``.
+def running_totals(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each of ``sums`` (name: column), the sum of the column up to each row in ``order``.
 
     Rows are range-partitioned, summed in their partitions, and shifted by the sums of those before: no partition holds all.
     """
     ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    sums = ranged.groupBy("range").agg(F.sum(value).alias("s"))
-    before = sums.select("range", F.coalesce(F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.sum(value).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(before, "range").withColumn("total", inside + F.col("base")).drop("range", "base")
+    totals = ranged.groupBy("range").agg(*[F.sum(c).alias(f"all_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = totals.select("range", *[F.coalesce(F.sum(f"all_{n}").over(earlier), F.lit(0)).alias(f"base_{n}") for n in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = ranged.join(before, "range")
+    return met.select(*rows.columns, *[(F.sum(c).over(inside) + F.col(f"base_{n}")).alias(n) for n, c in sums.items()])
+
+
+def running_total(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Adds ``total``, the sum of ``value`` up to each row in ``order``."""
+    return running_totals(rows, order, {"total": value})
 
 
 def islands(lines: DataFrame, file: str, number: str, starts: Column) -> DataFrame:
@@ -250,3 +257,25 @@ def documentation_url(package: Column, homepage: Column, repository: Column, rea
     return F.when(is_home, made(homepage, "registry", "High")).when(F.coalesce(repository != "", F.lit(False)), made(repository, "github-repo", "Medium")).when(guess.isNotNull(), made(guess, "pattern", "Low")).otherwise(
         made(F.lit(None).cast("string"), "none", "Low")
     )
+
+
+def corrected(tables: dict[str, DataFrame], versions: DataFrame, library: str, version: str, url: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """After a wrong root URL: each table without the version, ``versions`` with it no longer suspect, and the scrape to queue."""
+    stays, _ = cascaded(tables, library, version)
+    own = (F.col("library_id") == library) & (F.col("version") == version)
+    reset = updated(updated(versions, own, "suspect", F.lit(False)), own, "reasons", F.array().cast("array<string>"))
+    queued = versions.where(own).limit(1).select("library_id", "version", F.lit("Scrape").alias("job_type"), F.lit("Queued").alias("status"), F.lit(url).alias("url"))
+    return stays, reset, queued
+
+
+def snapshots(revisions: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """revision_id, pages, chunks: how many rows published ``revisions`` (revision_id, state) have, if they have both."""
+    count = lambda rows, name: rows.groupBy("revision_id").agg(F.count(F.lit(1)).alias(name))
+    return revisions.where("state = 'Published'").select("revision_id").join(count(pages, "pages"), "revision_id").join(count(chunks, "chunks"), "revision_id")
+
+
+def compared_counts(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, before, after: rows of each key in two tables, 0 where one has none."""
+    count = lambda rows, name: rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    met = count(before, "before").join(count(after, "after"), key, "full_outer")
+    return met.select(key, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("before", "after")])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.catalog import islands, running_total
+from cairn.operators.catalog import islands, running_totals
 
-#: Endings of documents that are read, and folders that are never entered. Fixed values.
+#: Endings of documents that are read, and folders of which nothing is. Fixed values.
 DOCUMENTS = ("md", "markdown", "txt", "text", "html", "htm", "pdf", "docx")
 SKIPPED_FOLDERS = (".git", "node_modules", "bin", "obj", "dist", "build", "vendor", "__pycache__", ".venv")
 #: Limits of a scan: documents, bytes of a file, bytes in all.
@@ -18,7 +18,8 @@ LOG_START = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} [+-]\d{2}:\d{2}) \[([
 def scan(spark: SparkSession, root: str, excluded: str | None = None) -> DataFrame:
     """path, length, reason of every file below ``root``; a null reason accepts one. File contents are not read.
 
-    Budgets are running sums in path order over the files accepted so far.
+    Folders of ``SKIPPED_FOLDERS`` are listed, but nothing in them is accepted. Budgets are running sums in path order over the
+    files accepted so far.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
@@ -28,10 +29,69 @@ def scan(spark: SparkSession, root: str, excluded: str | None = None) -> DataFra
         first = first.when(F.col("path").rlike(excluded), "ExcludedPattern")
     first = first.when(F.col("length") > MOST_FILE_BYTES, "FileTooLarge")
     rows = files.withColumn("first", first).withColumn("bytes", F.when(F.col("first").isNull(), F.col("length")).otherwise(0)).withColumn("one", F.col("first").isNull().cast("int"))
-    rows = running_total(rows, ["path"], "bytes").withColumnRenamed("total", "all_bytes")
-    rows = running_total(rows, ["path"], "one").withColumnRenamed("total", "all_files")
+    summed = running_totals(rows, ["path"], {"all_bytes": "bytes", "all_files": "one"})
     reason = F.coalesce(F.col("first"), F.when(F.col("all_files") > MOST_DOCUMENTS, "DocumentBudget").when(F.col("all_bytes") > MOST_BYTES, "ByteBudget"))
-    return rows.select("path", "length", reason.alias("reason"))
+    return summed.select("path", "length", reason.alias("reason"))
+
+
+def scan_report(scanned: DataFrame) -> DataFrame:
+    """One row: files that a scan accepted, skipped, and found too large or over a budget, and accepted bytes."""
+    limits = ("FileTooLarge", "DocumentBudget", "ByteBudget")
+    ok = F.col("reason").isNull()
+    return scanned.agg(
+        F.count_if(ok).alias("accepted"), F.count_if(~ok & ~F.col("reason").isin(*limits)).alias("skipped"), F.count_if(F.col("reason").isin(*limits)).alias("limited"),
+        F.coalesce(F.sum(F.when(ok, F.col("length"))), F.lit(0)).alias("bytes"),
+    )
+
+
+#: Endings of text files of a repository, folders that are skipped, greatest size. Fixed values.
+REPO_TEXT = (
+    "cs csx vb fs fsx ts tsx js jsx mjs py rb go rs java kt kts scala cpp cxx cc hpp hxx hh h c swift m mm dart php pl lua r jl clj cljs ex exs sh bash zsh ps1 bat cmd "
+    "md markdown rst adoc txt xml xaml json yaml yml toml ini cfg html htm css scss sass less sql graphql proto"
+).split()
+REPO_SKIPPED = ".git .github .vs .idea .vscode node_modules bower_components vendor bin obj build dist out target Debug Release __pycache__ .pytest_cache .mypy_cache packages .nuget".split()
+REPO_BYTES = 200 * 1024
+
+
+def repo_category(path: Column) -> Column:
+    """A repository file's category by its path: change logs, readmes, samples, documents, prose, else code."""
+    p = F.lower(path)
+    name = F.substring_index(p, "/", -1)
+    log = name.rlike("^(?:changelog|changes|history|releases)") | name.isin("release-notes.md", "release_notes.md")
+    sample = p.rlike("/(?:samples|sample|examples|example|demo|demos)/")
+    return (
+        F.when(log, "ChangeLog").when(F.startswith(name, F.lit("readme")), "Overview").when(sample, "Sample").when(p.rlike("^docs?/|/docs?/"), "HowTo")
+        .when(name.rlike(r"\.(?:md|markdown|rst|adoc)$"), "Overview").otherwise("Code")
+    )
+
+
+def repo_files(files: DataFrame) -> DataFrame:
+    """path, category of ``files`` (path below the root, length) that are texts, not too large, and in no skipped folder."""
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    folders = F.transform(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), F.lower)
+    skipped = F.arrays_overlap(folders, F.array(*[F.lit(f.lower()) for f in REPO_SKIPPED]))
+    return files.where(ending.isin(REPO_TEXT) & (F.col("length") <= REPO_BYTES) & ~F.coalesce(skipped, F.lit(False))).select("path", repo_category(F.col("path")).alias("category"))
+
+
+def stored_size(spark: SparkSession, path: str) -> DataFrame:
+    """One row: files and bytes of a stored table."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def compacted(rows: DataFrame, path: str, files: int) -> None:
+    """Writes ``rows`` anew in about ``files`` files."""
+    rows.coalesce(files).write.mode("errorifexists").parquet(path)
+
+
+def media_kind(path: Column, head: Column) -> Column:
+    """What a file is, by its ending and first bytes: null where these disagree, or for endings that are not read."""
+    ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    magic = F.hex(F.substring(head, 1, 5))
+    pdf, zipped = magic == "255044462D", F.startswith(magic, F.lit("504B0304"))
+    return (
+        F.when((ending == "pdf") & pdf, "pdf").when((ending == "docx") & zipped, "docx").when(pdf | zipped, F.lit(None)).when(ending.isin("html", "htm"), "html")
+        .when(ending.isin("md", "markdown"), "markdown").when(ending.isin("txt", "text"), "text")
+    )
 
 
 def texts(spark: SparkSession, root: str) -> DataFrame:
@@ -66,6 +126,13 @@ def package_json(spark: SparkSession, path: str) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def package_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``package_json``, of files that hold a package in each line."""
+    parsed = spark.read.text(path).select(F.from_json("value", "dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>").alias("j"))
+    both = F.map_entries(F.map_concat(*[F.coalesce(f"j.{k}", F.create_map().cast("map<string,string>")) for k in ("dependencies", "devDependencies")]))
+    return parsed.select(F.explode(both).alias("e")).select(F.col("e.key").alias("package_id"), F.col("e.value").alias("version"))
+
+
 def project_references(spark: SparkSession, path: str) -> DataFrame:
     """package_id, version of PackageReference elements, version by attribute or child; else "unknown"."""
     text = spark.read.text(path, wholetext=True)
