@@ -227,11 +227,25 @@ def page_titles(spark, d):
     return page.select("page_id", F.col("page.title").alias("title"), F.exists("page.containers", lambda c: c["tag"] == "article").alias("article"))
 
 
-@query()
+def plain_sql(html_sql: str) -> str:
+    """Text of a piece of HTML in SQL: without tags, entities read, white space collapsed."""
+    text = f"regexp_replace({html_sql}, '<[^>]*>', '', 'g')"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+def between_sql(start: str, end: str) -> str:
+    return f"regexp_extract(html, '(?s){start}(.*?)({end}|$)', 1)"
+
+
+@query(f"""WITH t AS (SELECT page_id, {plain_sql(between_sql('<title>', '</title>'))} AS title, {plain_sql(between_sql('<article>', '</article>'))} AS article, {plain_sql(between_sql('<div class="ad">', '</div>') + " || " + between_sql('<article>', '</article>'))} AS body, {plain_sql(between_sql('<h1>', '</h1>'))} AS h1 FROM pages)
+SELECT page_id, title, CASE WHEN length(article) >= 200 THEN 'article' ELSE 'body' END AS container, CAST(CASE WHEN length(article) >= 200 THEN length(article) ELSE length(body) END AS INTEGER) AS chars, CAST(0 AS INTEGER) AS links, '# ' || h1 AS head FROM t""")
 def html_extraction(spark, d):
     page = table(spark, d, "pages").withColumn("page", html.parsed("html"))
     chosen = html.container(F.col("page"))
-    return page.select("page_id", "page.title", chosen["tag"].alias("container"), chosen["chars"].alias("chars"), chosen["links"].alias("links"), html.markdown(F.col("page")).alias("text"))
+    head = F.substring_index(html.markdown(F.col("page")), "\n\n", 1)
+    return page.select("page_id", "page.title", chosen["tag"].alias("container"), chosen["chars"].alias("chars"), chosen["links"].alias("links"), head.alias("head"))
 
 
 @query("SELECT page_id, round(least(length(html) / 1000.0, 5) + (length(html) - length(url)) * 5.0 / length(html) + CASE WHEN contains(url, '/en/') THEN 3 ELSE 0 END, 6) AS score, CASE WHEN page_id % 9 = 0 THEN 'ReactCsr' WHEN page_id % 9 = 1 THEN 'BlazorWasm' END AS framework FROM pages")
