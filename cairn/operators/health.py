@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from cairn.functions.text import collapse
 from cairn.functions.web import host
 from cairn.operators.catalog import running_total
+from cairn.sources.scratch import written
 
 
 def mix(rows: DataFrame, column: str, empty: str = "unfenced") -> DataFrame:
@@ -29,6 +30,13 @@ def duplicate_share(chunks: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "n", pct.alias("duplicate_pct"), ((F.col("n") >= 5) & (pct >= 60)).alias("suspect"))
 
 
+def repeated_texts(rows: DataFrame, text: str) -> DataFrame:
+    """text, n of texts that come twice or more: hashes are counted, and only texts whose hash repeats are compared."""
+    h = F.xxhash64(text)
+    again = written(rows.groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    return rows.withColumn("h", h).join(again, "h", "left_semi").groupBy(text).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def group_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """kind, value, n: counts by each of ``columns`` in one pass."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns])).alias("e")

@@ -375,7 +375,7 @@ def rejection_thirds(spark, d):
 
 @query("SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_names(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return health.repeated_texts(table(spark, d, "documents"), "text")
 
 
 @query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{candidates.TOKEN}') AS names, regexp_split_to_array(text, '{candidates.TOKEN}') AS gaps FROM documents),

@@ -94,13 +94,22 @@ def media_kind(path: Column, head: Column) -> Column:
     )
 
 
+def decoded(content: Column) -> Column:
+    """Text of bytes by their byte order mark, else UTF-8, with line feeds; null if they are not valid."""
+    mark = F.hex(F.substring(content, 1, 3))
+    rest = lambda n: F.substring(content, F.lit(n), F.length(content))
+    wide = lambda order: F.when(F.length(content) % 2 == 0, F.decode(rest(3), f"UTF-16{order}"))
+    utf8 = F.try_validate_utf8(F.when(mark == "EFBBBF", rest(4)).otherwise(content).cast("string"))
+    plain = F.when(F.startswith(mark, F.lit("FFFE")), wide("LE")).when(F.startswith(mark, F.lit("FEFF")), wide("BE")).otherwise(utf8)
+    return F.regexp_replace(plain, r"\r\n?", "\n")
+
+
 def texts(spark: SparkSession, root: str) -> DataFrame:
-    """path, kind, text of plain, Markdown and HTML files; line ends become line feeds, and a byte order mark goes."""
+    """path, kind, text of plain, Markdown and HTML files; null texts are ones that don't decode or hold something else. Spark
+    does not list empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,markdown,txt,text,html,htm}").load(root)
-    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(ending.isin("html", "htm"), "html").when(ending.isin("md", "markdown"), "markdown").otherwise("text")
-    plain = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), r"\r\n?", "\n")
-    return files.select("path", kind.alias("kind"), plain.alias("text"))
+    kind = media_kind(F.col("path"), F.col("content"))
+    return files.select("path", kind.alias("kind"), F.when(kind.isNotNull(), decoded(F.col("content"))).alias("text"))
 
 
 def title(kind: Column, text: Column, path: Column) -> Column:
@@ -119,6 +128,25 @@ def requirements(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("package_id <> ''")
 
 
+def pyproject(spark: SparkSession, path: str) -> DataFrame:
+    """package_id, version of the dependencies that pyproject.toml lists in its project section, one a line."""
+    text = spark.read.text(path, wholetext=True)
+    section = F.regexp_extract("value", r"(?ims)^[ \t]*\[project\][ \t]*$(.*?)(?=^[ \t]*\[|\z)", 1)
+    listed = F.regexp_extract(section, r"(?ims)^[ \t]*dependencies[^\n]*\n(.*?)(?=^[ \t]*\]|\z)", 1)
+    spec = text.select(F.explode(F.split(listed, "\n")).alias("line")).select(F.trim(F.regexp_extract("line", '"([^"]+)"', 1)).alias("spec"))
+    p = r"^([a-zA-Z0-9_.-]+)\s*(?:[=!<>~]+\s*(.+))?$"
+    rows = spec.select(F.regexp_extract("spec", p, 1).alias("package_id"), F.nullif(F.trim(F.regexp_extract("spec", p, 2)), F.lit("")).alias("version"))
+    return rows.where("package_id <> ''")
+
+
+def solution_projects(spark: SparkSession, path: str) -> DataFrame:
+    """project: paths of the projects that a solution lists, in either format, with forward slashes."""
+    text = spark.read.text(path, wholetext=True)
+    old = F.regexp_extract_all("value", F.lit(r'(?m)^\s*Project\("[^"]*"\)\s*=\s*"[^"]*"\s*,\s*"([^"]+\.[a-z]+proj)"'), F.lit(1))
+    new = F.regexp_extract_all("value", F.lit(r'<Project\s[^>]*Path="([^"]+\.[a-z]+proj)"'), F.lit(1))
+    return text.select(F.explode(F.concat(old, new)).alias("project")).select(F.replace("project", F.lit("\\"), F.lit("/")).alias("project"))
+
+
 def package_json(spark: SparkSession, path: str) -> DataFrame:
     """package_id, version of dependencies and devDependencies."""
     parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>").alias("j"))

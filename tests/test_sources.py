@@ -42,6 +42,30 @@ def test_project_files(spark, tmp_path):
     assert {tuple(r) for r in proj.collect()} == {("A", "1"), ("B", "2"), ("C", "unknown")}
 
 
+def test_projects_and_solutions(spark, tmp_path):
+    toml = put(tmp_path, "pyproject.toml", '[tool.x]\ndependencies = [\n"no"\n]\n[project]\nname = "p"\ndependencies = [\n  "a>=1.2",\n  "b",  # c\n]\nother = ["z"]\n[end]\n"no"\n')
+    assert {tuple(r) for r in files.pyproject(spark, toml).collect()} == {("a", "1.2"), ("b", None)}
+    old = put(tmp_path, "x.sln", 'Project("{A}") = "One", "src\\One\\One.csproj", "{B}"\nEndProject\nProject("{A}") = "Folder", "docs", "{C}"\n')
+    new = put(tmp_path, "x.slnx", '<Solution><Folder Name="/f/"><Project Path="a/Two.csproj" /></Folder></Solution>')
+    assert [r[0] for r in files.solution_projects(spark, old).collect()] == ["src/One/One.csproj"] and [r[0] for r in files.solution_projects(spark, new).collect()] == ["a/Two.csproj"]
+
+
+def test_decoding(spark, tmp_path):
+    raw = {"a.txt": b"\xef\xbb\xbfh\xc3\xa9\r\nx\ry", "b.txt": b"\xff\xfe" + "hé".encode("utf-16-le"), "c.txt": b"\xfe\xff" + "hé".encode("utf-16-be"), "d.txt": b"\xc3\x28", "e.md": b"%PDF-1.4", "f.html": b"", "g.txt": b"\xff\xfeabc"}
+    for name, data in raw.items():
+        put(tmp_path, name, data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["text"]) for r in files.texts(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("text", "hé\nx\ny"), "b.txt": ("text", "hé"), "c.txt": ("text", "hé"), "d.txt": ("text", None), "e.md": (None, None), "g.txt": ("text", None)}
+
+
+def test_sizes_and_compaction(spark, tmp_path):
+    rows = spark.range(100)
+    rows.repartition(8).write.parquet(str(tmp_path / "a"))
+    files.compacted(spark.read.parquet(str(tmp_path / "a")), str(tmp_path / "b"), 1)
+    a, b = (files.stored_size(spark, str(tmp_path / x)).first() for x in "ab")
+    assert a["files"] == 8 and b["files"] == 1 and b["bytes"] < a["bytes"] and spark.read.parquet(str(tmp_path / "b")).count() == 100
+
+
 def test_logs(spark, tmp_path):
     path = put(tmp_path, "s.log", "lost\n2024-01-02 03:04:05.678 +00:00 [INF] one\n  more\n2024-01-02 03:04:06.000 +00:00 [ERR] two\n")
     got = files.log_entries(spark, path).orderBy("entry").collect()
