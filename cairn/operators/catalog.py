@@ -87,8 +87,10 @@ def third(index: Column, n: Column) -> Column:
 
 
 def repointed(versions: DataFrame, deleted: str) -> DataFrame:
-    """library_id, current after ``deleted`` versions go: the latest of the rest; libraries without one go."""
+    """library_id, current after ``deleted`` versions go: the latest of the rest that is published, where ``versions`` have a state;
+    libraries without one go."""
     rest = versions.where(F.col("version") != deleted)
+    rest = rest.where("state = 'Published'") if "state" in versions.columns else rest
     return rest.groupBy("library_id").agg(F.max_by("version", F.struct("scraped_at", "version")).alias("current"))
 
 
@@ -103,15 +105,15 @@ def renamed(tables: dict[str, DataFrame], old: str, new: str) -> dict[str, DataF
     return out
 
 
-def dependency_status(packages: DataFrame, libraries: DataFrame, skipped: list[str]) -> DataFrame:
-    """package_id, version, status: filtered by prefix, cached, cached in another version, or queued.
+def dependency_status(packages: DataFrame, libraries: DataFrame, skipped: list[str], failed: Column | None = None) -> DataFrame:
+    """package_id, version, status: filtered by prefix, cached, cached in another version, failed, or queued.
 
-    ``libraries``: library_id, version, a row for each version.
+    ``libraries``: library_id, version, a row for each version; ``failed``: of a package that could not be queued.
     """
     known = libraries.groupBy("library_id").agg(F.collect_set("version").alias("versions"))
     joined = packages.join(known, F.lower(packages["package_id"]) == F.lower(known["library_id"]), "left")
     drop = F.lower("package_id").rlike("^(?:" + "|".join(p.lower().replace(".", r"\.") for p in skipped) + ")") if skipped else F.lit(False)
-    status = F.when(drop, "filtered").when(F.array_contains("versions", F.col("version")), "cached").when(F.col("versions").isNotNull(), "cached-different-version").otherwise("queued")
+    status = F.when(drop, "filtered").when(F.array_contains("versions", F.col("version")), "cached").when(F.col("versions").isNotNull(), "cached-different-version").when(F.lit(False) if failed is None else failed, "failed").otherwise("queued")
     return joined.select("package_id", "version", status.alias("status"))
 
 

@@ -12,11 +12,14 @@ from cairn.operators.catalog import third
 
 #: First words of subject terms that texts are searched for directly; with more, runs begin at every word.
 MOST_FIRST = 10_000
+#: Characters of names that are units in any case. A fixed value.
+UNIT_CHARS = 4
 
 
 def code_identifiers(chunks: DataFrame) -> DataFrame:
-    """Distinct identifiers of fenced code, and their parts of two characters or more."""
-    names = F.flatten(F.transform(fenced_code(F.col("content")), lambda c: identifiers(c)))
+    """Distinct identifiers of code, fenced or in elements for it, and their parts of two characters or more."""
+    marked = F.regexp_extract_all("content", F.lit(r"(?is)<pre[^>]*>\s*<code[^>]*>(.*?)</code>"), F.lit(1))
+    names = F.flatten(F.transform(F.concat(fenced_code(F.col("content")), marked), lambda c: identifiers(c)))
     parts = F.flatten(F.transform(names, lambda n: F.array_append(F.split(n, r"\.|::|->"), n)))
     return chunks.select(F.explode(F.array_distinct(parts)).alias("name")).where("length(name) >= 2").distinct()
 
@@ -40,13 +43,14 @@ def judged(chunks: DataFrame, stoplist: list[str], library_stoplist: list[str] =
     rows = names.join(code.withColumn("in_code", F.lit(True)), "name", "left").join(code.select(F.col("name").alias("leaf"), F.lit(True).alias("leaf_in_code")), "leaf", "left")
     rows = rows.join(prose, "name", "left").join(prose.select(F.col("name").alias("leaf"), F.col("n").alias("leaf_n")), "leaf", "left")
     either = lambda test: test(F.col("name")) | test(F.col("leaf"))
+    is_unit = lambda c: c.isin(*units) | ((F.length(c) <= UNIT_CHARS) & F.lower(c).isin(*[u.lower() for u in units]))
     listed = lambda words: either(lambda c: F.lower(c).isin(*[s.lower() for s in words]))
     often = lambda n: F.coalesce(n, F.lit(0)) >= frequent
     use = lambda test: (often(F.col("n")) & test(F.col("name"))) | (often(F.col("leaf_n")) & test(F.col("leaf")))
     keep = F.col("declared") | F.col("callable") | F.col("generic") | F.col("container").isNotNull() | F.col("in_code").isNotNull() | F.col("leaf_in_code").isNotNull()
     keep = keep | either(lambda c: c.isin(*likely)) | has_internal_structure(F.col("name")) | F.col("name").rlike(r"_|\.|::|->") | use(lambda c: ~is_abbreviation(c))
     reason = (
-        F.when(listed(stoplist), "GlobalStoplist").when(listed(library_stoplist), "LibraryStoplist").when(either(lambda c: c.isin(*units)), "Unit")
+        F.when(listed(stoplist), "GlobalStoplist").when(listed(library_stoplist), "LibraryStoplist").when(either(is_unit), "Unit")
         .when(F.length("name") < 2, "TooShort").when(keep, F.lit(None)).when(either(is_abbreviation), "LikelyAbbreviation").otherwise("NoStructureSignal")
     )
     return rows.select("chunk_id", "name", reason.alias("reason"))

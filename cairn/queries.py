@@ -313,9 +313,10 @@ def upsert_replace(spark, d):
     return catalog.upsert(old, old.where("o_orderkey % 10 = 0").withColumn("state", F.lit("new")), ["o_orderkey"])
 
 
-@query("SELECT source AS library_id, arg_max(lang, {'a': doc_id, 'b': lang}) AS current FROM documents WHERE lang <> 'en' GROUP BY 1")
+@query("SELECT source AS library_id, arg_max(lang, {'a': doc_id, 'b': lang}) AS current FROM documents WHERE lang <> 'en' AND doc_id % 3 <> 0 GROUP BY 1")
 def delete_repoint(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("library_id"), F.col("lang").alias("version"), F.col("doc_id").alias("scraped_at"))
+    state = F.when(F.col("doc_id") % 3 == 0, "Building").otherwise("Published").alias("state")
+    rows = table(spark, d, "documents").select(F.col("source").alias("library_id"), F.col("lang").alias("version"), F.col("doc_id").alias("scraped_at"), state)
     return catalog.repointed(rows, "en")
 
 
@@ -326,12 +327,12 @@ def latest_per_group(spark, d):
 
 @query("""WITH p AS (SELECT p_partkey, 'src' || (p_partkey % 40) AS package_id, CASE p_partkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' ELSE 'xx' END AS version FROM part),
 k AS (SELECT DISTINCT source, lang FROM documents)
-SELECT package_id, version, CASE WHEN package_id LIKE 'src3%' THEN 'filtered' WHEN EXISTS (SELECT 1 FROM k WHERE source = package_id AND lang = version) THEN 'cached' WHEN EXISTS (SELECT 1 FROM k WHERE source = package_id) THEN 'cached-different-version' ELSE 'queued' END AS status FROM p""")
+SELECT package_id, version, CASE WHEN package_id LIKE 'src3%' THEN 'filtered' WHEN EXISTS (SELECT 1 FROM k WHERE source = package_id AND lang = version) THEN 'cached' WHEN EXISTS (SELECT 1 FROM k WHERE source = package_id) THEN 'cached-different-version' WHEN version = 'xx' THEN 'failed' ELSE 'queued' END AS status FROM p""")
 def dependency_status(spark, d):
     version = F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es", "xx"])), (F.col("p_partkey") % 5 + 1).cast("int"))
     packages = table(spark, d, "part").select(F.concat(F.lit("src"), (F.col("p_partkey") % 40).cast("string")).alias("package_id"), version.alias("version"))
     libraries = table(spark, d, "documents").select(F.col("source").alias("library_id"), F.col("lang").alias("version")).distinct()
-    return catalog.dependency_status(packages, libraries, ["src3"])
+    return catalog.dependency_status(packages, libraries, ["src3"], F.col("version") == "xx")
 
 
 @query("""WITH s AS (SELECT source, count(*) AS pages, sum(n_chars) // 1000 AS links, count(DISTINCT lang) AS languages, avg(CASE WHEN lang = 'de' THEN 1.0 ELSE 0.0 END) AS declared FROM documents GROUP BY 1)

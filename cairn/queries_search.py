@@ -161,7 +161,7 @@ u AS (SELECT chunk_id, name, regexp_extract(name, '([^.]*)$', 1) AS leaf, contai
 p AS (SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]+)\b', 1)) AS name FROM c) GROUP BY 1),
 g AS (SELECT chunk_id, name, any_value(leaf) AS leaf, bool_or(has_container) AS has_container, bool_or(callable) AS callable, bool_or(generic) AS generic, bool_or(keyword IS NOT NULL) AS declared FROM u GROUP BY ALL),
 j AS (SELECT g.*, coalesce(a.n, 0) AS n, coalesce(b.n, 0) AS leaf_n FROM g LEFT JOIN p a ON a.name = g.name LEFT JOIN p b ON b.name = g.leaf),
-k AS (SELECT *, CASE WHEN lower(name) IN ('the', 'and', 'of') OR lower(leaf) IN ('the', 'and', 'of') THEN 'GlobalStoplist' WHEN lower(name) = 'is' OR lower(leaf) = 'is' THEN 'LibraryStoplist' WHEN name IN ('mm', 'kg') OR leaf IN ('mm', 'kg') THEN 'Unit' WHEN length(name) < 2 THEN 'TooShort'
+k AS (SELECT *, CASE WHEN lower(name) IN ('the', 'and', 'of') OR lower(leaf) IN ('the', 'and', 'of') THEN 'GlobalStoplist' WHEN lower(name) = 'is' OR lower(leaf) = 'is' THEN 'LibraryStoplist' WHEN lower(name) IN ('mm', 'kg') OR lower(leaf) IN ('mm', 'kg') THEN 'Unit' WHEN length(name) < 2 THEN 'TooShort'
  WHEN declared OR callable OR generic OR has_container OR regexp_matches(name, '[a-z][A-Z]') OR regexp_matches(name, '[A-Z][A-Z][a-z][a-z]') OR contains(name, '_') OR (n >= 3 AND NOT regexp_matches(name, '^[A-Z0-9]{{1,4}}$')) OR (leaf_n >= 3 AND NOT regexp_matches(leaf, '^[A-Z0-9]{{1,4}}$')) THEN NULL
  WHEN regexp_matches(name, '^[A-Z0-9]{{1,4}}$') OR regexp_matches(leaf, '^[A-Z0-9]{{1,4}}$') THEN 'LikelyAbbreviation' ELSE 'NoStructureSignal' END AS reason FROM j),
 s AS (SELECT u.chunk_id, name, arg_min(CASE WHEN keyword IN ('class', 'interface', 'struct', 'record', 'type') THEN 'Type' WHEN keyword = 'enum' THEN 'Enum' WHEN keyword IN ('def', 'function') THEN 'Function' WHEN callable THEN 'Function' WHEN generic THEN 'Type' WHEN has_container THEN 'Property'
