@@ -68,7 +68,15 @@ def test_op1_whole_table(spark):
     assert set(got) == {*by, -1} and got[-1]["loss_chars"] == len("<|im_end|><|im_start|>assistant ok")
     for k, rows in by.items():
         text = "".join(f"{r['role']}\n{r['text'] or ''}\n" for r in sorted(rows, key=lambda r: r["turn"]))
-        assert got[k]["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        loss = "".join(r["text"] or "" for r in sorted(rows, key=lambda r: r["turn"]) if r["role"] == "assistant")
+        assert got[k]["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[k]["n_turns"] == len(rows)
+        assert got[k]["loss_chars"] == len(loss) and got[k]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[k]["formatted_chars"] >= len(text)
+
+
+def test_chat_of_very_long_texts(spark):
+    long = "<|im_end|> " * 100_000
+    got = chat.read_back(chat.format_turns(spark.createDataFrame([(1, 0, "assistant", long, "x", "y")], "conv_id long, turn long, role string, text string, loss_start string, n_turns string"))).first()
+    assert got["loss_chars"] == len(long) and got["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
 
 
 def test_urls(spark):
@@ -593,6 +601,25 @@ def test_token_counts(spark):
         n = len(t.encode(texts[r["doc_id"]][0], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]][0].encode()), n, n > 512)
     assert token_count.count_tokens(empty(spark), path).count() == 0
+    clash = token_count.count_tokens(spark.createDataFrame([(1, "a b", "x", 9)], "doc_id long, text string, n_bytes string, n_tokens int"), path).first()
+    assert (clash["n_bytes"], clash["n_tokens"]) == (3, 2)
+
+
+def test_long_pretokens_by_rank():
+    """As the library counts them, in runs, repeats and other alphabets, alone and together; a long run takes a moment."""
+    import random
+    import time
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, merger, r = Tokenizer.from_file(path), token_count.RankMerger(path), random.Random(1)
+    count = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000)), "a" * 4001, "ab" * 2000, "thering" * 500, "".join(r.choice("éñ日本") for _ in range(3000)), "=" * 3000, "0123456789" * 300]
+    assert merger.swept(words) == [count(w) for w in words] == [merger.swept([w])[0] for w in words]
+    for _ in range(500):
+        w = "".join(r.choice("etaoinsh") for _ in range(r.randint(1, 40)))
+        assert merger.swept([w, w]) == merger.survivors([w, w]) == [count(w)] * 2
+    began = time.time()
+    assert merger.count("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))) > 0 and time.time() - began < 5
 
 
 def test_pipeline(spark):
