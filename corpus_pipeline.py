@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("source_mix", source_mix), ("packing", packed)]
 
-#: Fingerprint components, trained models and the tokenizer are beyond SQL; stages are tested against plain Python.
+#: Fingerprint components, trained models and the tokenizer are beyond SQL; each stage is tested against plain Python in tests/llm.
 ORACLE_SQL = None
 
 
