@@ -100,6 +100,15 @@ def crawl_decision(url: Column, depth: Column, seen: Column, root: str, allow: l
     return F.struct(decision.alias("decision"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
+def child_counters(url: Column, in_scope: Column, same_host: Column, off_site: Column, root: str) -> Column:
+    """Struct (in_scope, same_host, off_site): steps to a link of a page that is so many steps away, by where the link leads;
+    a link back into scope starts the others anew."""
+    scoped = in_root_scope(url, root)
+    same = F.coalesce((scheme(url) == scheme(F.lit(root))) & (host(url) == host(F.lit(root))), F.lit(False))
+    made = lambda a, b, c: F.struct(a.cast("long").alias("in_scope"), b.cast("long").alias("same_host"), c.cast("long").alias("off_site"))
+    return F.when(scoped, made(in_scope + 1, F.lit(0), F.lit(0))).when(same, made(in_scope, same_host + 1, off_site)).otherwise(made(in_scope, same_host, off_site + 1))
+
+
 def code_host_parts(url: Column) -> Column:
     """Struct (owner, repo) of a github.com URL; nulls for others."""
     p = r"^https?://(?:www\.)?github\.com/([^/?#]+)/([^/?#]+)"

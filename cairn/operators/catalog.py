@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,6 +107,20 @@ def renamed(tables: dict[str, DataFrame], old: str, new: str) -> dict[str, DataF
     return out
 
 
+#: Beginnings of packages that are tools or parts of a platform, by ecosystem. Fixed values.
+TOOLS = {
+    "nuget": ("Microsoft.Extensions.", "Microsoft.AspNetCore.", "Microsoft.EntityFrameworkCore.", "System.", "Microsoft.NET.", "Microsoft.NETCore.", "NETStandard.", "xunit", "NUnit", "Moq", "FluentAssertions", "coverlet.", "Microsoft.TestPlatform", "MSTest.", "CodeStructure.Analyzers"),
+    "npm": ("@types/", "eslint", "prettier", "typescript", "webpack", "jest", "mocha", "babel", "postcss", "autoprefixer", "vite", "rollup"),
+    "pip": ("setuptools", "pip", "wheel", "pytest", "black", "flake8", "mypy", "pylint", "isort", "tox", "coverage", "twine"),
+}
+
+
+def is_tool(package: Column, ecosystem: Column) -> Column:
+    """Whether a package begins, in any case, as one of its ecosystem's ``TOOLS``; packages of other ecosystems don't."""
+    begins = {e: F.lower(package).rlike("^(?:" + "|".join(re.escape(p.lower()) for p in prefixes) + ")") for e, prefixes in TOOLS.items()}
+    return F.coalesce(*[F.when(ecosystem == e, b) for e, b in begins.items()], F.lit(False))
+
+
 def dependency_status(packages: DataFrame, libraries: DataFrame, skipped: list[str], failed: Column | None = None) -> DataFrame:
     """package_id, version, status: filtered by prefix, cached, cached in another version, failed, or queued.
 

@@ -44,6 +44,18 @@ def media_kinds(spark, d):
     return table(spark, d, "pages").select("page_id", files.media_kind(path, F.encode(head, "ISO-8859-1")).alias("kind"))
 
 
+@query("SELECT vec_id AS chunk_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id, NULL FROM embeddings WHERE vec_id % 7 = 0")
+def bundle_vectors(spark, d):
+    """Two bundles with vectors: one for the encoder at hand, one for another, which has to embed anew."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("c").alias("content"), F.lit("e1").alias("encoder"), "embedding")
+    schema, back = "chunk_id long, content string, encoder string", []
+    for n, encoder in ((5, "e1"), (7, "e2")):
+        path = folder(spark)
+        files.export_bundle(rows.where(F.col("chunk_id") % n == 0), path)
+        back.append(files.import_bundle(spark, path, schema, encoder).select("chunk_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first")))
+    return back[0].unionByName(back[1])
+
+
 @query("SELECT 'dep' || p_partkey AS package_id, '^' || p_partkey AS version FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'dev' || p_partkey, '1' FROM part WHERE p_partkey % 2 = 1")
 def package_files(spark, d):
     """package.json files of one package each."""
@@ -113,6 +125,26 @@ def converted_tables(spark, d):
     return reports.rendered_tables(converted.cells(conversions(spark, d).select("document_id", "document")))
 
 
+# Links and packages
+
+ROOT = "https://www.ththing.example.com/en/1"
+
+
+@query("""WITH p AS (SELECT page_id, coalesce(regexp_matches(url, '^https://www.ththing.example.com/en/'), false) AS scoped, coalesce(regexp_matches(url, '^https://www.ththing.example.com(/|$|[?#])'), false) AS same, page_id % 5 AS a, page_id % 3 AS b, page_id % 2 AS c FROM pages)
+SELECT page_id, CASE WHEN scoped THEN a + 1 ELSE a END AS in_scope, CASE WHEN scoped THEN 0 WHEN same THEN b + 1 ELSE b END AS same_host, CASE WHEN scoped THEN 0 WHEN same THEN c ELSE c + 1 END AS off_site FROM p""")
+def child_depths(spark, d):
+    k = F.col("page_id")
+    return table(spark, d, "pages").select("page_id", W.child_counters(F.col("url"), k % 5, k % 3, k % 2, ROOT).alias("c")).select("page_id", "c.*")
+
+
+@query("SELECT p_partkey, p_partkey % 6 IN (0, 1, 2) AS tool FROM part")
+def package_filter(spark, d):
+    k = F.col("p_partkey")
+    named = (("nuget", "SYSTEM.Text"), ("npm", "@types/x"), ("pip", "PyTest-x"), ("pip", "systemd"), ("npm", "pytest"), ("cargo", "pip"))
+    pick = lambda i: F.element_at(F.array(*[F.lit(n[i]) for n in named]), (k % 6 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", catalog.is_tool(pick(1), pick(0)).alias("tool"))
+
+
 # Stored tables
 
 

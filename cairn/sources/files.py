@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.catalog import islands, running_totals
+from cairn.operators.catalog import islands, numbered, running_totals
+from cairn.sources.scratch import written
 
 #: Endings of documents that are read, and folders of which nothing is. Fixed values.
 DOCUMENTS = ("md", "markdown", "txt", "text", "html", "htm", "pdf", "docx")
@@ -197,25 +198,62 @@ def replace_version(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("library_id", "version").parquet(path)
 
 
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """name, length, sha256 of the files below ``path``, without marker files. A file is read by one task; bundles' files are small."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return files.select(name.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
 def export_bundle(chunks: DataFrame, path: str) -> dict:
-    """Writes ``chunks`` as JSON lines with a manifest of counts; refuses more than one encoder."""
-    facts = chunks.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("encoder").alias("encoders"), F.max("encoder").alias("encoder"), F.sum(F.xxhash64("chunk_id", "content").cast("decimal(38,0)")).alias("digest")).first()
+    """Writes ``chunks`` (chunk_id, content, encoder, perhaps embedding, ...) as JSON lines, their vectors by place, the files'
+    lengths and SHA-256, and a manifest of counts. ValueError for rows of more than one encoder, or vectors of several lengths."""
+    spark, size = chunks.sparkSession, F.size("embedding") if "embedding" in chunks.columns else F.lit(None).cast("int")
+    facts = chunks.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("encoder").alias("encoders"), F.max("encoder").alias("encoder"), F.min(size).alias("least"), F.max(size).alias("dims"), F.count(size).alias("vectors")).first()
     if facts["encoders"] > 1:
         raise ValueError("the rows come from more than one encoder")
-    chunks.write.mode("errorifexists").json(f"{path}/chunks")
-    manifest = {"chunks": facts["n"], "encoder": facts["encoder"], "digest": str(facts["digest"])}
-    chunks.sparkSession.createDataFrame([manifest], "chunks long, encoder string, digest string").coalesce(1).write.json(f"{path}/manifest")
+    if facts["least"] != facts["dims"]:
+        raise ValueError("vectors differ in length")
+    if facts["dims"] is None:
+        chunks.drop("embedding").write.mode("errorifexists").json(f"{path}/chunks")
+    else:
+        placed = written(numbered(chunks, ["chunk_id"]))
+        placed.drop("embedding").write.mode("errorifexists").json(f"{path}/chunks")
+        placed.select("at", "embedding").where("embedding IS NOT NULL").write.parquet(f"{path}/vectors")
+    parts = [fingerprints(spark, f"{path}/{name}") for name in ("chunks", *(["vectors"] if facts["dims"] is not None else []))]
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    every.write.json(f"{path}/files")
+    manifest = {"chunks": facts["n"], "encoder": facts["encoder"], "dims": facts["dims"], "vectors": facts["vectors"]}
+    spark.createDataFrame([manifest], MANIFEST).coalesce(1).write.json(f"{path}/manifest")
     return manifest
 
 
-def import_bundle(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The chunks of a bundle, checked against its manifest."""
-    chunks = spark.read.schema(schema).json(f"{path}/chunks")
-    facts = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("chunk_id", "content").cast("decimal(38,0)")).alias("digest")).first()
-    manifest = spark.read.schema("chunks long, encoder string, digest string").json(f"{path}/manifest").first()
-    if (facts["n"], str(facts["digest"])) != (manifest["chunks"], manifest["digest"]):
-        raise ValueError("the bundle does not match its manifest")
-    return chunks
+MANIFEST = "chunks long, encoder string, dims int, vectors long"
+
+
+def import_bundle(spark: SparkSession, path: str, schema: str, encoder: str | None = None) -> DataFrame:
+    """The chunks of a bundle, its files and counts checked; ValueError if one differs.
+
+    Vectors are joined by place if the bundle's encoder is ``encoder``, or none is named; for another one they are null, and the
+    chunks have to be embedded anew.
+    """
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+    told = spark.read.schema("name string, length long, sha256 string").json(f"{path}/files")
+    own = fingerprints(spark, f"{path}/chunks")
+    own = own if manifest["dims"] is None else own.unionByName(fingerprints(spark, f"{path}/vectors"))
+    if not (own.exceptAll(told).isEmpty() and told.exceptAll(own).isEmpty()):
+        raise ValueError("the bundle's files do not match its manifest")
+    chunks = spark.read.schema(schema + (", at long" if manifest["dims"] is not None else "")).json(f"{path}/chunks")
+    if chunks.count() != manifest["chunks"]:
+        raise ValueError("the bundle does not hold the chunks of its manifest")
+    if manifest["dims"] is None:
+        return chunks
+    if encoder is not None and encoder != manifest["encoder"]:
+        return chunks.withColumn("embedding", F.lit(None).cast("array<float>")).drop("at")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    if vectors.where(F.size("embedding") == manifest["dims"]).count() != manifest["vectors"]:
+        raise ValueError("the bundle does not hold the vectors of its manifest")
+    return chunks.join(vectors, "at", "left").drop("at")
 
 
 def unexpired(rows: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame:

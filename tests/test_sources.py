@@ -75,11 +75,24 @@ def test_logs(spark, tmp_path):
 
 
 def test_bundle(spark, tmp_path):
-    rows = spark.createDataFrame([("c1", "x", "e"), ("c2", "y", "e")], "chunk_id string, content string, encoder string")
+    schema = "chunk_id string, content string, encoder string"
+    rows = spark.createDataFrame([("c1", "x", "e"), ("c2", "y", "e")], schema)
     files.export_bundle(rows, str(tmp_path / "b"))
-    assert files.import_bundle(spark, str(tmp_path / "b"), "chunk_id string, content string, encoder string").count() == 2
+    assert files.import_bundle(spark, str(tmp_path / "b"), schema).count() == 2
     with pytest.raises(ValueError):
         files.export_bundle(rows.withColumn("encoder", F.col("chunk_id")), str(tmp_path / "c"))
+    vectors = spark.createDataFrame([("c2", "y", "e", [2.0, 3.0]), ("c1", "x", "e", [1.0, 2.0]), ("c3", "z", "e", None)], schema + ", embedding array<float>")
+    assert files.export_bundle(vectors, str(tmp_path / "v")) == {"chunks": 3, "encoder": "e", "dims": 2, "vectors": 2}
+    back = lambda e=None: {r["chunk_id"]: r["embedding"] for r in files.import_bundle(spark, str(tmp_path / "v"), schema, e).collect()}
+    assert back() == back("e") == {"c1": [1.0, 2.0], "c2": [2.0, 3.0], "c3": None} and set(back("other").values()) == {None}
+    with pytest.raises(ValueError):
+        files.export_bundle(vectors.withColumn("embedding", F.when(F.col("chunk_id") == "c1", F.array(F.lit(1.0))).otherwise(F.col("embedding"))), str(tmp_path / "w"))
+    part = next(p for p in (tmp_path / "v" / "chunks").iterdir() if p.name.startswith("part") and p.stat().st_size)
+    part.write_text(part.read_text().replace('"z"', '"q"').replace('"x"', '"q"').replace('"y"', '"q"'))
+    for crc in (tmp_path / "v" / "chunks").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError):
+        back()
 
 
 def pages_of(spark, *pages):
