@@ -21,7 +21,7 @@ from cairn.llm.markov import let
 from cairn.llm.storage import written
 from cairn.llm.words import SPACES, words_of
 
-#: Common words by language. Fixed values.
+#: Common words by language: few, so that the hundred words that a document needs to be judged fill their bins. Fixed values.
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "on", "with"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist", "ein", "eine"],

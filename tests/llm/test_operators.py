@@ -620,20 +620,3 @@ def test_long_pretokens_by_rank():
         assert merger.swept([w, w]) == merger.survivors([w, w]) == [count(w)] * 2
     began = time.time()
     assert merger.count("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))) > 0 and time.time() - began < 5
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{D}/documents.parquet")
-    for awk in (awkward(spark).select(*docs.columns), empty(spark).select(*docs.columns)):
-        rows = awk
-        for name, stage in corpus_pipeline.STAGES:
-            rows = stage(spark, rows, D)
-            assert name == "packing" or rows.columns == docs.columns
-        rows.count()
-    pieces = corpus_pipeline.run(spark, D).collect()
-    by = defaultdict(int)
-    for r in pieces:
-        by[r["sequence_id"]] += r["length"]
-    assert pieces and max(by.values()) <= 2048
