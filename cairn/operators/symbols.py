@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from cairn.functions.text import MENTION, fenced_code, has_internal_structure, identifiers, is_abbreviation, let, without_fences
 from cairn.operators.candidates import candidates
 from cairn.operators.catalog import third
+from cairn.sources.scratch import written
 
 #: First words of subject terms that texts are searched for directly; with more, runs begin at every word.
 MOST_FIRST = 10_000
@@ -68,6 +69,7 @@ def inferred_subject(texts: DataFrame, terms: DataFrame, key: str, text: str) ->
     Words and runs of words of the text meet the terms in an equi-join, so no pair of text and term is tried.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
+    terms = written(terms.select("subject_id", "term"))  # so that its size is known, and it is sent if it is small
     facts = terms.agg(F.max(F.size(F.split("term", " "))).alias("m"), F.slice(F.collect_set(F.substring_index(F.lower("term"), " ", 1)), F.lit(1), F.lit(MOST_FIRST + 1)).alias("first")).first()
     longest, first = facts["m"] or 0, facts["first"]
     begins = (lambda w: w.isin(first)) if len(first) <= MOST_FIRST else (lambda w: F.lit(True))
