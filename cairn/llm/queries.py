@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import chat, mixing, neighbours, packing, quality, secrets, simhash, storage, token_count, token_records, urls
+from cairn.llm import alignment, chat, mixing, neighbours, packing, quality, secrets, simhash, storage, token_count, token_records, urls
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -71,5 +71,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_source_mixing, op4_simhash, op5_secret_scan, op6_nearest_vectors, op7_quality_rules, op8_token_records, op9_packing, op10_token_counts)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_source_mixing, op4_simhash, op5_secret_scan, op6_nearest_vectors, op7_quality_rules, op8_token_records, op9_packing, op10_token_counts, op11_token_alignment)}
 SQL: dict[str, str] = {}
