@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import alignment, chat, mixing, neighbours, packing, quality, secrets, simhash, storage, token_count, token_records, urls
+from cairn.llm import alignment, chat, licences, mixing, neighbours, packing, quality, secrets, simhash, spelling, storage, token_count, token_records, urls
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -75,5 +75,19 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_source_mixing, op4_simhash, op5_secret_scan, op6_nearest_vectors, op7_quality_rules, op8_token_records, op9_packing, op10_token_counts, op11_token_alignment)}
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licences.scan(table(spark, sf_dir, "documents"))
+    spelled = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    base = F.col("base.label")
+    return rows.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.start").alias("first_word"), F.array_max("base.start").alias("last_word"),
+        spelled(base).alias("base_labels"), spelled(F.concat(base, F.col("spans.label"))).alias("labels"), "score",
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_source_mixing, op4_simhash, op5_secret_scan, op6_nearest_vectors, op7_quality_rules, op8_token_records, op9_packing, op10_token_counts, op11_token_alignment, op12_licence_scan, op13_spelling_variants)}
 SQL: dict[str, str] = {}
