@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -96,6 +97,33 @@ class _Reader(HTMLParser):
             self.found.append(("body", 0, len(self.pieces), -1))
 
 
+def _within(spans: list[tuple[int, int, int]], elements: list[tuple]) -> list[int]:
+    """Sum of the values of ``spans`` (start, end, value) that lie inside of each element.
+
+    Spans are added by their ends, into a tree of sums over their starts, and elements asked by their ends.
+    """
+    starts = sorted({s for s, _, _ in spans})
+    place = {s: i for i, s in enumerate(starts)}
+    tree = [0] * (len(starts) + 1)
+    ends = sorted(spans, key=lambda s: s[1])
+    out, k, total = [0] * len(elements), 0, 0
+    for i in sorted(range(len(elements)), key=lambda i: elements[i][2]):
+        _, first, last = elements[i][:3]
+        while k < len(ends) and ends[k][1] <= last:
+            at = place[ends[k][0]] + 1
+            total += ends[k][2]
+            while at < len(tree):
+                tree[at] += ends[k][2]
+                at += at & -at
+            k += 1
+        at, before = bisect_left(starts, first), 0
+        while at > 0:
+            before += tree[at]
+            at -= at & -at
+        out[i] = total - before
+    return out
+
+
 def read(page: str | None) -> dict:
     """The page's title, its blocks of visible text in order, and its containers, the body last."""
     r = _Reader()
@@ -106,10 +134,10 @@ def read(page: str | None) -> dict:
     text = lambda f: _collapsed(r.pieces[f[1] : f[2]])
     blocks = [{"tag": f[0], "text": text(f), "start": f[1], "end": f[2]} for f in found if f[0] in KEPT]
     ordered = [f for f in found if f[0] in CONTAINERS] + [f for f in found if f[0] == "body"][-1:]
-    links = lambda f: sum(len(_collapsed(r.pieces[a:b])) for a, b in r.links if f[1] <= a and b <= f[2])
     blocks = [b for b in blocks if b["text"]]
-    bare = lambda f: not any(f[1] <= b["start"] and b["end"] <= f[2] for b in blocks)  # noqa: E731  # all of its text is needed then
-    containers = [{"tag": f[0], "chars": len(text(f)), "links": links(f), "start": f[1], "end": f[2], "text": text(f) if bare(f) else None} for f in ordered]
+    links = _within([(a, b, len(_collapsed(r.pieces[a:b]))) for a, b in r.links], ordered)
+    held = _within([(b["start"], b["end"], 1) for b in blocks], ordered)  # all text of a container without blocks is needed
+    containers = [{"tag": f[0], "chars": len(text(f)), "links": n, "start": f[1], "end": f[2], "text": None if k else text(f)} for f, n, k in zip(ordered, links, held)]
     return {"title": _collapsed(r.title), "blocks": blocks, "containers": containers}
 
 
@@ -118,6 +146,22 @@ def parsed(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read(p) for p in pages], columns=["title", "blocks", "containers"])
 
 
+#: A page, or what the parser said where it failed.
+OUTCOME = StructType([StructField("page", PAGE), StructField("error", StringType())])
+
+
+@F.pandas_udf(OUTCOME)
+def parsed_or_error(pages: pd.Series) -> pd.DataFrame:
+    """As ``parsed``, with a page that the parser fails on as null and the failure in ``error``."""
+    found = []
+    for p in pages:
+        try:
+            found.append((read(p), None))
+        except Exception as e:  # whatever a page does to the parser, it is that page's row alone
+            found.append((None, f"{type(e).__name__}: {e}"))
+    return pd.DataFrame(found, columns=["page", "error"])
+
+
 def container(page: Column) -> Column:
     """The longest candidate with enough text that is not mostly links, the first of equals; else the body."""
     fits = F.filter(page["containers"], lambda c: (c["tag"] != "body") & (c["chars"] >= LEAST_CHARS) & (c["links"] / c["chars"] < LINK_SHARE))

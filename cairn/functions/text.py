@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Token patterns. Fixed values.
 PROSE = "[A-Za-z][A-Za-z0-9]+"
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*"
+#: Repeated groups are possessive: a group that may give back is matched by recursion, and long joined names overflow the stack.
+IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*+(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*+)*+"
 MENTION = r"\b[A-Z][A-Za-z0-9_]+\b"
 
 
@@ -31,6 +32,17 @@ def identifier_terms(text: Column, least: int = 2) -> Column:
     return F.flatten(F.transform(identifiers(text, least), lambda t: F.array_distinct(F.array(t, F.lower(t)))))
 
 
+def counted(terms: Column) -> Column:
+    """Array of (term, tf) by term: the array is sorted, and each run of equal terms is one element."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        one = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+        return F.when(F.size(s) > 0, let(starts, one)).otherwise(F.array().cast("array<struct<term: string, tf: bigint>>"))
+
+    return let(F.array_sort(terms), runs)
+
+
 def query_terms(text: Column) -> Column:
     """Distinct terms of a query, prose first."""
     return F.array_distinct(F.concat(prose_tokens(text), identifier_terms(text)))

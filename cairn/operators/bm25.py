@@ -1,7 +1,7 @@
-"""BM25: postings, lengths and statistics as tables, built once and read by term, scored by joins that Catalyst plans.
+"""BM25: postings, lengths and statistics as tables, scored by joins that Catalyst plans, and checks of a stored index.
 
-Postings are aggregated where texts lie before they are shuffled.  A search of the stored index reads the folders of its terms'
-buckets, and of those files the row groups that hold them.  ``scores`` answers one query over texts that have no index.
+A search of a stored index (``segments``) reads its manifest, the folders of its terms' buckets, and of those files the row
+groups that hold them.  ``scores`` answers one query over texts that have no index.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.text import identifier_terms, let, prose_tokens, query_terms
+from cairn.operators.segments import Index, bucket_of, terms_in
 from cairn.sources.scratch import written
 
 #: Saturation and length weight. Fixed values.
@@ -17,9 +18,9 @@ K1, B = 1.5, 0.75
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf of ``chunks`` (chunk_id, content): prose tokens and identifier terms together."""
-    terms = F.concat(prose_tokens(F.col("content")), identifier_terms(F.col("content")))
-    return chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """chunk_id, term, tf of ``chunks`` (chunk_id, content), counted in each row: prose tokens and identifier terms together."""
+    rows = chunks.select("chunk_id", F.explode(terms_in(F.col("content"))["terms"]).alias("t"))
+    return rows.select("chunk_id", "t.term", "t.tf")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -60,71 +61,21 @@ def scores(chunks: DataFrame, query: str) -> DataFrame:
     return each.groupBy("chunk_id").agg(F.sum("s").alias("bm25"))
 
 
-#: Folders of postings, by hash of the term: as many as keep a folder's files worth reading.
-BUCKETS = 16
-
-
-class Index:
-    """A stored index: tables below a folder. The term's bucket is a folder and terms are sorted inside, so a search reads what
-    its terms need.
-
-    postings: bucket, term, library_id, chunk_id, tf, doc_length; lengths: library_id, chunk_id, doc_length;
-    stats: library_id, n_docs, avg_length, buckets.
-    """
-
-    SCHEMAS = {
-        "postings": "term string, library_id string, chunk_id long, tf long, doc_length long, bucket int", "lengths": "library_id string, chunk_id long, doc_length long",
-        "stats": "library_id string, n_docs long, avg_length double, buckets int",
-    }
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.folder}/{name}")
-
-    postings = property(lambda self: self._read("postings"))
-    lengths = property(lambda self: self._read("lengths"))
-    stats = property(lambda self: self._read("stats"))
-
-
-def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def build(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> Index:
-    """Writes the index of ``chunks`` (chunk_id, library_id, content) and opens it. Chunks without terms are not in it.
-
-    Texts are read once and terms counted where they lie; postings are shuffled by bucket, and large buckets are split.
-    """
-    index = Index(chunks.sparkSession, folder)
-    every = F.concat(prose_tokens(F.col("content")), identifier_terms(F.col("content")))
-    library = F.coalesce("library_id", F.lit("")).alias("library_id")
-    counted = let(every, lambda ts: F.struct(F.size(ts).cast("long").alias("doc_length"), ts.alias("terms")))
-    rows = chunks.select("chunk_id", library, counted.alias("c")).select("chunk_id", "library_id", "c.doc_length", F.explode("c.terms").alias("term"))
-    counts = rows.groupBy("library_id", "chunk_id", "doc_length", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    dealt = counts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "library_id", "chunk_id")
-    dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    index.postings.groupBy("library_id", "chunk_id").agg(F.max("doc_length").alias("doc_length")).write.parquet(f"{folder}/lengths")
-    facts = index.lengths.groupBy("library_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_length").alias("avg_length"))
-    facts.withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/stats")
-    return index
-
-
 def terms_of(spark: SparkSession, query: str) -> list[str]:
     return spark.range(1).select(query_terms(F.lit(query)).alias("t")).first()["t"]
 
 
 def search(index: Index, query: str, library: str | None = None) -> DataFrame:
     """chunk_id, bm25 of every chunk of a library (of all, taken as one) that has a term of ``query``."""
-    spark = index.spark
-    terms = terms_of(spark, query)
-    own = (lambda rows: rows) if library is None else (lambda rows: rows.where(F.col("library_id") == library))
-    stats = own(index.stats).agg(F.sum("n_docs").alias("n"), (F.sum(F.col("n_docs") * F.col("avg_length")) / F.sum("n_docs")).alias("avg"), F.max("buckets").alias("buckets")).first()
-    buckets = [r["b"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"), stats["buckets"] or BUCKETS).alias("b")).distinct().collect()]
-    hits = own(index.postings).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    terms = terms_of(index.spark, query)
+    live = index.manifest if library is None else index.manifest.where(F.col("library_id") == library)
+    live = live if terms else live.limit(0)
+    stats = live.agg(F.sum("n_docs").alias("n"), F.sum("total_length").alias("total")).first()
+    n = stats["n"] or 0
+    hits = index.postings_of(live, terms)
+    hits = hits if library is None else hits.where(F.col("library_id") == library)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    each = hits.join(df, "term").select("chunk_id", contribution(idf(F.lit(stats["n"] or 0), F.col("df")), F.col("tf"), F.col("doc_length"), F.lit(float(stats["avg"] or 0.0))).alias("s"))
+    each = hits.join(df, "term").select("chunk_id", contribution(idf(F.lit(n), F.col("df")), F.col("tf"), F.col("doc_length"), F.lit((stats["total"] or 0) / max(n, 1))).alias("s"))
     return each.groupBy("chunk_id").agg(F.sum("s").alias("bm25"))
 
 
@@ -142,9 +93,9 @@ def damaged(postings: DataFrame, lengths: DataFrame) -> DataFrame:
     return both.where("NOT (total <=> doc_length)").select("chunk_id", "total", "doc_length")
 
 
-def malformed(postings: DataFrame, lengths: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def malformed(postings: DataFrame, lengths: DataFrame) -> DataFrame:
     """term, chunk_id, problem of postings that are blank, in the wrong bucket, repeated, not counted, or of an unknown chunk."""
-    rows = postings.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least"), F.bool_or(F.col("bucket") != bucket_of(F.col("term"), buckets)).alias("astray"))
+    rows = postings.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least"), F.bool_or(F.col("bucket") != bucket_of(F.col("term"), F.col("buckets"))).alias("astray"))
     met = rows.join(lengths.select("chunk_id", F.lit(True).alias("known")), "chunk_id", "left")
     blank = F.coalesce(F.trim("term") == "", F.lit(True))
     problem = F.when(blank, "Blank").when(F.col("astray"), "WrongBucket").when(F.col("n") > 1, "Repeated").when(F.coalesce("least", F.lit(0)) < 1, "NotCounted").when(F.col("known").isNull(), "UnknownChunk")

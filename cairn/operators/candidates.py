@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions.text import let
 
 #: Identifiers with dashes inside, joined by dots, double colons or arrows. A fixed value.
-TOKEN = r"[A-Za-z_][A-Za-z0-9_]*(?:-[A-Za-z][A-Za-z0-9_]*)*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*"
+TOKEN = r"[A-Za-z_][A-Za-z0-9_]*+(?:-[A-Za-z][A-Za-z0-9_]*+)*+(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*+)*+"
 #: Words before a declared name. Fixed values.
 KEYWORDS = ["class", "interface", "struct", "enum", "record", "type", "def", "function"]
 #: Between a container and a leaf: the first of these that a name holds. Fixed values.

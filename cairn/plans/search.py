@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.operators import bm25, vectors
+from cairn.operators import bm25, segments, vectors
 from cairn.operators.subjects import boost
 
 
@@ -23,7 +23,7 @@ def in_scope(chunks: DataFrame, published: DataFrame, library: str | None, categ
 
 
 def search_docs(
-    chunks: DataFrame, embedded: DataFrame, published: DataFrame, index: bm25.Index | None, text: str, query_vector: list[float], k: int = 5, library: str | None = None, category: str | None = None,
+    chunks: DataFrame, embedded: DataFrame, published: DataFrame, index: segments.Index | None, text: str, query_vector: list[float], k: int = 5, library: str | None = None, category: str | None = None,
     subject: str | None = None, inferred: str | None = None, strategy: str = "Onnx",
 ) -> DataFrame:
     """chunk_id, library_id, category, content, score, place: hybrid search over published versions.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions import web as W
-from cairn.operators import bm25, candidates, catalog, chunking, health, symbols, taxonomy, vectors
+from cairn.operators import bm25, candidates, catalog, chunking, health, segments, symbols, taxonomy, vectors
 from cairn.sources.scratch import folder
 from cairn.streaming import state
 
@@ -43,14 +43,14 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("library_id"), "embedding")
 
 
-_STORED: dict[tuple[str, str], bm25.Index] = {}
+_STORED: dict[tuple[str, str], segments.Index] = {}
 
 
-def stored_index(spark: SparkSession, d: str) -> bm25.Index:
+def stored_index(spark: SparkSession, d: str) -> segments.Index:
     """The index of the documents, built once an application and read by every search of them."""
     key = spark.sparkContext.applicationId, d
     if key not in _STORED:
-        _STORED[key] = bm25.build(chunks(spark, d), folder(spark))
+        _STORED[key] = segments.build(chunks(spark, d), folder(spark))
     return _STORED[key]
 
 
@@ -60,6 +60,8 @@ def first_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 TEXT_QUERY = "the tion and thereon"
+#: SQL's patterns have no possessive form.
+TOKEN_SQL = candidates.TOKEN.replace("*+", "*")
 PROSE_SQL = "list_transform(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9]+)', 1), lambda x: lower(x))"
 IDENT_SQL = r"list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*)', 1), lambda x: length(x) >= 2)"
 POSTINGS_SQL = f"""
@@ -379,7 +381,7 @@ def duplicate_names(spark, d):
     return health.repeated_texts(table(spark, d, "documents"), "text")
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{candidates.TOKEN}') AS names, regexp_split_to_array(text, '{candidates.TOKEN}') AS gaps FROM documents),
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN_SQL}') AS names, regexp_split_to_array(text, '{TOKEN_SQL}') AS gaps FROM documents),
 e AS (SELECT doc_id, unnest(names) AS name, unnest(gaps[2:]) AS after, unnest(gaps[:len(names)]) AS gap, unnest(list_prepend('', names[:len(names) - 1])) AS prev, unnest(list_prepend('', gaps[:len(names) - 1])) AS prev_gap, unnest(range(0, len(names))) AS nth FROM t WHERE len(names) > 0),
 w AS (SELECT *, CASE WHEN nth > 0 AND regexp_full_match(gap, '\s*') THEN lower(regexp_extract(prev_gap || prev, '([\pL_]+)$', 1)) END AS word FROM e)
 SELECT CAST(doc_id AS VARCHAR) AS chunk_id, name, after[1] = '(' AS callable, after[1] = '<' AS generic, coalesce(word IN ({", ".join(f"'{k}'" for k in candidates.KEYWORDS)}), false) AS declared, CAST(min(nth) AS INTEGER) AS nth FROM w GROUP BY ALL""")

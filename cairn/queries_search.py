@@ -9,7 +9,7 @@ from cairn.functions import html
 from cairn.functions import text as T
 from cairn.operators import bm25, candidates, catalog, chunking, symbols, vectors
 from cairn.plans import search
-from cairn.queries import COSINE_SQL, POSTINGS_SQL, chunk_vectors, chunks, first_vector, query, stored_index, table
+from cairn.queries import COSINE_SQL, POSTINGS_SQL, TOKEN_SQL, chunk_vectors, chunks, first_vector, query, stored_index, table
 from cairn.sources import files
 from cairn.sources.scratch import folder
 
@@ -35,8 +35,8 @@ def bm25_integrity(spark, d):
 @query(f"WITH {POSTINGS_SQL} SELECT term, chunk_id, CASE WHEN chunk_id % 4 = 0 THEN 'Repeated' WHEN chunk_id % 5 = 0 THEN 'NotCounted' WHEN chunk_id % 7 = 0 THEN 'UnknownChunk' END AS problem FROM postings WHERE term = 'the' AND (chunk_id % 4 = 0 OR chunk_id % 5 = 0 OR chunk_id % 7 = 0) UNION ALL SELECT ' ', 1, 'Blank'")
 def bm25_malformed(spark, d):
     index = stored_index(spark, d)
-    rows = index.postings.where("term = 'the'").select("term", "chunk_id", "bucket", F.when(F.col("chunk_id") % 5 == 0, 0).otherwise(F.col("tf")).alias("tf"))
-    blank = spark.createDataFrame([(" ", 1, 0, 1)], "term string, chunk_id long, bucket int, tf long")
+    rows = index.postings.where("term = 'the'").select("term", "chunk_id", "bucket", "buckets", F.when(F.col("chunk_id") % 5 == 0, 0).otherwise(F.col("tf")).alias("tf"))
+    blank = spark.createDataFrame([(" ", 1, 0, 1, 1)], "term string, chunk_id long, bucket int, buckets int, tf long")
     rows = rows.unionByName(rows.where("chunk_id % 4 = 0")).unionByName(blank)
     return bm25.malformed(rows, index.lengths.where("chunk_id % 7 <> 0 OR chunk_id % 4 = 0 OR chunk_id % 5 = 0"))
 
@@ -155,7 +155,7 @@ SYMBOLS_SQL = rf"""w AS (SELECT doc_id, regexp_extract_all(text, '([A-Za-z]{{2,}
 m AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM w WHERE len(ws) > 0),
 x AS (SELECT doc_id, CASE i % 8 WHEN 0 THEN 'class ' || w WHEN 1 THEN 'My.' || w WHEN 2 THEN w || '()' WHEN 3 THEN w || '<T>' WHEN 4 THEN 'enum ' || w WHEN 5 THEN 'get' || upper(w[1]) || lower(w[2:]) WHEN 6 THEN 'of_' || lower(w) ELSE w END AS piece, i FROM m),
 c AS (SELECT doc_id AS chunk_id, string_agg(piece, ', ' ORDER BY i) AS text FROM x GROUP BY 1),
-t AS (SELECT chunk_id, regexp_extract_all(text, '{candidates.TOKEN}') AS names, regexp_split_to_array(text, '{candidates.TOKEN}') AS gaps FROM c),
+t AS (SELECT chunk_id, regexp_extract_all(text, '{TOKEN_SQL}') AS names, regexp_split_to_array(text, '{TOKEN_SQL}') AS gaps FROM c),
 e AS (SELECT chunk_id, unnest(names) AS name, unnest(gaps[2:]) AS after, unnest(gaps[:len(names)]) AS gap, unnest(list_prepend('', names[:len(names) - 1])) AS prev, unnest(range(0, len(names))) AS nth FROM t),
 u AS (SELECT chunk_id, name, regexp_extract(name, '([^.]*)$', 1) AS leaf, contains(name, '.') AS has_container, after[1] = '(' AS callable, after[1] = '<' AS generic, CASE WHEN nth > 0 AND regexp_full_match(gap, '\s*') AND lower(prev) IN ('class', 'interface', 'struct', 'enum', 'record', 'type', 'def', 'function') THEN lower(prev) END AS keyword, nth FROM e),
 p AS (SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]+)\b', 1)) AS name FROM c) GROUP BY 1),
