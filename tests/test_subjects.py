@@ -1,5 +1,9 @@
 """Symbol candidates and subject catalogs on small fixtures."""
 
+import hashlib
+import random
+from collections import Counter
+
 from cairn.operators.candidates import candidates
 from cairn.operators.symbols import judged
 from cairn.operators.taxonomy import reconciled
@@ -55,6 +59,59 @@ def test_catalogs(spark):
     assert rows["twice"]["revision"] == 1 and len(rows["twice"]["concepts"]) == 2 and not rows["alone"]["changed"]
 
 
+def one_by_one(library, old, proposals):
+    """What proposals in order make of the concepts (id -> label, aliases, description): concepts or an error."""
+    revision = max((o[1] for o in old), default=0)
+    first = lambda xs: sorted({x.upper(): x for x in reversed(xs)}.values(), key=lambda x: (x.upper(), x))
+    concepts = {o[2]: (o[3], first(o[4]), o[5]) for o in sorted(old, key=lambda o: o[2])}
+    for _, _, _, own, label, aliases, description in sorted(proposals, key=lambda p: (p[1], p[2])):
+        label, aliases = label.strip(), first([a.strip() for a in aliases if a.strip()])
+        if not label or not description:
+            return "a concept"
+        terms = {t.upper() for t in [label, *aliases]}
+        found = [i for i, c in concepts.items() if terms & {t.upper() for t in [c[0], *c[1]]}]
+        if len(found) > 1:
+            return f"{label}: more"
+        if found and own in concepts and own not in found:
+            return f"{label}: its id"
+        if not found and own is not None and own not in concepts:
+            return f"{label}: unknown"
+        fresh = "subject-" + hashlib.sha256(f"{library}/{revision}/{len(concepts)}/{label}".encode()).hexdigest()[:16]
+        concepts[found[0] if found else own or fresh] = (label, aliases, description)
+    return [(i, *c) for i, c in concepts.items()] or "the catalog"
+
+
+def test_catalogs_against_one_by_one(spark):
+    """Many libraries with few terms, so that there are chains, replaced terms, new concepts, ids and errors of each kind."""
+    rnd = random.Random(11)
+    old, new = [], []
+    for k in range(160):
+        library, terms, ids = f"l{k}", [f"t{i}" for i in range(rnd.choice([3, 6, 14]))], ["a", "b", "c"]
+        for i in rnd.sample(ids, rnd.randint(0, 3)):
+            old.append((library, 2, i, rnd.choice(terms) + i, rnd.sample([t + i for t in terms], rnd.randint(0, 2)), "x"))
+        for n in range(rnd.randint(0 if k % 9 else 1, 7)):
+            i = rnd.choice([None, None, None, "a", "b", "zz" if k % 5 == 0 else None])
+            new.append((library, f"d{n // 2}", n, i, rnd.choice([str.upper, str.lower])(rnd.choice(terms)) + rnd.choice(["", "", "a", "b"]) if rnd.random() > 0.03 else " ", rnd.sample(terms, rnd.randint(0, 2)), f"n{n}"))
+    got = {r["library_id"]: r for r in reconciled(spark.createDataFrame(old, OLD), spark.createDataFrame(new, NEW)).collect()}
+    kinds = Counter()
+    for library in {r[0] for r in old + new}:
+        was, proposals = [o for o in old if o[0] == library], [n for n in new if n[0] == library]
+        want, r = one_by_one(library, was, proposals), got[library]
+        if isinstance(want, str):
+            assert r["error"].startswith(want) and r["revision"] == max((o[1] for o in was), default=0), (library, want, r)
+        else:
+            assert r["error"] is None and [(c["id"], c["label"], c["aliases"], c["description"]) for c in r["concepts"]] == want, (library, want, r)
+        kinds[want.split(": ")[-1] if isinstance(want, str) else "made"] += 1
+    assert len(got) == len({r[0] for r in old + new}) and set(kinds) >= {"made", "more", "unknown", "its id", "a concept"}
+
+
+def test_many_proposals_of_one_library(spark):
+    """Equal proposals and thousands of subjects of one library: several tasks, and no row of them in the ordered pass."""
+    new = [("l", f"d{i:05d}", 0, None, f"Subject {i % 1000}", ["common" if i % 1000 == 7 else f"alias {i % 1000}"], f"at {i}") for i in range(5000)]
+    r = reconciled(spark.createDataFrame([], OLD), spark.createDataFrame(new, NEW)).first()
+    assert len(r["concepts"]) == 1000 and r["concepts"][3]["description"] == "at 4003" and r["error"] is None
+
+
 def test_empty(spark):
     assert candidates(spark.createDataFrame([], "chunk_id string, content string")).count() == 0
     assert reconciled(spark.createDataFrame([], OLD), spark.createDataFrame([], NEW)).count() == 0
