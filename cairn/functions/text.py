@@ -99,9 +99,26 @@ def without_fences(text: Column) -> Column:
 
 
 def sample_window(text: Column, token: Column, around: int = 100, cap: int = 200) -> Column:
-    """Up to ``around`` characters on both sides of the token's first place, at word bounds, collapsed and capped."""
-    at = F.instr(text, token)
-    start = F.greatest(at - around, F.lit(1))
-    cut = F.substring(text, start, F.length(token) + 2 * around)
-    inner = F.when(start > 1, F.regexp_replace(cut, r"^\S*\s", "")).otherwise(cut)
-    return F.when(at > 0, F.substring(collapse(inner), 1, cap))
+    """What stands around the token's first place, ``around`` characters on both sides and on to the next white space, collapsed.
+
+    Longer windows are cut to ``cap`` characters around the token, as evenly as the text on both sides allows, and trimmed.
+    Null if the token is not there.  Characters are code points.
+    """
+    run = lambda c: F.length(F.regexp_extract(c, r"(?U)^(\S*)", 1))
+
+    def window(at: Column) -> Column:
+        first = F.greatest(at - around, F.lit(1))
+        first = first - run(F.reverse(F.substring(text, F.lit(1), first - 1)))
+        last = F.least(at + F.length(token) + around, F.length(text) + 1)
+        last = last + run(F.substring(text, last, F.length(text) + 1 - last))
+        return let(collapse(F.substring(text, first, last - first)), lambda w: F.when(F.length(w) <= cap, w).otherwise(cut(w)))
+
+    def cut(window: Column) -> Column:
+        before = F.instr(window, token) - 1
+        after = F.length(window) - before - F.length(token)
+        room = F.greatest(F.lit(cap) - F.length(token), F.lit(0))
+        right = F.least(after, room - F.least(before, F.floor(room / 2).cast("int")))
+        left = F.least(before, room - right)
+        return F.trim(F.substring(window, before - left + 1, left + F.length(token) + right))
+
+    return let(F.instr(text, token), lambda at: F.when(at > 0, window(at)))

@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.functions.text import MENTION, fenced_code, has_internal_structure, identifiers, is_abbreviation, let, without_fences
+from cairn.functions.text import MENTION, fenced_code, has_internal_structure, identifiers, is_abbreviation, let, sample_window, without_fences
 from cairn.operators.candidates import candidates
 from cairn.operators.catalog import third
 from cairn.sources.scratch import written
 
 #: First words of subject terms that texts are searched for directly; with more, runs begin at every word.
 MOST_FIRST = 10_000
-#: Characters of names that are units in any case. A fixed value.
+#: Words that are no symbols, by topic: single letters, plain English, words of documentation, call-outs and buttons. Fixed values.
+STOPLIST = tuple(
+    list(ascii_lowercase)
+    + """the and or but if then else when where while for with without from to into onto upon off of in on at by as is are was were be
+    been being have has had do does did will would should could may might must shall can this that these those there here what which
+    who whom whose why how all any some not only own same so than too very just now also before after above below during each every both
+    between among such more most less many much few another other others an you your yours we us our ours they them their theirs
+    it its he him his she her hers""".split()
+    + """represents returns values value use uses used using see note notes example examples default defaults type types name names list lists
+    method methods function functions class classes interface interfaces object objects member members field fields property properties
+    parameter parameters argument arguments result results output outputs input inputs true false null none undefined yes no warning
+    warnings error errors exception exceptions available supports supported requires required optional deprecated obsolete internal private
+    public protected static abstract virtual override sealed readonly lets let make makes set sets get gets""".split()
+    + "important caution tip tips info danger notice remark remarks back next previous ok cancel close done submit menu search home exit edit view save open".split()
+)
+#: Units by the prefixes that they take, as written; units that short names are in any case. Fixed values.
+PREFIXED = {
+    "m": "f p n u m c d k M", "g": "f p n u m k M", "s": "f p n u m k", "A": "f p n u m k", "V": "u m k M", "W": "u m k M G", "Hz": "k M G T m", "Ohm": "k M", "Ω": "k M", "S": "u m k",
+    "F": "p n u m", "H": "u m", "J": "k M m u", "Pa": "k M G h", "b": "K M G T P", "B": "K M G T P", "iB": "K M G T P", "bps": "K M G T", "FLOPS": "M G T",
+}
+UNITS = (
+    """m g s A K mol cd Hz N Pa J W C V F S Wb T H lm lx Bq Gy Sv kat rad sr Ohm ohm ohms Ω mbar bar °C °F °K ° deg in ft yd mi oz lb lbs ton
+    gal qt pt mph fps knot knots hp BTU btu psi psia psig rpm RPM dps dpm dB dBm dBi dBu dBV dBW b B bps MIPS FLOPS""".split()
+    + [p + unit for unit, prefixes in PREFIXED.items() for p in prefixes.split()]
+)
+UNITS_IN_ANY_CASE = "hz khz mhz ghz thz rpm psi btu mph fps dps ohm ohms kb mb gb tb pb bps".split()
+#: Characters of names that are units in any case, at most. A fixed value.
 UNIT_CHARS = 4
 
 
@@ -31,30 +59,44 @@ def mentions(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(found).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def judged(chunks: DataFrame, stoplist: list[str], library_stoplist: list[str] = (), units: list[str] = (), likely: list[str] = (), frequent: int = 3) -> DataFrame:
-    """chunk_id, name, reason of each chunk's distinct candidates; a null reason keeps one.
+def name_verdicts(names: DataFrame, chunks: DataFrame, stoplist, library_stoplist, units, any_case, likely, frequent: int) -> DataFrame:
+    """name, fixed, keeps, otherwise of distinct ``names`` (name, leaf, container): a reason that no use changes, whether the name
+    alone keeps it, and the reason it is rejected for where no use keeps it either.
 
-    In order: stop lists, units, too short, reasons to keep (declared, likely, in code, with a container, inner structure, called,
-    generic, frequent), else rejected.  Lists, code and prose are asked for the name and for its leaf.  A name that is used in
-    more than one way in a chunk is kept if one of them keeps it; its other reasons do not depend on the use.
+    Lists, code and prose are asked for the name and for its leaf.
     """
-    uses = candidates(chunks).groupBy("chunk_id", "name", "leaf", "container")
-    names = uses.agg(F.bool_or("callable").alias("callable"), F.bool_or("generic").alias("generic"), F.bool_or("declared").alias("declared"))
-    code, prose = code_identifiers(chunks), mentions(chunks)
+    code, prose = written(code_identifiers(chunks)), written(mentions(chunks).where(F.col("n") >= frequent))
     rows = names.join(code.withColumn("in_code", F.lit(True)), "name", "left").join(code.select(F.col("name").alias("leaf"), F.lit(True).alias("leaf_in_code")), "leaf", "left")
-    rows = rows.join(prose, "name", "left").join(prose.select(F.col("name").alias("leaf"), F.col("n").alias("leaf_n")), "leaf", "left")
+    rows = rows.join(prose.select("name", F.lit(True).alias("often")), "name", "left").join(prose.select(F.col("name").alias("leaf"), F.lit(True).alias("leaf_often")), "leaf", "left")
     either = lambda test: test(F.col("name")) | test(F.col("leaf"))
-    is_unit = lambda c: c.isin(*units) | ((F.length(c) <= UNIT_CHARS) & F.lower(c).isin(*[u.lower() for u in units]))
-    listed = lambda words: either(lambda c: F.lower(c).isin(*[s.lower() for s in words]))
-    often = lambda n: F.coalesce(n, F.lit(0)) >= frequent
-    use = lambda test: (often(F.col("n")) & test(F.col("name"))) | (often(F.col("leaf_n")) & test(F.col("leaf")))
-    keep = F.col("declared") | F.col("callable") | F.col("generic") | F.col("container").isNotNull() | F.col("in_code").isNotNull() | F.col("leaf_in_code").isNotNull()
-    keep = keep | either(lambda c: c.isin(*likely)) | has_internal_structure(F.col("name")) | F.col("name").rlike(r"_|\.|::|->") | use(lambda c: ~is_abbreviation(c))
-    reason = (
-        F.when(listed(stoplist), "GlobalStoplist").when(listed(library_stoplist), "LibraryStoplist").when(either(is_unit), "Unit")
-        .when(F.length("name") < 2, "TooShort").when(keep, F.lit(None)).when(either(is_abbreviation), "LikelyAbbreviation").otherwise("NoStructureSignal")
-    )
-    return rows.select("chunk_id", "name", reason.alias("reason"))
+    small = lambda words: [w.lower() for w in words]
+    is_unit = lambda c: c.isin(*units) | ((F.length(c) <= UNIT_CHARS) & F.lower(c).isin(*small(any_case)))
+    listed = lambda words: either(lambda c: F.lower(c).isin(*small(words)))
+    in_prose = lambda test: (F.col("often").isNotNull() & test(F.col("name"))) | (F.col("leaf_often").isNotNull() & test(F.col("leaf")))
+    keeps = F.col("container").isNotNull() | F.col("in_code").isNotNull() | F.col("leaf_in_code").isNotNull() | either(lambda c: c.isin(*likely))
+    keeps = keeps | has_internal_structure(F.col("name")) | F.col("name").rlike(r"_|\.|::|->") | in_prose(lambda c: ~is_abbreviation(c))
+    fixed = F.when(listed(stoplist), "GlobalStoplist").when(listed(library_stoplist), "LibraryStoplist").when(either(is_unit), "Unit").when(F.length("name") < 2, "BelowMinLength")
+    return rows.select("name", fixed.alias("fixed"), keeps.alias("keeps"), F.when(in_prose(is_abbreviation), "LikelyAbbreviation").otherwise("NoStructureSignal").alias("otherwise"))
+
+
+def judged_uses(uses: DataFrame, chunks: DataFrame, stoplist=STOPLIST, library_stoplist=(), units=UNITS, any_case=UNITS_IN_ANY_CASE, likely=(), frequent: int = 3) -> DataFrame:
+    """As ``judged``, of candidates that are there. Names are judged once each, however many chunks have them."""
+    flags = [F.bool_or(c).alias(c) for c in ("callable", "generic", "declared")]
+    each = uses.groupBy("chunk_id", "name").agg(*flags)
+    names = uses.select("name", "leaf", "container").distinct()
+    verdicts = written(name_verdicts(names, chunks, stoplist, library_stoplist, units, any_case, likely, frequent))
+    reason = F.coalesce("fixed", F.when(~(F.col("declared") | F.col("callable") | F.col("generic") | F.col("keeps")), F.col("otherwise")))
+    return each.join(verdicts, "name").select("chunk_id", "name", reason.alias("reason"))
+
+
+def judged(chunks: DataFrame, stoplist=STOPLIST, library_stoplist=(), units=UNITS, any_case=UNITS_IN_ANY_CASE, likely=(), frequent: int = 3) -> DataFrame:
+    """chunk_id, name, reason of each chunk's distinct candidates; a null reason keeps one.
+
+    In order: stop lists, units, too short, reasons to keep (declared, likely, in code, with a container, inner structure, called,
+    generic, frequent in prose and no abbreviation), else rejected: as an abbreviation if it is frequent in prose.  A name that is
+    used in more than one way in a chunk is kept if one of them keeps it; its other reasons do not depend on the use.
+    """
+    return judged_uses(written(candidates(chunks)), chunks, stoplist, library_stoplist, units, any_case, likely, frequent)
 
 
 def rejections(judged_rows: DataFrame, index: str, n: int) -> DataFrame:
@@ -63,6 +105,22 @@ def rejections(judged_rows: DataFrame, index: str, n: int) -> DataFrame:
     return rows.groupBy("name").agg(F.count_distinct(index).alias("chunks"), F.min_by("reason", index).alias("first_reason"), F.array_sort(F.collect_set("third")).alias("thirds"))
 
 
+def rejected_samples(judged_rows: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """name, reason, chunks, samples: rejected names with the number of their chunks and one window of text from each third of the
+    corpus that rejects them, in order.
+
+    ``judged_rows``: index, name, reason, each name once a chunk; ``chunks``: index, content; ``n``: how many there are.  The first
+    chunk of each name and third is found without any text; then a chunk meets its own few names once, and is cut for them.
+    """
+    rows = judged_rows.where("reason IS NOT NULL").withColumn("third", third(F.col("index"), F.lit(n)))
+    picks = written(rows.groupBy("name", "third").agg(F.count(F.lit(1)).alias("chunks"), F.min("index").alias("index"), F.min_by("reason", "index").alias("reason")))
+    asked = picks.groupBy("index").agg(F.collect_list("name").alias("names"))  # a chunk's own names at most
+    cut = chunks.join(asked, "index").select("index", F.explode(F.transform("names", lambda w: F.struct(w.alias("name"), sample_window(F.col("content"), w).alias("sample")))).alias("s")).select("index", "s.*")
+    met = picks.join(cut, ["index", "name"], "left")
+    samples = F.array_sort(F.collect_list(F.when(F.col("sample").isNotNull(), F.struct("third", "sample"))))
+    return met.groupBy("name").agg(F.min_by("reason", "index").alias("reason"), F.sum("chunks").alias("chunks"), F.transform(samples, lambda s: s["sample"]).alias("samples"))
+
+
 def inferred_subject(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """key, subject_id: the longest term (then smallest id) that a text holds as whole words; ``terms``: subject_id, term.
 
@@ -104,8 +162,8 @@ def kind(name: Column, leaf: Column, keyword: Column, callable_: Column, generic
 
 def symbols(chunks: DataFrame, likely: list[str] = (), types_pascal: bool = True, methods_snake: bool = False, **lists) -> DataFrame:
     """chunk_id, name, kind, nth of the symbols that ``judged`` keeps: each name once a chunk, as it is first used."""
-    kept = judged(chunks, likely=likely, **lists).where("reason IS NULL").select("chunk_id", "name")
-    uses = candidates(chunks)
+    uses = written(candidates(chunks))
+    kept = judged_uses(uses, chunks, likely=likely, **lists).where("reason IS NULL").select("chunk_id", "name")
     kinds = uses.withColumn("kind", kind(F.col("name"), F.col("leaf"), F.col("keyword"), F.col("callable"), F.col("generic"), F.col("container"), list(likely), types_pascal, methods_snake))
     first = kinds.groupBy("chunk_id", "name").agg(F.min_by("kind", "nth").alias("kind"), F.min("nth").alias("nth"))
     return first.join(kept, ["chunk_id", "name"], "left_semi").select("chunk_id", "name", "kind", "nth")

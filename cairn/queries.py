@@ -276,15 +276,24 @@ def embedding_input_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(made, 256).alias("input_sha256"), T.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@query(r"""WITH l AS (SELECT doc_id AS page, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS ordinal, unnest(string_split(text, chr(10))) AS content FROM documents),
-n AS (SELECT page, ordinal, content, lead(content) OVER (PARTITION BY page ORDER BY ordinal) AS next FROM l),
-j AS (SELECT page, ordinal, regexp_extract(content, '([A-Za-z_][A-Za-z0-9_]*)\.$', 1) || '.' || regexp_extract(next, '^([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM n WHERE next IS NOT NULL AND content LIKE '%.')
-SELECT page, CAST(ordinal - 1 AS INTEGER) AS ordinal, name FROM j WHERE name IN (SELECT 'the.' || w FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS w FROM documents))""")
+CUTS_SQL = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+c AS (SELECT doc_id AS page, i, 'p' || doc_id || '/' || (i // 2) || '-' || (i % 2) AS chunk_id, CASE WHEN doc_id % 5 = 0 AND i % 2 = 1 THEN '.' || line WHEN doc_id % 2 = 0 THEN replace(replace(line, '. ', '.'), ', ', '.') ELSE line END AS content FROM l)"""
+
+
+@query(rf"""WITH {CUTS_SQL}, segs AS (SELECT DISTINCT string_split(unnest(regexp_extract_all(content, '[\pL\pN_.]+')), '.') AS p FROM c),
+ok AS (SELECT p, list_transform(p, lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*')) AS v FROM segs WHERE len(p) > 1),
+pairs AS (SELECT p[j] || '.' || p[j + 1] AS name, bool_or(NOT (j > 1 AND v[j - 1]) AND NOT coalesce(v[j + 2], false)) AS whole FROM (SELECT p, v, unnest(range(1, len(p))) AS j FROM ok) WHERE v[j] AND v[j + 1] GROUP BY 1),
+n AS (SELECT *, lag(chunk_id) OVER w AS prev_id, lag(content) OVER w AS prev FROM c WINDOW w AS (PARTITION BY page ORDER BY i)),
+j AS (SELECT *, reverse(regexp_extract(reverse(prev), '^\s*\.([\pL\p{{Nd}}_]*)', 1)) AS a, regexp_extract(content, '^\s*([\pL\p{{Nd}}_]*)', 1) AS b FROM n WHERE prev_id IS NOT NULL)
+SELECT page, prev_id, chunk_id AS next_id, CASE WHEN whole THEN 'Name' ELSE 'Pair' END AS kind, name, right(prev, 80) AS tail, left(content, 80) AS head FROM j JOIN pairs ON name = a || '.' || b AND regexp_matches(a, '^\pL') AND regexp_matches(b, '^\pL')
+UNION ALL SELECT page, NULL, chunk_id, 'LeadingDot', NULL, NULL, left(content, 80) FROM j WHERE regexp_matches(content, '^\s*\.')""")
 def boundary_issues(spark, d):
-    docs = table(spark, d, "documents")
-    lines = docs.select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("ordinal", "content"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("w")).distinct()
-    return chunking.boundary_issues(lines, words.select(F.concat(F.lit("the."), "w").alias("name"))).select("page", "ordinal", "name")
+    """Lines as chunks, those of every other document with words joined by dots."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    dotted = F.replace(F.replace(F.col("line"), F.lit(". "), F.lit(".")), F.lit(", "), F.lit("."))
+    content = F.when((F.col("page") % 5 == 0) & (F.col("i") % 2 == 1), F.concat(F.lit("."), "line")).when(F.col("page") % 2 == 0, dotted).otherwise(F.col("line"))
+    ids = F.concat(F.lit("p"), "page", F.lit("/"), F.expr("i div 2"), F.lit("-"), F.expr("i % 2"))
+    return chunking.boundary_issues(lines.select(ids.alias("chunk_id"), "page", content.alias("content")))
 
 
 @query("SELECT DISTINCT source AS library_id, lang AS category FROM documents")

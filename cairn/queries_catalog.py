@@ -269,11 +269,13 @@ def vector_bytes(spark, d):
     return catalog.wrong_vectors(table(spark, d, "embeddings"), 64)
 
 
-@query("SELECT a.doc_id, b.vec_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents) a JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings) b USING (pos) WHERE pos <= 100")
+@query("SELECT a.doc_id, b.doc_id AS other FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents) a JOIN (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS pos FROM documents) b USING (pos)")
 def positional_zip(spark, d):
-    a = catalog.numbered(table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(100), ["doc_id"])
-    b = catalog.numbered(table(spark, d, "embeddings").select("vec_id").orderBy("vec_id").limit(100), ["vec_id"])
-    return catalog.zipped(a, b).select("doc_id", "vec_id")
+    """Documents in two orders, zipped by their places."""
+    docs = table(spark, d, "documents")
+    a = catalog.numbered(docs.select("doc_id"), ["doc_id"])
+    b = catalog.numbered(docs.select("n_chars", F.col("doc_id").alias("other")), ["n_chars", "other"])
+    return catalog.zipped(a, b).select("doc_id", "other")
 
 
 # Reports
@@ -372,9 +374,9 @@ def top_hosts(spark, d):
     return counts.orderBy(F.desc("n"), "host").limit(reports.HOSTS)
 
 
-@query("SELECT page_id, row_number() OVER (ORDER BY lower(url), url, page_id) AS place FROM pages QUALIFY place <= 100")
+@query("SELECT page_id, row_number() OVER (ORDER BY lower(url), url, page_id) AS place FROM pages")
 def sorted_urls(spark, d):
-    rows = table(spark, d, "pages").select("page_id", "url").orderBy(F.lower("url"), "url", "page_id").limit(100)
+    rows = table(spark, d, "pages").select("page_id", "url")
     return catalog.numbered(rows.select("page_id", F.lower("url").alias("key"), "url"), ["key", "url", "page_id"]).select("page_id", (F.col("at") + 1).alias("place"))
 
 

@@ -181,21 +181,10 @@ def rechunk_report(spark, d):
     return catalog.compared_counts(rows, chunking.capped(rows, 1000), "library_id")
 
 
-@query(r"SELECT name FROM (SELECT 'run_' || source AS name FROM documents UNION SELECT 'Core.' || source FROM documents UNION SELECT 'Core' UNION SELECT source FROM documents)")
+@query(r"""WITH c AS (SELECT replace(replace(replace(text, ', ', '->'), '. ', '::'), '``', '') AS code FROM documents), n AS (SELECT unnest(regexp_extract_all(code, '([A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*)', 1)) AS name FROM c)
+SELECT DISTINCT name FROM (SELECT name FROM n WHERE length(name) >= 2 UNION ALL SELECT unnest(string_split_regex(name, '\.|::|->')) FROM n WHERE length(name) >= 2) WHERE length(name) >= 2""")
 def code_identifiers(spark, d):
-    text = F.concat(F.lit("prose Outside\n```py\nrun_"), "library_id", F.lit("(Core."), "library_id", F.lit(")\n```\nmore"))
+    """The documents' texts as fenced code, with commas as arrows and ends of sentences as double colons."""
+    joined = F.replace(F.replace(F.replace(F.col("text"), F.lit(", "), F.lit("->")), F.lit(". "), F.lit("::")), F.lit("``"), F.lit(""))
+    text = F.concat(F.lit("prose Outside_of_code\n```py\n"), joined, F.lit("\n```\nmore Outside_of_code"))
     return symbols.code_identifiers(documents(spark, d).select(text.alias("content")))
-
-
-@query("SELECT doc_id, CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END AS found FROM documents")
-def sample_windows(spark, d):
-    window = T.sample_window(F.col("text"), F.lit("the"))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(window.contains("the").cast("int"), F.lit(0)).alias("found"))
-
-
-@query("SELECT doc_id AS page_id, CAST(ceil(greatest(n, 1) / 3.0) AS BIGINT) AS parts FROM (SELECT doc_id, least(length(text) // 50, 40) AS n FROM documents) WHERE n > 0")
-def packed_samples(spark, d):
-    """Paragraphs of 10 characters, three of which fit a sample of 40."""
-    paragraphs = F.array_join(F.array_repeat(F.lit("0123456789"), F.least(F.expr("length(text) div 50"), F.lit(40)).cast("int")), "\n \n")
-    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), paragraphs.alias("text"))
-    return chunking.packed_paragraphs(pages, 40).groupBy("page_id").agg(F.count(F.lit(1)).alias("parts"))

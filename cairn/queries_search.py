@@ -123,15 +123,33 @@ def capped_chunks(spark, d):
     return chunking.capped(chunks(spark, d)).select("chunk_id", F.sha2("content", 256).alias("content"))
 
 
-@query(r"""WITH p AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS line, source FROM documents), s AS (SELECT page_id, trim(line) AS line FROM p WHERE trim(line) <> '')
-SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'ChangeLog' ELSE 'HowTo' END AS category, count(*) AS parts FROM s WHERE page_id % 3 <> 0 GROUP BY ALL""")
+def packs_sql(paragraphs: str, limit: int) -> str:
+    """A list of paragraphs packed in order while they fit."""
+    step = f"CASE WHEN length(acc[-1]) + length(x[1]) + 2 <= {limit} THEN acc[:-2] || [acc[-1] || chr(10) || chr(10) || x[1]] ELSE acc || x END"
+    return f"CASE WHEN len({paragraphs}) > 0 THEN list_reduce(list_transform({paragraphs}, lambda p: [p]), lambda acc, x: {step}) END"
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS page_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
+e AS (SELECT page_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n FROM l WHERE page_id % 3 <> 0),
+s AS (SELECT page_id, unnest({packs_sql('ls', 3200)}) AS content FROM l WHERE page_id % 3 = 0)
+SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'ChangeLog' ELSE 'HowTo' END AS category, sha256(CASE page_id % 3 WHEN 1 THEN '## v1.' ELSE '# ' END || line || chr(10) || 'body' || CASE WHEN i < n THEN chr(10) ELSE '' END) AS content FROM e UNION ALL SELECT page_id, 'Sample', sha256(content) FROM s""")
 def category_chunks(spark, d):
+    """Lines as paragraphs of samples, as version headings of change logs, or as headings, with the chunks' contents."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     mark = F.when(F.col("doc_id") % 3 == 1, "## v1.").otherwise("# ")
     marked = F.array_join(F.transform(lines, lambda x: F.concat(mark, x, F.lit("\nbody"))), "\n")
     category = F.when(F.col("doc_id") % 3 == 1, "ChangeLog").when(F.col("doc_id") % 3 == 2, "HowTo").otherwise("Sample")
-    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), category.alias("category"), marked.alias("text"))
-    return chunking.by_category(pages).where("category <> 'Sample'").groupBy("page_id", "category").agg(F.count(F.lit(1)).alias("parts"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.array_join(lines, "\n\n")).otherwise(marked)
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"), category.alias("category"), text.alias("text"))
+    return chunking.by_category(pages).select("page_id", "category", F.sha2("content", 256).alias("content"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS page_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), s AS (SELECT page_id, {packs_sql('ls', 400)} AS ps FROM l WHERE len(ls) > 0)
+SELECT page_id, unnest(range(0, len(ps)))::INTEGER AS part, sha256(unnest(ps)) AS content FROM s""")
+def packed_samples(spark, d):
+    """Lines as paragraphs, packed to samples of 400 characters."""
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n \n")).alias("text"))
+    return chunking.packed_paragraphs(pages, 400).select("page_id", "part", F.sha2("content", 256).alias("content"))
 
 
 @query(r"""WITH RECURSIVE r AS (SELECT doc_id, text AS rest, 0 AS nth, CAST(NULL AS VARCHAR) AS piece FROM documents UNION ALL
@@ -145,13 +163,17 @@ def bounded_sections(spark, d):
 
 
 def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose first 40 words stand behind keywords, in containers, or before brackets in turn."""
-    words = F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1)), 1, 40)
+    """Documents whose words stand behind keywords, in containers, or before brackets in turn."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1))
     made = F.transform(words, lambda w, i: F.when(i % 8 == 0, F.concat(F.lit("class "), w)).when(i % 8 == 1, F.concat(F.lit("My."), w)).when(i % 8 == 2, F.concat(w, F.lit("()"))).when(i % 8 == 3, F.concat(w, F.lit("<T>"))).when(i % 8 == 4, F.concat(F.lit("enum "), w)).when(i % 8 == 5, F.concat(F.lit("get"), F.initcap(w))).when(i % 8 == 6, F.concat(F.lit("of_"), F.lower(w))).otherwise(w))
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.array_join(made, ", ").alias("content"))
 
 
-SYMBOLS_SQL = rf"""w AS (SELECT doc_id, regexp_extract_all(text, '([A-Za-z]{{2,}})', 1)[1:40] AS ws FROM documents),
+def listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+SYMBOLS_SQL = rf"""w AS (SELECT doc_id, regexp_extract_all(text, '([A-Za-z]{{2,}})', 1) AS ws FROM documents),
 m AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM w WHERE len(ws) > 0),
 x AS (SELECT doc_id, CASE i % 8 WHEN 0 THEN 'class ' || w WHEN 1 THEN 'My.' || w WHEN 2 THEN w || '()' WHEN 3 THEN w || '<T>' WHEN 4 THEN 'enum ' || w WHEN 5 THEN 'get' || upper(w[1]) || lower(w[2:]) WHEN 6 THEN 'of_' || lower(w) ELSE w END AS piece, i FROM m),
 c AS (SELECT doc_id AS chunk_id, string_agg(piece, ', ' ORDER BY i) AS text FROM x GROUP BY 1),
@@ -161,13 +183,14 @@ u AS (SELECT chunk_id, name, regexp_extract(name, '([^.]*)$', 1) AS leaf, contai
 p AS (SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]+)\b', 1)) AS name FROM c) GROUP BY 1),
 g AS (SELECT chunk_id, name, any_value(leaf) AS leaf, bool_or(has_container) AS has_container, bool_or(callable) AS callable, bool_or(generic) AS generic, bool_or(keyword IS NOT NULL) AS declared FROM u GROUP BY ALL),
 j AS (SELECT g.*, coalesce(a.n, 0) AS n, coalesce(b.n, 0) AS leaf_n FROM g LEFT JOIN p a ON a.name = g.name LEFT JOIN p b ON b.name = g.leaf),
-k AS (SELECT *, CASE WHEN lower(name) IN ('the', 'and', 'of') OR lower(leaf) IN ('the', 'and', 'of') THEN 'GlobalStoplist' WHEN lower(name) = 'is' OR lower(leaf) = 'is' THEN 'LibraryStoplist' WHEN lower(name) IN ('mm', 'kg') OR lower(leaf) IN ('mm', 'kg') THEN 'Unit' WHEN length(name) < 2 THEN 'TooShort'
+k AS (SELECT *, CASE WHEN lower(name) IN ({listed(symbols.STOPLIST)}) OR lower(leaf) IN ({listed(symbols.STOPLIST)}) THEN 'GlobalStoplist' WHEN lower(name) IN ('ou', 'que') OR lower(leaf) IN ('ou', 'que') THEN 'LibraryStoplist'
+ WHEN name IN ({listed(symbols.UNITS)}) OR leaf IN ({listed(symbols.UNITS)}) OR (length(name) <= 4 AND lower(name) IN ({listed(symbols.UNITS_IN_ANY_CASE)})) OR (length(leaf) <= 4 AND lower(leaf) IN ({listed(symbols.UNITS_IN_ANY_CASE)})) THEN 'Unit' WHEN length(name) < 2 THEN 'BelowMinLength'
  WHEN declared OR callable OR generic OR has_container OR regexp_matches(name, '[a-z][A-Z]') OR regexp_matches(name, '[A-Z][A-Z][a-z][a-z]') OR contains(name, '_') OR (n >= 3 AND NOT regexp_matches(name, '^[A-Z0-9]{{1,4}}$')) OR (leaf_n >= 3 AND NOT regexp_matches(leaf, '^[A-Z0-9]{{1,4}}$')) THEN NULL
- WHEN regexp_matches(name, '^[A-Z0-9]{{1,4}}$') OR regexp_matches(leaf, '^[A-Z0-9]{{1,4}}$') THEN 'LikelyAbbreviation' ELSE 'NoStructureSignal' END AS reason FROM j),
+ WHEN (n >= 3 AND regexp_matches(name, '^[A-Z0-9]{{1,4}}$')) OR (leaf_n >= 3 AND regexp_matches(leaf, '^[A-Z0-9]{{1,4}}$')) THEN 'LikelyAbbreviation' ELSE 'NoStructureSignal' END AS reason FROM j),
 s AS (SELECT u.chunk_id, name, arg_min(CASE WHEN keyword IN ('class', 'interface', 'struct', 'record', 'type') THEN 'Type' WHEN keyword = 'enum' THEN 'Enum' WHEN keyword IN ('def', 'function') THEN 'Function' WHEN callable THEN 'Function' WHEN generic THEN 'Type' WHEN has_container THEN 'Property'
  WHEN regexp_matches(leaf, '^[A-Z]') AND (regexp_matches(leaf, '[a-z][A-Z]') OR regexp_matches(leaf, '[A-Z][A-Z][a-z][a-z]')) AND NOT contains(leaf, '_') THEN 'Type' WHEN contains(leaf, '_') AND regexp_matches(leaf, '^[a-z0-9_]+$') THEN 'Function' ELSE 'Unknown' END, nth) AS kind, min(nth) AS nth
  FROM u WHERE EXISTS (SELECT 1 FROM k WHERE k.chunk_id = u.chunk_id AND k.name = u.name AND k.reason IS NULL) GROUP BY u.chunk_id, name)"""
-LISTS = {"stoplist": ["the", "and", "of"], "library_stoplist": ["is"], "units": ["mm", "kg"]}
+LISTS = {"library_stoplist": ["ou", "que"]}
 
 
 @query(f"WITH {SYMBOLS_SQL} SELECT chunk_id, name, reason FROM k")
@@ -211,6 +234,34 @@ def excluded_names(spark, d):
     return symbols.rejections(symbols.judged(symbol_chunks(spark, d), **LISTS), "chunk_id", n).orderBy(F.desc("chunks"), "name").limit(50).select("name", "chunks")
 
 
+def window_sql(rows: str, text: str, token: str) -> str:
+    """CTEs from ``rows``, a table with a text and a token, to ``windows``, the same with ``sample``."""
+    run = lambda c: rf"length(regexp_extract({c}, '^(\S*)', 1))"
+    return rf"""a0 AS (SELECT *, instr({text}, {token}) AS pos FROM {rows}), a1 AS (SELECT *, greatest(pos - 100, 1) AS f, least(pos + length({token}) + 100, length({text}) + 1) AS l FROM a0),
+a2 AS (SELECT *, f - {run(f'reverse(substr({text}, 1, f - 1))')} AS f2, l + {run(f'substr({text}, l)')} AS l2 FROM a1), a3 AS (SELECT *, trim(regexp_replace(substr({text}, f2, l2 - f2), '\s+', ' ', 'g')) AS w FROM a2),
+a4 AS (SELECT *, instr(w, {token}) - 1 AS nb, length(w) - instr(w, {token}) + 1 - length({token}) AS na, 200 - length({token}) AS room FROM a3), a5 AS (SELECT *, least(na, room - least(nb, room // 2)) AS r FROM a4),
+windows AS (SELECT *, CASE WHEN pos IS NULL OR pos = 0 THEN NULL WHEN length(w) <= 200 THEN w ELSE trim(substr(w, nb - least(nb, room - r) + 1, least(nb, room - r) + length({token}) + r)) END AS sample FROM a5)"""
+
+
+@query(rf"""WITH {SYMBOLS_SQL}, total AS (SELECT count(*) AS all_docs FROM documents), y AS (SELECT name, least(chunk_id // greatest(all_docs // 3, 1), 2) AS third, chunk_id, reason FROM k, total WHERE reason IS NOT NULL),
+picks AS (SELECT name, third, count(*) AS chunks, min(chunk_id) AS chunk_id, arg_min(reason, chunk_id) AS reason FROM y GROUP BY ALL), z AS (SELECT picks.*, text FROM picks JOIN c USING (chunk_id)), {window_sql('z', 'text', 'name')}
+SELECT name, arg_min(reason, chunk_id) AS reason, CAST(sum(chunks) AS BIGINT) AS chunks, sha256(string_agg(sample, chr(10) ORDER BY third)) AS samples FROM windows GROUP BY name""")
+def rejected_samples(spark, d):
+    """Rejected names with a window of text from each third of the documents."""
+    texts = symbol_chunks(spark, d).withColumnRenamed("chunk_id", "index")
+    rows = symbols.judged(symbol_chunks(spark, d), **LISTS).withColumnRenamed("chunk_id", "index")
+    found = symbols.rejected_samples(rows, texts, table(spark, d, "documents").count())
+    return found.select("name", "reason", "chunks", F.sha2(F.array_join("samples", "\n"), 256).alias("samples"))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, nullif(regexp_extract(substr(text, length(text) // 2 + 1), '([A-Za-z]{{4,}})', 1), '') AS token FROM documents), {window_sql('d', 'text', 'token')} SELECT doc_id, sample FROM windows""")
+def sample_windows(spark, d):
+    """The window around a word from the middle of each text, wherever it stands first."""
+    half = F.expr("substr(text, length(text) div 2 + 1)")
+    rows = table(spark, d, "documents").withColumn("token", F.regexp_extract(half, "([A-Za-z]{4,})", 1))
+    return rows.withColumn("token", F.when(F.col("token") != "", F.col("token"))).select("doc_id", T.sample_window(F.col("text"), F.col("token")).alias("sample"))
+
+
 @query(r"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\pL\pN_]+')) AS name FROM documents) WHERE regexp_full_match(name, '[A-Z][A-Za-z0-9_]+') GROUP BY 1")
 def prose_mentions(spark, d):
     return symbols.mentions(chunks(spark, d))

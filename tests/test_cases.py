@@ -1,8 +1,11 @@
 """Small cases with known answers: subjects, audits, rejections, symbols, catalogs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import text as T
 from cairn.operators import catalog, chunking, health, jobs, reports, subjects, symbols, vectors
 from cairn.sources import converted
 
@@ -44,9 +47,57 @@ def test_replies_are_checked(spark):
 
 
 def test_boundary_audit(spark):
-    chunks = spark.createDataFrame([("page-a", 0, "Refer to the AxisFault."), ("page-a", 1, "Disabled state is the cleared latch."), ("page-b", 0, "Set AxisFault.Disabled to acknowledge the latch.")], "page string, ordinal int, content string")
-    dotted = spark.createDataFrame([("AxisFault.Disabled",)], "name string")
-    assert [tuple(r) for r in chunking.boundary_issues(chunks, dotted).select("page", "ordinal", "name").collect()] == [("page-a", 0, "AxisFault.Disabled")]
+    rows = [
+        ("l/1/a/0", "page-a", "Refer to the AxisFault. \n"), ("l/1/a/1", "page-a", "  Disabled state is the cleared latch. Long.Path."), ("l/1/a/10", "page-a", "Éa. no"), ("l/1/a/2-1", "page-a", ".NET is here"),
+        ("l/1/a/2", "page-a", "Inner and so Long."), ("l/1/b/0", "page-b", ".gitignore first. Set AxisFault.Disabled and Long.Path.Inner to acknowledge; 1x.Foo.y, Foo.Baré."), ("l/1/b/x", "page-c", "Foo."), ("l/1/b/1", "page-c", "Bar"), ("l/1/b/3", "page-d", "9."), ("l/1/b/4", "page-d", "y"),
+    ]
+    got = {(r["page"], r["prev_id"], r["next_id"], r["kind"], r["name"]) for r in chunking.boundary_issues(spark.createDataFrame(rows, "chunk_id string, page string, content string")).collect()}
+    assert got == {("page-a", "l/1/a/0", "l/1/a/1", "Name", "AxisFault.Disabled"), ("page-a", "l/1/a/1", "l/1/a/2", "Pair", "Path.Inner"), ("page-a", None, "l/1/a/2-1", "LeadingDot", None)}
+    ids = spark.createDataFrame([("a/12-3",), ("12",), ("a/b",), ("a/1-",), ("x/-2",), ("x/99999999999-1",)], "i string").select("i", chunking.ordinal(F.col("i")).alias("o")).collect()
+    assert {r["i"]: tuple(r["o"]) for r in ids} == {"a/12-3": (12, 3), "12": (12, 0), "a/b": (0, 0), "a/1-": (1, 0), "x/-2": (0, 2), "x/99999999999-1": (0, 1)}
+
+
+def window_of(text, token, around=100, cap=200):
+    at = text.find(token)
+    if at < 0:
+        return None
+    left, right = max(0, at - around), min(len(text), at + len(token) + around)
+    while left > 0 and not text[left - 1].isspace():
+        left -= 1
+    while right < len(text) and not text[right].isspace():
+        right += 1
+    shown = " ".join(text[left:right].split())
+    if len(shown) <= cap:
+        return shown
+    before = shown.find(token)
+    after, room = len(shown) - before - len(token), cap - len(token)
+    keep_after = min(after, room - min(before, room // 2))
+    keep_before = min(before, room - keep_after)
+    return shown[before - keep_before : before + len(token) + keep_after].strip()
+
+
+def test_sample_windows(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcé.", k=rnd.choice([1, 3, 8, 40, 130])))
+    texts = ["".join(w + rnd.choice([" ", "  ", "\n", "\t "]) for w in (word() for _ in range(rnd.randint(0, 30)))) for _ in range(300)]
+    rows = [(i, t, rnd.choice([t.split() or ["none"], ["none"]])[0] if i % 3 else rnd.choice(t.split() or ["none"])) for i, t in enumerate(texts)] + [(900, "x" * 5000, "xx"), (901, None, "a"), (902, "long " * 50_000 + "end", "end")]
+    got = {r["i"]: r["w"] for r in spark.createDataFrame(rows, "i int, text string, token string").select("i", T.sample_window(F.col("text"), F.col("token")).alias("w")).collect()}
+    assert all(got[i] == (None if t is None else window_of(t, k)) for i, t, k in rows)
+
+
+def test_rejected_samples_by_third(spark):
+    texts = [f"lead {i} noise tail {i}" + (" rare" if i == 4 else "") for i in range(9)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "index long, content string")
+    judged = spark.createDataFrame([(i, "noise", "NoStructureSignal" if i > 1 else "Unit") for i in range(9) if i != 3] + [(4, "rare", "Unit"), (5, "kept", None), (8, "gone", "Unit")], "index long, name string, reason string")
+    got = {r["name"]: tuple(r)[1:] for r in symbols.rejected_samples(judged, chunks, 9).collect()}
+    assert got["noise"] == ("Unit", 8, [texts[0], texts[4], texts[6]]) and got["rare"] == ("Unit", 1, [texts[4]]) and got["gone"] == ("Unit", 1, []) and set(got) == {"noise", "rare", "gone"}
+
+
+def test_abbreviations_and_units(spark):
+    rows = [("1", "uses RAM once"), ("2", "TCP here. TCP there, TCP! kHz Mhz KM 12 ohms Kelvin RPM rpm k Menu lets Motion Motion Motion")]
+    got = {r["name"]: r["reason"] for r in symbols.judged(spark.createDataFrame(rows, "chunk_id string, content string")).collect()}
+    want = {"RAM": "NoStructureSignal", "TCP": "LikelyAbbreviation", "kHz": "Unit", "Mhz": "Unit", "KM": "NoStructureSignal", "ohms": "Unit", "RPM": "Unit", "Menu": "GlobalStoplist", "lets": "GlobalStoplist", "uses": "GlobalStoplist", "Motion": None, "k": "GlobalStoplist"}
+    assert {k: got.get(k, "absent") for k in want} == want
 
 
 def test_rejections_by_third(spark):

@@ -201,10 +201,9 @@ def test_parameters_and_selectors(spark):
     assert catalog.conditional(rows, {"a": None}).count() == 0 and catalog.conditional(rows, {"a": F.lit(True)}, 0).count() == 2
 
 
-def test_sample_windows_and_safe_ids(spark):
-    text = "lead " * 60 + "Token" + " tail" * 60
-    row = spark.range(1).select(T.sample_window(F.lit(text), F.lit("Token")).alias("w"), T.sample_window(F.lit("none"), F.lit("Token")).alias("n"), *[T.is_safe_id(F.lit(x)).alias(f"s{i}") for i, x in enumerate(["a", "a..b", "-a", "a/b", "a" * 129])]).first()
-    assert "Token" in row["w"] and len(row["w"]) <= 205 and row["n"] is None and [row[f"s{i}"] for i in range(5)] == [True, False, False, False, False]
+def test_safe_ids(spark):
+    row = spark.range(1).select(*[T.is_safe_id(F.lit(x)).alias(f"s{i}") for i, x in enumerate(["a", "a..b", "-a", "a/b", "a" * 129])]).first()
+    assert [row[f"s{i}"] for i in range(5)] == [True, False, False, False, False]
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -36,8 +36,8 @@ def test_uses_and_leaves_keep_and_reject(spark):
     got = {(r["chunk_id"], r["name"]): r["reason"] for r in rows}
     assert len(got) == len(rows)
     assert {n: got["0", n] for n in ("bar", "foo", "list", "NASA")} == dict.fromkeys(("bar", "foo", "list", "NASA"))
-    assert (got["0", "x.the"], got["0", "y.Is"], got["0", "z.kg"], got["0", "ABC"], got["0", "plain"]) == ("GlobalStoplist", "LibraryStoplist", "Unit", "LikelyAbbreviation", "NoStructureSignal")
-    assert got["1", "widget"] is None and got["2", "a.leafy"] is None and got["2", "_p"] is None and got["2", "k"] == "TooShort"
+    assert (got["0", "x.the"], got["0", "y.Is"], got["0", "z.kg"], got["0", "ABC"], got["0", "plain"]) == ("GlobalStoplist", "LibraryStoplist", "Unit", "NoStructureSignal", "NoStructureSignal")
+    assert got["1", "widget"] is None and got["2", "a.leafy"] is None and got["2", "_p"] is None and got["2", "k"] == "BelowMinLength"
     assert got["3", "foo"] == "NoStructureSignal"
 
 
