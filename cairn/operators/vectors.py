@@ -64,13 +64,17 @@ def over_published(vectors: DataFrame, published: DataFrame, query: list[float],
     return rows.select("library_id", "chunk_id", cosine(F.col("embedding"), query).alias("cosine")).orderBy(F.round("cosine", 6).desc(), "chunk_id").limit(k)
 
 
+def by_relevance(ranked: DataFrame, relevance: Column | None = None) -> DataFrame:
+    """``ranked`` (ord, ...) with the first candidates by relevance and the rest behind them in their order."""
+    rel = relevance if relevance is not None else 1 - 0.01 * (F.col("ord") - 1)
+    rows = ranked.withColumn("block", (F.col("ord") > RERANK_MOST).cast("int")).withColumn("relevance", F.when(F.col("block") == 0, rel))
+    return rows.orderBy("block", F.desc("relevance"), "ord")
+
+
 def reranked(ranked: DataFrame, k: int, relevance: Column | None = None) -> DataFrame:
     """The first candidates by relevance, the rest behind them in their order; ``ranked`` (chunk_id, score) is a top list."""
     order = Window.orderBy(F.round("score", 6).desc(), "chunk_id")
-    rows = ranked.withColumn("ord", F.row_number().over(order))
-    rel = relevance if relevance is not None else 1 - 0.01 * (F.col("ord") - 1)
-    rows = rows.withColumn("block", (F.col("ord") > RERANK_MOST).cast("int")).withColumn("relevance", F.when(F.col("block") == 0, rel))
-    return rows.orderBy("block", F.desc("relevance"), "ord").limit(k)
+    return by_relevance(ranked.withColumn("ord", F.row_number().over(order)), relevance).limit(k)
 
 
 def injected(matches: DataFrame, hybrid: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.functions import web as W
 from cairn.operators import bm25, candidates, catalog, chunking, health, segments, symbols, taxonomy, vectors
+from cairn.plans import search
 from cairn.sources.scratch import folder
 from cairn.streaming import state
 
@@ -149,12 +150,12 @@ def hybrid_rerank_passthrough(spark, d):
 
 
 @query(f"""WITH {HYBRID_SQL}, top AS (SELECT chunk_id, score FROM hybrid ORDER BY round(score, 6) DESC, chunk_id LIMIT 10),
-new AS (SELECT doc_id FROM documents WHERE regexp_matches(text, '\\bthe\\b') AND doc_id NOT IN (SELECT chunk_id FROM top) ORDER BY doc_id LIMIT 5)
+new AS (SELECT doc_id FROM documents WHERE lower(regexp_extract(text, '([A-Za-z]+)', 1)) IN ('the', 'and', 'la') AND doc_id NOT IN (SELECT chunk_id FROM top) ORDER BY doc_id LIMIT 5)
 SELECT doc_id AS chunk_id, 0.0 AS score, 0 AS ord FROM new UNION ALL SELECT chunk_id, round(score, 6), 1 FROM top""")
 def identifier_injection(spark, d):
     top = hybrid(spark, d).orderBy(F.round("score", 6).desc(), "chunk_id").limit(10)
-    named = chunks(spark, d).where(F.col("content").rlike(r"\bthe\b")).select("chunk_id")
-    return vectors.injected(named, top).withColumn("score", F.round("score", 6))
+    named = chunks(spark, d).withColumn("qualified_name", F.regexp_extract("content", "([A-Za-z]+)", 1))
+    return vectors.injected(search.known_names(search.names_asked(spark, "The and La"), named), top).withColumn("score", F.round("score", 6))
 
 
 @query(r"""WITH q AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN w || 'Linear' WHEN 1 THEN w || '.Connect' WHEN 2 THEN w || '()' WHEN 3 THEN 'std::' || w WHEN 4 THEN 'move_' || w WHEN 5 THEN 'how do I ' || w WHEN 6 THEN 'i.e ' || w WHEN 7 THEN ':: ' || w WHEN 8 THEN 'aB' ELSE w || ' ' || w END AS q FROM (SELECT doc_id, lower(regexp_extract(text, '([A-Za-z]{2,})', 1)) AS w FROM documents) WHERE w <> '')

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import html
 from cairn.functions import text as T
-from cairn.operators import bm25, candidates, catalog, chunking, symbols, vectors
+from cairn.operators import bm25, candidates, catalog, chunking, subjects, symbols, vectors
 from cairn.plans import search
 from cairn.queries import COSINE_SQL, POSTINGS_SQL, TOKEN_SQL, chunk_vectors, chunks, first_vector, query, stored_index, table
 from cairn.sources import files
@@ -75,6 +75,27 @@ def search_library(spark, d):
     return found.select("chunk_id", F.round("score", 6).alias("score"), "place")
 
 
+NAMES_SQL = SEARCH_SQL.replace("('the', 'tion', 'and', 'thereon')", "('the', 'and', 'of', 'The', 'and_of')")
+
+
+@query(f"""{NAMES_SQL}, own AS (SELECT c.*, text FROM c JOIN documents ON doc_id = chunk_id WHERE library_id = 'src1'), near AS (SELECT chunk_id, cosine, lang FROM cosines JOIN (SELECT chunk_id, lang FROM own WHERE category = 'HowTo') USING (chunk_id) ORDER BY round(cosine, 6) DESC, chunk_id LIMIT 50),
+h AS (SELECT chunk_id, 1 AS block, 0.6 * cosine + 0.4 * coalesce(bm25, 0) / (SELECT max(bm25) FROM scores) + CASE WHEN lang = 'en' THEN 0.05 ELSE 0 END AS score FROM near LEFT JOIN scores USING (chunk_id)),
+a AS (SELECT * FROM h UNION ALL (SELECT chunk_id, 0, 0.0 FROM own WHERE lower(regexp_extract(text, '([A-Za-z]+)', 1)) IN ('the', 'and_of') AND chunk_id NOT IN (SELECT chunk_id FROM h) ORDER BY chunk_id LIMIT 5))
+SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FROM a) >= 6 THEN block ELSE 0 END, round(score, 6) DESC, chunk_id) AS place, CASE WHEN lang IN ('en', 'fr') THEN 'primary:' || lang || ':about ' || lang END AS subjects
+FROM a JOIN own USING (chunk_id) ORDER BY place LIMIT 10""")
+def search_identifier(spark, d):
+    """All of a search: the subject inferred from the query, names of the query in front, rerank if there are enough, subjects with the results."""
+    rows = search_chunks(spark, d).withColumn("revision_id", F.col("version")).withColumn("taxonomy_version", F.lit("t1"))
+    terms = spark.createDataFrame([("en", "the and"), ("de", "and")], "subject_id string, term string")
+    selection = F.struct(F.col("revision_id").alias("subject_id"), F.lit(0.9).alias("confidence"), F.array(F.lit("e")).alias("evidence")).cast(subjects.SELECTION)
+    some = spark.createDataFrame([("en",), ("fr",)], "revision_id string")
+    assignments = some.select("revision_id", F.lit("v1").alias("version"), F.lit(LIBRARY).alias("library_id"), F.lit("t1").alias("taxonomy_version"), F.lit(False).alias("needs_review"), selection.alias("primary"), F.array().cast(f"array<{subjects.SELECTION}>").alias("secondary"))
+    catalogs = some.select(F.lit(LIBRARY).alias("library_id"), F.lit("t1").alias("taxonomy_version"), F.col("revision_id").alias("id"), F.concat(F.lit("about "), "revision_id").alias("label"))
+    found = search.search_docs(rows, search_vectors(spark, d), published(spark, d), stored_index(spark, d), "The and_of", first_vector(spark, d), 10, library=LIBRARY, category="HowTo", terms=terms, assignments=assignments, catalogs=catalogs)
+    spelled = F.array_join(F.transform("subjects", lambda s: F.concat_ws(":", s["role"], s["id"], s["label"])), ",")
+    return found.select("chunk_id", F.round("score", 6).alias("score"), "place", spelled.alias("subjects"))
+
+
 @query(f"{SEARCH_SQL} SELECT chunk_id, round(cosine, 6) AS score, row_number() OVER (ORDER BY round(cosine, 6) DESC, chunk_id) AS place FROM cosines JOIN c USING (chunk_id) WHERE lang = 'de' ORDER BY place LIMIT 10")
 def search_every_library(spark, d):
     """Without a library there is no BM25; an explicit subject filters."""
