@@ -220,14 +220,37 @@ class _Best:
         return self.held[0]
 
 
-def _sampled(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Up to ``n`` vectors of each length, by their hash: a bounded sample."""
-    size = F.size("embedding")
-    nth = F.row_number().over(Window.partitionBy(size).orderBy(F.xxhash64("embedding"), "vec_id"))
+def counts_of(rows: DataFrame) -> dict[int, int]:
+    """Number of ``rows`` by length of their vectors."""
+    return {r["dim"]: r["n"] for r in rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def below(rows: DataFrame, bounds: dict[int, int]) -> DataFrame:
+    """dim, hash and embedding of the vectors of each length whose hash lies below a bound; of equal ones, one.
+
+    Rows are dropped and equal ones made one where they lie, so only about as many as the bounds let through are shuffled.
+    """
+    size, own = F.size("embedding"), F.xxhash64("embedding")
+    fits = F.lit(False)
+    for dim, bound in bounds.items():
+        fits = fits | ((size == dim) & (own <= bound))
+    return rows.where(fits).groupBy(size.alias("dim"), own.alias("hash")).agg(F.first("embedding").alias("embedding"))
+
+
+def _sampled(rows: DataFrame, n: int, counts: dict[int, int]) -> dict[int, np.ndarray]:
+    """The ``n`` different vectors of each length that have the smallest hashes: a bounded sample; ``counts`` by length.
+
+    The bound lets through four times as many rows as are wanted, and is raised where equal vectors leave too few.
+    """
+    share = {dim: min(1.0, 4 * n / max(1, m)) for dim, m in counts.items()}
     out: dict = {}
-    for r in rows.select("vec_id", "embedding", size.alias("dim"), nth.alias("nth")).where(f"nth <= {n}").select("dim", "embedding").collect():
-        out.setdefault(r["dim"], []).append(r["embedding"])
-    return {dim: np.array(v, dtype=np.float64) for dim, v in out.items()}
+    while share:
+        held: dict = {}
+        for r in below(rows, {dim: int(-(1 << 63) + s * ((1 << 64) - 1)) if s < 1 else (1 << 63) - 1 for dim, s in share.items()}).collect():
+            held.setdefault(r["dim"], []).append((r["hash"], r["embedding"]))
+        out |= {dim: np.array([v for _, v in sorted(vs, key=lambda x: x[0])[:n]], dtype=np.float64) for dim, vs in held.items()}
+        share = {dim: min(1.0, 16 * s) for dim, s in share.items() if s < 1 and len(held.get(dim, ())) < n}
+    return out
 
 
 def true_neighbours(rows: DataFrame, sample: dict[int, np.ndarray], k: int) -> dict[int, list[np.ndarray]]:
@@ -279,11 +302,11 @@ def shapes(n: int, dim: int) -> list[tuple[int, ...]]:
 
 def planned(rows: DataFrame, kinds: DataFrame, k: int) -> dict[int, Plan]:
     """The plan for each length of the queries; the driver holds samples and their neighbours, which are bounded."""
-    asked, size = _sampled(kinds, SAMPLED), F.size("embedding")
+    asked = _sampled(kinds, SAMPLED, counts_of(kinds))
     if not asked:
         return {}
-    some = _sampled(rows.where(size.isin(*asked)), SAMPLED_ROWS)
-    counts = {r["dim"]: r["n"] for r in rows.groupBy(size.alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = counts_of(rows)
+    some = _sampled(rows, SAMPLED_ROWS, {dim: counts.get(dim, 0) for dim in asked})
     near = true_neighbours(rows, asked, k)
     plans = {}
     for dim, q in asked.items():

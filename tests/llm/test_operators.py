@@ -620,3 +620,21 @@ def test_long_pretokens_by_rank():
         assert merger.swept([w, w]) == merger.survivors([w, w]) == [count(w)] * 2
     began = time.time()
     assert merger.count("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))) > 0 and time.time() - began < 5
+
+
+def test_sampled_vectors(spark):
+    """The different vectors of the smallest hashes, though half of the rows are one vector; rows are dropped where they lie."""
+    rng = np.random.default_rng(3)
+    rows = [(i, ([1.0, 2.0, 3.0] if i % 2 else rng.normal(size=3).tolist()) if i < 3000 else [float(i), 1.0]) for i in range(3040)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    hashed = {}
+    for r in df.select(F.size("embedding").alias("d"), F.xxhash64("embedding").alias("h"), "embedding").collect():
+        hashed.setdefault(r["d"], {})[r["h"]] = r["embedding"]
+    counts = neighbours.counts_of(df)
+    assert counts == {3: 3000, 2: 40}
+    for n in (64, 1024, 5000):
+        got = neighbours._sampled(df, n, counts)
+        assert {d: v.tolist() for d, v in got.items()} == {d: [v for _, v in sorted(x.items())][:n] for d, x in hashed.items()}
+    plan = neighbours.below(df, {3: 0})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") >= 2  # one before the exchange
+    assert neighbours._sampled(df.limit(0), 10, {}) == {}
