@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.storage import written
+from cairn.llm.storage import column, written
 from cairn.llm.words import count_words, words_of
 
 #: A source's taken words are at most so many times its own.
@@ -154,7 +154,7 @@ def _drawn(docs: DataFrame, seed: int, carry: tuple[str, ...]) -> DataFrame:
     drawn_by = F.md5(F.concat_ws(" ", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.col("text").cast("string")).cast("string")))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source").cast("string")).alias("key"), count_words(F.col("text")).alias("size"), drawn_by.alias("drawn_by"), F.substring(drawn_by, 1, digits).alias("range"),
-        *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
+        *[column(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
     )
     sized = sized if carry else written(sized)  # rows that carry texts are not written, but counted twice
     ranges = written(sized.groupBy("key", "range").agg(F.sum("size").alias("range_size")))
@@ -203,7 +203,7 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     The document at the end of a source's target keeps its first words, a space apart; n_chars, if there, follows the text.
     """
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+    rows = docs.select("doc_id", "source", "text", *[column(c).alias(n) for c, n in own.items()])
     drawn = _drawn(rows, seed, tuple(own.values())).where("words IS NOT NULL")
     drawn = drawn.select("size", "words", "shard", "place", *[F.col(f"carried_{i}").alias(n) for i, n in enumerate(own.values())])
     text, part = F.col(own["text"]), F.col("words") < F.col("size")

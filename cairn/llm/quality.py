@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.markov import let
-from cairn.llm.storage import written
+from cairn.llm.storage import column, written
 from cairn.llm.words import SPACES, words_of
 
 #: Common words by language: few, so that the hundred words that a document needs to be judged fill their bins. Fixed values.
@@ -128,7 +128,7 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     with_characters = lambda w: F.struct(w.alias("w"), character_counts(text, w["word_chars"]).alias("c"))
     rows = docs.select(
         F.col("doc_id"), lang.alias("lang"), let(let(words_of(text), counted), with_characters).alias("f"), duplicate_lines(text).alias("n_dup_lines"),
-        *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
+        *[column(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
     )
     counts = rows.select("doc_id", "lang", "f.w.n_words", "f.w.word_chars", "f.c.n_symbols", "n_dup_lines", "f.w.n_repeat_words", "f.c.classes", "f.w.common", *[f"carried_{i}" for i in range(len(carry))])
     return counts.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import markov
 from cairn.llm.markov import let
+from cairn.llm.storage import column
 
 #: (kind, pattern, fewest characters, group they are counted in). Fixed values.
 PATTERNS = (
@@ -148,7 +149,7 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """
     model = model_of(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("scanned"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+    rows = docs.select("doc_id", text.alias("scanned"), *[column(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
     found = rows.withColumn("base", base_spans(F.col("scanned"))).withColumn("tokens", located(F.col("scanned"), TOKEN, len(PATTERNS), 1, 0))
     limit = limit_of(docs.sparkSession, model)
 
@@ -171,7 +172,7 @@ def spelled(spans: Column) -> Column:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a text replaced by ``mark``; spans that overlap go together. n_chars, if there, follows."""
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    rows = scan(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in own.items()]), tuple(own.values()))
+    rows = scan(docs.select("doc_id", "text", *[column(c).alias(n) for c, n in own.items()]), tuple(own.values()))
     text, hit = F.col(own["text"]), F.size("spans") > 0
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

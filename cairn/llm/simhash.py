@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components, spread_join
-from cairn.llm.storage import written
+from cairn.llm.storage import column, written
 
 RADIUS = 4
 SHINGLE, SEED = 4, 42
@@ -187,7 +187,7 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     every = prints.select(no_id, own_id, F.col("text_hash").alias("own_hash")).groupBy(*row).agg(F.count(F.lit(1)).alias("n"))
     told = written(every.join(stay.withColumn("stays", F.lit(True)), row, "left").where("stays IS NULL OR n > 1"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    own = docs.select(no_id, own_id, F.xxhash64(F.col("text").cast("string")).alias("own_hash"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    own = docs.select(no_id, own_id, F.xxhash64(F.col("text").cast("string")).alias("own_hash"), *[column(c).alias(n) for c, n in names.items()])
     left = own.join(told.select(*row), row, "left_anti")
     again = told.where("stays").select(*row)
     if not again.isEmpty():  # repeats of a row that stays: one of each, reduced before they are shuffled

@@ -9,7 +9,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def column(name: str) -> Column:
+    """The column of just this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def shared_folder(spark: SparkSession) -> str:

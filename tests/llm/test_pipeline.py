@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -211,3 +212,22 @@ def test_padding_is_little():
         cut[doc] += total <= 2048
     assert sum(n < 2048 for n in windows.values()) <= 1 and before > 0.5 * packer.n_done
     assert sum(n > 1 for n in cut.values()) < 0.2 * len(cut)
+
+
+def test_stages_with_any_column_names(spark, tmp_path):
+    """Dots, backticks, and names that operators use inside: every stage takes them, and all but the last return them."""
+    rows = pq.read_table(f"{D}/documents.parquet").slice(0, 60).to_pylist()
+    extra = ["a.b", "x`y", "`", "key", "own_0", "carried_0", "f", "spans", "scanned", "h", "row", "counted"]
+    df = spark.createDataFrame(rows)
+    for i, c in enumerate(extra):
+        df = df.withColumn(c, F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, df, D)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == df.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        got = df.collect()
+        assert got, name
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert all(r[c] == f"{k}-{r['doc_id']}" for r in got for k, c in enumerate(extra)), name
