@@ -62,13 +62,24 @@ def in_root_scope(url: Column, root: str) -> Column:
     return F.coalesce((scheme(url) == scheme(r)) & (host(url) == host(r)) & F.startswith(path(url), base), F.lit(False))
 
 
-def refusal(url: Column, allow: list[str], deny: list[str], documents: bool = False) -> Column:
-    """Why a URL is not fetched: a binary ending before the query or the end (a document's too, unless ``documents`` are read),
-    then no allowed pattern, then a denied one; null if it is. Patterns match in any case; an empty list matches nothing."""
-    binary = url.rlike(r"(?i)\.(?:" + "|".join(BINARY) + r")(?:\?|$)")
-    document = F.lit(False) if documents else path(url).rlike(r"\.(?:" + "|".join(DOCUMENT) + ")$")
+def refused(url: Column, allow: list[str], deny: list[str], documents: bool = False) -> Column:
+    """Struct (reason, detail): why a URL is not fetched, and the ending or the pattern that says so; nulls if it is.
+
+    A binary ending before the query or the end (a document's too, unless ``documents`` are read), then no allowed pattern, then
+    the first denied one that it matches.  Patterns match in any case; an empty list matches nothing.
+    """
+    binary = F.lower(F.regexp_extract(url, r"(?i)\.(" + "|".join(BINARY) + r")(?:\?|$)", 1))
+    document = F.lit("") if documents else F.regexp_extract(path(url), r"\.(" + "|".join(DOCUMENT) + ")$", 1)
     any_of = lambda patterns: F.lit(False) if not patterns else url.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
-    return F.when(binary | document, "BinaryExtension").when(~any_of(allow), "PatternMissAllowed").when(any_of(deny), "PatternExclude")
+    denied = F.coalesce(*[F.when(url.rlike(f"(?i){p}"), F.lit(p)) for p in deny], F.lit(None).cast("string"))
+    made = lambda reason, detail: F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    return F.when(F.concat(binary, document) != "", made("BinaryExtension", F.when(binary != "", binary).otherwise(document))).when(~any_of(allow), made("PatternMissAllowed", none)).when(denied.isNotNull(), made("PatternExclude", denied)).otherwise(made(None, none).cast("struct<reason: string, detail: string>"))
+
+
+def refusal(url: Column, allow: list[str], deny: list[str], documents: bool = False) -> Column:
+    """The reason of ``refused`` alone."""
+    return refused(url, allow, deny, documents)["reason"]
 
 
 def with_extension(url: Column, extension: str | None) -> Column:

@@ -29,6 +29,13 @@ def difference(a: DataFrame, b: DataFrame, key: str, content: str) -> DataFrame:
     return both.select(key, change.alias("change")).where("change IS NOT NULL")
 
 
+def valid_parents(catalog: DataFrame, versions: DataFrame, jobs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` that data may belong to: those of the catalog, of ``versions`` (state) that are being built, and of ``jobs``
+    (status) that wait or run."""
+    building, at_work = versions.where("state = 'Building'"), jobs.where("status IN ('Queued', 'Running')")
+    return catalog.select(*keys).unionByName(building.select(*keys)).unionByName(at_work.select(*keys)).distinct()
+
+
 def orphans(tables: dict[str, DataFrame], parents: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that no parent has, with the number of rows in each table."""
     tagged = None
@@ -96,17 +103,6 @@ def repointed(versions: DataFrame, deleted: str) -> DataFrame:
     return rest.groupBy("library_id").agg(F.max_by("version", F.struct("scraped_at", "version")).alias("current"))
 
 
-def renamed(tables: dict[str, DataFrame], old: str, new: str) -> dict[str, DataFrame]:
-    """Each table with the library's name, and ids that start with it, rewritten."""
-    out = {}
-    for name, df in tables.items():
-        hit = F.col("library_id") == old
-        if "chunk_id" in df.columns:
-            df = df.withColumn("chunk_id", F.when(hit & F.startswith("chunk_id", F.lit(old + "/")), F.concat(F.lit(new), F.substring("chunk_id", F.lit(len(old) + 1), F.length("chunk_id")))).otherwise(F.col("chunk_id")))
-        out[name] = df.withColumn("library_id", F.when(hit, F.lit(new)).otherwise(F.col("library_id")))
-    return out
-
-
 #: Beginnings of packages that are tools or parts of a platform, by ecosystem. Fixed values.
 TOOLS = {
     "nuget": ("Microsoft.Extensions.", "Microsoft.AspNetCore.", "Microsoft.EntityFrameworkCore.", "System.", "Microsoft.NET.", "Microsoft.NETCore.", "NETStandard.", "xunit", "NUnit", "Moq", "FluentAssertions", "coverlet.", "Microsoft.TestPlatform", "MSTest.", "CodeStructure.Analyzers"),

@@ -12,6 +12,9 @@ from cairn.functions.text import collapse
 #: number they are suspect; hosts and suspects shown. Fixed values.
 MAY_HELP, ADVISED, SAMPLE, SUSPECT_SHARE, SUSPECT_ROWS, HOSTS, SUSPECTS = 5.0, 10.0, 200, 60.0, 5, 20, 20
 
+#: Pages of a dry run's sample. A fixed value.
+SAMPLES = 50
+
 
 def boundary_pct(issues: Column, chunks: Column) -> Column:
     return 100.0 * issues / F.greatest(chunks, F.lit(1))
@@ -67,15 +70,28 @@ def dashboard(versions: DataFrame, jobs: DataFrame, now: Column, hours: int = 4)
     return both.withColumn("next_action", action)
 
 
-def dry_run(pages: DataFrame) -> DataFrame:
-    """kind, value, n of ``pages`` (host, depth, category, in_scope, outcome): totals and histograms in one pass."""
-    flag = lambda c, name: F.when(c, F.struct(F.lit("total").alias("kind"), F.lit(name).alias("value")))
-    group = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("value"))
+def dry_run(pages: DataFrame, stages: tuple[str, ...] = (), order: list[str] | None = None, samples: int = SAMPLES) -> DataFrame:
+    """kind, value, n, ms of ``pages`` (host, depth, category, in_scope, outcome): totals and histograms, and of each of ``stages``
+    (columns of milliseconds, null where a page did not come so far) how many pages it took and their time, in one pass.
+
+    With ``order``, which must end with a unique column, rows of kind sample follow: the first ``samples`` pages by it, with its last
+    column as value, n their place and their stages' time.  Each partition keeps its own first ones, so a sample is bounded.
+    """
+    nothing = F.lit(None).cast("long")
+    entry = lambda kind, value, ms=nothing: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), ms.cast("long").alias("ms"))
+    flag = lambda c, name: F.when(c, entry("total", F.lit(name)))
     each = F.array_compact(F.array(
         flag(F.lit(True), "pages"), flag(F.col("in_scope"), "in_scope"), flag(~F.col("in_scope"), "out_of_scope"), flag(F.col("outcome") == "Filtered", "filtered"),
-        flag(F.col("outcome") == "DepthLimited", "depth_limited"), flag(F.col("outcome") == "Error", "errors"), group("host"), group("depth"), group("category"),
+        flag(F.col("outcome") == "DepthLimited", "depth_limited"), flag(F.col("outcome") == "Error", "errors"), *[entry(k, F.col(k)) for k in ("host", "depth", "category")],
+        *[F.when(F.col(s).isNotNull(), entry("stage", F.lit(s), F.col(s))) for s in stages],
     ))
-    return pages.select(F.explode(each).alias("e")).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    out = pages.select(F.explode(each).alias("e")).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"), F.sum("e.ms").alias("ms"))
+    if order is None:
+        return out
+    whole = F.aggregate(F.array(*[F.coalesce(F.col(s).cast("long"), F.lit(0)) for s in stages]), F.lit(0).cast("long"), lambda a, x: a + x) if stages else nothing
+    first = pages.select(*order, whole.alias("ms")).orderBy(*order).limit(samples)
+    place = F.row_number().over(Window.orderBy(*order)).cast("long")
+    return out.unionByName(first.select(F.lit("sample").alias("kind"), F.col(order[-1]).cast("string").alias("value"), place.alias("n"), "ms"))
 
 
 def previews(errors: DataFrame, kind: str, order: list[str], n: int = 3) -> DataFrame:

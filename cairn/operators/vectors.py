@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +36,27 @@ def top_k_by_library(vectors: DataFrame, query: list[float], k: int = 5) -> Data
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+INDEX = ["profile", "library_id", "version"]
+
+
+def stored(vectors: DataFrame, path: str) -> None:
+    """Writes ``vectors`` (profile, library_id, version, chunk_id, embedding) in folders by profile, library and version."""
+    vectors.repartition(*INDEX).write.partitionBy(*INDEX).parquet(path)
+
+
+def scoped(spark: SparkSession, path: str, profile: str | None, library: str | None = None, version: str | None = None) -> DataFrame:
+    """The stored vectors of one version, of all versions of a library, or of a whole profile: only those folders are read.
+
+    A version without a library is no scope: as without both.
+    """
+    schema = "chunk_id long, embedding array<float>, profile string, library_id string, version string"
+    rows = spark.read.schema(schema).parquet(path).where(F.col("profile") == (profile or ""))
+    if library is None:
+        return rows
+    rows = rows.where(F.col("library_id") == library)
+    return rows if version is None else rows.where(F.col("version") == version)
+
+
 def candidate_count(k: int) -> int:
     return max(50, k * 5)
 

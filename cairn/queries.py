@@ -194,9 +194,10 @@ ALLOW, DENY = [r"example\.(com|org)"], ["/de/", "#"]
 REFUSAL_SQL = r"""CASE WHEN regexp_matches(url, '(?i)\.(png|jpe?g|gif|svg|webp|ico|bmp|css|js|map|zip|tar|gz|7z|exe|dmg|msi|mp3|mp4|webm|mov|woff2?|ttf|eot)(\?|$)') OR regexp_matches(url, '\.(pdf|docx)$') THEN 'BinaryExtension' WHEN NOT regexp_matches(url, 'example\.(com|org)') THEN 'PatternMissAllowed' WHEN regexp_matches(url, '/de/|#') THEN 'PatternExclude' END"""
 
 
-@query(f"SELECT page_id, {REFUSAL_SQL} AS reason FROM pages")
+@query(f"""WITH r AS (SELECT page_id, url, {REFUSAL_SQL} AS reason FROM pages)
+SELECT page_id, reason, CASE reason WHEN 'BinaryExtension' THEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)(\\?|$)', 1)) WHEN 'PatternExclude' THEN CASE WHEN contains(url, '/de/') THEN '/de/' ELSE '#' END END AS detail FROM r""")
 def url_allow_deny(spark, d):
-    return table(spark, d, "pages").select("page_id", W.refusal(F.col("url"), ALLOW, DENY).alias("reason"))
+    return table(spark, d, "pages").select("page_id", W.refused(F.col("url"), ALLOW, DENY).alias("r")).select("page_id", "r.reason", "r.detail")
 
 
 ROOT = "https://www.ththing.example.com/en/1"
@@ -302,14 +303,16 @@ def distinct_pairs(spark, d):
     return chunks(spark, d).select("library_id", "category").distinct()
 
 
-@query("""WITH t AS (SELECT c_nationkey AS k, 1 AS c, 0 AS s FROM customer UNION ALL SELECT s_nationkey, 0, 1 FROM supplier)
-SELECT k AS nation, sum(c) AS in_customer, sum(s) AS in_supplier FROM t WHERE k NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1) GROUP BY 1""")
+@query("""WITH t AS (SELECT c_nationkey AS k, 1 AS c, 0 AS s FROM customer UNION ALL SELECT s_nationkey, 0, 1 FROM supplier),
+v AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey IN (0, 2) UNION ALL SELECT n_nationkey FROM nation WHERE n_regionkey = 3 AND n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey FROM nation WHERE n_regionkey = 4 AND n_nationkey % 3 < 2)
+SELECT k AS nation, sum(c) AS in_customer, sum(s) AS in_supplier FROM t WHERE k NOT IN (SELECT k FROM v) GROUP BY 1""")
 def orphan_pairs(spark, d):
+    """Nations as pairs: two regions are in the catalog, one has versions that are being built, one has jobs."""
     tables = {"customer": table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), "supplier": table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))}
-    return catalog.orphans(tables, table(spark, d, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("nation")), ["nation"])
-
-
-OLD, NEW = "doc_id % 5 <> 0", "doc_id % 7 <> 0"
+    nation, key = table(spark, d, "nation").withColumnRenamed("n_nationkey", "nation"), F.col("nation")
+    versions = nation.where("n_regionkey = 3").withColumn("state", F.when(key % 2 == 0, "Building").otherwise("Failed"))
+    jobs = nation.where("n_regionkey = 4").withColumn("status", F.when(key % 3 == 0, "Running").when(key % 3 == 1, "Queued").otherwise("Completed"))
+    return catalog.orphans(tables, catalog.valid_parents(nation.where("n_regionkey IN (0, 2)"), versions, jobs, ["nation"]), ["nation"])
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE NOT (doc_id % 5 = 0 AND doc_id % 7 = 0) AND (doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 3 = 0)""")

@@ -213,12 +213,6 @@ def cascade_delete(spark, d):
     return catalog.cascaded({"documents": rows, "lines": lines}, "src3", "en")[1]
 
 
-@query("SELECT doc_id || '' AS chunk_id, CASE WHEN source = 'src3' THEN 'renamed' ELSE source END AS library_id FROM (SELECT CASE WHEN source = 'src3' THEN 'renamed/' || lang || '/' || doc_id ELSE source || '/' || lang || '/' || doc_id END AS doc_id, source FROM documents)")
-def rename_library(spark, d):
-    rows = documents(spark, d).select(F.concat_ws("/", "library_id", "version", F.col("doc_id").cast("string")).alias("chunk_id"), "library_id")
-    return catalog.renamed({"chunks": rows}, "src3", "renamed")["chunks"]
-
-
 @query("""WITH r AS (SELECT doc_id AS id, md5(text) AS original, CASE WHEN doc_id % 3 <> 0 THEN md5(source || lang) END AS extraction FROM documents), g AS (SELECT * FROM r WHERE id % 4 = 0), k AS (SELECT * FROM r WHERE id % 4 <> 0)
 SELECT DISTINCT hash FROM (SELECT original AS hash FROM g UNION ALL SELECT extraction FROM g) WHERE hash IS NOT NULL AND hash NOT IN (SELECT original FROM k UNION ALL SELECT extraction FROM k WHERE extraction IS NOT NULL)""")
 def artifact_garbage(spark, d):
@@ -326,14 +320,19 @@ def dashboard(spark, d):
     return reports.dashboard(versions(spark, d).withColumn("suspect", F.col("pages") % 4 == 0), rows, now)
 
 
-@query("""WITH p AS (SELECT event_type AS host, user_id % 5 AS depth, CASE WHEN event_id % 2 = 0 THEN 'HowTo' END AS category, event_id % 3 = 0 AS in_scope, CASE event_id % 7 WHEN 0 THEN 'Filtered' WHEN 1 THEN 'DepthLimited' WHEN 2 THEN 'Error' ELSE 'Fetched' END AS outcome FROM events)
-SELECT kind, value, count(*) AS n FROM (SELECT 'total' AS kind, 'pages' AS value FROM p UNION ALL SELECT 'total', CASE WHEN in_scope THEN 'in_scope' ELSE 'out_of_scope' END FROM p
- UNION ALL SELECT 'total', CASE outcome WHEN 'Filtered' THEN 'filtered' WHEN 'DepthLimited' THEN 'depth_limited' ELSE 'errors' END FROM p WHERE outcome <> 'Fetched'
- UNION ALL SELECT 'host', host FROM p UNION ALL SELECT 'depth', CAST(depth AS VARCHAR) FROM p UNION ALL SELECT 'category', category FROM p) GROUP BY ALL""")
+@query("""WITH p AS (SELECT event_id, event_type AS host, user_id % 5 AS depth, CASE WHEN event_id % 2 = 0 THEN 'HowTo' END AS category, event_id % 3 = 0 AS in_scope, CASE event_id % 7 WHEN 0 THEN 'Filtered' WHEN 1 THEN 'DepthLimited' WHEN 2 THEN 'Error' ELSE 'Fetched' END AS outcome,
+ CASE WHEN event_id % 7 > 1 THEN user_id % 900 END AS fetched, CASE WHEN event_id % 7 > 2 THEN event_id % 40 END AS cut FROM events),
+e AS (SELECT 'total' AS kind, 'pages' AS value, NULL::BIGINT AS ms FROM p UNION ALL SELECT 'total', CASE WHEN in_scope THEN 'in_scope' ELSE 'out_of_scope' END, NULL FROM p
+ UNION ALL SELECT 'total', CASE outcome WHEN 'Filtered' THEN 'filtered' WHEN 'DepthLimited' THEN 'depth_limited' ELSE 'errors' END, NULL FROM p WHERE outcome <> 'Fetched'
+ UNION ALL SELECT 'host', host, NULL FROM p UNION ALL SELECT 'depth', CAST(depth AS VARCHAR), NULL FROM p UNION ALL SELECT 'category', category, NULL FROM p
+ UNION ALL SELECT 'stage', 'fetched', fetched FROM p WHERE fetched IS NOT NULL UNION ALL SELECT 'stage', 'cut', cut FROM p WHERE cut IS NOT NULL)
+SELECT kind, value, count(*) AS n, CAST(sum(ms) AS BIGINT) AS ms FROM e GROUP BY ALL
+UNION ALL (SELECT 'sample', CAST(event_id AS VARCHAR), row_number() OVER (ORDER BY host, event_id), coalesce(fetched, 0) + coalesce(cut, 0) FROM p ORDER BY host, event_id LIMIT 50)""")
 def dry_run_report(spark, d):
     e = F.col("event_id")
     outcome = F.when(e % 7 == 0, "Filtered").when(e % 7 == 1, "DepthLimited").when(e % 7 == 2, "Error").otherwise("Fetched")
-    return reports.dry_run(table(spark, d, "events").select(F.col("event_type").alias("host"), (F.col("user_id") % 5).alias("depth"), F.when(e % 2 == 0, "HowTo").alias("category"), (e % 3 == 0).alias("in_scope"), outcome.alias("outcome")))
+    rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("host"), (F.col("user_id") % 5).alias("depth"), F.when(e % 2 == 0, "HowTo").alias("category"), (e % 3 == 0).alias("in_scope"), outcome.alias("outcome"), F.when(e % 7 > 1, F.col("user_id") % 900).alias("fetched"), F.when(e % 7 > 2, e % 40).alias("cut"))
+    return reports.dry_run(rows, ("fetched", "cut"), ["host", "event_id"])
 
 
 @query("SELECT event_type, event_id, place, n, greatest(n - 3, 0) AS more FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE place <= 3")

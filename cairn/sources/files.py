@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.catalog import islands, numbered, running_totals
+from cairn.sources import paths
 from cairn.sources.scratch import written
 
 #: Endings of documents that are read, and folders of which nothing is. Fixed values.
@@ -16,28 +20,73 @@ MOST_DOCUMENTS, MOST_FILE_BYTES, MOST_BYTES = 10_000, 64 << 20, 1 << 30
 LOG_START = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3} [+-]\d{2}:\d{2}) \[([A-Z]{3})\] (.*)$"
 
 
-def scan(spark: SparkSession, root: str, excluded: str | None = None) -> DataFrame:
-    """path, length, reason of every file below ``root``; a null reason accepts one. File contents are not read.
+class Limits(NamedTuple):
+    """What ends a scan: documents, folders, entries, levels of folders, bytes of a file and of all."""
+
+    documents: int = MOST_DOCUMENTS
+    folders: int = 10_000
+    entries: int = 100_000
+    depth: int = 64
+    file_bytes: int = MOST_FILE_BYTES
+    bytes: int = MOST_BYTES
+
+
+LISTED = "path string, name string, is_folder boolean, length long, depth int, reason string"
 
-    Folders of ``SKIPPED_FOLDERS`` are listed, but nothing in them is accepted. Budgets are running sums in path order over the
-    files accepted so far.
+
+def listed(spark: SparkSession, root: str, excluded: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """``LISTED``: the entries below ``root``, level by level, in the order of their names.
+
+    A level's folders are those that the level before lists and that no rule leaves out, so a folder of ``SKIPPED_FOLDERS``, one that
+    matches ``excluded``, one below ``limits.depth``, one behind a link that leads out of ``root``, and those beyond
+    ``limits.folders`` are an entry with a reason and are not listed themselves.  Beyond ``limits.entries`` the listing
+    ends with an entry that says so: that bounds what is held here.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    inside = F.lit("/(?:" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + ")/")
-    first = F.when(F.regexp_like("path", inside), "ExcludedDirectory").when(~ending.isin(*DOCUMENTS), "UnsupportedExtension")
-    if excluded is not None:
-        first = first.when(F.col("path").rlike(excluded), "ExcludedPattern")
-    first = first.when(F.col("length") > MOST_FILE_BYTES, "FileTooLarge")
-    rows = files.withColumn("first", first).withColumn("bytes", F.when(F.col("first").isNull(), F.col("length")).otherwise(0)).withColumn("one", F.col("first").isNull().cast("int"))
+    base = paths.resolved(spark, root)
+    out, level, depth, opened = [], [paths.qualified(spark, root)], 0, 1
+    while level:
+        following = []
+        for folder in level:
+            for e in paths.entries(spark, folder):
+                if len(out) >= limits.entries:
+                    return spark.createDataFrame([*out, (folder, "", True, 0, depth, "EntryBudget")], LISTED)
+                reason = None
+                if not e.resolved.startswith(f"{base}/"):
+                    reason = "OutsideRoot"
+                elif excluded is not None and re.search(excluded, e.path):
+                    reason = "ExcludedPattern"
+                elif e.is_folder and e.name in SKIPPED_FOLDERS:
+                    reason = "ExcludedDirectory"
+                elif e.is_folder and depth + 1 > limits.depth:
+                    reason = "DepthBudget"
+                elif e.is_folder and opened >= limits.folders:
+                    reason = "DirectoryBudget"
+                elif e.is_folder:
+                    following.append(e.path)
+                    opened += 1
+                out.append((e.path, e.name, e.is_folder, e.length, depth, reason))
+        level, depth = following, depth + 1
+    return spark.createDataFrame(out, LISTED)
+
+
+def scan(spark: SparkSession, root: str, excluded: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """path, length, reason of every file and of every folder that is not listed below ``root``; a null reason accepts a file.
+
+    File contents are not read.  Budgets of documents and bytes are running sums in path order over the files accepted so far.
+    """
+    rows = listed(spark, root, excluded, limits).where("NOT is_folder OR reason IS NOT NULL")
+    ending = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
+    first = F.coalesce("reason", F.when(~ending.isin(*DOCUMENTS), "UnsupportedExtension").when(F.col("length") > limits.file_bytes, "FileTooLarge"))
+    rows = rows.where(~(F.col("name").isin("_SUCCESS") | F.startswith("name", F.lit(".")) & ~F.col("is_folder"))).select("path", "length", first.alias("first"))
+    rows = rows.withColumn("bytes", F.when(F.col("first").isNull(), F.col("length")).otherwise(0)).withColumn("one", F.col("first").isNull().cast("int"))
     summed = running_totals(rows, ["path"], {"all_bytes": "bytes", "all_files": "one"})
-    reason = F.coalesce(F.col("first"), F.when(F.col("all_files") > MOST_DOCUMENTS, "DocumentBudget").when(F.col("all_bytes") > MOST_BYTES, "ByteBudget"))
+    reason = F.coalesce(F.col("first"), F.when(F.col("all_files") > limits.documents, "DocumentBudget").when(F.col("all_bytes") > limits.bytes, "ByteBudget"))
     return summed.select("path", "length", reason.alias("reason"))
 
 
 def scan_report(scanned: DataFrame) -> DataFrame:
     """One row: files that a scan accepted, skipped, and found too large or over a budget, and accepted bytes."""
-    limits = ("FileTooLarge", "DocumentBudget", "ByteBudget")
+    limits = ("FileTooLarge", "DocumentBudget", "ByteBudget", "DirectoryBudget", "DepthBudget", "EntryBudget")
     ok = F.col("reason").isNull()
     return scanned.agg(
         F.count_if(ok).alias("accepted"), F.count_if(~ok & ~F.col("reason").isin(*limits)).alias("skipped"), F.count_if(F.col("reason").isin(*limits)).alias("limited"),
