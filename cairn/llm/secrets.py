@@ -1,9 +1,9 @@
 """Secret scans: patterns first, then character Markov models of random strings and ordinary identifiers; DataFrame functions only.
 
-Patterns give spans of kinds assign, access and hex.  The models judge long tokens that no pattern has taken: one model is
-trained on random strings, one on ordinary identifiers, and a token is a span of kind random if its log-likelihood ratio a
-character is above a threshold.  Random strings are the secrets that patterns found in all documents and ``RANDOM_SAMPLE``
-generated ones; ordinary identifiers are the long tokens of letters in all documents, and ``ORDINARY_SAMPLE`` ones joined
+Patterns give spans of kinds assign, access and hex.  The models judge every long token, and of one that a pattern has taken a
+part of, what is left on its sides: one model is trained on random strings, one on ordinary identifiers, and a token or
+part is a span of kind random if its log-likelihood ratio a character is above a threshold.  Random strings are the secrets that patterns found in all documents and ``RANDOM_SAMPLE``
+generated ones; ordinary identifiers are the words of 12 to 19 letters in all documents, and ``ORDINARY_SAMPLE`` ones joined
 from ``PLAIN`` words in the usual spellings of paths, names and versions, with digits and separators.  Counts grow with the
 input and are summed where they lie; what documents hold weighs as much as the generated strings of its class at most, so
 verdicts do not move with the input's size.  The models' size is that of their alphabet.  The threshold is calibrated on
@@ -34,10 +34,10 @@ PATTERNS = (
     ("hex", r"[0-9a-f]{24,}", 24, 0),
 )
 KINDS = ("assign", "access", "hex", "random")
-#: Tokens that the models judge: this long, with a letter and a digit.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: Ordinary identifiers: letters only.
-WORDS = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])"
+#: Tokens that the models judge, and characters of a part of one beside a base span: of shorter ones a ratio says little.
+TOKEN, LEAST_PART = r"[A-Za-z0-9+/_-]{20,}", 8
+#: Ordinary identifiers: letters only, and too short to be judged, so that no token vouches for itself.
+WORDS = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]{12,19}(?![A-Za-z0-9+/_=-])"
 #: Generated random strings and identifiers in the training sample, and nats a character above which a token may be random.
 RANDOM_SAMPLE, ORDINARY_SAMPLE, LEAST_RATIO = 2000, 8000, 1.0
 #: Share of held-out identifiers that the threshold gives up.
@@ -153,12 +153,16 @@ def scan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     found = rows.withColumn("base", base_spans(F.col("scanned"))).withColumn("tokens", located(F.col("scanned"), TOKEN, len(PATTERNS), 1, 0))
     limit = limit_of(docs.sparkSession, model)
 
-    def is_random(t: Column, base: Column) -> Column:
-        mixed = t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]")
-        free = ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        return mixed & free & (markov.ratio(token_grams(t["value"]), model) > limit)
+    def parts(t: Column) -> Column:
+        """What base spans leave of a token: all of it, or the parts that are long enough."""
+        part = lambda at, end: F.struct(at.alias("start"), t["order"].alias("order"), end.alias("end"), F.substring(F.col("scanned"), at + 1, end - at).alias("value"))
+        more = lambda s, end: F.when(end - s["at"] >= LEAST_PART, F.array_append(s["spans"], part(s["at"], end))).otherwise(s["spans"])
+        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), more(s, b["start"]).alias("spans"))
+        inside = F.filter("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+        return F.aggregate(inside, F.struct(t["start"].alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda s: more(s, t["end"]))
 
-    added = F.filter("tokens", lambda t: is_random(t, F.col("base")))
+    judged = F.flatten(F.transform("tokens", parts))
+    added = F.filter(judged, lambda t: markov.ratio(token_grams(t["value"]), model) > limit)
     spans = F.when(F.size("tokens") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))
     return found.select("doc_id", "base", spans.alias("spans"), *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
