@@ -1,6 +1,6 @@
 """Packing: documents into fixed windows by the sum-of-squares rule.
 
-Each task packs the documents of its own scan partition as they stream by, so nothing is shuffled and a hot source
+Each task packs the documents of its own scan partitions as they stream by, so nothing is shuffled and a hot source
 is just more partitions.  A document longer than a window first fills whole windows; its rest goes to the fill level
 that leaves the smallest sum of squared counts of partly filled windows.  The counts live in one array with a slot for
 each fill level.  Pieces may be cut: when a task ends, or holds ``MOST_OPEN`` open windows, the emptiest windows are
@@ -26,6 +26,8 @@ from cairn.llm.tokenizing import word_encoder
 
 #: Open windows that a task holds at most: 32 MB of ids at 2048 ids a window.
 MOST_OPEN = 4096
+#: Rows that a task packs, at least: where input partitions have fewer, a task takes several, as what is open at its end is cut.
+LEAST_ROWS = 4096
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -125,8 +127,10 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) in windows of ``size`` ids: ``SCHEMA``, ids little-endian unsigned 32-bit.
 
-    ``tokenizer`` is the path of a tokenizers file that every worker can read.
+    ``tokenizer`` is the path of a tokenizers file that every worker can read.  Tasks take ``LEAST_ROWS`` rows or more on average,
+    which moves no row from where it lies to another partition but reads partitions together.
     """
+    docs = docs.coalesce(max(1, docs.count() // LEAST_ROWS))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
