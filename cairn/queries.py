@@ -191,7 +191,8 @@ def url_normalize(spark, d):
 
 
 ALLOW, DENY = [r"example\.(com|org)"], ["/de/", "#"]
-REFUSAL_SQL = r"""CASE WHEN regexp_matches(url, '(?i)\.(png|jpe?g|gif|svg|webp|ico|bmp|css|js|map|zip|tar|gz|7z|exe|dmg|msi|mp3|mp4|webm|mov|woff2?|ttf|eot)(\?|$)') OR regexp_matches(url, '\.(pdf|docx)$') THEN 'BinaryExtension' WHEN NOT regexp_matches(url, 'example\.(com|org)') THEN 'PatternMissAllowed' WHEN regexp_matches(url, '/de/|#') THEN 'PatternExclude' END"""
+BINARY_SQL = r"(?i)\.(png|jpe?g|gif|svg|webp|ico|bmp|css|js|map|zip|tar|gz|7z|exe|dmg|msi|mp3|mp4|webm|mov|woff2?|ttf|eot)(\?|$)"
+REFUSAL_SQL = rf"""CASE WHEN regexp_matches(url, '{BINARY_SQL}') OR regexp_matches(url, '\.(pdf|docx)$') THEN 'BinaryExtension' WHEN NOT regexp_matches(url, 'example\.(com|org)') THEN 'PatternMissAllowed' WHEN regexp_matches(url, '/de/|#') THEN 'PatternExclude' END"""
 
 
 @query(f"""WITH r AS (SELECT page_id, url, {REFUSAL_SQL} AS reason FROM pages)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.functions import web as W
 from cairn.operators import catalog, chunking, reports, symbols
-from cairn.queries import query, table
+from cairn.queries import BINARY_SQL, query, table
 from cairn.queries_catalog import documents
 from cairn.sources import converted, files
 from cairn.sources.scratch import folder
+from cairn.streaming.pages import audit_log
 
 
 @query("SELECT (SELECT count(DISTINCT lang) FROM documents WHERE lang <> 'de') AS accepted, CAST(1 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS limited")
@@ -188,3 +189,64 @@ def code_identifiers(spark, d):
     joined = F.replace(F.replace(F.replace(F.col("text"), F.lit(", "), F.lit("->")), F.lit(". "), F.lit("::")), F.lit("``"), F.lit(""))
     text = F.concat(F.lit("prose Outside_of_code\n```py\n"), joined, F.lit("\n```\nmore Outside_of_code"))
     return symbols.code_identifiers(documents(spark, d).select(text.alias("content")))
+
+
+# Files of projects and texts, stored sizes, audit streams
+
+
+@query("""SELECT 'P' || p_partkey AS package_id, CASE p_partkey % 3 WHEN 0 THEN p_size || '.0' WHEN 1 THEN '1.' || p_size ELSE 'unknown' END AS version FROM part
+UNION ALL SELECT 'src/' || p_partkey || '.csproj', 'project' FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'new/' || p_partkey || '.csproj', 'project' FROM part WHERE p_partkey % 4 = 1""")
+def project_files(spark, d):
+    """Parts as references of project files, by attribute, by child, or without a version, and as projects of solutions of both kinds."""
+    parts, target = table(spark, d, "part"), folder(spark)
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    reference = F.concat(F.lit('<PackageReference Include="P'), k, F.lit('"'))
+    element = F.when(F.col("p_partkey") % 3 == 0, F.concat(reference, F.lit(' Version="'), size, F.lit('.0" />'))).when(F.col("p_partkey") % 3 == 1, F.concat(reference, F.lit("><Version>1."), size, F.lit("</Version></PackageReference>"))).otherwise(F.concat(reference, F.lit("/>")))
+    parts.select(element.alias("value")).write.text(f"{target}/csproj")
+    old = F.concat(F.lit('Project("{A}") = "'), k, F.lit('", "src\\'), k, F.lit('.csproj", "{B}"'))
+    new = F.concat(F.lit('<Project Path="new/'), k, F.lit('.csproj" />'))
+    for name, line, rest in (("sln", old, 0), ("slnx", new, 1)):
+        parts.where(F.col("p_partkey") % 4 == rest).select(line.alias("value")).write.text(f"{target}/{name}")
+    projects = files.solution_projects(spark, f"{target}/sln").unionByName(files.solution_projects(spark, f"{target}/slnx"))
+    return files.project_references(spark, f"{target}/csproj").unionByName(projects.select(F.col("project").alias("package_id"), F.lit("project").alias("version")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN sha256(text) END AS text FROM documents")
+def decoded_texts(spark, d):
+    """Texts as bytes: UTF-8 without and with a mark, UTF-16 of both orders, and bytes that are none; lines end as on other systems."""
+    lines = F.replace(F.col("text"), F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\r"))
+    marked = lambda mark, charset: F.concat(F.unhex(F.lit(mark)), F.encode(lines, charset))
+    k = F.col("doc_id") % 5
+    raw = F.when(k == 0, F.encode(lines, "UTF-8")).when(k == 1, marked("EFBBBF", "UTF-8")).when(k == 2, marked("FFFE", "UTF-16LE")).when(k == 3, marked("FEFF", "UTF-16BE")).otherwise(marked("C328", "UTF-8"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(files.decoded(raw), 256).alias("text"))
+
+
+@query("SELECT CAST(6 AS BIGINT) AS before, CAST(1 AS BIGINT) AS after, count(*) AS n, true AS smaller FROM documents")
+def stored_sizes(spark, d):
+    """Files and bytes of a stored table before and after it is written anew in one file."""
+    target = folder(spark)
+    table(spark, d, "documents").repartition(6).write.parquet(f"{target}/a")
+    files.compacted(spark.read.parquet(f"{target}/a"), f"{target}/b", 1)
+    before, after = (files.stored_size(spark, f"{target}/{x}") for x in "ab")
+    both = before.select(F.col("files").alias("before"), F.col("bytes").alias("b")).join(after.select(F.col("files").alias("after"), F.col("bytes").alias("a")))
+    return both.join(spark.read.parquet(f"{target}/b").agg(F.count(F.lit(1)).alias("n"))).select("before", "after", "n", (F.col("a") < F.col("b") * 1.1).alias("smaller"))
+
+
+@query("SELECT event_type AS profile, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def audit_stream(spark, d):
+    """Events that arrive in three files, appended to a folder for each profile."""
+    rows, arrived, target = table(spark, d, "events").select(F.col("event_type").alias("profile"), "event_id"), folder(spark), folder(spark)
+    for i in range(3):
+        rows.where(F.col("event_id") % 3 == i).coalesce(1).write.parquet(f"{arrived}/{i}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{arrived}/*")
+    audit_log(stream, target, folder(spark)).awaitTermination()
+    stored = spark.read.parquet(target)
+    return stored.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query(rf"""WITH r AS (SELECT page_id, url, CASE WHEN regexp_matches(url, '{BINARY_SQL}') OR regexp_matches(url, '\.(pdf|docx)$') THEN 'BinaryExtension' WHEN NOT regexp_matches(url, '(?i)www\.ththing\.example\.com') THEN 'PatternMissAllowed'
+ WHEN regexp_matches(url, '(?i)/blog/|/login/|/signin/|/account/|#') THEN 'PatternExclude' END AS reason FROM pages) SELECT page_id, reason FROM r""")
+def default_job_urls(spark, d):
+    """Pages by the patterns that a crawl of a root takes unless told otherwise."""
+    job = W.default_job("https://www.ththing.example.com/en/1")
+    return table(spark, d, "pages").select("page_id", W.refusal(F.col("url"), job["allow"], job["deny"]).alias("reason"))

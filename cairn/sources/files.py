@@ -96,9 +96,11 @@ def scan_report(scanned: DataFrame) -> DataFrame:
 
 #: Endings of text files of a repository, folders that are skipped, greatest size. Fixed values.
 REPO_TEXT = (
-    "cs csx vb fs fsx ts tsx js jsx mjs py rb go rs java kt kts scala cpp cxx cc hpp hxx hh h c swift m mm dart php pl lua r jl clj cljs ex exs sh bash zsh ps1 bat cmd "
-    "md markdown rst adoc txt xml xaml json yaml yml toml ini cfg html htm css scss sass less sql graphql proto"
-).split()
+    ".cs", ".csx", ".vb", ".fs", ".fsx", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".rb", ".go", ".rs", ".java", ".kt", ".kts", ".scala", ".cpp",
+    ".cxx", ".cc", ".hpp", ".hxx", ".hh", ".h", ".c", ".swift", ".m", ".mm", ".dart", ".php", ".pl", ".lua", ".r", ".jl", ".clj", ".cljs", ".ex",
+    ".exs", ".sh", ".bash", ".zsh", ".ps1", ".bat", ".cmd", ".md", ".markdown", ".rst", ".adoc", ".txt", ".xml", ".xaml", ".json", ".yaml", ".yml",
+    ".toml", ".ini", ".cfg", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".sql", ".graphql", ".proto",
+)
 REPO_SKIPPED = ".git .github .vs .idea .vscode node_modules bower_components vendor bin obj build dist out target Debug Release __pycache__ .pytest_cache .mypy_cache packages .nuget".split()
 REPO_BYTES = 200 * 1024
 
@@ -117,10 +119,10 @@ def repo_category(path: Column) -> Column:
 
 def repo_files(files: DataFrame) -> DataFrame:
     """path, category of ``files`` (path below the root, length) that are texts, not too large, and in no skipped folder."""
-    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    ending = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
     folders = F.transform(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), F.lower)
     skipped = F.arrays_overlap(folders, F.array(*[F.lit(f.lower()) for f in REPO_SKIPPED]))
-    return files.where(ending.isin(REPO_TEXT) & (F.col("length") <= REPO_BYTES) & ~F.coalesce(skipped, F.lit(False))).select("path", repo_category(F.col("path")).alias("category"))
+    return files.where(ending.isin(*REPO_TEXT) & (F.col("length") <= REPO_BYTES) & ~F.coalesce(skipped, F.lit(False))).select("path", repo_category(F.col("path")).alias("category"))
 
 
 def stored_size(spark: SparkSession, path: str) -> DataFrame:
