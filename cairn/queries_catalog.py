@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions import web as W
-from cairn.operators import catalog, health, jobs, reports, subjects, symbols
+from cairn.operators import catalog, jobs, reports, subjects, symbols
 from cairn.queries import query, table
 from cairn.sources import files
-from cairn.sources.scratch import folder, written
+from cairn.sources.scratch import folder
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

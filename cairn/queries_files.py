@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.functions import text as T
 from cairn.functions import web as W
 from cairn.operators import catalog, chunking, reports, symbols
 from cairn.queries import BINARY_SQL, query, table

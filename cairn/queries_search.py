@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions import html
 from cairn.functions import text as T
-from cairn.operators import bm25, candidates, catalog, chunking, subjects, symbols, vectors
+from cairn.operators import bm25, chunking, subjects, symbols, vectors
 from cairn.plans import search
-from cairn.queries import COSINE_SQL, POSTINGS_SQL, TOKEN_SQL, chunk_vectors, chunks, first_vector, query, stored_index, table
+from cairn.queries import COSINE_SQL, POSTINGS_SQL, TOKEN_SQL, chunks, first_vector, query, stored_index, table
 from cairn.sources import files
 from cairn.sources.scratch import folder
 

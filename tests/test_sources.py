@@ -28,7 +28,7 @@ def test_scan_and_texts(spark, tmp_path):
     put(tmp_path, "sub/c.png", b"\x00")
     put(tmp_path, "node_modules/d.md", "no")
     reasons = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in files.scan(spark, str(tmp_path)).collect()}
-    assert reasons == {"a.md": None, "b.html": None, "c.png": "UnsupportedExtension", "d.md": "ExcludedDirectory"}
+    assert reasons == {"a.md": None, "b.html": None, "c.png": "UnsupportedExtension", "node_modules": "ExcludedDirectory"}
     rows = files.texts(spark, str(tmp_path / "a.md")).select("text", files.title(F.col("kind"), F.col("text"), F.col("path")).alias("t")).first()
     assert rows["text"] == "# Title\nbody" and rows["t"] == "Title"
 
