@@ -40,7 +40,7 @@ def counted(terms: Column) -> Column:
         one = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
         return F.when(F.size(s) > 0, let(starts, one)).otherwise(F.array().cast("array<struct<term: string, tf: bigint>>"))
 
-    return let(F.array_sort(terms), runs)
+    return let(F.sort_array(terms), runs)
 
 
 def query_terms(text: Column) -> Column:
