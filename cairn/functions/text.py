@@ -98,20 +98,46 @@ def without_fences(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)```.*?```", " ")
 
 
+#: Characters on both sides of a sample in which white space is looked for first.
+NEAR = 400
+
+
 def sample_window(text: Column, token: Column, around: int = 100, cap: int = 200) -> Column:
     """What stands around the token's first place, ``around`` characters on both sides and on to the next white space, collapsed.
 
     Longer windows are cut to ``cap`` characters around the token, as evenly as the text on both sides allows, and trimmed.
     Null if the token is not there.  Characters are code points.
+
+    White space is looked for in ``NEAR`` characters more on both sides, and in the whole text only where they hold none, so
+    that many windows of one long text don't each copy it.
     """
     run = lambda c: F.length(F.regexp_extract(c, r"(?U)^(\S*)", 1))
 
-    def window(at: Column) -> Column:
+    def extent(text: Column, at: Column) -> Column:
+        """First place of the window of the token at ``at``, and the one behind it."""
         first = F.greatest(at - around, F.lit(1))
         first = first - run(F.reverse(F.substring(text, F.lit(1), first - 1)))
         last = F.least(at + F.length(token) + around, F.length(text) + 1)
         last = last + run(F.substring(text, last, F.length(text) + 1 - last))
-        return let(collapse(F.substring(text, first, last - first)), lambda w: F.when(F.length(w) <= cap, w).otherwise(cut(w)))
+        return F.struct(first.alias("first"), last.alias("last"))
+
+    def taken(text: Column, e: Column) -> Column:
+        return F.substring(text, e["first"], e["last"] - e["first"])
+
+    def window(at: Column) -> Column:
+        lead = F.least(at - 1, F.lit(around + NEAR))
+        size = lead + F.length(token) + around + NEAR
+
+        def of_piece(p: Column) -> Column:
+            def found(e: Column) -> Column:
+                open_left = (e["first"] == 1) & (at - lead > 1)
+                open_right = (e["last"] > F.length(p)) & (F.length(p) == size)
+                return F.when(open_left | open_right, let(extent(text, at), lambda w: taken(text, w))).otherwise(taken(p, e))
+
+            return let(extent(p, lead + 1), found)
+
+        raw = let(F.substring(text, at - lead, size), of_piece)
+        return let(collapse(raw), lambda w: F.when(F.length(w) <= cap, w).otherwise(cut(w)))
 
     def cut(window: Column) -> Column:
         before = F.instr(window, token) - 1

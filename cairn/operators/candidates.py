@@ -15,6 +15,20 @@ KEYWORDS = ["class", "interface", "struct", "enum", "record", "type", "def", "fu
 JOINS = ["::", "->", "."]
 
 
+def packed(place: Column, value: Column, values: list[str]) -> Column:
+    """A number for a place and one of ``values`` (or null), in the order of places."""
+    code = F.coalesce(*[F.when(value == v, i) for i, v in enumerate(values)], F.lit(len(values)))
+    return place.cast("long") * (len(values) + 1) + code
+
+
+def packed_place(number: Column, values: list[str]) -> Column:
+    return F.floor(number / (len(values) + 1)).cast("int")
+
+
+def packed_value(number: Column, values: list[str]) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (number % (len(values) + 1)).cast("int"))
+
+
 def occurrences(text: Column) -> Column:
     """Array of name, callable, generic, keyword: each identifier of ``text`` in order; keyword is null if none precedes it.
 
@@ -41,7 +55,10 @@ def candidates(chunks: DataFrame) -> DataFrame:
     A row for each name and way of use in a chunk; ``nth`` and ``keyword`` are those of the first. Null texts have none.
     """
     rows = chunks.select("chunk_id", F.posexplode(occurrences(F.col("content"))).alias("nth", "o")).select("chunk_id", "nth", "o.*")
-    kinds = rows.groupBy("chunk_id", "name", "callable", "generic", F.col("keyword").isNotNull().alias("declared")).agg(F.min("nth").alias("nth"), F.min_by("keyword", "nth").alias("keyword"))
+    # Place and keyword as one number, so that the first of both is a minimum in a hash aggregate; with strings in its buffer it would sort.
+    first = packed(F.col("nth"), F.col("keyword"), KEYWORDS)
+    kinds = rows.groupBy("chunk_id", "name", "callable", "generic", F.col("keyword").isNotNull().alias("declared")).agg(F.min(first).alias("first"))
+    kinds = kinds.withColumn("keyword", packed_value(F.col("first"), KEYWORDS)).withColumn("nth", packed_place(F.col("first"), KEYWORDS)).drop("first")
     leaf = F.col("name")
     for join in reversed(JOINS):
         leaf = F.when(F.col("name").contains(join), F.substring_index("name", join, -1)).otherwise(leaf)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import counted, identifier_terms, let, prose_tokens
 from cairn.sources import paths
-from cairn.sources.scratch import written
+from cairn.sources.scratch import spread, written
 
 #: Postings in a bucket's folder, about; buckets of a segment at most.
 POSTINGS_A_BUCKET, MOST_BUCKETS = 500_000, 4096
@@ -144,10 +144,7 @@ class Index:
         """Adds a segment with the pairs of ``chunks`` (chunk_id, library_id, version, content); they replace what the index has of
         these pairs, or join it."""
         own = [F.coalesce(c, F.lit("")).alias(c) for c in PAIR]
-        cores = self.spark.sparkContext.defaultParallelism
-        if chunks.rdd.getNumPartitions() < cores:  # a small input in few files would be counted on few cores
-            chunks = chunks.repartition(cores)
-        rows = written(chunks.select(*own, F.col("chunk_id").cast(self.id_type).alias("chunk_id"), terms_in(F.coalesce("content", F.lit(""))).alias("c")).select(*PAIR, "chunk_id", "c.*"))
+        rows = written(spread(chunks).select(*own, F.col("chunk_id").cast(self.id_type).alias("chunk_id"), terms_in(F.coalesce("content", F.lit(""))).alias("c")).select(*PAIR, "chunk_id", "c.*"))
         new = self._write(segment or uuid.uuid4().hex, rows)
         old = self.manifest.where(F.col("segment") != segment) if segment else self.manifest
         self._commit((old.join(new.select(*PAIR), PAIR, "left_anti") if replace else old).select(*FACTS).unionByName(new.select(*FACTS)), **state)

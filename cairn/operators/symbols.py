@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions.text import MENTION, fenced_code, has_internal_structure, identifiers, is_abbreviation, let, sample_window, without_fences
-from cairn.operators.candidates import candidates
+from cairn.operators.candidates import candidates, packed, packed_place, packed_value
 from cairn.operators.catalog import third
-from cairn.sources.scratch import written
+from cairn.sources.scratch import spread, written
 
 #: First words of subject terms that texts are searched for directly; with more, runs begin at every word.
 MOST_FIRST = 10_000
@@ -79,14 +79,17 @@ def name_verdicts(names: DataFrame, chunks: DataFrame, stoplist, library_stoplis
     return rows.select("name", fixed.alias("fixed"), keeps.alias("keeps"), F.when(in_prose(is_abbreviation), "LikelyAbbreviation").otherwise("NoStructureSignal").alias("otherwise"))
 
 
-def judged_uses(uses: DataFrame, chunks: DataFrame, stoplist=STOPLIST, library_stoplist=(), units=UNITS, any_case=UNITS_IN_ANY_CASE, likely=(), frequent: int = 3) -> DataFrame:
-    """As ``judged``, of candidates that are there. Names are judged once each, however many chunks have them."""
+def with_reasons(uses: DataFrame, chunks: DataFrame, extra: list[Column], stoplist=STOPLIST, library_stoplist=(), units=UNITS, any_case=UNITS_IN_ANY_CASE, likely=(), frequent: int = 3) -> DataFrame:
+    """chunk_id, name, reason of candidates, and ``extra`` aggregates of a name's uses in its chunk.
+
+    Names are judged once each, however many chunks have them.
+    """
     flags = [F.bool_or(c).alias(c) for c in ("callable", "generic", "declared")]
-    each = uses.groupBy("chunk_id", "name").agg(*flags)
+    each = uses.groupBy("chunk_id", "name").agg(*flags, *extra)
     names = uses.select("name", "leaf", "container").distinct()
     verdicts = written(name_verdicts(names, chunks, stoplist, library_stoplist, units, any_case, likely, frequent))
     reason = F.coalesce("fixed", F.when(~(F.col("declared") | F.col("callable") | F.col("generic") | F.col("keeps")), F.col("otherwise")))
-    return each.join(verdicts, "name").select("chunk_id", "name", reason.alias("reason"))
+    return each.join(verdicts, "name").withColumn("reason", reason).drop("fixed", "keeps", "otherwise", "callable", "generic", "declared")
 
 
 def judged(chunks: DataFrame, stoplist=STOPLIST, library_stoplist=(), units=UNITS, any_case=UNITS_IN_ANY_CASE, likely=(), frequent: int = 3) -> DataFrame:
@@ -96,7 +99,8 @@ def judged(chunks: DataFrame, stoplist=STOPLIST, library_stoplist=(), units=UNIT
     generic, frequent in prose and no abbreviation), else rejected: as an abbreviation if it is frequent in prose.  A name that is
     used in more than one way in a chunk is kept if one of them keeps it; its other reasons do not depend on the use.
     """
-    return judged_uses(written(candidates(chunks)), chunks, stoplist, library_stoplist, units, any_case, likely, frequent)
+    found = with_reasons(written(candidates(spread(chunks))), chunks, [], stoplist, library_stoplist, units, any_case, likely, frequent)
+    return found.select("chunk_id", "name", "reason")
 
 
 def rejections(judged_rows: DataFrame, index: str, n: int) -> DataFrame:
@@ -148,6 +152,7 @@ def inferred_subject(texts: DataFrame, terms: DataFrame, key: str, text: str) ->
 #: Kinds by declaring keyword; rank of kinds as a chunk's primary name. Fixed values.
 DECLARES = {"class": "Type", "interface": "Type", "struct": "Type", "record": "Type", "type": "Type", "enum": "Enum", "def": "Function", "function": "Function"}
 KIND_RANK = ("Type", "Enum", "Function", "Property", "Parameter", "Namespace")
+KINDS = [*KIND_RANK, "Unknown"]
 
 
 def kind(name: Column, leaf: Column, keyword: Column, callable_: Column, generic: Column, container: Column, likely: list[str], types_pascal: bool = True, methods_snake: bool = False) -> Column:
@@ -162,11 +167,11 @@ def kind(name: Column, leaf: Column, keyword: Column, callable_: Column, generic
 
 def symbols(chunks: DataFrame, likely: list[str] = (), types_pascal: bool = True, methods_snake: bool = False, **lists) -> DataFrame:
     """chunk_id, name, kind, nth of the symbols that ``judged`` keeps: each name once a chunk, as it is first used."""
-    uses = written(candidates(chunks))
-    kept = judged_uses(uses, chunks, likely=likely, **lists).where("reason IS NULL").select("chunk_id", "name")
-    kinds = uses.withColumn("kind", kind(F.col("name"), F.col("leaf"), F.col("keyword"), F.col("callable"), F.col("generic"), F.col("container"), list(likely), types_pascal, methods_snake))
-    first = kinds.groupBy("chunk_id", "name").agg(F.min_by("kind", "nth").alias("kind"), F.min("nth").alias("nth"))
-    return first.join(kept, ["chunk_id", "name"], "left_semi").select("chunk_id", "name", "kind", "nth")
+    uses = written(candidates(spread(chunks)))
+    shape = kind(F.col("name"), F.col("leaf"), F.col("keyword"), F.col("callable"), F.col("generic"), F.col("container"), list(likely), types_pascal, methods_snake)
+    first = F.min(packed(F.col("nth"), shape, KINDS)).alias("first")
+    kept = with_reasons(uses, chunks, [first], likely=likely, **lists).where("reason IS NULL")
+    return kept.select("chunk_id", "name", packed_value(F.col("first"), KINDS).alias("kind"), packed_place(F.col("first"), KINDS).alias("nth"))
 
 
 def rank(kind_: Column) -> Column:

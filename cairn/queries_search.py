@@ -11,7 +11,7 @@ from cairn.operators import bm25, chunking, subjects, symbols, vectors
 from cairn.plans import search
 from cairn.queries import COSINE_SQL, POSTINGS_SQL, TOKEN_SQL, chunks, first_vector, query, stored_index, table
 from cairn.sources import files
-from cairn.sources.scratch import folder
+from cairn.sources.scratch import folder, spread, written
 
 LIBRARY = "src1"
 OWN_SQL = POSTINGS_SQL.replace("FROM documents", "FROM (SELECT * FROM documents WHERE source = 'src1')")
@@ -184,10 +184,10 @@ def bounded_sections(spark, d):
 
 
 def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose words stand behind keywords, in containers, or before brackets in turn."""
+    """Documents whose words stand behind keywords, in containers, or before brackets in turn; written, as they are read more than once."""
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1))
     made = F.transform(words, lambda w, i: F.when(i % 8 == 0, F.concat(F.lit("class "), w)).when(i % 8 == 1, F.concat(F.lit("My."), w)).when(i % 8 == 2, F.concat(w, F.lit("()"))).when(i % 8 == 3, F.concat(w, F.lit("<T>"))).when(i % 8 == 4, F.concat(F.lit("enum "), w)).when(i % 8 == 5, F.concat(F.lit("get"), F.initcap(w))).when(i % 8 == 6, F.concat(F.lit("of_"), F.lower(w))).otherwise(w))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.array_join(made, ", ").alias("content"))
+    return written(spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.array_join(made, ", ").alias("content")))
 
 
 def listed(words) -> str:
@@ -269,9 +269,9 @@ picks AS (SELECT name, third, count(*) AS chunks, min(chunk_id) AS chunk_id, arg
 SELECT name, arg_min(reason, chunk_id) AS reason, CAST(sum(chunks) AS BIGINT) AS chunks, sha256(string_agg(sample, chr(10) ORDER BY third)) AS samples FROM windows GROUP BY name""")
 def rejected_samples(spark, d):
     """Rejected names with a window of text from each third of the documents."""
-    texts = symbol_chunks(spark, d).withColumnRenamed("chunk_id", "index")
-    rows = symbols.judged(symbol_chunks(spark, d), **LISTS).withColumnRenamed("chunk_id", "index")
-    found = symbols.rejected_samples(rows, texts, table(spark, d, "documents").count())
+    texts = symbol_chunks(spark, d)
+    rows = symbols.judged(texts, **LISTS).withColumnRenamed("chunk_id", "index")
+    found = symbols.rejected_samples(rows, texts.withColumnRenamed("chunk_id", "index"), table(spark, d, "documents").count())
     return found.select("name", "reason", "chunks", F.sha2(F.array_join("samples", "\n"), 256).alias("samples"))
 
 

@@ -80,7 +80,7 @@ def test_sample_windows(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choices("abcé.", k=rnd.choice([1, 3, 8, 40, 130])))
     texts = ["".join(w + rnd.choice([" ", "  ", "\n", "\t "]) for w in (word() for _ in range(rnd.randint(0, 30)))) for _ in range(300)]
-    rows = [(i, t, rnd.choice([t.split() or ["none"], ["none"]])[0] if i % 3 else rnd.choice(t.split() or ["none"])) for i, t in enumerate(texts)] + [(900, "x" * 5000, "xx"), (901, None, "a"), (902, "long " * 50_000 + "end", "end")]
+    rows = [(i, t, rnd.choice([t.split() or ["none"], ["none"]])[0] if i % 3 else rnd.choice(t.split() or ["none"])) for i, t in enumerate(texts)] + [(900, "x" * 5000, "xx"), (901, None, "a"), (902, "long " * 50_000 + "end", "end"), (903, "é" * 900 + "key" + "y" * 900 + " z", "key"), (904, "a " * 900 + "b" * 499 + "key" + "c" * 501, "key"), (905, "a " + "b" * 500 + "key" + " c" * 900, "key"), (906, "b" * 500 + "key" + "c" * 500, "key"), (907, "long " * 50_000 + "q" * 3000 + "key", "key")]
     got = {r["i"]: r["w"] for r in spark.createDataFrame(rows, "i int, text string, token string").select("i", T.sample_window(F.col("text"), F.col("token")).alias("w")).collect()}
     assert all(got[i] == (None if t is None else window_of(t, k)) for i, t, k in rows)
 
