@@ -33,6 +33,16 @@ def test_scan_and_texts(spark, tmp_path):
     assert rows["text"] == "# Title\nbody" and rows["t"] == "Title"
 
 
+def test_scanned_languages(spark, tmp_path):
+    """A file of a language stays one that a scan accepts when the language has more text than a file may have."""
+    from cairn.queries_files import scan_folders
+
+    text = F.repeat(F.sha2(F.col("id").cast("string"), 256), 8192)  # half a megabyte each
+    rows = spark.range(160, numPartitions=8).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") < 140, "en").when(F.col("id") < 150, "fr").when(F.col("id") < 159, "de").alias("lang"), F.lit("s").alias("source"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(scan_folders(spark, str(tmp_path)).first()) == (2, 1, 0)
+
+
 def test_project_files(spark, tmp_path):
     req = files.requirements(spark, put(tmp_path, "r.txt", "# c\nnumpy==1.2\npandas>=2,<3\n-e .\nplain\n")).collect()
     assert {tuple(r) for r in req} == {("numpy", "1.2"), ("pandas", "2"), ("plain", None)}
@@ -100,6 +110,11 @@ def pages_of(spark, *pages):
     return df.select("id", "page", html.markdown(F.col("page")).alias("text"), html.container(F.col("page"))["tag"].alias("tag")).orderBy("id").collect()
 
 
+def test_references_without_an_end():
+    page = html.read("<title>a&amp;&amp</title><article><h1>a&amp;&amp</h1><p>b&lt &#38 &notit; &quot;&#x27;&lt;&#38;</p></article>")
+    assert page["title"] == "a&&amp" and [b["text"] for b in page["blocks"]] == ["a&&amp", "b&lt &#38 &notit; \"'<&"]
+
+
 def test_html(spark):
     long = "word " * 60
     rows = pages_of(
