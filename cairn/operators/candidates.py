@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from cairn.functions.text import let
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Identifiers with dashes inside, joined by dots, double colons or arrows. A fixed value.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*+(?:-[A-Za-z][A-Za-z0-9_]*+)*+(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*+)*+"
@@ -15,13 +18,8 @@ KEYWORDS = ["class", "interface", "struct", "enum", "record", "type", "def", "fu
 JOINS = ["::", "->", "."]
 
 
-def packed(place: Column, value: Column, values: list[str]) -> Column:
-    """A number for a place and one of ``values`` (or null), in the order of places."""
-    code = F.coalesce(*[F.when(value == v, i) for i, v in enumerate(values)], F.lit(len(values)))
-    return place.cast("long") * (len(values) + 1) + code
-
-
 def packed_place(number: Column, values: list[str]) -> Column:
+    """The place in a number for a place and one of ``values`` (or null), in the order of places."""
     return F.floor(number / (len(values) + 1)).cast("int")
 
 
@@ -29,24 +27,109 @@ def packed_value(number: Column, values: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, values)), (number % (len(values) + 1)).cast("int"))
 
 
-def occurrences(text: Column) -> Column:
-    """Array of name, callable, generic, keyword: each identifier of ``text`` in order; keyword is null if none precedes it.
+#: Ways of use as bits: before a bracket, before an angle bracket, behind a keyword.
+CALLED, GENERIC, DECLARED = 1, 2, 4
+_AFTER = {"(": CALLED, "<": GENERIC}
+#: Texts that become one piece of a batch's result.
+PIECE = 256
+_NONE, _KEYWORDS = len(KEYWORDS), tuple(KEYWORDS)
+_TOKEN = re.compile(TOKEN)
+#: A keyword at the end of an identifier, behind no other letter of it.
+_ENDING = re.compile(f"(?:^|[^A-Za-z_])({'|'.join(KEYWORDS)})$", re.IGNORECASE | re.ASCII)
+#: Unicode's white space.
+_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def uses_of(texts: list[str | None], endings: dict[str, tuple[int, bool] | None]) -> dict[tuple[str, int], int]:
+    """The first place of each name and way of use in a chunk, with its keyword, as one number; ``endings`` remembers names.
 
     Identifiers and the gaps between them alternate, so what follows an identifier is the start of the next gap, and the
     word before it is the end of the identifier before, if white space alone lies between.
     """
+    found: dict[tuple[str, int], int] = {}
+    for text in texts:
+        names = _TOKEN.findall(text or "")
+        gaps = _TOKEN.split(text or "")
+        hows = [_AFTER.get(g[:1], 0) for g in gaps[1:]]
+        for name in set(names).difference(endings):
+            m = _ENDING.search(name) if name.lower().endswith(_KEYWORDS) else None
+            endings[name] = (KEYWORDS.index(m[1].lower()), m[1] == name) if m else None
+        codes = {}
+        for nth in [i for i, name in enumerate(names[:-1], 1) if endings[name]]:  # the identifiers behind those that end in a keyword
+            code, whole = endings[names[nth - 1]]
+            of_longer_word = whole and gaps[nth - 1][-1:].isalpha()  # a letter of another script
+            if not of_longer_word and not gaps[nth].strip(_SPACE):
+                codes[nth], hows[nth] = code, hows[nth] | DECLARED
+        last = len(names) - 1
+        for key, nth in dict(zip(zip(reversed(names), reversed(hows)), range(last, -1, -1))).items():
+            first = nth * (_NONE + 1) + codes.get(nth, _NONE)
+            if key not in found or first < found[key]:
+                found[key] = first
+    return found
+
+
+def _rows(chunks: pa.Array, columns_of: Callable[[dict], tuple], fields: list[pa.Field]) -> pa.Array:
+    """``columns_of`` the uses in each chunk (a list of texts), as lists of structs."""
+    pieces = []
+    for at in range(0, len(chunks), PIECE):
+        offsets, columns, endings = [0], [[] for _ in fields], {}
+        for texts in chunks.slice(at, PIECE).to_pylist():
+            for column, values in zip(columns, columns_of(uses_of(texts or [], endings))):
+                column.extend(values)
+            offsets.append(len(columns[0]))
+        values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+        pieces.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+    return pa.concat_arrays(pieces) if pieces else pa.array([], pa.list_(pa.struct(fields)))
+
+
+_USE = [pa.field("name", pa.string()), pa.field("how", pa.int32()), pa.field("first", pa.int64())]
+_USED = [StructField("name", StringType()), StructField("how", IntegerType()), StructField("first", LongType())]
+
+
+def _by_use(found: dict[tuple[str, int], int]) -> tuple:
+    return [k[0] for k in found], [k[1] for k in found], list(found.values())
+
+
+@F.arrow_udf(ArrayType(StructType(_USED)))
+def _used(chunks: pa.Array) -> pa.Array:
+    return _rows(chunks, _by_use, _USE)
+
+
+def _by_name(found: dict[tuple[str, int], int]) -> tuple:
+    """Each name once: all its ways of use, its first place, the way of that."""
+    names, hows, firsts = _by_use(found)
+    if len(set(names)) == len(names):
+        return names, hows, firsts, hows
+    least: dict[str, tuple[int, int]] = {}
+    ways: dict[str, int] = {}
+    for name, how, first in zip(names, hows, firsts):
+        ways[name] = ways.get(name, 0) | how
+        least[name] = min(least.get(name, (first, how)), (first, how))
+    return list(ways), list(ways.values()), [v[0] for v in least.values()], [v[1] for v in least.values()]
+
+
+@F.arrow_udf(ArrayType(StructType([*_USED, StructField("of_first", IntegerType())])))
+def _named(chunks: pa.Array) -> pa.Array:
+    return _rows(chunks, _by_name, [*_USE, pa.field("of_first", pa.int32())])
+
+
+def _exploded(chunks: DataFrame, found: Callable[[str], Column]) -> DataFrame:
+    """A row for each of what is ``found`` in a chunk. Only texts are shuffled, so that those of one chunk meet: uses stay where they are."""
+    texts = chunks.groupBy("chunk_id").agg(F.collect_list("content").alias("texts"))
+    rows = texts.select("chunk_id", F.explode(found("texts")).alias("o")).select("chunk_id", "o.*")
+    leaf = F.col("name")
+    for join in reversed(JOINS):
+        leaf = F.when(F.col("name").contains(join), F.substring_index("name", join, -1)).otherwise(leaf)
+    used = F.lit(0)
+    for join in reversed(JOINS):
+        used = F.when(F.col("name").contains(join), F.lit(len(join))).otherwise(used)
+    rows = rows.withColumn("leaf", leaf).withColumn("used", used)
+    container = F.when(F.col("used") > 0, F.expr("substring(name, 1, length(name) - length(leaf) - used)"))
+    return rows.withColumns({"container": container, "keyword": packed_value(F.col("first"), KEYWORDS), "nth": packed_place(F.col("first"), KEYWORDS)})
 
-    def each(names: Column, gaps: Column) -> Column:
-        def one(name: Column, i: Column) -> Column:
-            after = F.substring(F.get(gaps, i + 1), 1, 1)
-            word = F.lower(F.regexp_extract(F.concat(F.get(gaps, i - 1), F.get(names, i - 1)), r"([\p{L}_]+)$", 1))
-            keyword = F.when((i > 0) & F.get(gaps, i).rlike(r"(?U)^\s*$") & word.isin(KEYWORDS), word)
-            return F.struct(name.alias("name"), (after == "(").alias("callable"), (after == "<").alias("generic"), keyword.alias("keyword"))
-
-        return F.transform(names, one)
 
-    text = F.coalesce(text, F.lit(""))
-    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda names: let(F.split(text, TOKEN, -1), lambda gaps: each(names, gaps)))
+def _is(bits: str, way: int) -> Column:
+    return F.col(bits).bitwiseAND(way) != 0
 
 
 def candidates(chunks: DataFrame) -> DataFrame:
@@ -54,17 +137,15 @@ def candidates(chunks: DataFrame) -> DataFrame:
 
     A row for each name and way of use in a chunk; ``nth`` and ``keyword`` are those of the first. Null texts have none.
     """
-    rows = chunks.select("chunk_id", F.posexplode(occurrences(F.col("content"))).alias("nth", "o")).select("chunk_id", "nth", "o.*")
-    # Place and keyword as one number, so that the first of both is a minimum in a hash aggregate; with strings in its buffer it would sort.
-    first = packed(F.col("nth"), F.col("keyword"), KEYWORDS)
-    kinds = rows.groupBy("chunk_id", "name", "callable", "generic", F.col("keyword").isNotNull().alias("declared")).agg(F.min(first).alias("first"))
-    kinds = kinds.withColumn("keyword", packed_value(F.col("first"), KEYWORDS)).withColumn("nth", packed_place(F.col("first"), KEYWORDS)).drop("first")
-    leaf = F.col("name")
-    for join in reversed(JOINS):
-        leaf = F.when(F.col("name").contains(join), F.substring_index("name", join, -1)).otherwise(leaf)
-    used = F.lit(0)
-    for join in reversed(JOINS):
-        used = F.when(F.col("name").contains(join), F.lit(len(join))).otherwise(used)
-    container = F.when(used > 0, F.expr("substring(name, 1, length(name) - length(leaf) - used)"))
-    named = kinds.withColumn("leaf", leaf).withColumn("used", used).withColumn("container", container)
-    return named.select("chunk_id", "name", "container", "leaf", "callable", "generic", "declared", "keyword", "nth")
+    ways = [_is("how", w).alias(c) for c, w in (("callable", CALLED), ("generic", GENERIC), ("declared", DECLARED))]
+    return _exploded(chunks, _used).select("chunk_id", "name", "container", "leaf", *ways, "keyword", "nth")
+
+
+def names_used(chunks: DataFrame) -> DataFrame:
+    """chunk_id, name, container, leaf, callable, generic, declared, keyword, nth, first_callable, first_generic: each name once a chunk.
+
+    It is callable, generic or declared if one of its uses is; the others are those of the first use.
+    """
+    ways = [_is("how", w).alias(c) for c, w in (("callable", CALLED), ("generic", GENERIC), ("declared", DECLARED))]
+    first = [_is("of_first", w).alias(c) for c, w in (("first_callable", CALLED), ("first_generic", GENERIC))]
+    return _exploded(chunks, _named).select("chunk_id", "name", "container", "leaf", *ways, "keyword", "nth", *first)

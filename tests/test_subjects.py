@@ -30,6 +30,15 @@ def test_same_use_is_one_candidate(spark):
     assert sorted((r["nth"], r["name"], r["callable"], r["keyword"]) for r in rows if r["name"] == "A") == [(1, "A", False, "class"), (4, "A", False, None), (5, "A", True, None)]
 
 
+def test_uses_stay_where_texts_are(spark):
+    """Only texts are shuffled, so that those of one chunk meet; uses are neither shuffled nor sorted."""
+    rows = spark.createDataFrame([("1", "b class A"), ("2", "A"), ("1", "A( b")], "chunk_id string, content string")
+    found = candidates(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(chunk_id" in plan and plan.index("Generate") < plan.index("Exchange")
+    assert sorted((r["chunk_id"], r["name"], r["callable"], r["keyword"], r["nth"]) for r in found.collect() if r["name"] != "class") == [("1", "A", False, "class", 2), ("1", "A", True, None, 0), ("1", "b", False, None, 0), ("2", "A", False, None, 0)]
+
+
 def test_uses_and_leaves_keep_and_reject(spark):
     texts = ["plain class bar then foo( and list< or x.the; y.Is z.kg ABC NASA(", "```\nrun_all(widget)\n```", "a.leafy _p k", "foo plain"]
     rows = judged(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, content string"), ["the"], ["is"], ["kg"], ["leafy"]).collect()
