@@ -9,18 +9,25 @@ fails before has changed nothing, and files it left are replaced by the next of
 One writer at a time.  The manifest also keeps what a stream has committed: its last batch, and the size of its table of urls.
 
 Texts are read once.  A chunk's terms are counted in its row; lengths and statistics come from those rows without a shuffle of
-terms, and postings are shuffled once, by bucket.  A segment has as many buckets as keep about ``POSTINGS_A_BUCKET`` in each, so a
+terms.  Before postings are shuffled, once, by bucket, those of a term that lie in one task become one row of arrays, which name a
+(library, version) pair by its number in the segment's part of the manifest; so they are stored, and a reader takes them apart.  A segment has as many buckets as keep about ``POSTINGS_A_BUCKET`` in each, so a
 search of a term reads one such folder a segment, and of its files the row groups that hold the term.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from cairn.functions.text import counted, identifier_terms, let, prose_tokens
+from cairn.functions.text import IDENTIFIER, PROSE
 from cairn.sources import paths
 from cairn.sources.scratch import spread, written
 
@@ -29,18 +36,71 @@ POSTINGS_A_BUCKET, MOST_BUCKETS = 500_000, 4096
 #: Segments with fewer live postings are merged, and those of which less than this share is live.
 SMALL, LIVE_SHARE = 5_000_000, 0.5
 PAIR = ["library_id", "version"]
-MANIFEST = "segment string, library_id string, version string, n_docs long, total_length long, n_postings long, segment_postings long, buckets int, stream string, base long, last_batch long, seen_level int, n_seen long"
+MANIFEST = "segment string, library_id string, version string, n_docs long, total_length long, n_postings long, segment_postings long, buckets int, pair int, stream string, base long, last_batch long, seen_level int, n_seen long"
 STATE = {"stream": "", "base": 0, "last_batch": -1, "seen_level": 0, "n_seen": 0}
-FACTS = ["segment", *PAIR, "n_docs", "total_length", "n_postings", "segment_postings", "buckets"]
+FACTS = ["segment", *PAIR, "n_docs", "total_length", "n_postings", "segment_postings", "buckets", "pair"]
+#: Postings whose terms are brought together before the shuffle; texts that become one piece of a batch's result.
+POSTINGS_A_BLOCK, PIECE = 1_000_000, 256
+ARRAYS = {"pair": "int", "chunk_id": None, "tf": "long", "doc_length": "long"}
 
 
 def bucket_of(term: Column, buckets) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
 
 
-def terms_in(content: Column) -> Column:
-    """doc_length and terms (term, tf) of a text: prose tokens and identifier terms together."""
-    return let(F.concat(prose_tokens(content), identifier_terms(content)), lambda ts: F.struct(F.size(ts).cast("long").alias("doc_length"), counted(ts).alias("terms")))
+_PROSE, _IDENTIFIER = re.compile(PROSE), re.compile(IDENTIFIER)
+_TERMS = [pa.field("term", pa.string()), pa.field("tf", pa.int64())]
+_COUNTED = [pa.field("doc_length", pa.int64()), pa.field("terms", pa.list_(pa.struct(_TERMS)))]
+
+
+def count_terms(text: str) -> Counter:
+    """Prose tokens in small letters, and identifiers as written and in small letters where that differs, with their numbers."""
+    found = Counter(_IDENTIFIER.findall(text))
+    for name in [n for n in found if len(n) < 2]:
+        del found[name]
+    small: Counter = Counter()
+    for word, n in Counter(_PROSE.findall(text)).items():
+        small[word.lower()] += n
+    for name, n in found.items():
+        if name.lower() != name:
+            small[name.lower()] += n
+    found.update(small)
+    return found
+
+
+@F.arrow_udf(StructType([StructField("doc_length", LongType()), StructField("terms", ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())])))]))
+def terms_in(contents: pa.Array) -> pa.Array:
+    """doc_length and terms (term, tf) of texts: prose tokens and identifier terms together; a null text has none."""
+    pieces = []
+    for at in range(0, len(contents), PIECE):
+        lengths, offsets, terms, tfs = [], [0], [], []
+        for text in contents.slice(at, PIECE).to_pylist():
+            found = count_terms(text or "")
+            terms.extend(found)
+            tfs.extend(found.values())
+            lengths.append(sum(found.values()))
+            offsets.append(len(terms))
+        each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], fields=_TERMS)
+        pieces.append(pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)], fields=_COUNTED))
+    return pa.concat_arrays(pieces) if pieces else pa.array([], pa.struct(_COUNTED))
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (term, and the columns of ``ARRAYS``) with those of a term among ``POSTINGS_A_BLOCK`` or more in one row of arrays."""
+    held, n = [], 0
+
+    def together() -> Iterator[pa.RecordBatch]:
+        grouped = pa.Table.from_batches(held).group_by("term", use_threads=False).aggregate([(c, "list") for c in ARRAYS])
+        yield from grouped.rename_columns([c.removesuffix("_list") for c in grouped.column_names]).select(["term", *ARRAYS]).to_batches(max_chunksize=10_000)
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= POSTINGS_A_BLOCK:
+            yield from together()
+            held, n = [], 0
+    if n:
+        yield from together()
 
 
 class Index:
@@ -84,7 +144,7 @@ class Index:
 
     def _table(self, name: str, schema: str, live: DataFrame, terms: list[str] | None = None) -> DataFrame:
         """Live rows of the segments in ``live``, a part of the manifest; with ``terms``, from their buckets only."""
-        root, pieces = f"{self.folder}/{name}", []
+        root, pieces, blocks = f"{self.folder}/{name}", [], name == "postings"
         sizes: dict[int, list[str]] = {}
         for r in live.where("n_postings > 0").select("segment", "buckets").distinct().collect():
             sizes.setdefault(r["buckets"], []).append(r["segment"])
@@ -93,16 +153,20 @@ class Index:
             if terms is not None:
                 wanted = self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"), buckets).alias("b")).distinct()
                 rows = rows.where(F.col("bucket").isin([r["b"] for r in wanted.collect()]) & F.col("term").isin(terms))
-            pieces.append(rows.withColumn("buckets", F.lit(buckets)) if name == "postings" else rows)
+            pieces.append(rows.withColumn("buckets", F.lit(buckets)) if blocks else rows)
         if not pieces:
-            return self.spark.createDataFrame([], schema + (", buckets int" if name == "postings" else ""))
+            return self.spark.createDataFrame([], schema + (", buckets int" if blocks else ""))
         out = pieces[0]
         for p in pieces[1:]:
             out = out.unionByName(p)
-        return out.join(live.select("segment", *PAIR), ["segment", *PAIR], "left_semi")
+        return out if blocks else out.join(live.select("segment", *PAIR), ["segment", *PAIR], "left_semi")
 
     def postings_of(self, live: DataFrame, terms: list[str] | None = None) -> DataFrame:
-        return self._table("postings", f"term string, library_id string, version string, chunk_id {self.id_type}, tf long, doc_length long, segment string, bucket int", live, terms)
+        arrays = ", ".join(f"{c} array<{t or self.id_type}>" for c, t in ARRAYS.items())
+        blocks = self._table("postings", f"term string, {arrays}, segment string, bucket int", live, terms)
+        rows = blocks.select("term", "segment", "bucket", "buckets", F.explode(F.arrays_zip(*ARRAYS)).alias("p")).select("term", "segment", "bucket", "buckets", "p.*")
+        own = ["term", *PAIR, "chunk_id", "tf", "doc_length", "segment", "bucket", "buckets"]
+        return rows.join(live.select("segment", "pair", *PAIR), ["segment", "pair"]).select(*own)
 
     @property
     def postings(self) -> DataFrame:
@@ -127,17 +191,19 @@ class Index:
         """Writes a segment from rows of library_id, version, chunk_id, doc_length and terms; its rows of the manifest."""
         lengths, has = f"{self.folder}/lengths/segment={segment}", F.col("doc_length") > 0
         rows.where(has).select(*PAIR, "chunk_id", "doc_length").write.mode("overwrite").parquet(lengths)
-        facts = written(rows.groupBy(*PAIR).agg(F.count_if(has).alias("n_docs"), F.sum("doc_length").alias("total_length"), F.sum(F.size("terms").cast("long")).alias("n_postings")))
+        facts = numbered_pairs(rows.groupBy(*PAIR).agg(F.count_if(has).alias("n_docs"), F.sum("doc_length").alias("total_length"), F.sum(F.size("terms").cast("long")).alias("n_postings")))
         total = facts.agg(F.sum("n_postings")).first()[0] or 0
         buckets = 1
         while buckets < MOST_BUCKETS and buckets * POSTINGS_A_BUCKET < total:
             buckets *= 2
-        each = rows.where(has).select(*PAIR, "chunk_id", "doc_length", F.explode("terms").alias("t")).select("t.term", *PAIR, "chunk_id", "t.tf", "doc_length")
-        self._write_postings(segment, each, buckets)
+        each = rows.where(has).join(facts.select(*PAIR, "pair"), PAIR).select("pair", "chunk_id", "doc_length", F.explode("terms").alias("t"))
+        self._write_postings(segment, each.select("t.term", "pair", "chunk_id", "t.tf", "doc_length"), buckets)
         return facts.withColumns({"segment": F.lit(segment), "segment_postings": F.lit(total).cast("long"), "buckets": F.lit(buckets)})
 
     def _write_postings(self, segment: str, each: DataFrame, buckets: int) -> None:
-        dealt = each.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", *PAIR, "chunk_id")
+        arrays = ", ".join(f"{c} array<{t or self.id_type}>" for c, t in ARRAYS.items())
+        blocks = each.select("term", *ARRAYS).mapInArrow(in_blocks, f"term string, {arrays}")
+        dealt = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
 
     def load(self, chunks: DataFrame, replace: bool = True, segment: str | None = None, **state) -> None:
@@ -165,10 +231,10 @@ class Index:
         buckets = 1
         while buckets < MOST_BUCKETS and buckets * POSTINGS_A_BUCKET < total:
             buckets *= 2
-        self._write_postings(segment, self.postings_of(live).select("term", *PAIR, "chunk_id", "tf", "doc_length"), buckets)
+        sums = numbered_pairs(live.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ("n_docs", "total_length", "n_postings")]))
+        self._write_postings(segment, self.postings_of(live).join(sums.select(*PAIR, "pair"), PAIR), buckets)
         lengths = self._table("lengths", f"library_id string, version string, chunk_id {self.id_type}, doc_length long, segment string", live)
         lengths.drop("segment").write.mode("overwrite").parquet(f"{self.folder}/lengths/segment={segment}")
-        sums = live.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ("n_docs", "total_length", "n_postings")])
         merged = sums.withColumns({"segment": F.lit(segment), "segment_postings": F.lit(total).cast("long"), "buckets": F.lit(buckets)})
         self._commit(self.manifest.where(~chosen).unionByName(merged.select(*FACTS)))
         return names
@@ -183,6 +249,11 @@ class Index:
         return gone
 
 
+def numbered_pairs(facts: DataFrame) -> DataFrame:
+    """``facts`` of pairs with a number for each: as many rows as a segment has in the manifest."""
+    return written(facts.withColumn("pair", F.row_number().over(Window.orderBy(*PAIR))))
+
+
 def build(chunks: DataFrame, folder: str, id_type: str = "long") -> Index:
     """A new index of ``chunks`` (chunk_id, library_id, content, and version if it is there). Chunks without terms are not in it."""
     index = Index(chunks.sparkSession, folder, id_type)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,22 +43,23 @@ def merged_manifest(spark, d):
     return index.manifest.where("n_docs > 0").select("library_id", "version", "n_docs", "total_length")
 
 
-def arrivals(spark: SparkSession, rows: DataFrame, nth, n: int) -> str:
-    """A folder with ``rows`` in ``n`` files that arrive one after another, by ``nth``."""
-    target = folder(spark)
+def arrivals(rows: DataFrame, nth, n: int, target: str) -> Iterator[str]:
+    """``rows`` in ``n`` folders below ``target`` that arrive one after another, by ``nth``, in as many files as they are read in.
+
+    What all of them match comes with each: a stream that then takes what is there makes one micro-batch of an arrival.
+    """
     for i in range(n):
-        rows.where(nth == i).coalesce(1).write.parquet(f"{target}/{i}")
-    return target
+        rows.where(nth == i).write.parquet(f"{target}/{i}")
+        yield f"{target}/*"
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT chunk_id, round(bm25, 6) AS bm25 FROM scores")
 def streamed_search(spark, d):
     """Documents that arrive in four micro-batches, each a segment, found by a search of the index."""
     rows = versions(spark, d)
-    arrived = arrivals(spark, rows, F.pmod(F.xxhash64("chunk_id"), F.lit(4)), 4)
-    index = segments.Index(spark, folder(spark))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{arrived}/*")
-    pages.index_chunks(stream, index, folder(spark)).awaitTermination()
+    index, checkpoint = segments.Index(spark, folder(spark)), folder(spark)
+    for arrived in arrivals(rows, F.pmod(F.xxhash64("chunk_id"), F.lit(4)), 4, folder(spark)):
+        pages.index_chunks(spark.readStream.schema(rows.schema).parquet(arrived), index, checkpoint).awaitTermination()
     return bm25.search(index, TEXT_QUERY).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -66,8 +69,9 @@ SELECT page_id, url, CASE WHEN url IS NULL THEN 'NoUrl' WHEN broken THEN 'Parse'
 def streamed_pages(spark, d):
     """Pages that arrive in three micro-batches; every eleventh one breaks the parser."""
     rows = table(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 11 == 0, F.concat("html", F.lit("<![broken[ >"))).otherwise(F.col("html")).alias("html"))
-    arrived, target = arrivals(spark, rows, F.col("page_id") % 3, 3), folder(spark)
-    pages.ingest(pages.read_pages(spark, f"{arrived}/*", 1), target, folder(spark)).awaitTermination()
+    target, checkpoint = folder(spark), folder(spark)
+    for arrived in arrivals(rows, F.col("page_id") % 3, 3, folder(spark)):
+        pages.ingest(pages.read_pages(spark, arrived, 1_000_000), target, checkpoint).awaitTermination()
     new = spark.read.schema("page_id long, url string").parquet(f"{target}/new").select("page_id", "url", F.lit("Indexed").alias("outcome"))
     no = spark.read.schema("page_id long, url string, stage string, reason string").parquet(f"{target}/rejected")
     return new.unionByName(no.select("page_id", "url", F.when(F.col("stage") == "Parse", "Parse").otherwise(F.col("reason")).alias("outcome")))

@@ -57,6 +57,21 @@ def test_replaced_version_equals_rebuild(spark, tmp_path):
     assert bm25.malformed(index.postings, index.lengths).count() == bm25.damaged(index.postings, index.lengths).count() == bm25.miscounted(index.stats, index.lengths).count() == 0
 
 
+def test_postings_of_a_term_are_stored_together(spark, tmp_path):
+    """A task's postings of a term are one row, before they are shuffled; a reader gets each posting with its pair."""
+    index = segments.build(spark.createDataFrame(corpus(60), CHUNKS).coalesce(1), f"{tmp_path}/a")
+    stored = spark.read.parquet(f"{tmp_path}/a/postings").where("term = 'alpha'")
+    assert stored.count() <= 8  # a row a task, at most
+    assert stored.agg(F.sum(F.size("chunk_id"))).first()[0] == 60
+    got = sorted(map(tuple, index.postings.where("term = 'alpha'").select("chunk_id", "library_id", "version", "tf", "doc_length").collect()))
+    assert got == [(i, lib, v, 2 * text.split().count("alpha"), sum(2 for _ in text.split())) for i, lib, v, text in corpus(60)]
+
+
+def test_terms_of_texts():
+    found = segments.count_terms("Foo.Bar a _x foo K\u212aB \u0130io")
+    assert found == {"foo": 2 + 1, "bar": 1, "Foo.Bar": 1, "foo.bar": 1, "_x": 1, "io": 2}
+
+
 def test_stopped_load_changes_nothing(spark, tmp_path, monkeypatch):
     index = segments.build(spark.createDataFrame(corpus(20), CHUNKS), f"{tmp_path}/a")
     before = scores(index)
