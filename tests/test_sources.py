@@ -43,6 +43,17 @@ def test_scanned_languages(spark, tmp_path):
     assert tuple(scan_folders(spark, str(tmp_path)).first()) == (2, 1, 0)
 
 
+def test_one_task_writes_no_texts(spark, tmp_path, monkeypatch):
+    """The table that one task writes as one file grows with the number of documents, not with their texts."""
+    from cairn import queries_files
+
+    monkeypatch.setattr(queries_files, "folder", lambda spark: f"{tmp_path}/scratch")
+    long = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.sha2(F.concat_ws("-", "id", i.cast("string")), 256)), "")
+    spark.range(40).select(F.col("id").alias("doc_id"), long.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(queries_files.stored_sizes(spark, str(tmp_path)).first())[:3] == (6, 1, 40)
+    assert sum(f.stat().st_size for f in (tmp_path / "scratch/b").glob("*.parquet")) < 20_000
+
+
 def test_project_files(spark, tmp_path):
     req = files.requirements(spark, put(tmp_path, "r.txt", "# c\nnumpy==1.2\npandas>=2,<3\n-e .\nplain\n")).collect()
     assert {tuple(r) for r in req} == {("numpy", "1.2"), ("pandas", "2"), ("plain", None)}
