@@ -43,6 +43,8 @@ UNITS = (
 UNITS_IN_ANY_CASE = "hz khz mhz ghz thz rpm psi btu mph fps dps ohm ohms kb mb gb tb pb bps".split()
 #: Characters of names that are units in any case, at most. A fixed value.
 UNIT_CHARS = 4
+#: Names that code and prose say something of, which are sent to all tasks; with more, those that ask are joined.
+MOST_SENT = 1_000_000
 #: Stands for the reason of a name while code and prose are still to be asked.
 ASKED = "Asked"
 
@@ -81,11 +83,15 @@ def with_reasons(chunks: DataFrame, extra: list[Column], stoplist=STOPLIST, libr
     fixed = F.when(listed(stoplist), "GlobalStoplist").when(listed(library_stoplist), "LibraryStoplist").when(either(is_unit), "Unit").when(F.length("name") < 2, "BelowMinLength")
     capital = F.substring("name", 1, 1).between("A", "Z") | F.lit(coded)
     found = names_used(chunks).select("chunk_id", "name", *extra, F.coalesce(fixed, F.when(~keeps, F.when(capital, ASKED).otherwise("NoStructureSignal"))).alias("reason"))
-    found = written(found)
     abbreviation = is_abbreviation(F.col("name"))
-    reason = F.when(F.col("in_code") | (F.col("often") & ~abbreviation), None).when(F.col("often") & abbreviation, "LikelyAbbreviation").otherwise("NoStructureSignal")
-    asked = found.where(F.col("reason") == ASKED).join(written(facts), "name", "left").withColumn("reason", reason)
-    return found.where(F.col("reason").isNull() | (F.col("reason") != ASKED)).unionByName(asked.select(*found.columns))
+    said = F.when(F.col("in_code") | (F.col("often") & ~abbreviation), None).when(F.col("often") & abbreviation, "LikelyAbbreviation").otherwise("NoStructureSignal")
+    facts, asks = written(facts), F.col("reason") == ASKED
+    if facts.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        met = found.join(F.broadcast(facts), "name", "left")
+        return met.withColumn("reason", F.when(asks, said).otherwise(F.col("reason"))).select(*found.columns)
+    found = written(found)
+    asked = found.where(asks).join(facts, "name", "left").withColumn("reason", said)
+    return found.where(F.col("reason").isNull() | ~asks).unionByName(asked.select(*found.columns))
 
 
 def judged(chunks: DataFrame, stoplist=STOPLIST, library_stoplist=(), units=UNITS, any_case=UNITS_IN_ANY_CASE, likely=(), frequent: int = 3) -> DataFrame:

@@ -4,7 +4,8 @@ import hashlib
 import random
 from collections import Counter
 
-from cairn.operators.candidates import candidates
+from cairn.operators import symbols
+from cairn.operators.candidates import candidates, names_used
 from cairn.operators.symbols import judged
 from cairn.operators.taxonomy import reconciled
 
@@ -39,6 +40,22 @@ def test_uses_stay_where_texts_are(spark):
     assert sorted((r["chunk_id"], r["name"], r["callable"], r["keyword"], r["nth"]) for r in found.collect() if r["name"] != "class") == [("1", "A", False, "class", 2), ("1", "A", True, None, 0), ("1", "b", False, None, 0), ("2", "A", False, None, 0)]
 
 
+def test_nothing_is_shuffled_for_uses_or_reasons(spark):
+    """Texts of chunks with one row stay where they are, and what code and prose say is sent to names."""
+    rows = spark.createDataFrame([("1", "class A b"), ("2", "A( Ab Ab Ab"), (None, "c")], "chunk_id string, content string")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (names_used(rows), judged(rows))]
+    assert all("Exchange hashpartitioning" not in p for p in plans) and "BroadcastHashJoin" in plans[1]
+    assert {(r["chunk_id"], r["name"]) for r in names_used(rows.union(rows.limit(1))).collect()} == {("1", "class"), ("1", "A"), ("1", "b"), ("2", "A"), ("2", "Ab"), (None, "c")}
+
+
+def test_facts_that_are_too_many_to_send(spark, monkeypatch):
+    texts = ["ABC Motion plain x_y", "Motion Motion ABC", "ABC ```\nf(plain)\n```"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, content string")
+    sent = sorted(map(tuple, judged(rows).collect()), key=repr)
+    monkeypatch.setattr(symbols, "MOST_SENT", 1)
+    assert sorted(map(tuple, judged(rows).collect()), key=repr) == sent and {r[2] for r in sent} >= {None, "LikelyAbbreviation"}
+
+
 def test_uses_and_leaves_keep_and_reject(spark):
     texts = ["plain class bar then foo( and list< or x.the; y.Is z.kg ABC NASA(", "```\nrun_all(widget)\n```", "a.leafy _p k", "foo plain"]
     rows = judged(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, content string"), ["the"], ["is"], ["kg"], ["leafy"]).collect()
