@@ -119,9 +119,9 @@ def rejected_samples(judged_rows: DataFrame, chunks: DataFrame, n: int) -> DataF
     """
     rows = judged_rows.where("reason IS NOT NULL").withColumn("third", third(F.col("index"), F.lit(n)))
     picks = written(rows.groupBy("name", "third").agg(F.count(F.lit(1)).alias("chunks"), F.min("index").alias("index"), F.min_by("reason", "index").alias("reason")))
-    asked = picks.groupBy("index").agg(F.collect_list("name").alias("names"))  # a chunk's own names at most
-    cut = chunks.join(asked, "index").select("index", F.explode(F.transform("names", lambda w: F.struct(w.alias("name"), sample_window(F.col("content"), w).alias("sample")))).alias("s")).select("index", "s.*")
-    met = picks.join(cut, ["index", "name"], "left")
+    asked = picks.groupBy("index").agg(F.collect_list(F.struct("name", "third", "chunks", "reason")).alias("picks"))  # a chunk's own names at most
+    cut = F.transform("picks", lambda p: F.struct(p["name"].alias("name"), p["third"].alias("third"), p["chunks"].alias("chunks"), p["reason"].alias("reason"), sample_window(F.col("content"), p["name"]).alias("sample")))
+    met = asked.join(chunks, "index", "left").select("index", F.explode(cut).alias("s")).select("index", "s.*")
     samples = F.array_sort(F.collect_list(F.when(F.col("sample").isNotNull(), F.struct("third", "sample"))))
     return met.groupBy("name").agg(F.min_by("reason", "index").alias("reason"), F.sum("chunks").alias("chunks"), F.transform(samples, lambda s: s["sample"]).alias("samples"))
 

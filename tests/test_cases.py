@@ -93,6 +93,13 @@ def test_rejected_samples_by_third(spark):
     assert got["noise"] == ("Unit", 8, [texts[0], texts[4], texts[6]]) and got["rare"] == ("Unit", 1, [texts[4]]) and got["gone"] == ("Unit", 1, []) and set(got) == {"noise", "rare", "gone"}
 
 
+def test_samples_are_not_joined_back(spark):
+    judged = spark.createDataFrame([(0, "a", "Unit"), (1, "a", "Unit")], "index long, name string, reason string")
+    found = symbols.rejected_samples(judged, spark.createDataFrame([(0, "a b")], "index long, content string"), 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # of names with texts
+    assert [tuple(r) for r in found.collect()] == [("a", "Unit", 2, ["a b"])]  # the other chunk has no text
+
+
 def test_abbreviations_and_units(spark):
     rows = [("1", "uses RAM once"), ("2", "TCP here. TCP there, TCP! kHz Mhz KM 12 ohms Kelvin RPM rpm k Menu lets Motion Motion Motion")]
     got = {r["name"]: r["reason"] for r in symbols.judged(spark.createDataFrame(rows, "chunk_id string, content string")).collect()}
