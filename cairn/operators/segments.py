@@ -8,9 +8,9 @@ fails before has changed nothing, and files it left are replaced by the next of
 
 One writer at a time.  The manifest also keeps what a stream has committed: its last batch, and the size of its table of urls.
 
-Texts are read once.  A chunk's terms are counted in its row; lengths and statistics come from those rows without a shuffle of
-terms.  Before postings are shuffled, once, by bucket, those of a term that lie in one task become one row of arrays, which name a
-(library, version) pair by its number in the segment's part of the manifest; so they are stored, and a reader takes them apart.  A segment has as many buckets as keep about ``POSTINGS_A_BUCKET`` in each, so a
+Texts are read once.  A task counts the terms of many chunks and brings the postings of a term together, as one row of arrays, which name a
+(library, version) pair by its number in the segment's part of the manifest; with the chunks' lengths, from which statistics come, they are
+written, dealt to buckets in one shuffle, and stored so; a reader takes them apart.  A segment has as many buckets as keep about ``POSTINGS_A_BUCKET`` in each, so a
 search of a term reads one such folder a segment, and of its files the row groups that hold the term.
 """
 
@@ -21,6 +21,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,11 @@ STATE = {"stream": "", "base": 0, "last_batch": -1, "seen_level": 0, "n_seen": 0
 FACTS = ["segment", *PAIR, "n_docs", "total_length", "n_postings", "segment_postings", "buckets", "pair"]
 #: Postings whose terms are brought together before the shuffle; texts that become one piece of a batch's result.
 POSTINGS_A_BLOCK, PIECE = 1_000_000, 256
-ARRAYS = {"pair": "int", "chunk_id": None, "tf": "long", "doc_length": "long"}
+#: Rows of a batch of blocks, at most.
+ROWS = 10_000
+ARRAYS = {"pair": "int", "chunk_id": None, "tf": "int", "doc_length": "int"}
+#: Characters of texts that are counted together, about; identifiers that a task remembers.
+PIECE_CHARS, REMEMBERED = 2_000_000, 200_000
 
 
 def bucket_of(term: Column, buckets) -> Column:
@@ -91,7 +96,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def together() -> Iterator[pa.RecordBatch]:
         grouped = pa.Table.from_batches(held).group_by("term", use_threads=False).aggregate([(c, "list") for c in ARRAYS])
-        yield from grouped.rename_columns([c.removesuffix("_list") for c in grouped.column_names]).select(["term", *ARRAYS]).to_batches(max_chunksize=10_000)
+        yield from grouped.rename_columns([c.removesuffix("_list") for c in grouped.column_names]).select(["term", *ARRAYS]).to_batches(max_chunksize=ROWS)
 
     for batch in batches:
         held.append(batch)
@@ -103,6 +108,97 @@ def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from together()
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``keys`` in order, and the sums of ``n`` over equal ones."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.add.reduceat(n[order], starts) if len(keys) else n
+
+
+def count_together(texts: list[str | None], known: dict[str, dict[str, int]]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``count_terms`` finds in each of ``texts``: terms, and for each posting its text, term and number, as arrays.
+
+    Prose tokens lie inside identifiers, so a text's terms are those of its identifiers; ``known`` remembers an identifier's.
+    """
+    names, sizes = [], []
+    for text in texts:
+        found = _IDENTIFIER.findall(text or "")
+        names += found
+        sizes.append(len(found))
+    coded = pa.array(names, pa.string()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    keys = np.repeat(np.arange(len(texts)), sizes) * max(len(words), 1) + coded.indices.to_numpy().astype(np.int64)
+    keys, n = _summed(keys, np.ones(len(keys), np.int64))
+    text, word = np.divmod(keys, max(len(words), 1))
+    terms, times, wide = [], [], []
+    for name in words:
+        if name.isalnum():  # a prose token, if it is long enough, and itself an identifier
+            small = name.lower()
+            own = {} if len(name) < 2 else {name: 2} if small == name else {name: 1, small: 2}
+        else:
+            own = known.get(name)
+            if own is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                own = known[name] = dict(count_terms(name))
+        terms += own
+        times += own.values()
+        wide.append(len(own))
+    coded, wide = pa.array(terms, pa.string()).dictionary_encode(), np.array(wide, np.int64)
+    each = np.repeat(np.arange(len(keys)), wide[word])  # a row for each term of each identifier
+    place = np.arange(len(each)) - np.repeat(np.cumsum(wide[word]) - wide[word], wide[word]) + (np.cumsum(wide) - wide)[word[each]]
+    term = coded.indices.to_numpy().astype(np.int64)[place]
+    keys, n = _summed(text[each] * max(len(coded.dictionary), 1) + term, n[each] * np.array(times, np.int64)[place])
+    return coded.dictionary, *np.divmod(keys, max(len(coded.dictionary), 1)), n
+
+
+def counted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pair, chunk_id and content: postings as ``in_blocks`` makes them, and rows without a term whose docs (pair, chunk_id,
+    n_terms, doc_length) are the chunks."""
+    known: dict[str, dict[str, int]] = {}
+    held, n = [], 0
+
+    def together() -> Iterator[pa.RecordBatch]:
+        chunk = pa.concat_arrays([h[1] for h in held])
+        pair, length, n_terms = (np.concatenate([h[k] for h in held]).astype(np.int32) for k in (0, 2, 3))
+        coded = pa.concat_arrays([h[4] for h in held]).dictionary_encode()
+        at_doc, at_term = (np.cumsum([0, *[len(h[k]) for h in held[:-1]]]) for k in (1, 4))
+        doc = np.concatenate([h[5] + at for h, at in zip(held, at_doc)])
+        term = coded.indices.to_numpy()[np.concatenate([h[6] + at for h, at in zip(held, at_term)])]
+        order = np.argsort(term, kind="stable")
+        doc, tf = doc[order], np.concatenate([h[7] for h in held]).astype(np.int32)[order]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(coded.dictionary)))])
+        docs = pa.StructArray.from_arrays([pa.array(pair), chunk, pa.array(n_terms), pa.array(length)], ["pair", "chunk_id", "n_terms", "doc_length"])
+        lists = [pair[doc], chunk.take(pa.array(doc)), tf, length[doc]]
+        for at in range(0, len(coded.dictionary), ROWS):
+            some = offsets[at : at + ROWS + 1]
+            arrays = [pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(x[some[0] : some[-1]])) for x in lists]
+            yield pa.RecordBatch.from_arrays([coded.dictionary[at : at + ROWS], *arrays, pa.nulls(len(some) - 1, pa.list_(docs.type))], ["term", *ARRAYS, "docs"])
+        none = [pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(chunk.type)), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32()))]
+        for at in range(0, len(docs), ROWS):
+            some = docs[at : at + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), *none, pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)], ["term", *ARRAYS, "docs"])
+
+    for batch in batches:
+        pairs, texts = batch["pair"].to_numpy(), batch["content"].to_pylist()
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and chars < PIECE_CHARS:
+                chars += len(texts[to] or "")
+                to += 1
+            terms, doc, term, tf = count_together(texts[at:to], known)
+            sums = np.bincount(doc, tf, to - at), np.bincount(doc, minlength=to - at)
+            held.append((pairs[at:to], batch["chunk_id"][at:to], *sums, terms, doc, term, tf))
+            n, at = n + len(tf), to
+            if n >= POSTINGS_A_BLOCK:
+                yield from together()
+                held, n = [], 0
+    if held:
+        yield from together()
+
+
 class Index:
     """The newest generation of an index below a folder.
 
@@ -162,10 +258,9 @@ class Index:
         return out if blocks else out.join(live.select("segment", *PAIR), ["segment", *PAIR], "left_semi")
 
     def postings_of(self, live: DataFrame, terms: list[str] | None = None) -> DataFrame:
-        arrays = ", ".join(f"{c} array<{t or self.id_type}>" for c, t in ARRAYS.items())
-        blocks = self._table("postings", f"term string, {arrays}, segment string, bucket int", live, terms)
+        blocks = self._table("postings", f"term string, {self._arrays()}, segment string, bucket int", live, terms)
         rows = blocks.select("term", "segment", "bucket", "buckets", F.explode(F.arrays_zip(*ARRAYS)).alias("p")).select("term", "segment", "bucket", "buckets", "p.*")
-        own = ["term", *PAIR, "chunk_id", "tf", "doc_length", "segment", "bucket", "buckets"]
+        own = ["term", *PAIR, "chunk_id", F.col("tf").cast("long").alias("tf"), F.col("doc_length").cast("long").alias("doc_length"), "segment", "bucket", "buckets"]
         return rows.join(live.select("segment", "pair", *PAIR), ["segment", "pair"]).select(*own)
 
     @property
@@ -187,22 +282,26 @@ class Index:
         rows = facts.select(*FACTS).unionByName(head, allowMissingColumns=True)
         rows.coalesce(1).write.parquet(f"{self.folder}/manifest/generation={self.generation() + 1}")
 
-    def _write(self, segment: str, rows: DataFrame) -> DataFrame:
-        """Writes a segment from rows of library_id, version, chunk_id, doc_length and terms; its rows of the manifest."""
-        lengths, has = f"{self.folder}/lengths/segment={segment}", F.col("doc_length") > 0
-        rows.where(has).select(*PAIR, "chunk_id", "doc_length").write.mode("overwrite").parquet(lengths)
-        facts = numbered_pairs(rows.groupBy(*PAIR).agg(F.count_if(has).alias("n_docs"), F.sum("doc_length").alias("total_length"), F.sum(F.size("terms").cast("long")).alias("n_postings")))
+    def _write(self, segment: str, chunks: DataFrame) -> DataFrame:
+        """Writes a segment of chunks (library_id, version, chunk_id, content); its rows of the manifest."""
+        pairs = numbered_pairs(chunks.select(*PAIR).distinct())
+        texts = spread(chunks).join(F.broadcast(pairs), PAIR).select("pair", "chunk_id", "content")
+        rows = written(texts.mapInArrow(counted_blocks, f"term string, {self._arrays()}, docs array<struct<pair: int, chunk_id: {self.id_type}, n_terms: int, doc_length: int>>"))
+        docs = rows.where("docs IS NOT NULL").select(F.inline("docs")).join(F.broadcast(pairs), "pair").withColumn("doc_length", F.col("doc_length").cast("long"))
+        has = F.col("doc_length") > 0
+        docs.where(has).select(*PAIR, "chunk_id", "doc_length").write.mode("overwrite").parquet(f"{self.folder}/lengths/segment={segment}")
+        facts = written(docs.groupBy("pair", *PAIR).agg(F.count_if(has).alias("n_docs"), F.sum("doc_length").alias("total_length"), F.sum(F.col("n_terms").cast("long")).alias("n_postings")))
         total = facts.agg(F.sum("n_postings")).first()[0] or 0
         buckets = 1
         while buckets < MOST_BUCKETS and buckets * POSTINGS_A_BUCKET < total:
             buckets *= 2
-        each = rows.where(has).join(facts.select(*PAIR, "pair"), PAIR).select("pair", "chunk_id", "doc_length", F.explode("terms").alias("t"))
-        self._write_postings(segment, each.select("t.term", "pair", "chunk_id", "t.tf", "doc_length"), buckets)
+        self._write_postings(segment, rows.where("term IS NOT NULL").drop("docs"), buckets)
         return facts.withColumns({"segment": F.lit(segment), "segment_postings": F.lit(total).cast("long"), "buckets": F.lit(buckets)})
 
-    def _write_postings(self, segment: str, each: DataFrame, buckets: int) -> None:
-        arrays = ", ".join(f"{c} array<{t or self.id_type}>" for c, t in ARRAYS.items())
-        blocks = each.select("term", *ARRAYS).mapInArrow(in_blocks, f"term string, {arrays}")
+    def _arrays(self) -> str:
+        return ", ".join(f"{c} array<{t or self.id_type}>" for c, t in ARRAYS.items())
+
+    def _write_postings(self, segment: str, blocks: DataFrame, buckets: int) -> None:
         dealt = blocks.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
 
@@ -210,8 +309,7 @@ class Index:
         """Adds a segment with the pairs of ``chunks`` (chunk_id, library_id, version, content); they replace what the index has of
         these pairs, or join it."""
         own = [F.coalesce(c, F.lit("")).alias(c) for c in PAIR]
-        rows = written(spread(chunks).select(*own, F.col("chunk_id").cast(self.id_type).alias("chunk_id"), terms_in(F.coalesce("content", F.lit(""))).alias("c")).select(*PAIR, "chunk_id", "c.*"))
-        new = self._write(segment or uuid.uuid4().hex, rows)
+        new = self._write(segment or uuid.uuid4().hex, chunks.select(*own, F.col("chunk_id").cast(self.id_type).alias("chunk_id"), "content"))
         old = self.manifest.where(F.col("segment") != segment) if segment else self.manifest
         self._commit((old.join(new.select(*PAIR), PAIR, "left_anti") if replace else old).select(*FACTS).unionByName(new.select(*FACTS)), **state)
 
@@ -232,7 +330,8 @@ class Index:
         while buckets < MOST_BUCKETS and buckets * POSTINGS_A_BUCKET < total:
             buckets *= 2
         sums = numbered_pairs(live.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in ("n_docs", "total_length", "n_postings")]))
-        self._write_postings(segment, self.postings_of(live).join(sums.select(*PAIR, "pair"), PAIR), buckets)
+        each = self.postings_of(live).join(sums.select(*PAIR, "pair"), PAIR).select("term", *[F.col(c).cast(t or self.id_type).alias(c) for c, t in ARRAYS.items()])
+        self._write_postings(segment, each.mapInArrow(in_blocks, f"term string, {self._arrays()}"), buckets)
         lengths = self._table("lengths", f"library_id string, version string, chunk_id {self.id_type}, doc_length long, segment string", live)
         lengths.drop("segment").write.mode("overwrite").parquet(f"{self.folder}/lengths/segment={segment}")
         merged = sums.withColumns({"segment": F.lit(segment), "segment_postings": F.lit(total).cast("long"), "buckets": F.lit(buckets)})

@@ -1,5 +1,7 @@
 """Index segments, streams into them that are stopped anywhere, and names that used to overflow the stack."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,38 @@ def test_terms_of_texts():
     assert found == {"foo": 2 + 1, "bar": 1, "Foo.Bar": 1, "foo.bar": 1, "_x": 1, "io": 2}
 
 
+def test_terms_counted_together():
+    rnd = random.Random(3)
+    parts = ["a", "B", "\u00e9", "_", "1", ".", "::", "->", "Foo", " ", "  ", "-", "K\u212a", "\u0130", "x9", "\n"]
+    for texts in (["".join(rnd.choices(parts, k=rnd.randint(0, 80))) for _ in range(2000)] + [None, ""], [], [None]):
+        terms, text, term, tf = segments.count_together(texts, {})
+        got = [{} for _ in texts]
+        for i, t, n in zip(text, term, tf):
+            got[i][terms[int(t)].as_py()] = int(n)
+        assert got == [segments.count_terms(t or "") for t in texts]
+
+
+def test_a_load_brings_postings_together_where_it_counts(spark, tmp_path, monkeypatch):
+    """What a load writes before its shuffle are blocks of terms, and no row for each chunk; blocks and pieces of any size say the same."""
+    made = []
+    monkeypatch.setattr(segments, "written", lambda df, of=segments.written: (made.append(of(df)), made[-1])[1])
+    rows = [*corpus(60), (70, None, "v0", None), (71, "l0", None, "a"), (72, "l7", "v7", "")]
+    index = segments.build(spark.createDataFrame(rows, CHUNKS).coalesce(1), f"{tmp_path}/a")
+    blocks = [df for df in made if "docs" in df.columns]
+    assert len(blocks) == 1 and blocks[0].where("term = 'alpha'").count() <= 8 and blocks[0].where("docs IS NOT NULL").agg(F.sum(F.size("docs"))).first()[0] == 63
+    assert {tuple(r) for r in index.manifest.where("n_docs = 0").select("library_id", "version").collect()} == {("", "v0"), ("l0", ""), ("l7", "v7")}
+    from pyarrow import RecordBatch, array, int32, int64
+
+    batch = RecordBatch.from_arrays([array([1] * 60, int32()), array(range(60), int64()), array([r[3] for r in corpus(60)])], ["pair", "chunk_id", "content"])
+    found = []
+    for sizes in ((10**6, 10**6, 10**4), (40, 100, 7), (1, 1, 1)):
+        for name, n in zip(("POSTINGS_A_BLOCK", "PIECE_CHARS", "ROWS"), sizes):
+            monkeypatch.setattr(segments, name, n)
+        out = [r for b in segments.counted_blocks(iter([batch])) for r in b.to_pylist()]
+        found.append((sorted((r["term"], *p) for r in out if r["term"] for p in zip(r["pair"], r["chunk_id"], r["tf"], r["doc_length"])), sorted(tuple(d.values()) for r in out for d in r["docs"] or [])))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == 60
+
+
 def test_stopped_load_changes_nothing(spark, tmp_path, monkeypatch):
     index = segments.build(spark.createDataFrame(corpus(20), CHUNKS), f"{tmp_path}/a")
     before = scores(index)
